@@ -58,7 +58,7 @@ def severity(label: Column) -> Column:
 
 def one_decimal(value: Column) -> Column:
     """A number with one decimal, halves of the exact value rounded to even."""
-    return F.format_number(value, "0.0")
+    return F.call_function("format_number", value, F.lit("0.0"))
 
 
 def detail_text(cnn_pct: Column, gmm_pct: Column) -> Column:

@@ -9,15 +9,25 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from voxward.params import TARGET_DB, SilenceParams
+from voxward.params import PCM16_SCALE, TARGET_DB, SilenceParams
 
 _TINY = 1e-12
 
 
+def _let(value: Column, body) -> Column:
+    """``body`` of a value computed once. Used for scalars inside lambdas over samples,
+    which would otherwise be computed again for every sample."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def _sum(x: Column, term) -> Column:
     return F.aggregate(x, F.lit(0.0), lambda a, v: a + term(v.cast("double")))
 
 
+def _clip(v: Column) -> Column:
+    return F.greatest(F.lit(-1.0), F.least(F.lit(1.0), v))
+
+
 def _rms(x: Column) -> Column:
     return F.sqrt(_sum(x, lambda v: v * v) / F.size(x))
 
@@ -62,28 +72,35 @@ def fit_head(x: Column, n: int) -> Column:
 def normalize_rms(x: Column, target_db: float = TARGET_DB) -> Column:
     """Scale to the target level; all but silent arrays."""
     target, level = 10 ** (target_db / 20), _rms(x)
-    scaled = F.transform(x, lambda v: v.cast("double") * (F.lit(target) / level))
-    return F.when(level < 1e-9, F.transform(x, lambda v: v.cast("double"))).otherwise(scaled)
+    gain = F.when(level < 1e-9, 1.0).otherwise(F.lit(target) / level)
+    return _let(gain, lambda g: F.transform(x, lambda v: v.cast("double") * g))
 
 
 def normalize_dc_rms_clip(x: Column, target_db: float = TARGET_DB) -> Column:
     """Remove the mean, scale to the target level, clip to ±1."""
     target = 10 ** (target_db / 20)
     mean = _sum(x, lambda v: v) / F.size(x)
-    level = F.sqrt(_sum(x, lambda v: (v - mean) * (v - mean)) / F.size(x))
-    gain = F.when(level > 0, F.lit(target) / level).otherwise(1.0)
-    return F.transform(
-        x,
-        lambda v: F.greatest(
-            F.lit(-1.0), F.least(F.lit(1.0), (v.cast("double") - mean) * gain)
-        ),
-    )
+
+    def scaled(y: Column) -> Column:
+        level = _rms(y)
+        gain = F.when(level > 0, F.lit(target) / level).otherwise(1.0)
+        return _let(gain, lambda g: F.transform(y, lambda v: _clip(v * g)))
+
+    centred = _let(mean, lambda m: F.transform(x, lambda v: v.cast("double") - m))
+    return _let(centred, scaled)
 
 
 def minmax01(x: Column) -> Column:
     """Rescale an array to [0, 1]."""
-    low, high = F.array_min(x).cast("double"), F.array_max(x).cast("double")
-    return F.transform(x, lambda v: (v.cast("double") - low) / (high - low + 1e-10))
+    ends = F.struct(
+        F.array_min(x).cast("double").alias("low"), F.array_max(x).cast("double").alias("high")
+    )
+
+    def scaled(e: Column) -> Column:
+        span = e["high"] - e["low"] + 1e-10
+        return F.transform(x, lambda v: (v.cast("double") - e["low"]) / span)
+
+    return _let(ends, scaled)
 
 
 def downmix(x: Column, channels: int) -> Column:
@@ -100,9 +117,4 @@ def downmix(x: Column, channels: int) -> Column:
 
 def pcm16(x: Column) -> Column:
     """16-bit samples: clip to ±1, scale, cut the fraction off."""
-    return F.transform(
-        x,
-        lambda v: (
-            F.greatest(F.lit(-1.0), F.least(F.lit(1.0), v.cast("double"))) * 32_767
-        ).cast("smallint"),
-    )
+    return F.transform(x, lambda v: (_clip(v.cast("double")) * PCM16_SCALE).cast("smallint"))

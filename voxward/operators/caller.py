@@ -71,11 +71,11 @@ def strikes(flags: DataFrame) -> DataFrame:
     )
 
 
-def upsert_flags(flagged: DataFrame, flags: DataFrame) -> DataFrame:
-    """The blocklist after one more strike per flagged call.
+def add_strikes(flagged: DataFrame, added: DataFrame) -> DataFrame:
+    """The blocklist with increments (``phone_hash``, ``strikes``, ``flagged_at``) applied.
 
     Listed and new hashes meet in a grouped aggregate, which combines before
-    the shuffle: a hash with very many calls costs no more than any other. A
+    the shuffle: a hash with very many strikes costs no more than any other. A
     listed NULL count becomes a number only when its hash gets a strike.
     """
     old = flagged.select(
@@ -83,14 +83,14 @@ def upsert_flags(flagged: DataFrame, flags: DataFrame) -> DataFrame:
         F.col("strike_count").cast("bigint").alias("old"),
         F.col("last_flagged_at").alias("old_at"),
         F.lit(0).cast("bigint").alias("added"),
-        F.lit(None).cast(flags.schema["end_ts"].dataType).alias("added_at"),
+        F.lit(None).cast(added.schema["flagged_at"].dataType).alias("added_at"),
     )
-    new = flags.select(
+    new = added.select(
         "phone_hash",
         F.lit(None).cast("bigint").alias("old"),
         F.lit(None).cast(flagged.schema["last_flagged_at"].dataType).alias("old_at"),
-        F.lit(1).cast("bigint").alias("added"),
-        F.col("end_ts").alias("added_at"),
+        F.col("strikes").cast("bigint").alias("added"),
+        F.col("flagged_at").alias("added_at"),
     )
     merged = old.unionByName(new).groupBy("phone_hash").agg(
         F.max("old").alias("old"),
@@ -107,3 +107,9 @@ def upsert_flags(flagged: DataFrame, flags: DataFrame) -> DataFrame:
         .alias("strike_count"),
         F.when(hit, F.col("added_at")).otherwise(F.col("old_at")).alias("last_flagged_at"),
     )
+
+
+def upsert_flags(flagged: DataFrame, flags: DataFrame) -> DataFrame:
+    """The blocklist after one more strike per flagged call."""
+    each = flags.select("phone_hash", F.lit(1).alias("strikes"), F.col("end_ts").alias("flagged_at"))
+    return add_strikes(flagged, each)

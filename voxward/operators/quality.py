@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -12,14 +13,16 @@ from voxward.params import SilenceParams
 DEFAULT = SilenceParams()
 
 
-def silence_of_audio(samples: Column, params: SilenceParams = DEFAULT) -> Column:
-    """Silence ratio of audio-sized arrays, in Arrow batches."""
+def measures_of_audio(samples: Column, params: SilenceParams = DEFAULT) -> Column:
+    """Silence ratio and loudest sample of audio-sized arrays, in one Arrow pass."""
 
-    @F.pandas_udf("double")
-    def ratio(batch: pd.Series) -> pd.Series:
-        return batch.map(lambda x: dsp.silence_ratio(x, params))
+    @F.pandas_udf("ratio double, peak float")
+    def measure(batch: pd.Series) -> pd.DataFrame:
+        ratios = [dsp.silence_ratio(x, params) for x in batch]
+        peaks = [np.abs(x).max() if len(x) else None for x in batch]
+        return pd.DataFrame({"ratio": ratios, "peak": peaks})
 
-    return ratio(samples)
+    return measure(samples)
 
 
 def frame_quality(
@@ -30,8 +33,13 @@ def frame_quality(
     ``audio`` picks the Arrow form for long arrays; short ones stay in the JVM.
     """
     x = F.col("samples")
-    ratio = silence_of_audio(x, params) if audio else signal.silence_ratio(x, params)
-    out = frames.withColumns({"silence_ratio": ratio, "max_amplitude": signal.max_amplitude(x)})
+    if audio:
+        out = frames.withColumn("_m", measures_of_audio(x, params))
+        ratio, peak = F.col("_m.ratio"), F.col("_m.peak")
+        out = out.withColumns({"silence_ratio": ratio, "max_amplitude": peak}).drop("_m")
+    else:
+        ratio, peak = signal.silence_ratio(x, params), signal.max_amplitude(x)
+        out = frames.withColumns({"silence_ratio": ratio, "max_amplitude": peak})
     # Exactly at the limit is not silent.
     return out.withColumn("is_silent", F.col("silence_ratio") > params.max_ratio)
 
