@@ -11,71 +11,84 @@ from pyspark.sql import functions as F
 from voxward.operators.caller import add_strikes, strikes
 from voxward.schemas import FLAGGED_NUMBERS
 
-_DELTA = "phone_hash string, strikes bigint, flagged_at timestamp, epoch bigint"
-_COMMIT = "version bigint, through_epoch bigint"
+_STRIKES = "phone_hash string, strikes bigint, flagged_at timestamp, job string, epoch bigint"
+_COMMITS = "version bigint, job string, through_epoch bigint"
 
 
 @dataclass(frozen=True)
 class Blocklist:
     """A blocklist below ``path``.
 
-    Every micro-batch writes only its own strikes, under its epoch. A batch
-    that runs again replaces its folder, so each call counts exactly once.
-    ``compact`` folds strikes into a new base version and logs it; readers
-    take the newest logged version and the strikes after it. Nothing that is
-    being read is ever overwritten.
+    Every micro-batch or run writes only its own strikes, under its job and
+    epoch. One that runs again replaces its folder, so each call counts exactly
+    once; a stream that starts from a new checkpoint needs a new job name, as
+    its epochs start over. ``compact`` folds strikes into a new base version
+    and logs it; readers take the newest logged version and the strikes after
+    it. Nothing that is being read is ever overwritten.
     """
 
     path: str
 
     def create(self, flagged: DataFrame) -> None:
         """Store a first base version."""
-        self._commit(flagged, version=1, through=-1)
+        self._commit(flagged, 1, {})
 
-    def read(self, spark: SparkSession) -> DataFrame:
-        base, through = self._base(spark)
-        return add_strikes(base, self._deltas(spark).filter(F.col("epoch") > through))
+    def read(self, spark: SparkSession, job: str | None = None, before: int | None = None) -> DataFrame:
+        """The list as of now, or as ``job`` saw it before one of its epochs."""
+        version, done = self._newest(spark)
+        added = self._after(self._strikes(spark), done)
+        if job is not None and before is not None:
+            added = added.filter((F.col("job") != job) | (F.col("epoch") < before))
+        return add_strikes(self._base(spark, version), added)
 
-    def add(self, flags: DataFrame, epoch: int) -> None:
+    def add(self, flags: DataFrame, job: str, epoch: int) -> None:
         """Store the strikes of one epoch; ``flags`` has ``phone_hash`` and ``end_ts``."""
         rows = strikes(flags).withColumn("flagged_at", F.col("flagged_at").cast("timestamp"))
-        rows.write.mode("overwrite").parquet(f"{self.path}/strikes/epoch={epoch}")
+        rows.write.mode("overwrite").parquet(f"{self.path}/strikes/job={job}/epoch={epoch}")
 
-    def compact(self, spark: SparkSession, through: int) -> None:
-        """Fold the strikes of epochs up to ``through`` into a new base version.
+    def compact(self, spark: SparkSession, job: str, through: int) -> None:
+        """Fold the strikes of a job's epochs up to ``through`` into a new base version.
 
-        Only epochs whose batch has ended for good may be folded.
+        Only epochs that have ended for good may be folded.
         """
-        base, done = self._base(spark)
-        new = self._deltas(spark).filter(F.col("epoch").between(done + 1, through))
-        version, _ = self._newest(spark)
-        self._commit(add_strikes(base, new), version + 1, through)
-
-    def _commit(self, flagged: DataFrame, version: int, through: int) -> None:
-        spark = flagged.sparkSession
-        # Sorted files let a lookup skip what lies outside its range of hashes.
+        version, done = self._newest(spark)
+        new = self._after(self._strikes(spark), done)
+        new = new.filter((F.col("job") == job) & (F.col("epoch") <= through))
+        done = {**done, job: max(through, done.get(job, -1))}
+        self._commit(add_strikes(self._base(spark, version), new), version + 1, done)
+
+    @staticmethod
+    def _after(rows: DataFrame, done: dict[str, int]) -> DataFrame:
+        """Strikes that no base version holds yet; prunes the folders of the others."""
+        for job, epoch in done.items():
+            rows = rows.filter((F.col("job") != job) | (F.col("epoch") > epoch))
+        return rows
+
+    def _commit(self, flagged: DataFrame, version: int, done: dict[str, int]) -> None:
+        # Sorted files let a lookup skip what lies outside their range of hashes.
         rows = flagged.repartitionByRange("phone_hash").sortWithinPartitions("phone_hash")
         rows.write.mode("overwrite").parquet(f"{self.path}/base/version={version}")
-        entry = spark.createDataFrame([(version, through)], _COMMIT)
-        entry.coalesce(1).write.mode("append").parquet(f"{self.path}/commits")
-
-    def _newest(self, spark: SparkSession) -> tuple[int, int]:
-        try:
-            log = spark.read.schema(_COMMIT).parquet(f"{self.path}/commits")
-        except AnalysisException:
-            return 0, -1
-        row = log.agg(F.max_by(F.struct("version", "through_epoch"), "version").alias("last")).first()
-        return (row["last"]["version"], row["last"]["through_epoch"]) if row["last"] else (0, -1)
-
-    def _base(self, spark: SparkSession) -> tuple[DataFrame, int]:
-        version, through = self._newest(spark)
-        if not version:
-            return spark.createDataFrame([], FLAGGED_NUMBERS), through
-        path = f"{self.path}/base/version={version}"
-        return spark.read.schema(FLAGGED_NUMBERS).parquet(path), through
-
-    def _deltas(self, spark: SparkSession) -> DataFrame:
+        entries = [(version, job, epoch) for job, epoch in (done or {"": -1}).items()]
+        log = flagged.sparkSession.createDataFrame(entries, _COMMITS).coalesce(1)
+        log.write.mode("append").parquet(f"{self.path}/commits")
+
+    def _newest(self, spark: SparkSession) -> tuple[int, dict[str, int]]:
+        """Number of the newest base version and, per job, the last epoch in it."""
+        log = self._table(spark, "commits", _COMMITS)
+        newest = log.agg(F.max("version")).first()[0]
+        if newest is None:
+            return 0, {}
+        # One row per job that ever added strikes.
+        return newest, {r["job"]: r["through_epoch"] for r in log.filter(F.col("version") == newest).collect()}
+
+    def _base(self, spark: SparkSession, version: int) -> DataFrame:
+        return self._table(spark, f"base/version={version}", FLAGGED_NUMBERS)
+
+    def _strikes(self, spark: SparkSession) -> DataFrame:
+        return self._table(spark, "strikes", _STRIKES)
+
+    def _table(self, spark: SparkSession, name: str, schema: str) -> DataFrame:
         try:
-            return spark.read.schema(_DELTA).parquet(f"{self.path}/strikes")
-        except AnalysisException:
-            return spark.createDataFrame([], _DELTA)
+            return spark.read.schema(schema).parquet(f"{self.path}/{name}")
+        except AnalysisException:  # not written yet
+            return spark.createDataFrame([], schema)

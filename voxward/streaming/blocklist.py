@@ -12,13 +12,15 @@ from voxward.sources.alerts import write_alerts
 from voxward.sources.blocklist import Blocklist
 
 
-def apply_calls(calls: DataFrame, blocklist: Blocklist, alerts_path: str, epoch: int) -> None:
+def apply_calls(
+    calls: DataFrame, blocklist: Blocklist, alerts_path: str, job: str, epoch: int
+) -> None:
     """One micro-batch: warn about flagged callers, then add strikes for AI calls that ended.
 
     Both writes go under the epoch, so a batch that runs again changes nothing.
     """
     started = calls.filter(F.col("end_ts").isNull())
-    flagged = lookup_blocklist(started, blocklist.read(calls.sparkSession))
+    flagged = lookup_blocklist(started, blocklist.read(calls.sparkSession, job, epoch))
     warnings = flagged.filter("is_caller_flagged").select(
         "call_id",
         F.col("start_ts").alias("ts"),
@@ -27,18 +29,18 @@ def apply_calls(calls: DataFrame, blocklist: Blocklist, alerts_path: str, epoch:
         F.lit(FLAGGED_MESSAGE).alias("message"),
     )
     write_alerts(warnings, alerts_path, epoch)
-    blocklist.add(calls_to_flag(calls), epoch)
+    blocklist.add(calls_to_flag(calls), job, epoch)
 
 
 def blocklist_stream(
-    calls: DataFrame, blocklist: Blocklist, alerts_path: str, checkpoint: str, **trigger
+    calls: DataFrame, blocklist: Blocklist, alerts_path: str, checkpoint: str, job: str, **trigger
 ) -> StreamingQuery:
-    """Start the job. Rows are calls at their start (no ``end_ts``) and at their end."""
+    """Start the job; a new checkpoint needs a new ``job`` name. Rows are calls at their start (no ``end_ts``) and at their end."""
 
     def batch(rows: DataFrame, epoch: int) -> None:
         rows.persist()
         try:
-            apply_calls(rows, blocklist, alerts_path, epoch)
+            apply_calls(rows, blocklist, alerts_path, job, epoch)
         finally:
             rows.unpersist()
 
