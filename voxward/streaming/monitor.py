@@ -53,7 +53,7 @@ def call_monitor_stream(
     ``tie`` orders polls with equal time; polls of one host normally have none.
     """
     if tie is None:
-        status, tie = status.withColumn("_tie", F.lit(0).cast("bigint")), "_tie"
+        status, tie = status.withColumn("poll_tie", F.lit(0).cast("bigint")), "poll_tie"
     kind = status.schema["host_id"].dataType.simpleString()
     events = run_ordered(
         status,

@@ -43,7 +43,7 @@ class OrderedProcessor(StatefulProcessor):
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues):
         newest = None
         for batch in rows:
-            columns = [batch["_us"], batch[self.tie], *[batch[f] for f in self.fields]]
+            columns = [batch["event_us"], batch[self.tie], *[batch[f] for f in self.fields]]
             records = [
                 tuple(None if pd.isna(v) else getattr(v, "item", lambda v=v: v)() for v in r)
                 for r in zip(*columns, strict=True)
@@ -83,8 +83,8 @@ def run_ordered(
 ) -> DataFrame:
     """Apply a processor to a stream, per key, with the given watermark delay."""
     timed = stream.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, delay)
-    timed = timed.withColumn("_us", F.unix_micros(ts)).select(
-        processor.key, ts, "_us", processor.tie, *processor.fields
+    timed = timed.withColumn("event_us", F.unix_micros(ts)).select(
+        processor.key, ts, "event_us", processor.tie, *processor.fields
     )
     return timed.groupBy(processor.key).transformWithStateInPandas(
         processor, outputStructType=output, outputMode="Append", timeMode="EventTime"
