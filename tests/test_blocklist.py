@@ -38,14 +38,14 @@ def test_only_closed_ai_calls_with_a_caller_count(spark):
     assert caller.calls_to_flag(spark.createDataFrame(rows, CALLS)).count() == 1
 
 
-@pytest.mark.parametrize("hot_keys", [1, 512])
-def test_lookup_under_skew(spark, hot_keys):
+@pytest.mark.parametrize("rows,hot_keys", [(1_000_000, 9), (50, 9), (3, 2), (1, 1000)])
+def test_lookup_under_skew(spark, rows, hot_keys):
     rng = random.Random(4)
     calls = [(str(i), rng.choice(["hot", "hot", None, f"h{rng.randrange(200)}"])) for i in range(2000)]
     listed = {"hot"} | {f"h{i}" for i in range(0, 200, 3)}
     right = spark.createDataFrame([(h, True) for h in listed], "caller_hash string, found boolean")
     left = spark.createDataFrame(calls, "call_id string, caller_hash string")
-    got = skew.lookup(left, right, "caller_hash", "call_id", hot_keys).collect()
+    got = skew.lookup(left, right, "caller_hash", "call_id", rows, hot_keys).collect()
     assert len(got) == len(calls)
     assert all(bool(r.found) == (r.caller_hash in listed) for r in got)
 

@@ -70,7 +70,7 @@ def test_frames_get_a_result_per_model(spark):
     got = scoring.score_frames(frames, middle, {"human": mixture, "ai": other}, keys).collect()
     assert {(r.frame_seq, r.model) for r in got} == {(i, m) for i in range(3) for m in ("cnn", "gmm")}
     for r in got:
-        x = dsp.fit_center(np.asarray(rows[r.frame_seq][3]))[None]
+        x = dsp.fit_center(np.asarray(rows[r.frame_seq][3], np.float32))[None]
         if r.model == "cnn":
             assert r.confidence_pct == pytest.approx(100 * middle(dsp.cnn_features(x))[0], abs=1e-3)
         assert r.label == ("HUMAN" if r.confidence_pct < 50 else "SUSPICIOUS" if r.confidence_pct < 70 else "AI")

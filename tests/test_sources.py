@@ -43,6 +43,22 @@ def test_stereo_becomes_its_mean(spark, tmp_path):
     assert np.array(row.samples) * 32768 == pytest.approx([200, 0, 5])
 
 
+def test_wav_files_as_a_stream(spark, tmp_path):
+    for i in range(3):
+        store(tmp_path / "in" / "h" / f"{i}.wav", np.arange(RATE * 2))
+    chunks = read_wav(spark, str(tmp_path / "in" / "h"), chunk_s=1.0, streaming=True)
+    frames = framing.to_frames(chunks, "path", n=RATE)
+    with pytest.raises(Exception, match="append|watermark"):
+        frames.writeStream.format("memory").queryName("spanning").outputMode("append").start()
+    query = (
+        framing.whole_frames(chunks, "path", n=RATE).writeStream.format("memory").queryName("wavs")
+        .option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    )
+    query.awaitTermination(120)
+    got = spark.table("wavs").collect()
+    assert len(got) == 6 and {r.frame_seq for r in got} == {0, 1}
+
+
 def test_frames_of_a_file_and_their_times(spark, tmp_path):
     store(tmp_path / "h" / "a.wav", np.arange(RATE * 5))
     start = F.lit(datetime(2024, 5, 1, 9, 0, 0))

@@ -8,11 +8,13 @@ import pytest
 from test_calls import fold
 from test_decision import replay
 from voxward.operators.decision import align_scores, decision_engine
-from voxward.params import DecisionParams
+from voxward.params import MIC_CONSENT_ROOT, DecisionParams
+from voxward.schemas import TELEMETRY
 from voxward.sources.blocklist import Blocklist
 from voxward.streaming.blocklist import blocklist_stream
 from voxward.streaming.decisions import decision_stream
-from voxward.streaming.monitor import call_monitor_stream
+from voxward.sources.telemetry import read_telemetry
+from voxward.streaming.monitor import call_monitor_stream, poll_status_stream
 
 T0 = datetime(2024, 3, 1)
 LATER = T0 + timedelta(days=2)
@@ -62,6 +64,32 @@ def test_monitor(spark, tmp_path, require_mic):
     assert ends == {c: e for c, (_, e) in sessions.items() if e}
 
 
+def test_monitor_from_raw_telemetry(spark, tmp_path):
+    rng, sessions, mic, rows, running = random.Random(4), [], [], [], []
+    for s in range(60):
+        audio, used = rng.random() < 0.7, rng.random() < 0.4
+        rows.append(("h", s, audio, audio and used))
+        at = T0 + timedelta(seconds=s)
+        sessions.append(("h", at, "render", 0, int(audio), 5, "zoom.exe", ["zoom.exe"]))
+        mic.append(("h", at, MIC_CONSENT_ROOT + "\\App", 2, 1 if used else 3))
+        running.append(("h", at, 1, "explorer.exe", ["explorer.exe"]))
+    _, _, want = fold(rows)
+    for end in (LATER, LATER + timedelta(days=1), LATER + timedelta(days=2)):
+        sessions.append(("z", end, "render", 0, 0, 5, "x", ["x"]))
+        mic.append(("z", end, MIC_CONSENT_ROOT + "\\App", 2, 3))
+        running.append(("z", end, 1, "explorer.exe", ["explorer.exe"]))
+    tables = []
+    for name, data in (("audio_session_poll", sessions), ("process_poll", running), ("mic_usage_poll", mic)):
+        path, schema = str(tmp_path / name), TELEMETRY[name]
+        for part in (data[:30], data[30:60], *([r] for r in data[60:])):
+            spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(path)
+        tables.append(read_telemetry(spark, name, path, streaming=True, files_per_batch=1))
+    events = call_monitor_stream(poll_status_stream(*tables), delay=None)
+    got = run(spark, events, "raw", tmp_path).collect()
+    assert {r.call_id: r.start_ts for r in got if r.edge == "start"} == {c: s for c, (s, _) in want.items()}
+    assert {r.call_id: r.end_ts for r in got if r.edge == "end"} == {c: e for c, (_, e) in want.items() if e}
+
+
 def test_decisions(spark, tmp_path):
     rng, rows = random.Random(9), []
     p = DecisionParams()

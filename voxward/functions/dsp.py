@@ -1,4 +1,8 @@
-"""NumPy kernels used inside Arrow batches. Each works on a stack of signals, one per row."""
+"""NumPy kernels used inside Arrow batches.
+
+Features work on a stack of signals, one per row, in the precision they are
+given; audio comes as float32.
+"""
 
 from __future__ import annotations
 
@@ -56,7 +60,8 @@ def resample(x: np.ndarray, rate: int, target: int = MODEL_RATE) -> np.ndarray:
     up, down = target // g, rate // g
     taps, reach = _phases(up, down)
     ticks = np.arange(-(-len(x) * up // down)) * down
-    padded = np.pad(x.astype(np.float64), (reach, reach + down))
+    taps = taps.astype(x.dtype)
+    padded = np.pad(x, (reach, reach + down))
     if up == 1:  # whole-number decimation, as a sum of short correlations
         sums = [
             np.correlate(padded[q::down], taps[0, q::down], "valid")[: len(ticks)]
@@ -64,7 +69,7 @@ def resample(x: np.ndarray, rate: int, target: int = MODEL_RATE) -> np.ndarray:
         ]
         return np.sum(sums, axis=0)
     spans = np.lib.stride_tricks.sliding_window_view(padded, 2 * reach + 1)
-    out = np.empty(len(ticks))
+    out = np.empty(len(ticks), x.dtype)
     for phase in range(min(up, len(ticks))):
         rows = ticks[phase::up]
         out[phase::up] = spans[rows // up] @ taps[rows[0] % up]
@@ -131,9 +136,9 @@ def mel_power(x: np.ndarray, p: MelParams) -> np.ndarray:
     half = p.n_fft // 2
     padded = np.pad(x, ((0, 0), (half, half)))
     frames = np.lib.stride_tricks.sliding_window_view(padded, p.n_fft, axis=1)[:, :: p.hop]
-    spectrum = np.fft.rfft(frames * _window(p), axis=-1)
+    spectrum = np.fft.rfft(frames * _window(p).astype(x.dtype), axis=-1)
     power = spectrum.real**2 + spectrum.imag**2
-    return np.swapaxes(power @ mel_bank(p).T, 1, 2)
+    return np.swapaxes(power @ mel_bank(p).T.astype(x.dtype), 1, 2)
 
 
 def power_to_db(power: np.ndarray, floor: float = 1e-10, top_db: float = 80.0) -> np.ndarray:
@@ -173,7 +178,7 @@ def cnn_features(audio: np.ndarray) -> np.ndarray:
 def lfcc(audio: np.ndarray) -> np.ndarray:
     """(rows, columns, 20) cepstra of 16 kHz signals cut to the model's length."""
     log_mel = np.log(mel_power(normalize_rms(audio), GMM_MEL) + 1e-9)
-    return np.swapaxes(log_mel, 1, 2) @ dct_rows(GMM_MEL.n_mels, N_LFCC).T
+    return np.swapaxes(log_mel, 1, 2).astype(np.float64) @ dct_rows(GMM_MEL.n_mels, N_LFCC).T
 
 
 def mixture_loglik(

@@ -41,6 +41,15 @@ def gmm_confidence(ll_ai: Column, ll_human: Column) -> Column:
     return F.lit(100.0) / (F.lit(1.0) + F.exp(F.lit(-0.5) * (ll_ai - ll_human)))
 
 
+def label_code(label: Column) -> Column:
+    """A label as a number, which aggregates hold in place where text would need sorting."""
+    return F.array_position(F.array(*map(F.lit, DISPLAY_LABELS)), label).cast("int")
+
+
+def from_code(code: Column) -> Column:
+    return F.get(F.array(*map(F.lit, DISPLAY_LABELS)), code - 1)
+
+
 def _mapped(label: Column, names: dict[str, str]) -> Column:
     out = F
     for key, name in names.items():

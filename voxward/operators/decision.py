@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from voxward.functions.labels import classify
+from voxward.functions.labels import classify, from_code, label_code
 from voxward.operators.timeline import Timeline
 from voxward.params import HUMAN, AI, DecisionParams
 
@@ -172,11 +172,13 @@ def current_state(
     order: tuple[str, ...] = ("update_seq",),
 ) -> DataFrame:
     """Latest average, label and buffer size per call; a call without updates is 0.0 / Human."""
-    fields = ("average_score", "label", "frames_buffered")
+    at = Timeline((key,), order).at
     latest = decisions.groupBy(key).agg(
-        F.max_by(F.struct(*fields), F.struct(*order)).alias("_last")
+        F.max_by("average_score", at).alias("average_score"),
+        F.max_by(label_code(F.col("label")), at).alias("label"),
+        F.max_by("frames_buffered", at).alias("frames_buffered"),
     )
-    latest = latest.select(key, "_last.*")
+    latest = latest.withColumn("label", from_code(F.col("label")))
     if calls is None:
         return latest
     out = calls.select(key).join(latest, key, "left")

@@ -18,17 +18,24 @@ KEYS = ("host_id", "frame_seq", "captured_at")
 def model_audio(samples: pd.Series, rates: pd.Series, fit) -> np.ndarray:
     """Signals at the models' rate and length, stacked."""
     pairs = zip(samples, rates, strict=True)
-    return np.stack([fit(dsp.resample(np.asarray(x, np.float64), r)) for x, r in pairs])
+    return np.stack([fit(dsp.resample(np.asarray(x, np.float32), r)) for x, r in pairs])
 
 
-def _per_batch(frames: DataFrame, keys: tuple[str, ...], fields: list[T.StructField], fn) -> DataFrame:
-    """Run ``fn`` over batches and put its columns beside ``keys``; the audio stays behind."""
+def per_batch(
+    frames: DataFrame, keys: tuple[str, ...], fields: list[T.StructField], fn, keep=None
+) -> DataFrame:
+    """Run ``fn`` over batches and put its columns beside ``keys``; the audio stays behind.
+
+    ``keep`` tells by their samples which frames ``fn`` gets to see.
+    """
     keys = tuple(keys)
     schema = T.StructType([frames.schema[k] for k in keys] + fields)
     names = [f.name for f in fields]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
+            if keep is not None:
+                batch = batch[keep(batch["samples"])]
             if len(batch):
                 made = fn(batch["samples"], batch["sample_rate"])
                 yield batch[list(keys)].assign(**dict(zip(names, made, strict=True)))
@@ -44,14 +51,14 @@ def resample(
     def fn(samples: pd.Series, rates: pd.Series) -> tuple:
         pairs = zip(samples, rates, strict=True)
         return [rate] * len(samples), [
-            dsp.resample(np.asarray(x, np.float64), r, rate).astype(np.float32) for x, r in pairs
+            dsp.resample(np.asarray(x, np.float32), r, rate) for x, r in pairs
         ]
 
     fields = [
         T.StructField("sample_rate", T.IntegerType()),
         T.StructField("samples", T.ArrayType(T.FloatType())),
     ]
-    return _per_batch(frames, keys, fields, fn)
+    return per_batch(frames, keys, fields, fn)
 
 
 def cnn_features(frames: DataFrame, keys: tuple[str, ...] = KEYS) -> DataFrame:
@@ -61,7 +68,7 @@ def cnn_features(frames: DataFrame, keys: tuple[str, ...] = KEYS) -> DataFrame:
         mel = dsp.cnn_features(model_audio(samples, rates, dsp.fit_center))
         return (list(mel.reshape(len(mel), -1)),)
 
-    return _per_batch(frames, keys, [T.StructField("mel", T.ArrayType(T.FloatType()))], fn)
+    return per_batch(frames, keys, [T.StructField("mel", T.ArrayType(T.FloatType()))], fn)
 
 
 def lfcc(frames: DataFrame, keys: tuple[str, ...] = KEYS) -> DataFrame:
@@ -72,4 +79,4 @@ def lfcc(frames: DataFrame, keys: tuple[str, ...] = KEYS) -> DataFrame:
         return ([list(rows) for rows in cepstra],)
 
     kind = T.ArrayType(T.ArrayType(T.DoubleType()))
-    return _per_batch(frames, keys, [T.StructField("lfcc", kind)], fn)
+    return per_batch(frames, keys, [T.StructField("lfcc", kind)], fn)

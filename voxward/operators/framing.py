@@ -32,21 +32,8 @@ def with_positions(chunks: DataFrame, key: str, seq: str, line: Timeline | None
     return chunks.join(out.select(key, seq, "first_sample"), [key, seq])
 
 
-def to_frames(
-    chunks: DataFrame,
-    key: str = "host_id",
-    frame_s: float = FRAME_SECONDS,
-    rate: int = CAPTURE_RATE,
-    n: int | None = None,
-) -> DataFrame:
-    """Frames of ``n`` samples without overlap; an incomplete tail is left out.
-
-    Expects mono chunks with ``first_sample``. Each chunk is sliced where
-    frames begin. Whole frames leave at once, so a reader that cuts chunks at
-    frame borders causes no shuffle of audio; only the pieces of frames that
-    span chunks are brought together, one frame's samples per group.
-    """
-    n = n or frame_length(frame_s, rate)
+def _pieces(chunks: DataFrame, key: str, n: int) -> DataFrame:
+    """Each chunk cut where frames begin."""
     start = F.col("first_sample")
     end = start + F.size("samples")
     first, last = F.floor(start / n), F.floor((end - 1) / n)
@@ -70,9 +57,42 @@ def to_frames(
         F.unix_micros("captured_at")
         + F.floor((F.col("_at") - F.col("_start")) * 1_000_000 / F.col("sample_rate"))
     )
-    pieces = pieces.withColumn("captured_at", stamp).drop("_start")
+    return pieces.withColumn("captured_at", stamp).drop("_start")
+
+
+def whole_frames(
+    chunks: DataFrame,
+    key: str = "host_id",
+    frame_s: float = FRAME_SECONDS,
+    rate: int = CAPTURE_RATE,
+    n: int | None = None,
+) -> DataFrame:
+    """The frames that lie inside one chunk: all of them, where chunks end at frame borders.
+
+    Needs no state, so it works on streams as it is.
+    """
+    n = n or frame_length(frame_s, rate)
+    pieces = _pieces(chunks, key, n)
     columns = [key, "frame_seq", "captured_at", "sample_rate", "samples"]
-    whole = pieces.filter(F.size("samples") == n).select(*columns)
+    return pieces.filter(F.size("samples") == n).select(*columns)
+
+
+def to_frames(
+    chunks: DataFrame,
+    key: str = "host_id",
+    frame_s: float = FRAME_SECONDS,
+    rate: int = CAPTURE_RATE,
+    n: int | None = None,
+) -> DataFrame:
+    """Frames of ``n`` samples without overlap; an incomplete tail is left out.
+
+    Expects mono chunks with ``first_sample``. Whole frames leave at once, so a
+    reader that cuts chunks at frame borders causes no shuffle of audio; only
+    the pieces of frames that span chunks are brought together, one frame's
+    samples per group.
+    """
+    n = n or frame_length(frame_s, rate)
+    whole, pieces = whole_frames(chunks, key, n=n), _pieces(chunks, key, n)
     parts = (
         pieces.filter(F.size("samples") < n)
         .groupBy(key, "frame_seq", "sample_rate")
@@ -83,7 +103,7 @@ def to_frames(
         .withColumn("samples", F.flatten(F.col("_parts.samples")))
         .filter(F.size("samples") == n)
     )
-    return whole.unionByName(parts.select(*columns))
+    return whole.unionByName(parts.select(*whole.columns))
 
 
 def frames_from_samples(

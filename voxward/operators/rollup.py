@@ -5,7 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voxward.functions.labels import ai_text, detail_text, display_label, ended_text, frames_text, severity
+from voxward.functions.labels import (
+    ai_text,
+    detail_text,
+    display_label,
+    ended_text,
+    frames_text,
+    from_code,
+    label_code,
+    severity,
+)
+from voxward.operators.timeline import Timeline
 from voxward.params import AI, AI_TITLE, ENDED_TITLE, FLAGGED_MESSAGE, FLAGGED_TITLE
 
 ALERT_COLUMNS = ("call_id", "ts", "kind", "title", "message")
@@ -26,12 +36,13 @@ def call_rollup(
     ai = F.col("label") == AI
     if require_full:
         ai = ai & F.col("buffer_full")
-    at = F.struct(*order)
-    last = F.struct(
-        display_label(F.col("label")).alias("label"), (F.col("average_score") * 100).alias("pct")
-    )
     updates = decisions.select(
-        key, ai.alias("_ai"), at.alias("_at"), last.alias("_last"), F.lit(0).cast("bigint").alias("_frame")
+        key,
+        ai.alias("_ai"),
+        Timeline((key,), order).at.alias("_at"),
+        label_code(F.col("label")).alias("_label"),
+        (F.col("average_score") * 100).alias("_pct"),
+        F.lit(0).cast("bigint").alias("_frame"),
     )
     if frames is not None:
         kinds = updates.schema
@@ -40,7 +51,8 @@ def call_rollup(
                 key,
                 F.lit(False).alias("_ai"),
                 F.lit(None).cast(kinds["_at"].dataType).alias("_at"),
-                F.lit(None).cast(kinds["_last"].dataType).alias("_last"),
+                F.lit(None).cast("int").alias("_label"),
+                F.lit(None).cast("double").alias("_pct"),
                 F.lit(1).cast("bigint").alias("_frame"),
             )
         )
@@ -49,14 +61,15 @@ def call_rollup(
     out = updates.groupBy(key).agg(
         F.bool_or("_ai").alias("call_was_ai"),
         counted.alias("frames_processed"),
-        F.max_by("_last", "_at").alias("_last"),
+        F.max_by("_label", "_at").alias("_label"),
+        F.max_by("_pct", "_at").alias("last_confidence"),
     )
     return out.select(
         key,
         "call_was_ai",
         "frames_processed",
-        F.col("_last.label").alias("last_label"),
-        F.col("_last.pct").alias("last_confidence"),
+        display_label(from_code(F.col("_label"))).alias("last_label"),
+        "last_confidence",
     )
 
 

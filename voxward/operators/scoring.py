@@ -17,8 +17,8 @@ from pyspark.sql import types as T
 
 from voxward.functions import dsp
 from voxward.functions.labels import gmm_confidence, model_label
-from voxward.operators.features import KEYS, _per_batch, model_audio
-from voxward.params import ModelThresholds
+from voxward.operators.features import KEYS, model_audio, per_batch
+from voxward.params import ModelThresholds, SilenceParams
 from voxward.schemas import GMM_MODEL
 
 Scorer = Callable[[np.ndarray], np.ndarray]
@@ -153,11 +153,13 @@ def score_frames(
     mixtures: dict[str, Mixture] | None = None,
     keys: tuple[str, ...] = KEYS,
     cuts: ModelThresholds = ModelThresholds(),
+    silence: SilenceParams | None = None,
 ) -> DataFrame:
     """Both models' results for audio frames, one row per frame and model.
 
-    Audio crosses to Python once: both feature sets and both scores come from
-    the same batch, and only numbers go back.
+    Audio crosses to Python once: the silence check, both feature sets and both
+    scores come from the same batch, and only numbers go back. With ``silence``
+    frames that are mostly silent get no result and cost no features.
     """
     if cnn is None and mixtures is None:
         raise ValueError("score_frames needs a scorer, a pair of mixtures, or both")
@@ -166,7 +168,7 @@ def score_frames(
         n = len(samples)
         pct = cnn_ms = ll_human = ll_ai = gmm_ms = [None] * n
         at_rate = pd.Series(
-            [dsp.resample(np.asarray(x, np.float64), r) for x, r in zip(samples, rates, strict=True)]
+            [dsp.resample(np.asarray(x, np.float32), r) for x, r in zip(samples, rates, strict=True)]
         )
         same = pd.Series([dsp.MODEL_RATE] * n)
         if cnn is not None:
@@ -182,8 +184,12 @@ def score_frames(
             gmm_ms = [(perf_counter() - start) * 1000 / n] * n
         return pct, cnn_ms, ll_human, ll_ai, gmm_ms
 
+    def heard(samples: pd.Series) -> list[bool]:
+        return [dsp.silence_ratio(x, silence) <= silence.max_ratio for x in samples]
+
     names = ("_cnn", "_cnn_ms", "_ll_human", "_ll_ai", "_gmm_ms")
-    scored = _per_batch(frames, keys, [T.StructField(c, T.DoubleType()) for c in names], fn)
+    fields = [T.StructField(c, T.DoubleType()) for c in names]
+    scored = per_batch(frames, keys, fields, fn, heard if silence else None)
     gmm = gmm_confidence(F.col("_ll_ai"), F.col("_ll_human"))
     per_model = [
         F.struct(F.lit(name).alias("model"), pct.alias("confidence_pct"), F.col(ms).alias("inference_ms"))

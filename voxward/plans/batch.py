@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voxward.operators import caller, calls, decision, detection, quality, rollup, scoring
+from voxward.operators import caller, calls, decision, detection, rollup, scoring
 from voxward.operators.timeline import Timeline
 from voxward.params import APP_PROFILE, MIC_CONSENT_ROOT, TICK_MS, DecisionParams, SilenceParams
 from voxward.sources.alerts import write_alerts
@@ -30,6 +30,17 @@ class BatchInputs:
     mixtures: dict[str, scoring.Mixture] | None = None
 
 
+def batch_predict(
+    frames: DataFrame,
+    scorer: scoring.Scorer | None,
+    mixtures: dict[str, scoring.Mixture] | None,
+    keys: tuple[str, ...] = FRAME,
+    silence: SilenceParams = SilenceParams(),
+) -> DataFrame:
+    """Results of both models for stored frames; silent ones are passed over before scoring."""
+    return scoring.score_frames(frames, scorer, mixtures, keys, silence=silence)
+
+
 def run_batch(
     inputs: BatchInputs,
     out: str,
@@ -59,8 +70,7 @@ def run_batch(
     latched = calls.latch(status, require_mic=True, line=polls)
     sessions = store(calls.call_sessions(calls.call_edges(latched), polls), "call_session")
 
-    heard = quality.drop_silent(inputs.frames, silence, audio=True)
-    results = scoring.score_frames(heard, inputs.scorer, inputs.mixtures, FRAME)
+    results = batch_predict(inputs.frames, inputs.scorer, inputs.mixtures, FRAME, silence)
     results = store(results.withColumn("result_ts", F.col("captured_at")), "frame_result")
 
     frame_keys = inputs.frames.select(*FRAME)

@@ -21,6 +21,7 @@ from voxward.operators import (
 from voxward.operators.timeline import Timeline
 from voxward.params import APP_PROFILE
 from voxward.plans import adapters as A
+from voxward.plans import batch
 from voxward.session import materialize
 
 ORDER = ("ts", "event_id")
@@ -316,9 +317,7 @@ def batch_predict(spark: SparkSession, sf: str) -> DataFrame:
         scoring.fit_gmm_pair(cepstra, "lfcc", F.col("label") < 5, max_iter=5)
     )
     middle = scoring.LogisticScorer(np.full(60 * 79, 1 / (60 * 79)), -0.5)
-    scored = scoring.score_frames(
-        quality.drop_silent(tones, audio=True), middle, mixtures, ("vec_id",)
-    )
+    scored = batch.batch_predict(tones, middle, mixtures, ("vec_id",))
     return scored.select("vec_id", "model", r("confidence_pct", 4).alias("confidence_pct"), "label")
 
 

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from voxward.operators.detection import poll_status
+from voxward.params import MIC_CONSENT_ROOT, VOIP_KEYWORDS
 from voxward.streaming.ordered import OrderedProcessor, run_ordered
 
 
@@ -42,10 +46,27 @@ class CallMonitor(OrderedProcessor):
         return (active, ordinal, start), made
 
 
+def poll_status_stream(
+    sessions: DataFrame,
+    processes: DataFrame,
+    mic: DataFrame,
+    delay: str = "1 minute",
+    keywords: Iterable[str] = VOIP_KEYWORDS,
+    root: str | None = MIC_CONSENT_ROOT,
+) -> DataFrame:
+    """Poll status from the three telemetry streams; a poll comes out once the watermark has passed it.
+
+    The watermark is the slowest table's, so each has to get rows from time to
+    time. Give the result to ``call_monitor_stream`` with ``delay=None``.
+    """
+    timed = [df.withWatermark("poll_ts", delay) for df in (sessions, processes, mic)]
+    return poll_status(*timed, keywords, root)
+
+
 def call_monitor_stream(
     status: DataFrame,
     require_mic: bool = True,
-    delay: str = "1 minute",
+    delay: str | None = "1 minute",
     tie: str | None = None,
 ) -> DataFrame:
     """Start and end events of calls; an end carries both times.

@@ -79,10 +79,12 @@ class OrderedProcessor(StatefulProcessor):
 
 
 def run_ordered(
-    stream: DataFrame, processor: OrderedProcessor, ts: str, delay: str, output: str
+    stream: DataFrame, processor: OrderedProcessor, ts: str, delay: str | None, output: str
 ) -> DataFrame:
-    """Apply a processor to a stream, per key, with the given watermark delay."""
-    timed = stream.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, delay)
+    """Apply a processor to a stream, per key. ``delay`` sets the watermark; None keeps the stream's own."""
+    timed = stream
+    if delay is not None:
+        timed = stream.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, delay)
     timed = timed.withColumn("event_us", F.unix_micros(ts)).select(
         processor.key, ts, "event_us", processor.tie, *processor.fields
     )
