@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from voxward.operators.timeline import Timeline
+from voxward.session import materialize
 
 HOST_POLLS = Timeline(("host_id",), ("poll_ts",))
 
@@ -67,6 +68,9 @@ def call_sessions(edges: DataFrame, line: Timeline = HOST_POLLS) -> DataFrame:
     """
     host, ts = line.keys[0], line.order[0]
     rows = edges.filter(F.col("edge").isNotNull()).select(*line.group, *line.order, "edge")
+    if line.width:
+        # Numbering chunks reads the edges twice; the latch before them runs once.
+        rows = materialize(rows, "call-edges")
     rows = line.running_count(rows, "call_ordinal", F.col("edge") == "start")
     calls = rows.groupBy(host, "call_ordinal").agg(
         F.min(F.when(F.col("edge") == "start", F.col(ts))).alias("start_ts"),
