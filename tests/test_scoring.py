@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from voxward.functions import dsp, labels
 from voxward.operators import scoring
+from voxward.params import SilenceParams
 from voxward.schemas import GMM_MODEL
 
 RNG = np.random.default_rng(3)
@@ -74,6 +75,11 @@ def test_frames_get_a_result_per_model(spark):
         if r.model == "cnn":
             assert r.confidence_pct == pytest.approx(100 * middle(dsp.cnn_features(x))[0], abs=1e-3)
         assert r.label == ("HUMAN" if r.confidence_pct < 50 else "SUSPICIOUS" if r.confidence_pct < 70 else "AI")
+    quiet = spark.createDataFrame([("h", 9, 16_000, [0.0] * 48_000)], frames.schema)
+    measured = scoring.measure_frames(frames.union(quiet), middle, None, keys, SilenceParams(sample_rate=16_000))
+    seen = {r.frame_seq: (r.is_silent, r.cnn_pct is None) for r in measured.collect()}
+    assert seen == {0: (False, False), 1: (False, False), 2: (False, False), 9: (True, True)}
+    assert scoring.model_results(measured, keys, ("cnn",)).count() == 3
     only = scoring.score_frames(frames, middle, None, keys)
     assert {r.model for r in only.collect()} == {"cnn"}
     with pytest.raises(ValueError):

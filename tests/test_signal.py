@@ -97,6 +97,40 @@ def test_mel_against_a_plain_transform():
     assert dsp.mel_power(x[None], p)[0] == pytest.approx(np.array(want).T)
 
 
+def plain_mel(x, p):
+    """Mel spectrogram by transform matrix, column by column."""
+    hann = np.zeros(p.n_fft)
+    start = (p.n_fft - p.win) // 2
+    hann[start : start + p.win] = 0.5 - 0.5 * np.cos(2 * np.pi * np.arange(p.win) / p.win)
+    k, n = np.arange(p.n_fft // 2 + 1)[:, None], np.arange(p.n_fft)[None, :]
+    basis = np.exp(-2j * np.pi * (k * n % p.n_fft) / p.n_fft) * hann
+    padded = np.pad(x, p.n_fft // 2)
+    columns = [padded[s : s + p.n_fft] for s in range(0, len(padded) - p.n_fft + 1, p.hop)]
+    return dsp.mel_bank(p) @ np.abs(basis @ np.array(columns).T) ** 2
+
+
+def test_full_features_against_a_plain_transform(spark):
+    t = np.arange(40_000) / 16_000
+    x = 0.2 * np.sin(2 * np.pi * 700 * t) + RNG.normal(0.01, 0.05, 40_000)
+    df = spark.createDataFrame([("h", 0, 16_000, [float(v) for v in x])], "host_id string, frame_seq int, sample_rate int, samples array<float>")
+    keys = ("host_id", "frame_seq")
+
+    clean = np.clip((x - x.mean()) * 0.1 / np.sqrt(np.mean((x - x.mean()) ** 2)), -1, 1)
+    power = plain_mel(clean, CNN_MEL)
+    db = 10 * np.log10(np.maximum(power, 1e-10) / power.max())
+    db = np.maximum(db, -80)[:, 86:165]
+    want = (db - db.min()) / (db.max() - db.min())
+    got = np.array(features.cnn_features(df, keys).first().mel).reshape(60, 79)
+    assert got == pytest.approx(want, abs=2e-4)
+
+    log_mel = np.log(plain_mel(x * 0.1 / np.sqrt(np.mean(x**2)), GMM_MEL) + 1e-9)
+    k, i = np.arange(20)[:, None], np.arange(128)[None, :]
+    dct = np.sqrt(2 / 128) * np.cos(np.pi * k * (2 * i + 1) / 256)
+    dct[0] /= np.sqrt(2)
+    got = np.array(features.lfcc(df, keys).first().lfcc)
+    assert got == pytest.approx((dct @ log_mel).T, abs=2e-3)
+
+
 def test_mel_filters_have_equal_area():
     for p in (CNN_MEL, GMM_MEL):
         areas = dsp.mel_bank(p).sum(axis=1) * p.sample_rate / p.n_fft

@@ -26,7 +26,7 @@ from voxward.operators.detection import (
     voip_mic_pids,
     voip_output_pids,
 )
-from voxward.operators.features import cnn_features, lfcc, resample
+from voxward.operators.features import cepstra, cnn_features, lfcc, mel_spectrogram, resample
 from voxward.operators.framing import latest_n, to_frames, whole_frames
 from voxward.operators.quality import drop_silent, frame_quality
 from voxward.operators.rollup import (
@@ -46,6 +46,8 @@ from voxward.operators.scoring import (
     gmm_loglik,
     latency_stats,
     load_mixtures,
+    measure_frames,
+    model_results,
     score_features,
     score_frames,
 )

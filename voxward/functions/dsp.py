@@ -175,10 +175,15 @@ def cnn_features(audio: np.ndarray) -> np.ndarray:
     return minmax01(fit_columns(mel)).astype(np.float32)
 
 
+def cepstra(mel: np.ndarray, keep: int) -> np.ndarray:
+    """First coefficients of the log spectrum, (rows, columns, keep)."""
+    log_mel = np.swapaxes(np.log(mel + 1e-9), 1, 2).astype(np.float64)
+    return log_mel @ dct_rows(mel.shape[1], keep).T
+
+
 def lfcc(audio: np.ndarray) -> np.ndarray:
     """(rows, columns, 20) cepstra of 16 kHz signals cut to the model's length."""
-    log_mel = np.log(mel_power(normalize_rms(audio), GMM_MEL) + 1e-9)
-    return np.swapaxes(log_mel, 1, 2).astype(np.float64) @ dct_rows(GMM_MEL.n_mels, N_LFCC).T
+    return cepstra(mel_power(normalize_rms(audio), GMM_MEL), N_LFCC)
 
 
 def mixture_loglik(

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from voxward.functions import dsp
-from voxward.params import MODEL_RATE
+from voxward.params import MODEL_RATE, MelParams
 
 KEYS = ("host_id", "frame_seq", "captured_at")
 
@@ -21,21 +21,14 @@ def model_audio(samples: pd.Series, rates: pd.Series, fit) -> np.ndarray:
     return np.stack([fit(dsp.resample(np.asarray(x, np.float32), r)) for x, r in pairs])
 
 
-def per_batch(
-    frames: DataFrame, keys: tuple[str, ...], fields: list[T.StructField], fn, keep=None
-) -> DataFrame:
-    """Run ``fn`` over batches and put its columns beside ``keys``; the audio stays behind.
-
-    ``keep`` tells by their samples which frames ``fn`` gets to see.
-    """
+def per_batch(frames: DataFrame, keys: tuple[str, ...], fields: list[T.StructField], fn) -> DataFrame:
+    """Run ``fn`` over batches and put its columns beside ``keys``; the audio stays behind."""
     keys = tuple(keys)
     schema = T.StructType([frames.schema[k] for k in keys] + fields)
     names = [f.name for f in fields]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            if keep is not None:
-                batch = batch[keep(batch["samples"])]
             if len(batch):
                 made = fn(batch["samples"], batch["sample_rate"])
                 yield batch[list(keys)].assign(**dict(zip(names, made, strict=True)))
@@ -46,21 +39,50 @@ def per_batch(
 def resample(
     frames: DataFrame, rate: int = MODEL_RATE, keys: tuple[str, ...] = KEYS
 ) -> DataFrame:
-    """Frames at another sample rate."""
+    """Frames at another sample rate, in the precision of their samples."""
+    kind = frames.schema["samples"].dataType
+    exact = np.float64 if kind.elementType == T.DoubleType() else np.float32
 
     def fn(samples: pd.Series, rates: pd.Series) -> tuple:
         pairs = zip(samples, rates, strict=True)
         return [rate] * len(samples), [
-            dsp.resample(np.asarray(x, np.float32), r, rate) for x, r in pairs
+            dsp.resample(np.asarray(x, exact), r, rate) for x, r in pairs
         ]
 
     fields = [
         T.StructField("sample_rate", T.IntegerType()),
-        T.StructField("samples", T.ArrayType(T.FloatType())),
+        T.StructField("samples", kind),
     ]
     return per_batch(frames, keys, fields, fn)
 
 
+def mel_spectrogram(
+    frames: DataFrame, params: MelParams, keys: tuple[str, ...] = KEYS, db: bool = False
+) -> DataFrame:
+    """Mel spectrogram per frame, band by band: power, or with ``db`` decibels below its maximum."""
+
+    def fn(samples: pd.Series, rates: pd.Series) -> tuple:
+        mels = [dsp.mel_power(np.asarray(x, np.float64)[None], params) for x in samples]
+        mels = [dsp.power_to_db(m) for m in mels] if db else mels
+        return ([list(m[0]) for m in mels],)
+
+    kind = T.ArrayType(T.ArrayType(T.DoubleType()))
+    return per_batch(frames, keys, [T.StructField("mel", kind)], fn)
+
+
+def cepstra(
+    frames: DataFrame, params: MelParams, keep: int, keys: tuple[str, ...] = KEYS
+) -> DataFrame:
+    """Cepstral coefficients per frame and column, for any spectrogram shape."""
+
+    def fn(samples: pd.Series, rates: pd.Series) -> tuple:
+        mels = [dsp.mel_power(np.asarray(x, np.float64)[None], params) for x in samples]
+        return ([list(dsp.cepstra(m, keep)[0]) for m in mels],)
+
+    kind = T.ArrayType(T.ArrayType(T.DoubleType()))
+    return per_batch(frames, keys, [T.StructField("cepstra", kind)], fn)
+
+
 def cnn_features(frames: DataFrame, keys: tuple[str, ...] = KEYS) -> DataFrame:
     """60 × 79 spectrogram in [0, 1] per frame, row by row in one array."""
 

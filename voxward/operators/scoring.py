@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 
 from voxward.functions import dsp
 from voxward.functions.labels import gmm_confidence, model_label
-from voxward.operators.features import KEYS, model_audio, per_batch
+from voxward.operators.features import KEYS, per_batch
 from voxward.params import ModelThresholds, SilenceParams
 from voxward.schemas import GMM_MODEL
 
@@ -147,62 +147,97 @@ def score_features(
     return scored.withColumn("label", model_label(F.col("confidence_pct")))
 
 
-def score_frames(
+def measure_frames(
     frames: DataFrame,
     cnn: Scorer | None = None,
     mixtures: dict[str, Mixture] | None = None,
     keys: tuple[str, ...] = KEYS,
-    cuts: ModelThresholds = ModelThresholds(),
     silence: SilenceParams | None = None,
 ) -> DataFrame:
-    """Both models' results for audio frames, one row per frame and model.
+    """All numbers the later steps need from a frame's audio, one row per frame.
 
-    Audio crosses to Python once: the silence check, both feature sets and both
+    Audio crosses to Python once: silence check, both feature sets and both
     scores come from the same batch, and only numbers go back. With ``silence``
-    frames that are mostly silent get no result and cost no features.
+    frames that are mostly silent are marked, and no features are made of them.
     """
     if cnn is None and mixtures is None:
-        raise ValueError("score_frames needs a scorer, a pair of mixtures, or both")
+        raise ValueError("scoring needs a scorer, a pair of mixtures, or both")
+    names = ("silence_ratio", "max_amplitude", "cnn_pct", "cnn_ms", "ll_human", "ll_ai", "gmm_ms")
 
-    def fn(samples: pd.Series, rates: pd.Series) -> tuple:
-        n = len(samples)
-        pct = cnn_ms = ll_human = ll_ai = gmm_ms = [None] * n
-        at_rate = pd.Series(
-            [dsp.resample(np.asarray(x, np.float32), r) for x, r in zip(samples, rates, strict=True)]
-        )
-        same = pd.Series([dsp.MODEL_RATE] * n)
+    def score(samples: pd.Series, rates: pd.Series) -> dict[str, object]:
+        low = [dsp.resample(np.asarray(x, np.float32), r) for x, r in zip(samples, rates, strict=True)]
+        out = {}
         if cnn is not None:
-            mel = dsp.cnn_features(model_audio(at_rate, same, dsp.fit_center))
+            mel = dsp.cnn_features(np.stack([dsp.fit_center(x) for x in low]))
             start = perf_counter()
-            pct = np.asarray(cnn(mel), np.float64) * 100
-            cnn_ms = [(perf_counter() - start) * 1000 / n] * n
+            out["cnn_pct"] = np.asarray(cnn(mel), np.float64) * 100
+            out["cnn_ms"] = (perf_counter() - start) * 1000 / len(low)
         if mixtures is not None:
-            cepstra = dsp.lfcc(model_audio(at_rate, same, dsp.fit_head))
+            cepstra = dsp.lfcc(np.stack([dsp.fit_head(x) for x in low]))
             start = perf_counter()
-            ll_human = [mixtures["human"].mean_loglik(x) for x in cepstra]
-            ll_ai = [mixtures["ai"].mean_loglik(x) for x in cepstra]
-            gmm_ms = [(perf_counter() - start) * 1000 / n] * n
-        return pct, cnn_ms, ll_human, ll_ai, gmm_ms
-
-    def heard(samples: pd.Series) -> list[bool]:
-        return [dsp.silence_ratio(x, silence) <= silence.max_ratio for x in samples]
-
-    names = ("_cnn", "_cnn_ms", "_ll_human", "_ll_ai", "_gmm_ms")
-    fields = [T.StructField(c, T.DoubleType()) for c in names]
-    scored = per_batch(frames, keys, fields, fn, heard if silence else None)
-    gmm = gmm_confidence(F.col("_ll_ai"), F.col("_ll_human"))
+            for name in ("human", "ai"):
+                out[f"ll_{name}"] = [mixtures[name].mean_loglik(x) for x in cepstra]
+            out["gmm_ms"] = (perf_counter() - start) * 1000 / len(low)
+        return out
+
+    def fn(samples: pd.Series, rates: pd.Series) -> tuple:
+        out = pd.DataFrame(index=samples.index, columns=list(names), dtype=np.float64)
+        out["max_amplitude"] = [np.abs(x).max() if len(x) else None for x in samples]
+        heard = np.ones(len(samples), bool)
+        if silence is not None:
+            out["silence_ratio"] = [dsp.silence_ratio(x, silence) for x in samples]
+            heard = (out["silence_ratio"] <= silence.max_ratio).to_numpy()
+        if heard.any():
+            for name, values in score(samples[heard], rates[heard]).items():
+                out.loc[heard, name] = values
+        return tuple(out[name] for name in names)
+
+    measured = per_batch(frames, keys, [T.StructField(c, T.DoubleType()) for c in names], fn)
+    silent = F.lit(False)
+    if silence is not None:
+        silent = F.col("silence_ratio") > silence.max_ratio
+    return measured.withColumn("is_silent", silent)
+
+
+def model_results(
+    measured: DataFrame,
+    keys: tuple[str, ...] = KEYS,
+    models: tuple[str, ...] = ("cnn", "gmm"),
+    cuts: ModelThresholds = ModelThresholds(),
+) -> DataFrame:
+    """Measured frames as one result row per frame and model; silent frames have none."""
+    pct = {"cnn": F.col("cnn_pct"), "gmm": gmm_confidence(F.col("ll_ai"), F.col("ll_human"))}
     per_model = [
-        F.struct(F.lit(name).alias("model"), pct.alias("confidence_pct"), F.col(ms).alias("inference_ms"))
-        for name, pct, ms, used in (
-            ("cnn", F.col("_cnn"), "_cnn_ms", cnn is not None),
-            ("gmm", gmm, "_gmm_ms", mixtures is not None),
+        F.struct(
+            F.lit(m).alias("model"),
+            # A heard frame without a number is one whose model gave NaN.
+            F.coalesce(pct[m], F.lit(float("nan"))).alias("confidence_pct"),
+            F.col(f"{m}_ms").alias("inference_ms"),
         )
-        if used
+        for m in models
     ]
-    rows = scored.select(*keys, F.inline(F.array(*per_model)))
+    rows = measured.filter(~F.col("is_silent")).select(*keys, F.inline(F.array(*per_model)))
     return rows.withColumn("label", model_label(F.col("confidence_pct"), cuts))
 
 
+def models_of(cnn: Scorer | None, mixtures: dict[str, Mixture] | None) -> tuple[str, ...]:
+    """Names of the models that are there."""
+    return tuple(m for m, used in (("cnn", cnn), ("gmm", mixtures)) if used is not None)
+
+
+def score_frames(
+    frames: DataFrame,
+    cnn: Scorer | None = None,
+    mixtures: dict[str, Mixture] | None = None,
+    keys: tuple[str, ...] = KEYS,
+    cuts: ModelThresholds = ModelThresholds(),
+    silence: SilenceParams | None = None,
+) -> DataFrame:
+    """Both models' results for audio frames, one row per frame and model."""
+    measured = measure_frames(frames, cnn, mixtures, keys, silence)
+    return model_results(measured, keys, models_of(cnn, mixtures), cuts)
+
+
 def latency_stats(
     results: DataFrame,
     key: str = "model",

@@ -8,12 +8,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxward.params import SilenceParams
+from voxward.params import MelParams, SilenceParams
 
 # Words that stand for call programs in the part table.
 PART_KEYWORDS = ("ring", "gear", "economy")
 # Eight samples per chunk on vectors of 64.
 VECTOR_SILENCE = SilenceParams(sample_rate=8, chunk_ms=1000, threshold_db=-18.0)
+# A spectrogram of five columns and eight bands on vectors of 64.
+VECTOR_MEL = MelParams(n_fft=64, hop=16, win=48, n_mels=8, fmin=100.0, fmax=7000.0)
 CANDIDATE = r"[+0-9A-Za-z][0-9 ().-]{2,}[0-9]"
 VECTOR_REPEATS = 2250  # 64 × 2250 = 144,000 samples: three seconds at 48 kHz
 
@@ -168,6 +170,11 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def rated_vectors(spark: SparkSession, sf_dir: str, rate: int) -> DataFrame:
+    """Embeddings as short frames at a sample rate."""
+    return vectors(spark, sf_dir).withColumn("sample_rate", F.lit(rate))
+
+
 def tones(spark: SparkSession, sf_dir: str, repeats: int = VECTOR_REPEATS, rate: int = 48_000) -> DataFrame:
     """Embeddings as audio frames: the vector is one period of a sound, repeated.
 

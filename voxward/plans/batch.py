@@ -54,8 +54,8 @@ def run_batch(
     """Telemetry and audio to calls, decisions, alerts and strikes, as tables below ``out``.
 
     Each stage writes its table and the next reads it, so lost executors cost
-    no more than the stage at hand. Audio is read once, by the scoring stage,
-    and is in no shuffle; frames are given to calls by their results. The
+    no more than the stage at hand. Audio is read once, by the measuring stage,
+    and is in no shuffle; frames are given to calls by what was measured. The
     same ``job`` and ``run`` again give the same tables and no second strike.
     """
     spark = inputs.sessions.sparkSession
@@ -70,10 +70,13 @@ def run_batch(
     latched = calls.latch(status, require_mic=True, line=polls)
     sessions = store(calls.call_sessions(calls.call_edges(latched), polls), "call_session")
 
-    results = batch_predict(inputs.frames, inputs.scorer, inputs.mixtures, FRAME, silence)
-    results = store(results.withColumn("result_ts", F.col("captured_at")), "frame_result")
+    measured = scoring.measure_frames(inputs.frames, inputs.scorer, inputs.mixtures, FRAME, silence)
+    measured = store(measured, "frame_measure")
+    models = scoring.models_of(inputs.scorer, inputs.mixtures)
+    results = scoring.model_results(measured, FRAME, models)
+    results = results.withColumn("result_ts", F.col("captured_at"))
 
-    frame_keys = inputs.frames.select(*FRAME)
+    frame_keys = measured.select(*FRAME)
     width = Timeline.fit(frame_keys, ("host_id",), ("captured_at",)).width
     in_calls = calls.assign_calls(frame_keys, sessions, width=width)
     scored = calls.assign_calls(results, sessions, tie=("model",), width=width)

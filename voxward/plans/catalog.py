@@ -235,6 +235,43 @@ def audio_silence(spark: SparkSession, sf: str) -> DataFrame:
     return checked.select("vec_id", r("silence_ratio").alias("silence_ratio"), "is_silent")
 
 
+def _cells(df: DataFrame, name: str, outer: str, inner: str) -> DataFrame:
+    """One row per cell of an array of arrays."""
+    rows = df.select("vec_id", F.posexplode(name).alias(outer, "_row"))
+    return rows.select("vec_id", outer, F.posexplode("_row").alias(inner, "value"))
+
+
+def mel_power(spark: SparkSession, sf: str) -> DataFrame:
+    mel = features.mel_spectrogram(A.rated_vectors(spark, sf, 16_000), A.VECTOR_MEL, ("vec_id",))
+    cells = _cells(mel, "mel", "band", "col")
+    return cells.select("vec_id", "band", "col", r(F.col("value") * 1000).alias("power"))
+
+
+def mel_decibels(spark: SparkSession, sf: str) -> DataFrame:
+    """Decibels below the maximum and the same rescaled to [0, 1]."""
+    mel = features.mel_spectrogram(A.rated_vectors(spark, sf, 16_000), A.VECTOR_MEL, ("vec_id",), db=True)
+    flat = mel.select("vec_id", "mel", signal.minmax01(F.flatten("mel")).alias("_unit"))
+    cells = flat.select("vec_id", "_unit", F.posexplode("mel").alias("band", "_row"))
+    cells = cells.select("vec_id", "_unit", "band", F.posexplode("_row").alias("col", "db"))
+    unit = F.get("_unit", F.col("band") * 5 + F.col("col"))
+    return cells.select("vec_id", "band", "col", r("db", 6).alias("db"), r(unit, 6).alias("unit"))
+
+
+def cepstra(spark: SparkSession, sf: str) -> DataFrame:
+    made = features.cepstra(A.rated_vectors(spark, sf, 16_000), A.VECTOR_MEL, 4, ("vec_id",))
+    cells = _cells(made, "cepstra", "col", "k")
+    return cells.select("vec_id", "col", "k", r("value", 6).alias("value"))
+
+
+def resample(spark: SparkSession, sf: str) -> DataFrame:
+    """Vectors taken as 48 kHz samples, at a third of that rate."""
+    exact = F.col("samples").cast("array<double>")
+    vectors = A.rated_vectors(spark, sf, 48_000).withColumn("samples", exact)
+    low = features.resample(vectors, 16_000, ("vec_id",))
+    cells = low.select("vec_id", F.posexplode("samples").alias("i", "value"))
+    return cells.select("vec_id", "i", r("value").alias("value"))
+
+
 def resample_tones(spark: SparkSession, sf: str) -> DataFrame:
     low = features.resample(A.tones(spark, sf), 16_000, ("vec_id", "label"))
     power = F.aggregate("samples", F.lit(0.0), lambda a, v: a + v.cast("double") * v)
@@ -501,6 +538,10 @@ QUERIES = {
         downmix,
         pcm16,
         audio_silence,
+        resample,
+        mel_power,
+        mel_decibels,
+        cepstra,
         resample_tones,
         mel_frames,
         lfcc_frames,

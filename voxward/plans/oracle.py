@@ -209,15 +209,16 @@ updates AS (
 )"""
 
 
+# Signed results get "+ 0.0", as rounding can leave a negative zero in SQL.
 def _list_sum(x: str) -> str:
     return f"list_sum(list_transform({x}, lambda v: CAST(v AS DOUBLE)))"
 
 
 def _shape(x: str, name: str) -> str:
     return (
-        f"CAST(len({x}) AS BIGINT) AS {name}_n, round({_list_sum(x)}, 6) AS {name}_sum,"
-        f" round(CAST({x}[1] AS DOUBLE), 6) AS {name}_first,"
-        f" round(CAST({x}[len({x})] AS DOUBLE), 6) AS {name}_last"
+        f"CAST(len({x}) AS BIGINT) AS {name}_n, round({_list_sum(x)}, 6) + 0.0 AS {name}_sum,"
+        f" round(CAST({x}[1] AS DOUBLE), 6) + 0.0 AS {name}_first,"
+        f" round(CAST({x}[len({x})] AS DOUBLE), 6) + 0.0 AS {name}_last"
     )
 
 
@@ -264,7 +265,7 @@ vectors AS (SELECT vec_id, list_transform(y, lambda v: CAST(v AS DOUBLE)) AS x F
 logs AS (SELECT vec_id, {sql(HUMAN_MIX)} AS h, {sql(AI_MIX)} AS a FROM vectors),
 means AS (SELECT vec_id, avg(h) AS h, avg(a) AS a FROM logs GROUP BY 1),
 scored AS (SELECT *, 100 / (1 + exp(-0.5 * (a - h))) AS pct FROM means)
-SELECT vec_id, round(h, 6) AS ll_human, round(a, 6) AS ll_ai, round(pct, 6) AS confidence_pct,
+SELECT vec_id, round(h, 6) + 0.0 AS ll_human, round(a, 6) + 0.0 AS ll_ai, round(pct, 6) AS confidence_pct,
        CASE WHEN pct < 50 THEN 'HUMAN' WHEN pct < 70 THEN 'SUSPICIOUS' ELSE 'AI' END AS label
 FROM scored"""
 
@@ -283,6 +284,61 @@ o AS (SELECT vec_id, list_transform(x, lambda v: v * (0.1::DOUBLE / rms)) AS rms
 SELECT vec_id, {_shape('rms', 'rms')}, {_shape('dc', 'dc')}, {_shape('unit', 'unit')} FROM o"""
 
 
+_BANK = """
+-- Spectrogram of 64-sample vectors: transform 64, hop 16, window 48, 8 bands from 100 to 7000 Hz.
+points AS (
+  SELECT i, 100 * 3 / 200.0::DOUBLE + i * (15 + ln(7.0::DOUBLE) * 27 / ln(6.4::DOUBLE) - 100 * 3 / 200.0::DOUBLE) / 9 AS mel
+  FROM (SELECT unnest(range(0, 10)) AS i)
+),
+edges AS (
+  SELECT i, CASE WHEN mel < 15 THEN mel * 200 / 3 ELSE 1000 * exp((mel - 15) * ln(6.4::DOUBLE) / 27) END AS hz FROM points
+),
+bank AS (
+  SELECT CAST(a.i AS INTEGER) AS band, k,
+         greatest(0.0::DOUBLE, least((k * 250.0::DOUBLE - a.hz) / (b.hz - a.hz), (c.hz - k * 250.0::DOUBLE) / (c.hz - b.hz)))
+           * 2 / (c.hz - a.hz) AS weight
+  FROM edges a JOIN edges b ON b.i = a.i + 1 JOIN edges c ON c.i = a.i + 2,
+       (SELECT unnest(range(0, 33)) AS k)
+),
+samples AS (
+  SELECT vec_id, t, CAST(embedding[t + 1] AS DOUBLE) AS v
+  FROM (SELECT vec_id, embedding, unnest(range(0, 64)) AS t FROM embeddings)
+),
+framed AS (
+  -- Column c sees the samples from 16 c - 32; the window fills the middle 48 of 64.
+  SELECT vec_id, CAST(c AS INTEGER) AS col, t - 16 * c + 32 AS n,
+         v * (0.5 - 0.5 * cos(2 * pi() * (t - 16 * c + 32 - 8) / 48)) AS v
+  FROM samples, (SELECT unnest(range(0, 5)) AS c)
+  WHERE t - 16 * c + 32 BETWEEN 8 AND 55
+),
+turns AS (
+  SELECT k, n, cos(2 * pi() * k * n / 64) AS re, sin(2 * pi() * k * n / 64) AS im
+  FROM (SELECT unnest(range(0, 33)) AS k), (SELECT unnest(range(0, 64)) AS n)
+),
+bins AS (
+  SELECT vec_id, col, k, power(sum(v * re), 2) + power(sum(v * im), 2) AS p
+  FROM framed JOIN turns USING (n) GROUP BY 1, 2, 3
+),
+mels AS (
+  SELECT vec_id, band, col, sum(p * weight) AS power FROM bins JOIN bank USING (k) WHERE weight > 0 GROUP BY 1, 2, 3
+)"""
+
+_RESAMPLE = """
+-- One third of the rate: sinc below 0.95 of the new band, 102 taps to each side, Kaiser window with 12.
+raw AS (
+  SELECT j, (0.95::DOUBLE / 3) * CASE WHEN j = 0 THEN 1 ELSE sin(pi() * j * 0.95 / 3) / (pi() * j * 0.95 / 3) END
+            * list_sum(list_transform(range(0, 60), lambda k:
+                CASE WHEN k = 0 THEN 1.0::DOUBLE
+                     ELSE exp(k * ln(36.0::DOUBLE * (1 - power(j / 103.0::DOUBLE, 2))) - 2 * lgamma(k + 1)) END)) AS tap
+  FROM (SELECT unnest(range(-102, 103)) AS j)
+),
+taps AS (SELECT j, tap / sum(tap) OVER () AS tap FROM raw),
+samples AS (
+  SELECT vec_id, t, CAST(embedding[t + 1] AS DOUBLE) AS v
+  FROM (SELECT vec_id, embedding, unnest(range(0, 64)) AS t FROM embeddings)
+)"""
+
+
 def oracle_sql() -> dict[str, str]:
     zero = "0.0::FLOAT"
     head = "embedding[1:41]"
@@ -369,6 +425,28 @@ FROM numbered GROUP BY 1, 2 HAVING count(*) = 8""",
         "downmix": f"SELECT vec_id, {_shape('mono', 'mono')} FROM (SELECT vec_id, {mono} AS mono FROM embeddings)",
         "pcm16": """SELECT vec_id, array_to_string(list_transform(embedding, lambda v: CAST(trunc(
   greatest(-1.0::DOUBLE, least(1.0::DOUBLE, CAST(v AS DOUBLE))) * 32767) AS INTEGER)), ',') AS pcm FROM embeddings""",
+        "mel_power": _with(_BANK)
+        + "SELECT vec_id, band, col, round(power * 1000, 9) AS power FROM mels",
+        "mel_decibels": _with(
+            _BANK,
+            """
+raw AS (
+  SELECT *, 10 * (log10(greatest(power, 1e-10::DOUBLE))
+                  - log10(greatest(max(power) OVER (PARTITION BY vec_id), 1e-10::DOUBLE))) AS raw_db FROM mels
+),
+db AS (SELECT *, greatest(raw_db, max(raw_db) OVER (PARTITION BY vec_id) - 80) AS db FROM raw)""",
+        )
+        + """SELECT vec_id, band, col, round(db, 6) + 0.0 AS db,
+       round((db - min(db) OVER v) / (max(db) OVER v - min(db) OVER v + 1e-10), 6) AS unit
+FROM db WINDOW v AS (PARTITION BY vec_id)""",
+        "cepstra": _with(_BANK)
+        + """SELECT vec_id, col, CAST(k AS INTEGER) AS k,
+       round(sum(ln(power + 1e-9) * cos(pi() * k * (2 * band + 1) / 16)
+                 * CASE WHEN k = 0 THEN sqrt(1 / 8.0::DOUBLE) ELSE sqrt(2 / 8.0::DOUBLE) END), 6) + 0.0 AS value
+FROM mels, (SELECT unnest(range(0, 4)) AS k) GROUP BY 1, 2, 3""",
+        "resample": _with(_RESAMPLE)
+        + """SELECT vec_id, CAST(i AS INTEGER) AS i, round(sum(v * tap), 9) + 0.0 AS value
+FROM (SELECT unnest(range(0, 22)) AS i), samples JOIN taps ON j = t - 3 * i GROUP BY 1, 2""",
         "audio_silence": """
 WITH x AS (
   SELECT vec_id, embedding, list_transform(embedding, lambda v: CAST(v AS DOUBLE) * CAST(v AS DOUBLE)) AS p
