@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import shutil
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -26,6 +28,24 @@ def local_session(cores: str | int = "*", shuffle_partitions: int = 8, **conf: s
         builder = builder.config(key.replace("__", "."), value)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
+    return ship_package(spark)
+
+
+_shipped: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> SparkSession:
+    """Give this package to the Python workers, once per application.
+
+    Needed wherever it is neither installed on the workers nor in their
+    working folder.
+    """
+    context = spark.sparkContext
+    if context.applicationId not in _shipped:
+        package = Path(__file__).resolve().parent
+        base = Path(tempfile.mkdtemp(prefix="voxward-")) / package.name
+        context.addPyFile(shutil.make_archive(str(base), "zip", package.parent, package.name))
+        _shipped.add(context.applicationId)
     return spark
 
 
