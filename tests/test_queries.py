@@ -47,7 +47,7 @@ def test_same_in_small_chunks(spark, con, name, monkeypatch):
 def test_without_sql(spark, name, monkeypatch):
     from voxward.plans import adapters
 
-    monkeypatch.setattr(adapters.tones, "__defaults__", (750, 16_000))
+    monkeypatch.setattr(adapters.pcm_tones, "__defaults__", (750, 16_000))
     assert entry.queries()[name](spark, SF).count() > 0
 
 

@@ -180,8 +180,9 @@ def test_feature_operators(spark):
     assert [tuple(r) for r in low.collect()] == [(16_000, 48_000)]
 
 
+@pytest.mark.parametrize("pcm", [False, True])
 @pytest.mark.parametrize("width", [None, 2])
-def test_frames_over_chunk_borders(spark, width):
+def test_frames_over_chunk_borders(spark, width, pcm):
     from voxward.operators.timeline import Timeline
 
     sizes, rows, at = [5, 3, 11, 1, 8], [], 0
@@ -192,10 +193,14 @@ def test_frames_over_chunk_borders(spark, width):
     chunks = spark.createDataFrame(rows, "host_id string, chunk_seq int, samples array<float>").selectExpr(
         "*", "timestamp_seconds(1000) AS captured_at", "10 AS sample_rate"
     )
+    if pcm:  # the same samples as 16-bit bytes
+        pair = F.udf(lambda x: np.asarray(x, "<i2").tobytes(), "binary")
+        chunks = chunks.withColumn("samples", pair(F.coalesce("samples", F.array().cast("array<float>"))))
     line = Timeline(("host_id",), ("chunk_seq",), width)
     placed = framing.with_positions(chunks, "host_id", "chunk_seq", line)
     got = framing.to_frames(placed, n=4).orderBy("frame_seq").collect()
-    assert [r.samples for r in got] == [stream[i : i + 4] for i in range(0, 28, 4)]
+    frames = [np.frombuffer(r.samples, "<i2").tolist() if pcm else r.samples for r in got]
+    assert frames == [stream[i : i + 4] for i in range(0, 28, 4)]
     tail = framing.to_frames(placed, n=6)
     assert tail.count() == 4
 
@@ -211,6 +216,17 @@ def test_frames_from_single_samples(spark, width):
     assert [r.samples for r in got] == [[float(4 * f + j) for j in range(4)] for f in range(4)]
 
 
+def test_bytes_give_the_features_of_their_samples(spark):
+    pcm = RNG.normal(0, 3000, 40_000).astype("<i2")
+    rows = [("h", 0, 16_000, pcm.tobytes())]
+    df = spark.createDataFrame(rows, "host_id string, frame_seq int, sample_rate int, samples binary")
+    keys = ("host_id", "frame_seq")
+    got = np.array(features.lfcc(df, keys).first().lfcc)
+    assert got == pytest.approx(dsp.lfcc(pcm.astype(np.float32)[None] / 32768)[0], abs=1e-4)
+    peak = quality.frame_quality(df, audio=True).first().max_amplitude
+    assert peak == pytest.approx(np.abs(pcm / 32768).max())
+
+
 def test_latest_n(spark):
     df = spark.range(100).selectExpr("'h' AS host_id", "id AS frame_seq")
     got = sorted(r.frame_seq for r in framing.latest_n(df).collect())

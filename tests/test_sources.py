@@ -37,6 +37,16 @@ def test_wav_is_read_in_ranges(spark, tmp_path, split_bytes):
     assert [r.first_sample for r in rows] == [i * 4000 for i in range(9)]
 
 
+def test_wav_as_bytes(spark, tmp_path):
+    pcm = np.random.default_rng(2).integers(-32768, 32767, RATE * 2)
+    store(tmp_path / "pc1" / "a.wav", pcm)
+    chunks = read_wav(spark, str(tmp_path / "pc1"), chunk_s=0.5, pcm=True)
+    frames = framing.to_frames(chunks, "path", n=3000).orderBy("frame_seq").collect()
+    got = np.concatenate([np.frombuffer(r.samples, "<i2") for r in frames])
+    assert got.tolist() == pcm[:15_000].tolist()
+    assert wav_bytes(bytes(frames[0].samples), RATE)[44:] == frames[0].samples
+
+
 def test_stereo_becomes_its_mean(spark, tmp_path):
     store(tmp_path / "h" / "s.wav", [100, 300, -200, 200, 0, 10], channels=2)
     row = read_wav(spark, str(tmp_path / "h")).first()

@@ -24,6 +24,13 @@ from voxward.params import (
 )
 
 
+def as_samples(x, dtype=np.float32) -> np.ndarray:
+    """Samples of a frame: an array as it is, bytes as 16-bit PCM."""
+    if isinstance(x, (bytes, bytearray, memoryview)):
+        return np.frombuffer(x, "<i2").astype(dtype) / dtype(32768)
+    return np.asarray(x, dtype)
+
+
 def to_mono(x: np.ndarray, channels: int) -> np.ndarray:
     """Mean over the channels of interleaved samples."""
     usable = len(x) // channels * channels
@@ -52,28 +59,31 @@ def _phases(up: int, down: int, lobes: int = 32) -> tuple[np.ndarray, int]:
     return taps / taps.sum(axis=1, keepdims=True), reach
 
 
+@lru_cache(maxsize=8)
+def _block_filter(up: int, down: int) -> tuple[np.ndarray, int, int]:
+    """The taps of a block of outputs as one matrix, with the block's step in the input."""
+    taps, reach = _phases(up, down)
+    turns = max(1, 64 // up)
+    matrix = np.zeros((turns * down + taps.shape[1], turns * up))
+    for i in range(turns * up):
+        start = i * down // up
+        matrix[start : start + taps.shape[1], i] = taps[i * down % up]
+    return matrix, turns * down, reach
+
+
 def resample(x: np.ndarray, rate: int, target: int = MODEL_RATE) -> np.ndarray:
-    """Band-limited change of the sample rate."""
+    """Band-limited change of the sample rate, a matrix product over blocks of outputs."""
     if rate == target:
         return x
     g = gcd(rate, target)
     up, down = target // g, rate // g
-    taps, reach = _phases(up, down)
-    ticks = np.arange(-(-len(x) * up // down)) * down
-    taps = taps.astype(x.dtype)
-    padded = np.pad(x, (reach, reach + down))
-    if up == 1:  # whole-number decimation, as a sum of short correlations
-        sums = [
-            np.correlate(padded[q::down], taps[0, q::down], "valid")[: len(ticks)]
-            for q in range(down)
-        ]
-        return np.sum(sums, axis=0)
-    spans = np.lib.stride_tricks.sliding_window_view(padded, 2 * reach + 1)
-    out = np.empty(len(ticks), x.dtype)
-    for phase in range(min(up, len(ticks))):
-        rows = ticks[phase::up]
-        out[phase::up] = spans[rows // up] @ taps[rows[0] % up]
-    return out
+    matrix, step, reach = _block_filter(up, down)
+    wanted = -(-len(x) * up // down)
+    blocks = -(-wanted // matrix.shape[1])
+    need = blocks * step + len(matrix)
+    padded = np.pad(x, (reach, max(0, need - reach - len(x))))
+    spans = np.lib.stride_tricks.sliding_window_view(padded, len(matrix))[::step][:blocks]
+    return (spans @ matrix.astype(x.dtype)).reshape(-1)[:wanted]
 
 
 def fit_center(x: np.ndarray, n: int = MODEL_SAMPLES, fill: float = 0.0) -> np.ndarray:
@@ -169,10 +179,19 @@ def dct_rows(n: int, keep: int) -> np.ndarray:
     return rows
 
 
+def _in_blocks(fn, audio: np.ndarray, rows: int = 4) -> np.ndarray:
+    """``fn`` over a few rows at a time, so that what it allocates stays in the cache."""
+    return np.concatenate([fn(audio[i : i + rows]) for i in range(0, len(audio), rows)])
+
+
 def cnn_features(audio: np.ndarray) -> np.ndarray:
     """(rows, 60, 79) features in [0, 1] of 16 kHz signals cut to the model's length."""
-    mel = power_to_db(mel_power(normalize_dc_rms_clip(audio), CNN_MEL))
-    return minmax01(fit_columns(mel)).astype(np.float32)
+
+    def block(x: np.ndarray) -> np.ndarray:
+        mel = power_to_db(mel_power(normalize_dc_rms_clip(x), CNN_MEL))
+        return minmax01(fit_columns(mel)).astype(np.float32)
+
+    return _in_blocks(block, audio)
 
 
 def cepstra(mel: np.ndarray, keep: int) -> np.ndarray:
@@ -183,7 +202,7 @@ def cepstra(mel: np.ndarray, keep: int) -> np.ndarray:
 
 def lfcc(audio: np.ndarray) -> np.ndarray:
     """(rows, columns, 20) cepstra of 16 kHz signals cut to the model's length."""
-    return cepstra(mel_power(normalize_rms(audio), GMM_MEL), N_LFCC)
+    return _in_blocks(lambda x: cepstra(mel_power(normalize_rms(x), GMM_MEL), N_LFCC), audio)
 
 
 def mixture_loglik(

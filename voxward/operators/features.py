@@ -1,4 +1,8 @@
-"""Model features of audio frames, computed in Arrow batches."""
+"""Model features of audio frames, computed in Arrow batches.
+
+``samples`` is an array, or bytes of 16-bit PCM: half the size, and cheaper to
+store and to hand to Python.
+"""
 
 from __future__ import annotations
 
@@ -18,7 +22,7 @@ KEYS = ("host_id", "frame_seq", "captured_at")
 def model_audio(samples: pd.Series, rates: pd.Series, fit) -> np.ndarray:
     """Signals at the models' rate and length, stacked."""
     pairs = zip(samples, rates, strict=True)
-    return np.stack([fit(dsp.resample(np.asarray(x, np.float32), r)) for x, r in pairs])
+    return np.stack([fit(dsp.resample(dsp.as_samples(x), r)) for x, r in pairs])
 
 
 def per_batch(frames: DataFrame, keys: tuple[str, ...], fields: list[T.StructField], fn) -> DataFrame:
@@ -41,12 +45,14 @@ def resample(
 ) -> DataFrame:
     """Frames at another sample rate, in the precision of their samples."""
     kind = frames.schema["samples"].dataType
+    if not isinstance(kind, T.ArrayType):
+        kind = T.ArrayType(T.FloatType())
     exact = np.float64 if kind.elementType == T.DoubleType() else np.float32
 
     def fn(samples: pd.Series, rates: pd.Series) -> tuple:
         pairs = zip(samples, rates, strict=True)
         return [rate] * len(samples), [
-            dsp.resample(np.asarray(x, exact), r, rate) for x, r in pairs
+            dsp.resample(dsp.as_samples(x, exact), r, rate) for x, r in pairs
         ]
 
     fields = [
@@ -62,7 +68,7 @@ def mel_spectrogram(
     """Mel spectrogram per frame, band by band: power, or with ``db`` decibels below its maximum."""
 
     def fn(samples: pd.Series, rates: pd.Series) -> tuple:
-        mels = [dsp.mel_power(np.asarray(x, np.float64)[None], params) for x in samples]
+        mels = [dsp.mel_power(dsp.as_samples(x, np.float64)[None], params) for x in samples]
         mels = [dsp.power_to_db(m) for m in mels] if db else mels
         return ([list(m[0]) for m in mels],)
 
@@ -76,7 +82,7 @@ def cepstra(
     """Cepstral coefficients per frame and column, for any spectrogram shape."""
 
     def fn(samples: pd.Series, rates: pd.Series) -> tuple:
-        mels = [dsp.mel_power(np.asarray(x, np.float64)[None], params) for x in samples]
+        mels = [dsp.mel_power(dsp.as_samples(x, np.float64)[None], params) for x in samples]
         return ([list(dsp.cepstra(m, keep)[0]) for m in mels],)
 
     kind = T.ArrayType(T.ArrayType(T.DoubleType()))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from voxward.operators.timeline import Timeline
 from voxward.params import CAPTURE_RATE, FRAME_SECONDS, RECORDER_FRAMES
@@ -20,7 +21,7 @@ def with_positions(chunks: DataFrame, key: str, seq: str, line: Timeline | None
     need not be shuffled for it.
     """
     line = line or Timeline((key,), (seq,))
-    sizes = chunks.select(key, seq, F.size("samples").cast("bigint").alias("_size"))
+    sizes = chunks.select(key, seq, _count(_is_pcm(chunks)).cast("bigint").alias("_size"))
     sizes = line.cut(sizes)
     before = line.rows.rowsBetween(Window.unboundedPreceding, -1)
     out = sizes.withColumn("first_sample", F.coalesce(F.sum("_size").over(before), F.lit(0)))
@@ -32,19 +33,36 @@ def with_positions(chunks: DataFrame, key: str, seq: str, line: Timeline | None
     return chunks.join(out.select(key, seq, "first_sample"), [key, seq])
 
 
+def _is_pcm(df: DataFrame) -> bool:
+    return isinstance(df.schema["samples"].dataType, T.BinaryType)
+
+
+def _count(pcm: bool) -> Column:
+    """Number of samples, of an array or of 16-bit PCM bytes."""
+    return (F.octet_length("samples") / 2).cast("int") if pcm else F.size("samples")
+
+
+def _part(pcm: bool, first: Column, length: Column) -> Column:
+    """``length`` samples from place ``first``, counted from 0."""
+    if pcm:
+        return F.substring("samples", (first * 2 + 1).cast("int"), (length * 2).cast("int"))
+    return F.slice("samples", (first + 1).cast("int"), length.cast("int"))
+
+
 def _pieces(chunks: DataFrame, key: str, n: int) -> DataFrame:
     """Each chunk cut where frames begin."""
+    pcm = _is_pcm(chunks)
     start = F.col("first_sample")
-    end = start + F.size("samples")
+    end = start + _count(pcm)
     first, last = F.floor(start / n), F.floor((end - 1) / n)
 
     def piece(f: Column) -> Column:
         begin = F.greatest(f * n, start)
         length = F.least((f + 1) * n, end) - begin
-        cut = F.slice("samples", (begin - start + 1).cast("int"), length.cast("int"))
+        cut = _part(pcm, begin - start, length)
         return F.struct(f.cast("int").alias("frame_seq"), begin.alias("_at"), cut.alias("samples"))
 
-    has = F.size("samples") > 0
+    has = _count(pcm) > 0
     pieces = chunks.filter(has).select(
         key,
         F.col("captured_at"),
@@ -74,7 +92,7 @@ def whole_frames(
     n = n or frame_length(frame_s, rate)
     pieces = _pieces(chunks, key, n)
     columns = [key, "frame_seq", "captured_at", "sample_rate", "samples"]
-    return pieces.filter(F.size("samples") == n).select(*columns)
+    return pieces.filter(_count(_is_pcm(pieces)) == n).select(*columns)
 
 
 def to_frames(
@@ -86,22 +104,27 @@ def to_frames(
 ) -> DataFrame:
     """Frames of ``n`` samples without overlap; an incomplete tail is left out.
 
-    Expects mono chunks with ``first_sample``. Whole frames leave at once, so a
+    Expects mono chunks with ``first_sample``; samples are arrays or PCM bytes. Whole frames leave at once, so a
     reader that cuts chunks at frame borders causes no shuffle of audio; only
     the pieces of frames that span chunks are brought together, one frame's
     samples per group.
     """
     n = n or frame_length(frame_s, rate)
     whole, pieces = whole_frames(chunks, key, n=n), _pieces(chunks, key, n)
+    pcm = _is_pcm(chunks)
+    joined = F.flatten(F.col("_parts.samples"))
+    if pcm:
+        empty = F.lit(b"")
+        joined = F.aggregate(F.col("_parts.samples"), empty, lambda a, b: F.concat(a, b))
     parts = (
-        pieces.filter(F.size("samples") < n)
+        pieces.filter(_count(pcm) < n)
         .groupBy(key, "frame_seq", "sample_rate")
         .agg(
             F.min("captured_at").alias("captured_at"),
             F.array_sort(F.collect_list(F.struct("_at", "samples"))).alias("_parts"),
         )
-        .withColumn("samples", F.flatten(F.col("_parts.samples")))
-        .filter(F.size("samples") == n)
+        .withColumn("samples", joined)
+        .filter(_count(pcm) == n)
     )
     return whole.unionByName(parts.select(*whole.columns))
 

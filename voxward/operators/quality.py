@@ -18,6 +18,7 @@ def measures_of_audio(samples: Column, params: SilenceParams = DEFAULT) -> Colum
 
     @F.pandas_udf("ratio double, peak float")
     def measure(batch: pd.Series) -> pd.DataFrame:
+        batch = [dsp.as_samples(x) for x in batch]
         ratios = [dsp.silence_ratio(x, params) for x in batch]
         peaks = [np.abs(x).max() if len(x) else None for x in batch]
         return pd.DataFrame({"ratio": ratios, "peak": peaks})
@@ -30,7 +31,8 @@ def frame_quality(
 ) -> DataFrame:
     """Add ``silence_ratio``, ``max_amplitude`` and ``is_silent``.
 
-    ``audio`` picks the Arrow form for long arrays; short ones stay in the JVM.
+    ``audio`` picks the Arrow form, for long arrays and PCM bytes; short arrays
+    stay in the JVM.
     """
     x = F.col("samples")
     if audio:

@@ -165,7 +165,7 @@ def measure_frames(
     names = ("silence_ratio", "max_amplitude", "cnn_pct", "cnn_ms", "ll_human", "ll_ai", "gmm_ms")
 
     def score(samples: pd.Series, rates: pd.Series) -> dict[str, object]:
-        low = [dsp.resample(np.asarray(x, np.float32), r) for x, r in zip(samples, rates, strict=True)]
+        low = [dsp.resample(x, r) for x, r in zip(samples, rates, strict=True)]
         out = {}
         if cnn is not None:
             mel = dsp.cnn_features(np.stack([dsp.fit_center(x) for x in low]))
@@ -181,6 +181,7 @@ def measure_frames(
         return out
 
     def fn(samples: pd.Series, rates: pd.Series) -> tuple:
+        samples = samples.map(dsp.as_samples)
         out = pd.DataFrame(index=samples.index, columns=list(names), dtype=np.float64)
         out["max_amplitude"] = [np.abs(x).max() if len(x) else None for x in samples]
         heard = np.ones(len(samples), bool)

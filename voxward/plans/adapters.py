@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from voxward.functions.signal import pcm16
 from voxward.params import MelParams, SilenceParams
 
 # Words that stand for call programs in the part table.
@@ -175,6 +176,21 @@ def rated_vectors(spark: SparkSession, sf_dir: str, rate: int) -> DataFrame:
     return vectors(spark, sf_dir).withColumn("sample_rate", F.lit(rate))
 
 
+def pcm_tones(spark: SparkSession, sf_dir: str, repeats: int = VECTOR_REPEATS, rate: int = 48_000) -> DataFrame:
+    """The same frames as 16-bit PCM bytes."""
+    cores = spark.sparkContext.defaultParallelism
+    # Two bytes per sample, low byte first, written in hexadecimal.
+    unsigned = F.transform(pcm16(F.col("samples")), lambda v: F.pmod(v.cast("int"), F.lit(65_536)))
+    digits = F.transform(unsigned, lambda v: F.lpad(F.hex((v % 256) * 256 + F.floor(v / 256)), 4, "0"))
+    spread = vectors(spark, sf_dir).repartition(cores * 4, "vec_id")
+    return spread.select(
+        "vec_id",
+        "label",
+        F.lit(rate).alias("sample_rate"),
+        F.unhex(F.repeat(F.array_join(digits, ""), repeats)).alias("samples"),
+    )
+
+
 def tones(spark: SparkSession, sf_dir: str, repeats: int = VECTOR_REPEATS, rate: int = 48_000) -> DataFrame:
     """Embeddings as audio frames: the vector is one period of a sound, repeated.
 

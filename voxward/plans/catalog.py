@@ -235,6 +235,13 @@ def audio_silence(spark: SparkSession, sf: str) -> DataFrame:
     return checked.select("vec_id", r("silence_ratio").alias("silence_ratio"), "is_silent")
 
 
+def pcm_silence(spark: SparkSession, sf: str) -> DataFrame:
+    """The same frames as 16-bit PCM bytes, with their loudest sample."""
+    checked = quality.frame_quality(A.pcm_tones(spark, sf), audio=True)
+    peak = r(F.col("max_amplitude").cast("double"))
+    return checked.select("vec_id", r("silence_ratio").alias("silence_ratio"), "is_silent", peak.alias("peak"))
+
+
 def _cells(df: DataFrame, name: str, outer: str, inner: str) -> DataFrame:
     """One row per cell of an array of arrays."""
     rows = df.select("vec_id", F.posexplode(name).alias(outer, "_row"))
@@ -273,20 +280,23 @@ def resample(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def resample_tones(spark: SparkSession, sf: str) -> DataFrame:
-    low = features.resample(A.tones(spark, sf), 16_000, ("vec_id", "label"))
-    power = F.aggregate("samples", F.lit(0.0), lambda a, v: a + v.cast("double") * v)
+    low = features.resample(A.pcm_tones(spark, sf), 16_000, ("vec_id", "label"))
     return low.select(
-        "vec_id", "sample_rate", F.size("samples").alias("n"), r(F.sqrt(power / F.size("samples")), 6).alias("rms")
+        "vec_id",
+        "sample_rate",
+        F.size("samples").alias("n"),
+        r(F.array_min("samples").cast("double"), 4).alias("low"),
+        r(F.array_max("samples").cast("double"), 4).alias("high"),
     )
 
 
 def mel_frames(spark: SparkSession, sf: str) -> DataFrame:
-    mel = features.cnn_features(A.tones(spark, sf), ("vec_id", "label"))
+    mel = features.cnn_features(A.pcm_tones(spark, sf), ("vec_id", "label"))
     return mel.select("vec_id", "label", *_shape(F.col("mel"), "mel"))
 
 
 def lfcc_frames(spark: SparkSession, sf: str) -> DataFrame:
-    cepstra = features.lfcc(A.tones(spark, sf), ("vec_id", "label"))
+    cepstra = features.lfcc(A.pcm_tones(spark, sf), ("vec_id", "label"))
     return cepstra.select(
         "vec_id", "label", F.size("lfcc").alias("columns"), *_shape(F.element_at("lfcc", 40), "mid")
     )
@@ -347,7 +357,7 @@ def score_frames(spark: SparkSession, sf: str) -> DataFrame:
 
 def batch_predict(spark: SparkSession, sf: str) -> DataFrame:
     """Audio frames to results of both models in one pass."""
-    tones = A.tones(spark, sf)
+    tones = A.pcm_tones(spark, sf)
     # The fits read the cepstra many times, so they are written once.
     cepstra = materialize(features.lfcc(tones, ("vec_id", "label")), "cepstra")
     mixtures = scoring.load_mixtures(
@@ -538,6 +548,7 @@ QUERIES = {
         downmix,
         pcm16,
         audio_silence,
+        pcm_silence,
         resample,
         mel_power,
         mel_decibels,

@@ -284,6 +284,25 @@ o AS (SELECT vec_id, list_transform(x, lambda v: v * (0.1::DOUBLE / rms)) AS rms
 SELECT vec_id, {_shape('rms', 'rms')}, {_shape('dc', 'dc')}, {_shape('unit', 'unit')} FROM o"""
 
 
+_PCM = "trunc(greatest(-1.0::DOUBLE, least(1.0::DOUBLE, CAST(v AS DOUBLE))) * 32767) / 32768"
+
+_AUDIO = """
+samples AS (SELECT vec_id, list_transform(embedding, lambda v: {sample}) AS x FROM embeddings),
+powers AS (
+  SELECT vec_id, list_transform(x, lambda v: v * v) AS p, list_max(list_transform(x, lambda v: abs(v))) AS peak FROM samples
+),
+-- A frame is the vector 2250 times over. A chunk is 2400 samples: 37 whole vectors
+-- and half of one, the first half in even chunks and the second half in odd ones.
+sums AS (SELECT vec_id, peak, list_sum(p) AS total, list_sum(p[1:32]) AS front, list_sum(p[33:64]) AS back FROM powers),
+db AS (
+  SELECT vec_id, peak, 20 * log10(sqrt((37 * total + front) / 2400 + 1e-12) + 1e-12) AS even,
+         20 * log10(sqrt((37 * total + back) / 2400 + 1e-12) + 1e-12) AS odd FROM sums
+),
+quiet AS (
+  SELECT vec_id, peak, (CASE WHEN even < -40 THEN 0.5::DOUBLE ELSE 0 END)
+                       + (CASE WHEN odd < -40 THEN 0.5::DOUBLE ELSE 0 END) AS silence_ratio FROM db
+)"""
+
 _BANK = """
 -- Spectrogram of 64-sample vectors: transform 64, hop 16, window 48, 8 bands from 100 to 7000 Hz.
 points AS (
@@ -447,23 +466,11 @@ FROM mels, (SELECT unnest(range(0, 4)) AS k) GROUP BY 1, 2, 3""",
         "resample": _with(_RESAMPLE)
         + """SELECT vec_id, CAST(i AS INTEGER) AS i, round(sum(v * tap), 9) + 0.0 AS value
 FROM (SELECT unnest(range(0, 22)) AS i), samples JOIN taps ON j = t - 3 * i GROUP BY 1, 2""",
-        "audio_silence": """
-WITH x AS (
-  SELECT vec_id, embedding, list_transform(embedding, lambda v: CAST(v AS DOUBLE) * CAST(v AS DOUBLE)) AS p
-  FROM embeddings
-),
--- A frame is the vector 2250 times over. A chunk is 2400 samples: 37 whole vectors
--- and half of one, the first half in even chunks and the second half in odd ones.
-e AS (SELECT vec_id, list_sum(p) AS total, list_sum(p[1:32]) AS front, list_sum(p[33:64]) AS back FROM x),
-db AS (
-  SELECT vec_id, 20 * log10(sqrt((37 * total + front) / 2400 + 1e-12) + 1e-12) AS even,
-         20 * log10(sqrt((37 * total + back) / 2400 + 1e-12) + 1e-12) AS odd FROM e
-),
-q AS (
-  SELECT vec_id, (CASE WHEN even < -40 THEN 0.5::DOUBLE ELSE 0 END)
-                 + (CASE WHEN odd < -40 THEN 0.5::DOUBLE ELSE 0 END) AS silence_ratio FROM db
-)
-SELECT vec_id, round(silence_ratio, 9) AS silence_ratio, silence_ratio > 0.4 AS is_silent FROM q""",
+        "audio_silence": _with(_AUDIO.format(sample="CAST(v AS DOUBLE)"))
+        + "SELECT vec_id, round(silence_ratio, 9) AS silence_ratio, silence_ratio > 0.4 AS is_silent FROM quiet",
+        "pcm_silence": _with(_AUDIO.format(sample=_PCM))
+        + """SELECT vec_id, round(silence_ratio, 9) AS silence_ratio, silence_ratio > 0.4 AS is_silent,
+       round(peak, 9) AS peak FROM quiet""",
         "gmm_confidence": _gmm_sql(),
         "latency_stats": """
 WITH g AS (SELECT event_type AS model, value, CAST(round(value / 0.01) AS BIGINT) AS grid FROM events),

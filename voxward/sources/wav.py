@@ -24,7 +24,9 @@ _CHUNKS = (
 _ROWS_OUT = 32
 
 
-def _chunks_of(path: str, split: int, split_bytes: int, seconds: float) -> Iterator[tuple]:
+def _chunks_of(
+    path: str, split: int, split_bytes: int, seconds: float, as_bytes: bool
+) -> Iterator[tuple]:
     """Mono chunks of one file whose first byte lies in the given split."""
     fs, name = FileSystem.from_uri(path)
     with fs.open_input_file(name) as file, wave.open(file) as wav:
@@ -37,8 +39,11 @@ def _chunks_of(path: str, split: int, split_bytes: int, seconds: float) -> Itera
         stop = -(-(split + 1) * split_bytes // per_chunk)
         for seq in range(first, min(stop, -(-wav.getnframes() // n))):
             wav.setpos(seq * n)
-            pcm = np.frombuffer(wav.readframes(n), "<i2").astype(np.float32) / 32768
-            yield seq, rate, seq * n, to_mono(pcm, channels) if channels > 1 else pcm
+            data = wav.readframes(n)
+            if channels > 1 or not as_bytes:
+                mono = to_mono(np.frombuffer(data, "<i2").astype(np.float32), channels)
+                data = np.rint(mono).astype("<i2").tobytes() if as_bytes else mono / 32768
+            yield seq, rate, seq * n, data
 
 
 def read_wav(
@@ -49,13 +54,15 @@ def read_wav(
     chunk_s: float = FRAME_SECONDS,
     split_bytes: int = SPLIT_BYTES,
     streaming: bool = False,
+    pcm: bool = False,
 ) -> DataFrame:
     """WAV files as mono ``audio_chunk`` rows with their place in the file.
 
     Spark lists the files and spreads byte ranges of them over the cluster;
     each task opens its range itself, so a very long recording is read by many
     tasks and no file is held as a whole. Chunks are as long as a frame, so
-    framing needs no shuffle. ``host`` and ``started`` are expressions over
+    framing needs no shuffle. With ``pcm`` samples stay 16-bit bytes (the mean of
+    channels is rounded), the compact form for large volumes. ``host`` and ``started`` are expressions over
     ``path`` and ``modificationTime``; by default the folder's name and the
     file's time.
     """
@@ -75,7 +82,9 @@ def read_wav(
         for batch in batches:
             for row in batch.itertuples(index=False):
                 rows = []
-                for seq, rate, first, samples in _chunks_of(row.path, row.split, split_bytes, chunk_s):
+                for seq, rate, first, samples in _chunks_of(
+                    row.path, row.split, split_bytes, chunk_s, pcm
+                ):
                     at = row.started + pd.Timedelta(seconds=first / rate)
                     rows.append((row.path, row.host_id, seq, at, rate, 1, first, samples))
                     if len(rows) == _ROWS_OUT:
@@ -85,7 +94,7 @@ def read_wav(
                     yield pd.DataFrame(rows, columns=names)
 
     names = [part.split()[0] for part in _CHUNKS.split(", ")]
-    return ranges.mapInPandas(run, _CHUNKS)
+    return ranges.mapInPandas(run, _CHUNKS.replace("array<float>", "binary") if pcm else _CHUNKS)
 
 
 def frame_name(frame_seq: Column, captured_at: Column) -> Column:
@@ -94,14 +103,17 @@ def frame_name(frame_seq: Column, captured_at: Column) -> Column:
     return F.format_string("frame_%04d_%s.wav", frame_seq + 1, stamp)
 
 
-def wav_bytes(samples: np.ndarray, rate: int) -> bytes:
-    pcm = np.trunc(np.clip(samples, -1.0, 1.0) * np.float64(PCM16_SCALE)).astype("<i2")
+def wav_bytes(samples: np.ndarray | bytes, rate: int) -> bytes:
+    pcm = samples
+    if not isinstance(samples, bytes):
+        scaled = np.clip(samples, -1.0, 1.0) * np.float64(PCM16_SCALE)
+        pcm = np.trunc(scaled).astype("<i2").tobytes()
     out = io.BytesIO()
     with wave.open(out, "wb") as wav:
         wav.setnchannels(1)
         wav.setsampwidth(2)
         wav.setframerate(rate)
-        wav.writeframes(pcm.tobytes())
+        wav.writeframes(pcm)
     return out.getvalue()
 
 
