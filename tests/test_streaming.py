@@ -8,6 +8,7 @@ import pytest
 from test_calls import fold
 from test_decision import replay
 from voxward.operators.decision import align_scores, decision_engine
+from voxward.operators.rollup import voice_alerts
 from voxward.params import MIC_CONSENT_ROOT, DecisionParams
 from voxward.schemas import TELEMETRY
 from voxward.sources.blocklist import Blocklist
@@ -137,6 +138,22 @@ def test_decisions_with_carried_scores(spark, tmp_path):
     assert {r.update_seq: (round(r.average_score, 9), r.label) for r in got} == want
 
 
+def test_idle_calls_are_forgotten(spark, tmp_path):
+    """Only a long pause resets a call, however many timers fire together."""
+    schema = "call_id string, update_seq bigint, update_ts timestamp, cnn double, gmm double"
+    path = str(tmp_path / "in")
+    bursts = [range(0, 4), range(10, 14), range(20, 23), range(2000, 2003)]
+    files_ = [[("a", s, T0 + timedelta(seconds=s), 0.9, 0.9) for s in burst] for burst in bursts]
+    ends = [[("z", n, LATER + timedelta(days=n), 0.0, 0.0)] for n in range(3)]
+    for rows in files_ + ends:
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(path)
+    stream = decision_stream(source(spark, path, schema), delay="5 minutes", idle_s=600)
+    got = run(spark, stream, "idle", tmp_path).filter("call_id = 'a'").collect()
+    seqs = [r.update_seq for r in sorted(got, key=lambda r: r.update_ts)]
+    assert seqs == [*range(1, 12), 1, 2, 3]
+    assert [r.ts.second for r in voice_alerts(spark.createDataFrame(got)).collect()] == [10]
+
+
 def test_blocklist_job(spark, tmp_path):
     store = Blocklist(str(tmp_path / "list"))
     store.create(spark.createDataFrame([("x", 1, T0)], "phone_hash string, strike_count int, last_flagged_at timestamp"))

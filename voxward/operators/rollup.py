@@ -113,30 +113,42 @@ def caller_warnings(calls: DataFrame) -> DataFrame:
     )
 
 
-def alerts(calls: DataFrame, decisions: DataFrame, ts: str = "update_ts") -> DataFrame:
-    """The three notifications: flagged caller at start, AI voice on notify, summary at end."""
-    flagged = calls.filter("is_caller_flagged").select(
+def flagged_alerts(calls: DataFrame) -> DataFrame:
+    """A warning at the start of each call whose caller is listed."""
+    return calls.filter("is_caller_flagged").select(
         "call_id",
         F.col("start_ts").alias("ts"),
         F.lit("flagged_caller").alias("kind"),
         F.lit(FLAGGED_TITLE).alias("title"),
         F.lit(FLAGGED_MESSAGE).alias("message"),
     )
+
+
+def voice_alerts(decisions: DataFrame, ts: str = "update_ts") -> DataFrame:
+    """An alert for each update that notifies; works on decision streams too."""
     detail = detail_text(F.col("cnn") * 100, F.col("gmm") * 100)
-    voice = decisions.filter("should_notify").select(
+    return decisions.filter("should_notify").select(
         "call_id",
         F.col(ts).alias("ts"),
         F.lit("ai_voice").alias("kind"),
         F.lit(AI_TITLE).alias("title"),
         ai_text(F.col("average_score"), detail).alias("message"),
     )
-    ended = calls.filter(F.col("end_ts").isNotNull()).select(
+
+
+def ended_alerts(calls: DataFrame) -> DataFrame:
+    """A summary at the end of each closed call."""
+    text = ended_text(F.col("frames_processed"), F.col("last_label"), F.col("last_confidence"))
+    return calls.filter(F.col("end_ts").isNotNull()).select(
         "call_id",
         F.col("end_ts").alias("ts"),
         F.lit("call_ended").alias("kind"),
         F.lit(ENDED_TITLE).alias("title"),
-        ended_text(
-            F.col("frames_processed"), F.col("last_label"), F.col("last_confidence")
-        ).alias("message"),
+        text.alias("message"),
     )
-    return flagged.unionByName(voice).unionByName(ended)
+
+
+def alerts(calls: DataFrame, decisions: DataFrame, ts: str = "update_ts") -> DataFrame:
+    """All three kinds of notification."""
+    started = flagged_alerts(calls).unionByName(voice_alerts(decisions, ts))
+    return started.unionByName(ended_alerts(calls))

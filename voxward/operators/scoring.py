@@ -63,8 +63,10 @@ class Mixture:
     means: np.ndarray
     covs: np.ndarray
 
-    def mean_loglik(self, x: np.ndarray) -> float:
-        return float(dsp.mixture_loglik(x, self.weights, self.means, self.covs).mean())
+    def mean_loglik(self, x: np.ndarray) -> np.ndarray:
+        """Mean over the rows of each set of vectors; ``x`` is one set or a stack of them."""
+        logs = dsp.mixture_loglik(x.reshape(-1, x.shape[-1]), self.weights, self.means, self.covs)
+        return logs.reshape(x.shape[:-1]).mean(axis=-1)
 
 
 def load_mixtures(params: DataFrame) -> dict[str, Mixture]:
@@ -122,7 +124,7 @@ def gmm_loglik(
         for batch in batches:
             stacks = [np.stack(v).astype(np.float64) for v in batch[vectors]]
             yield batch[list(keys)].assign(
-                **{f"ll_{m}": [mixtures[m].mean_loglik(x) for x in stacks] for m in ("human", "ai")}
+                **{f"ll_{m}": [float(mixtures[m].mean_loglik(x)) for x in stacks] for m in ("human", "ai")}
             )
 
     return data.select(*keys, vectors).mapInPandas(run, schema)
@@ -176,7 +178,7 @@ def measure_frames(
             cepstra = dsp.lfcc(np.stack([dsp.fit_head(x) for x in low]))
             start = perf_counter()
             for name in ("human", "ai"):
-                out[f"ll_{name}"] = [mixtures[name].mean_loglik(x) for x in cepstra]
+                out[f"ll_{name}"] = mixtures[name].mean_loglik(cepstra)
             out["gmm_ms"] = (perf_counter() - start) * 1000 / len(low)
         return out
 

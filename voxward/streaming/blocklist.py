@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from voxward.operators.caller import calls_to_flag, lookup_blocklist
-from voxward.params import FLAGGED_MESSAGE, FLAGGED_TITLE
+from voxward.operators.rollup import ended_alerts, flagged_alerts
 from voxward.sources.alerts import write_alerts
 from voxward.sources.blocklist import Blocklist
 
@@ -17,18 +17,14 @@ def apply_calls(
 ) -> None:
     """One micro-batch: warn about flagged callers, then add strikes for AI calls that ended.
 
-    Both writes go under the epoch, so a batch that runs again changes nothing.
+    Rows with their roll-up also give the summaries of ended calls. Both writes go under the epoch, so a batch that runs again changes nothing.
     """
     started = calls.filter(F.col("end_ts").isNull())
     flagged = lookup_blocklist(started, blocklist.read(calls.sparkSession, job, epoch))
-    warnings = flagged.filter("is_caller_flagged").select(
-        "call_id",
-        F.col("start_ts").alias("ts"),
-        F.lit("flagged_caller").alias("kind"),
-        F.lit(FLAGGED_TITLE).alias("title"),
-        F.lit(FLAGGED_MESSAGE).alias("message"),
-    )
-    write_alerts(warnings, alerts_path, epoch)
+    alerts = flagged_alerts(flagged)
+    if "frames_processed" in calls.columns:
+        alerts = alerts.unionByName(ended_alerts(calls))
+    write_alerts(alerts, alerts_path, epoch)
     blocklist.add(calls_to_flag(calls), job, epoch)
 
 

@@ -18,7 +18,7 @@ class OrderedProcessor(StatefulProcessor):
     watermark's delay. Subclasses say what a key remembers (``memory``) and
     what a run of ordered rows does with it (``step``). What is held per key is
     bounded by its rate times the delay. ``idle_s`` clears the memory of a key
-    that has been quiet for so long.
+    that has been quiet for so long between two runs of due rows.
     """
 
     fields: tuple[str, ...]  # columns the step reads, after the microsecond clock and the tie
@@ -39,6 +39,8 @@ class OrderedProcessor(StatefulProcessor):
         self._handle = handle
         self._waiting = handle.getListState("waiting", T.StructType(row))
         self._memory = handle.getValueState("memory", self.memory)
+        seen = T.StructType([T.StructField("us", T.LongType())])
+        self._seen = handle.getValueState("seen", seen)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues):
         newest = None
@@ -61,17 +63,24 @@ class OrderedProcessor(StatefulProcessor):
         due = sorted(tuple(r) for r in waiting if r[0] < mark)
         memory = tuple(self._memory.get()) if self._memory.exists() else None
         if not due:
-            if self.idle_s and not waiting:
-                self._memory.clear()
+            # Other timers fire as well, so only the last row's age tells whether the key is idle.
+            if self.idle_s and not waiting and self._seen.exists():
+                if mark >= self._seen.get()[0] + self.idle_s * 1_000_000:
+                    self._memory.clear()
+                    self._seen.clear()
             return iter(())
         rest = [tuple(r) for r in waiting if r[0] >= mark]
         if rest:
             self._waiting.put(rest)
         else:
             self._waiting.clear()
+        if self.idle_s and memory is not None and self._seen.exists():
+            if due[0][0] >= self._seen.get()[0] + self.idle_s * 1_000_000:
+                memory = None
         memory, made = self.step(key[0], memory, due)
         self._memory.update(memory)
         if self.idle_s:
+            self._seen.update((due[-1][0],))
             self._handle.registerTimer(due[-1][0] // 1000 + self.idle_s * 1000)
         if not made:
             return iter(())
