@@ -21,14 +21,21 @@ CANDIDATE = r"[+0-9A-Za-z][0-9 ().-]{2,}[0-9]"
 VECTOR_REPEATS = 2250  # 64 × 2250 = 144,000 samples: three seconds at 48 kHz
 
 
+def live(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table as a stream of its files."""
+    schema = table(spark, sf_dir, name).schema
+    # A pattern, as a stream takes a single file only that way.
+    return spark.readStream.schema(schema).parquet(f"{sf_dir}/{name}[.]parquet")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def polls(spark: SparkSession, sf_dir: str) -> DataFrame:
+def polls(spark: SparkSession, sf_dir: str, read=table) -> DataFrame:
     """Events as polls of the user's machine."""
     kind = F.col("event_type")
-    return table(spark, sf_dir, "events").select(
+    return read(spark, sf_dir, "events").select(
         F.col("user_id").alias("host_id"),
         F.col("ts").alias("poll_ts"),
         "event_id",
@@ -51,12 +58,12 @@ def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+def scores(spark: SparkSession, sf_dir: str, read=table) -> DataFrame:
     """Events as score updates of the user's call."""
     kind = F.col("event_type")
     cnn = F.least(F.col("value") / 100, F.lit(1.0))
     gmm = (_k() + F.lit(0.3137)) / 100
-    return table(spark, sf_dir, "events").select(
+    return read(spark, sf_dir, "events").select(
         F.col("user_id").alias("call_id"),
         "ts",
         "event_id",

@@ -94,7 +94,8 @@ def run_batch(
     if "call_id" not in texts.columns:
         texts = calls.assign_calls(texts, sessions, tie=("walk_ordinal",), width=width)
     known = caller.caller_hashes(caller.first_caller_id(texts))
-    full = full.join(known, "call_id", "left")
+    # The lookup reads the calls twice, once to find frequent callers.
+    full = store(full.join(known, "call_id", "left"), "call_rollup")
     listed = inputs.blocklist.read(spark, job, run)
     full = store(caller.lookup_blocklist(full, listed), "call")
 

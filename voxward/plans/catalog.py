@@ -22,7 +22,9 @@ from voxward.operators.timeline import Timeline
 from voxward.params import APP_PROFILE
 from voxward.plans import adapters as A
 from voxward.plans import batch
-from voxward.session import materialize
+from voxward.session import drain, materialize
+from voxward.streaming.decisions import decision_stream
+from voxward.streaming.monitor import call_monitor_stream
 
 ORDER = ("ts", "event_id")
 POLL_ORDER = ("poll_ts", "event_id")
@@ -520,6 +522,32 @@ def call_report(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+# Streams over the events; the last hour stays behind the watermark.
+
+
+def live_decisions(spark: SparkSession, sf: str) -> DataFrame:
+    stream = decision_stream(
+        A.scores(spark, sf, A.live), APP_PROFILE, ts="ts", tie="event_id", delay="1 hour"
+    )
+    return drain(stream, "decisions").select(
+        "call_id",
+        F.col("tie").alias("event_id"),
+        "update_seq",
+        r("average_score").alias("average_score"),
+        "label",
+        "should_notify",
+        "frames_buffered",
+        "call_was_ai",
+    )
+
+
+def live_calls(spark: SparkSession, sf: str) -> DataFrame:
+    stream = call_monitor_stream(A.polls(spark, sf, A.live), delay="1 hour", tie="event_id")
+    found = drain(stream, "calls")
+    start, end = F.unix_micros("start_ts"), F.unix_micros("end_ts").cast("double")
+    return found.select("call_id", "host_id", "edge", start.alias("start_us"), end.alias("end_us"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -575,5 +603,7 @@ QUERIES = {
         caller_warnings,
         detail_text,
         call_report,
+        live_decisions,
+        live_calls,
     )
 }

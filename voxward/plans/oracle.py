@@ -342,6 +342,9 @@ mels AS (
   SELECT vec_id, band, col, sum(p * weight) AS power FROM bins JOIN bank USING (k) WHERE weight > 0 GROUP BY 1, 2, 3
 )"""
 
+# Streams emit what lies before the watermark: the newest event, in whole milliseconds, minus an hour.
+_MARK = "(SELECT (epoch_us(max(ts)) // 1000 - 3600000) * 1000 FROM events)"
+
 _RESAMPLE = """
 -- One third of the rate: sinc below 0.95 of the new band, 102 taps to each side, Kaiser window with 12.
 raw AS (
@@ -550,6 +553,17 @@ SELECT call_id, end_ts, 'call_ended', '{ENDED_TITLE}', {_ENDED} FROM calls""",
         + f"""SELECT event_id, {_SHOWN} AS display_label,
        CASE label WHEN 'Human' THEN 'safe' WHEN 'Suspicious' THEN 'warn' ELSE 'alert' END AS severity,
        {_DETAIL} AS detail_text FROM decided""",
+        "live_decisions": _with(_decided())
+        + f"""SELECT call_id, event_id, seq AS update_seq, round(average_score, 9) AS average_score, label,
+       should_notify, frames_buffered,
+       bool_or(label = 'AI Generated') OVER (PARTITION BY call_id ORDER BY ts, event_id) AS call_was_ai
+FROM decided WHERE epoch_us(ts) < {_MARK}""",
+        "live_calls": _with(_latch(), _SESSIONS)
+        + f"""SELECT call_id, host_id, 'start' AS edge, epoch_us(start_ts) AS start_us, NULL::DOUBLE AS end_us
+FROM sessions WHERE epoch_us(start_ts) < {_MARK}
+UNION ALL
+SELECT call_id, host_id, 'end', epoch_us(start_ts), epoch_us(end_ts)::DOUBLE
+FROM sessions WHERE epoch_us(end_ts) < {_MARK}""",
         "call_report": _with(_decided(True), _ROLLUP, _BLOCKLIST, _CALLS)
         + """SELECT call_id, start_ts, end_ts, is_caller_flagged, call_was_ai, frames_processed,
        last_label, round(last_confidence, 6) AS last_confidence FROM calls""",

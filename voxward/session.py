@@ -10,6 +10,10 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 
+_STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
+_ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
 def local_session(cores: str | int = "*", shuffle_partitions: int = 8, **conf: str) -> SparkSession:
     """A session for tests and benches; clusters bring their own."""
     builder = (
@@ -19,10 +23,7 @@ def local_session(cores: str | int = "*", shuffle_partitions: int = 8, **conf: s
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
-        .config(
-            "spark.sql.streaming.stateStore.providerClass",
-            "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
-        )
+        .config(_STATE_STORE, _ROCKSDB)
     )
     for key, value in conf.items():
         builder = builder.config(key.replace("__", "."), value)
@@ -31,6 +32,26 @@ def local_session(cores: str | int = "*", shuffle_partitions: int = 8, **conf: s
     return ship_package(spark)
 
 
+def drain(stream: DataFrame, name: str) -> DataFrame:
+    """Run a stream over what its source has now and read back what it wrote."""
+    spark = stream.sparkSession
+    base = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    before = spark.conf.get(_STATE_STORE)
+    spark.conf.set(_STATE_STORE, _ROCKSDB)
+    try:
+        query = (
+            stream.writeStream.format("parquet")
+            .option("checkpointLocation", f"{base}/checkpoint")
+            .option("path", f"{base}/rows")
+            .trigger(availableNow=True)
+            .start()
+        )
+        query.awaitTermination()
+    finally:
+        spark.conf.set(_STATE_STORE, before)
+    return spark.read.schema(stream.schema).parquet(f"{base}/rows")
+
+
 _shipped: set[str] = set()
 
 

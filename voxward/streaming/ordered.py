@@ -43,7 +43,7 @@ class OrderedProcessor(StatefulProcessor):
         self._seen = handle.getValueState("seen", seen)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues):
-        newest = None
+        oldest = None
         for batch in rows:
             columns = [batch["event_us"], batch[self.tie], *[batch[f] for f in self.fields]]
             records = [
@@ -51,12 +51,16 @@ class OrderedProcessor(StatefulProcessor):
                 for r in zip(*columns, strict=True)
             ]
             self._waiting.appendList(records)
-            last = max(r[0] for r in records)
-            newest = last if newest is None else max(newest, last)
-        if newest is not None:
-            self._handle.registerTimer(newest // 1000 + 1)
+            first = min(r[0] for r in records)
+            oldest = first if oldest is None else min(oldest, first)
+        if oldest is not None:
+            self._wake_after(oldest)
         return iter(())
 
+    def _wake_after(self, us: int) -> None:
+        """Call back as soon as the watermark has passed this time."""
+        self._handle.registerTimer(us // 1000 + 1)
+
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
         mark = timerValues.getCurrentWatermarkInMs() * 1000
         waiting = list(self._waiting.get()) if self._waiting.exists() else []
@@ -72,6 +76,7 @@ class OrderedProcessor(StatefulProcessor):
         rest = [tuple(r) for r in waiting if r[0] >= mark]
         if rest:
             self._waiting.put(rest)
+            self._wake_after(min(r[0] for r in rest))
         else:
             self._waiting.clear()
         if self.idle_s and memory is not None and self._seen.exists():
