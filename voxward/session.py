@@ -67,6 +67,9 @@ def ship_package(spark: SparkSession) -> SparkSession:
         package = Path(__file__).resolve().parent
         base = Path(tempfile.mkdtemp(prefix="voxward-")) / package.name
         context.addPyFile(shutil.make_archive(str(base), "zip", package.parent, package.name))
+        # The driver's own worker, which prepares stateful streams, takes this path instead.
+        paths = [str(package.parent), context.environment.get("PYTHONPATH", "")]
+        context.environment["PYTHONPATH"] = ":".join(p for p in paths if p)
         _shipped.add(context.applicationId)
     return spark
 
