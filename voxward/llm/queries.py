@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from voxward.llm.ngram_join import JaccardParams, jaccard_components
+from voxward.llm.repeats import RepeatParams, remove_repeats
 from voxward.llm.tables import table
 
 
@@ -12,8 +13,14 @@ def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"), JaccardParams(width=4, percent=85))
 
 
+def op9_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return remove_repeats(docs, RepeatParams(window=100), keep_text=False)
+
+
 QUERIES = {
     "op1_ngram_join": op1_ngram_join,
+    "op9_suffix_array": op9_suffix_array,
 }
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
@@ -31,11 +38,11 @@ ORACLE_SQL = {
             FROM w
         ), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
         c AS (
-            SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS both
+            SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS common
             FROM s a JOIN s b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id GROUP BY 1, 2
         ), links AS (
             SELECT a, b FROM c JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b
-            WHERE 100 * both >= 85 * (x.n + y.n - both)
+            WHERE 100 * common >= 85 * (x.n + y.n - common)
         ), reach AS (
             SELECT a AS node, b AS other FROM links
             UNION

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from voxward.session import materialize, ship_package
 
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 #: A side of narrow rows is broadcast up to this many rows (a few dozen MB), else both sides are shuffled.
 BROADCAST_ROWS = 1_000_000
 
@@ -16,8 +18,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written once to the shared folder, so that lost executors cost no repeated work."""
-    return materialize(df, f"llm-{name}")
+    """``df`` written once to the shared folder, so that lost executors cost no repeated work.
+
+    Its shuffle files go as soon as it is written.
+    """
+    conf = df.sparkSession.conf
+    before = conf.get(_CLEAN, "false")
+    conf.set(_CLEAN, "true")
+    try:
+        return materialize(df, f"llm-{name}")
+    finally:
+        conf.set(_CLEAN, before)
 
 
 def small_side(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
