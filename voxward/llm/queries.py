@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from voxward.llm.ngram_join import JaccardParams, jaccard_components
+from voxward.llm.quality import judge
 from voxward.llm.repeats import RepeatParams, remove_repeats
 from voxward.llm.tables import table
 
@@ -13,6 +14,13 @@ def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"), JaccardParams(width=4, percent=85))
 
 
+def op3_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    return judge(docs).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "host_rejected", "kept"
+    )
+
+
 def op9_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return remove_repeats(docs, RepeatParams(window=100), keep_text=False)
@@ -20,21 +28,67 @@ def op9_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_ngram_join": op1_ngram_join,
+    "op3_host_rules": op3_host_rules,
     "op9_suffix_array": op9_suffix_array,
 }
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
+#: The limits of QualityParams, written out: rules, prior between 2 and 1000 documents, host limit one half.
+_QUALITY = rf"""
+        w AS (SELECT doc_id, source, coalesce(text, '') AS text, {_WORDS} AS words FROM documents),
+        l AS (
+            SELECT *, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM w
+        ), t AS (
+            SELECT doc_id, unnest(list_transform(range(1, len(words) - 1), lambda i: {{'g': array_to_string(words[i:i + 2], ' '), 'pos': i}})) AS t
+            FROM w
+        ), g AS (SELECT doc_id, t.g AS g FROM t GROUP BY 1, 2 HAVING count(*) > 1),
+        r AS (
+            SELECT doc_id, count(DISTINCT pos) AS n_repeat_words
+            FROM (SELECT t.doc_id, unnest([t.t.pos, t.t.pos + 1, t.t.pos + 2]) AS pos FROM t JOIN g ON g.doc_id = t.doc_id AND g.g = t.t.g)
+            GROUP BY doc_id
+        ), m AS (
+            SELECT doc_id, source, len(words)::BIGINT AS n_words, length(array_to_string(words, ''))::BIGINT AS word_chars,
+                (length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
+                len(lines)::BIGINT AS n_lines, (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines,
+                coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words
+            FROM l LEFT JOIN r USING (doc_id)
+        ), f AS (
+            SELECT doc_id, source, n_words < 50 AS short, 100 * n_repeat_words > 50 * n_words AS repeats,
+                100 * n_symbols > 10 * n_words AS symbols, 100 * n_dup_lines > 30 * n_lines AS dup_lines,
+                word_chars < 3 * n_words OR word_chars > 12 * n_words AS word_length FROM m
+        ), h AS (
+            SELECT source, rule, count(*) AS n, count(*) FILTER (failed) AS k
+            FROM (UNPIVOT (SELECT source, short, repeats, symbols, dup_lines, word_length FROM f)
+                  ON short, repeats, symbols, dup_lines, word_length INTO NAME rule VALUE failed)
+            GROUP BY ALL
+        ), p AS (
+            SELECT rule, sum(k) / sum(n) AS mean, sum(k * k / n) / sum(n) - (sum(k) / sum(n)) ** 2 AS variance FROM h GROUP BY rule
+        ), q AS (
+            SELECT rule, mean, least(greatest(CASE WHEN variance > 1e-12 THEN mean * (1 - mean) / variance - 1 ELSE 1000 END, 2), 1000) AS weight
+            FROM p
+        ), bad AS (SELECT DISTINCT source FROM h JOIN q USING (rule) WHERE (k + mean * weight) / (n + weight) > 0.5),
+        judged AS (
+            SELECT m.*, f.short OR f.repeats AS base_failed, bad.source IS NOT NULL AS host_rejected
+            FROM m JOIN f USING (doc_id) LEFT JOIN bad ON bad.source = m.source
+        )"""
+
 ORACLE_SQL = {
+    "op3_host_rules": f"""
+        WITH {_QUALITY}
+        SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, host_rejected,
+            NOT base_failed AND NOT host_rejected AS kept
+        FROM judged
+    """,
     "op1_ngram_join": rf"""
         WITH RECURSIVE w AS (
-            SELECT doc_id, list_transform({_WORDS}, x -> translate(x, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS words
+            SELECT doc_id, list_transform({_WORDS}, lambda x: translate(x, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS words
             FROM documents
         ), s AS (
             SELECT doc_id, unnest(list_distinct(CASE
                 WHEN len(words) = 0 THEN []
                 WHEN len(words) < 4 THEN [array_to_string(words, ' ')]
-                ELSE list_transform(range(1, len(words) - 2), i -> array_to_string(words[i:i + 3], ' ')) END)) AS shingle
+                ELSE list_transform(range(1, len(words) - 2), lambda i: array_to_string(words[i:i + 3], ' ')) END)) AS shingle
             FROM w
         ), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
         c AS (
