@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from voxward.llm.embeddings import CellParams, near_duplicates
 from voxward.llm.ngram_join import JaccardParams, jaccard_components
 from voxward.llm.quality import judge
 from voxward.llm.repeats import RepeatParams, remove_repeats
@@ -26,10 +27,15 @@ def op9_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(docs, RepeatParams(window=100), keep_text=False)
 
 
+def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "embeddings"), CellParams(cosine=0.93))
+
+
 QUERIES = {
     "op1_ngram_join": op1_ngram_join,
     "op3_host_rules": op3_host_rules,
     "op9_suffix_array": op9_suffix_array,
+    "op10_embedding_dedup": op10_embedding_dedup,
 }
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
