@@ -2,13 +2,20 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from voxward.llm.embeddings import CellParams, near_duplicates
 from voxward.llm.ngram_join import JaccardParams, jaccard_components
+from voxward.llm.packing import PackParams, pack_documents
+from voxward.llm.pii import PiiParams, replace_pii
 from voxward.llm.quality import judge
 from voxward.llm.repeats import RepeatParams, remove_repeats
 from voxward.llm.tables import table
+from voxward.llm.token_files import TokenFileParams, read_tokens, write_tokens
+from voxward.session import shared_folder
 
 
 def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,6 +29,24 @@ def op3_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(table(spark, sf_dir, "documents"), PackParams(capacity=1024, end_id=2))
+
+
+def op5_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document the new text and how many entities of which kind were replaced."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return replace_pii(docs, PiiParams(), keep_entities=True).select(
+        "doc_id", "text", F.size("entities").cast("bigint").alias("n_entities"), F.array_sort(F.array_distinct("entities.kind")).alias("kinds")
+    )
+
+
+def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = f"{shared_folder(spark)}/tokens-{uuid.uuid4().hex}"
+    manifest = write_tokens(table(spark, sf_dir, "documents"), folder, TokenFileParams(end_id=2))
+    return read_tokens(manifest, keep_ids=False)
+
+
 def op9_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return remove_repeats(docs, RepeatParams(window=100), keep_text=False)
@@ -34,6 +59,9 @@ def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_ngram_join": op1_ngram_join,
     "op3_host_rules": op3_host_rules,
+    "op4_best_fit_packing": op4_best_fit_packing,
+    "op5_pii_surrogates": op5_pii_surrogates,
+    "op8_token_files": op8_token_files,
     "op9_suffix_array": op9_suffix_array,
     "op10_embedding_dedup": op10_embedding_dedup,
 }
