@@ -38,9 +38,9 @@ class RepeatParams:
     """
 
     window: int = 100
-    gram: int = 16
-    shard_bytes: int = 1 << 20
-    most_segments: int = 10_000
+    gram: int = 40
+    shard_bytes: int = 1 << 19
+    most_segments: int = 2_000
 
     def __post_init__(self) -> None:
         if not 0 < self.gram <= self.window:
@@ -220,27 +220,34 @@ def repeated_spans(docs: DataFrame, params: RepeatParams = RepeatParams()) -> Da
 
 
 def _single_windows(cuts: DataFrame, window: int) -> DataFrame:
-    """Repeats among the windows of very common anchors, by their 128-bit digests."""
+    """Repeats among the windows of very common anchors, by their 128-bit digests.
+
+    What repeats within a batch is told there, so a window leaves each batch
+    once, however common it is.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for doc_id, first, data in zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True):
-                n = len(data) - window + 1
-                digests = [hashlib.blake2b(data[i : i + window], digest_size=16).digest() for i in range(n)]
-                yield pa.RecordBatch.from_pydict(
-                    {"digest": pa.array(digests, pa.binary()), "doc_id": np.full(n, doc_id), "first": first + np.arange(n)}
-                )
-
-    windows = stored(
-        cuts.select("doc_id", "first", "data").mapInArrow(run, "digest binary, doc_id bigint, first bigint")
-        .groupBy("digest", "doc_id").agg(F.min("first").alias("first"), F.array_sort(F.collect_list("first")).alias("all")),
-        "windows",
-    )
-    earliest = stored(windows.groupBy("digest").agg(F.min("doc_id").alias("first_doc"), F.count("*").alias("docs")), "earliest")
-    again = windows.join(earliest, "digest").select(
-        "doc_id", F.explode(F.when(F.col("doc_id") == F.col("first_doc"), F.slice("all", 2, F.size("all"))).otherwise(F.col("all"))).alias("first")
-    )
-    return again.select("doc_id", "first", F.lit(window).cast("int").alias("size"))
+        for whole in batches:
+            for at in range(0, whole.num_rows, 1000):
+                seen: set[bytes] = set()
+                rows = []
+                for doc_id, first, data in sorted(zip(*(whole.slice(at, 1000).column(c).to_pylist() for c in range(3)), strict=True)):
+                    for i in range(len(data) - window + 1):
+                        digest = hashlib.blake2b(data[i : i + window], digest_size=16).digest()
+                        rows.append((digest, doc_id, first + i, digest in seen))
+                        seen.add(digest)
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
+
+    names, types = ["digest", "doc_id", "first", "again"], [pa.binary(), pa.int64(), pa.int64(), pa.bool_()]
+    windows = stored(cuts.select("doc_id", "first", "data").mapInArrow(run, "digest binary, doc_id bigint, first bigint, again boolean"), "windows")
+    left = windows.where("NOT again")
+    # Places in the earliest document, one for each batch it was in.
+    earliest = stored(left.groupBy("digest").agg(F.min("doc_id").alias("first_doc"), F.count("*").alias("times")).where("times > 1"), "earliest")
+    places = left.join(earliest, "digest")
+    own = stored(places.where("doc_id = first_doc").groupBy("digest").agg(F.min("first").alias("first_place")), "places")
+    later = places.join(own, "digest").where("doc_id != first_doc OR first != first_place")
+    size = F.lit(window).cast("int").alias("size")
+    return windows.where("again").select("doc_id", "first", size).union(later.select("doc_id", "first", size))
 
 
 def _covered(n: int, spans: list[dict]) -> np.ndarray:
