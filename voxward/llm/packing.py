@@ -118,9 +118,9 @@ def plan(counts: dict[int, int], capacity: int) -> list[tuple[list[tuple[int, in
     Their number is bounded by the number of lengths, not by the number of
     pieces: each step uses up a length or a kind.
     """
-    state, kinds = _Counts(counts, capacity), []
+    state, full, kinds = _Counts(counts, capacity), [], []
     if state.left[capacity]:
-        kinds.append(([(capacity, 1)], int(state.left[capacity])))
+        full.append(([(capacity, 1)], int(state.left[capacity])))
         state.left[capacity] = 0
     for find in (state.single, state.pair, state.triple):
         for length in range(capacity - 1, 0, -1):
@@ -132,7 +132,32 @@ def plan(counts: dict[int, int], capacity: int) -> list[tuple[list[tuple[int, in
                     break
                 n = state.take((length, *others))
                 kinds.append((_runs((length, *others)), n))
-    return kinds + _best_fit(state.left, capacity)
+    return full + _with_rest(kinds, state.left, capacity)
+
+
+def _with_rest(kinds: list, left: np.ndarray, capacity: int) -> list[tuple[list[tuple[int, int]], int]]:
+    """The exact kinds and best-fit ones for what is left.
+
+    Exact fills can use up the small pieces that large leftovers need. While
+    there are more sequences than the total length asks for, the last of the
+    exact kinds are given back, in growing shares, and the best of these plans
+    is taken.
+    """
+    best, fewest = None, None
+    for share in (0, 1 / 16, 1 / 8, 1 / 4, 1 / 2, 1):
+        keep = len(kinds) - round(share * len(kinds))
+        rest = left.copy()
+        for content, size in kinds[keep:]:
+            for length, times in content:
+                rest[length] += times * size
+        made = _best_fit(rest, capacity)
+        n = sum(size for _, size in kinds[:keep] + made)
+        if fewest is None or n < fewest:
+            best, fewest = kinds[:keep] + made, n
+        total = sum(size for _, size in kinds[:keep]) + -(-int(rest @ np.arange(capacity + 1)) // capacity)
+        if n == total:
+            break
+    return best
 
 
 def _runs(lengths: tuple[int, ...]) -> list[tuple[int, int]]:
