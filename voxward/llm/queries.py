@@ -8,13 +8,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from voxward.llm.embeddings import CellParams, near_duplicates
+from voxward.llm.licenses import scan_licenses
 from voxward.llm.ngram_join import JaccardParams, jaccard_components
 from voxward.llm.packing import PackParams, pack_documents
+from voxward.llm.pieces import PieceParams, encode_pieces
 from voxward.llm.pii import PiiParams, replace_pii
 from voxward.llm.quality import judge
 from voxward.llm.repeats import RepeatParams, remove_repeats
 from voxward.llm.tables import table
 from voxward.llm.token_files import TokenFileParams, read_tokens, write_tokens
+from voxward.llm.warc import read_warc, responses, write_derivatives
 from voxward.session import shared_folder
 
 
@@ -22,6 +25,10 @@ def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"), JaccardParams(width=4, percent=85))
 
 
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(table(spark, sf_dir, "documents"))
+
+
 def op3_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     return judge(docs).select(
@@ -41,6 +48,18 @@ def op5_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_pieces(table(spark, sf_dir, "documents"), PieceParams(), keep_ids=False)
+
+
+def op7_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per page what its two derived records say, read back from the files."""
+    pages = responses(table(spark, sf_dir, "pages"))
+    manifest = write_derivatives(pages, f"{shared_folder(spark)}/warc-{uuid.uuid4().hex}")
+    read = read_warc(manifest, keep_block=False)
+    return pages.select("page_id", F.col("record_id").alias("refers_to")).join(read, "refers_to")
+
+
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = f"{shared_folder(spark)}/tokens-{uuid.uuid4().hex}"
     manifest = write_tokens(table(spark, sf_dir, "documents"), folder, TokenFileParams(end_id=2))
@@ -58,9 +77,12 @@ def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_ngram_join": op1_ngram_join,
+    "op2_license_scan": op2_license_scan,
     "op3_host_rules": op3_host_rules,
     "op4_best_fit_packing": op4_best_fit_packing,
     "op5_pii_surrogates": op5_pii_surrogates,
+    "op6_sentencepiece": op6_sentencepiece,
+    "op7_warc_derivatives": op7_warc_derivatives,
     "op8_token_files": op8_token_files,
     "op9_suffix_array": op9_suffix_array,
     "op10_embedding_dedup": op10_embedding_dedup,
