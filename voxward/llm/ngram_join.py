@@ -31,8 +31,9 @@ from voxward.llm.tables import small_side, stored
 PART_BITS = 20
 #: Parts are ordered by their number of set bits up to this one.
 MOST_BITS = 3
-#: Parts with more members than this are compared in blocks of this size.
-BLOCK = 64
+#: Parts with up to FEW members are joined with themselves, larger ones are compared in blocks of BLOCK members.
+FEW = 64
+BLOCK = 1024
 
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
@@ -239,7 +240,7 @@ def _crossing(block: pd.DataFrame, percent: int) -> pd.DataFrame:
 def _left_over(kept: DataFrame, sketched: DataFrame, components: DataFrame, percent: int) -> DataFrame:
     """Pairs that share a part but are still in different components, sketches compared.
 
-    Parts with up to BLOCK members are joined with themselves; larger ones are
+    Parts with up to FEW members are joined with themselves; larger ones are
     dealt into blocks and compared block by block, so no task holds a whole
     part.
     """
@@ -256,7 +257,7 @@ def _left_over(kept: DataFrame, sketched: DataFrame, components: DataFrame, perc
         "mixed",
     )
     open_rows = stored(labelled.join(mixed, "key"), "open")
-    few = open_rows.where(F.col("members") <= BLOCK).select("key", "doc_id", "component")
+    few = open_rows.where(F.col("members") <= FEW).select("key", "doc_id", "component")
     other = few.select("key", F.col("doc_id").alias("b"), F.col("component").alias("other"))
     pairs = (
         few.withColumnRenamed("doc_id", "a").join(other, "key").where("a > b AND component != other").select("a", "b").distinct()
@@ -265,7 +266,7 @@ def _left_over(kept: DataFrame, sketched: DataFrame, components: DataFrame, perc
 
     blocks = F.ceil(F.col("members") / BLOCK).cast("int")
     dealt = (
-        open_rows.where(F.col("members") > BLOCK)
+        open_rows.where(F.col("members") > FEW)
         .withColumn("block", F.pmod(F.xxhash64("doc_id"), blocks).cast("int"))
         .join(sketched.select("doc_id", "n", "fold"), "doc_id")
     )
