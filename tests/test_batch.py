@@ -55,7 +55,7 @@ def test_chain(spark, tmp_path, mode):
         },
     )
     for _ in range(2):  # a second run of the same number adds nothing
-        out = run_batch(inputs, str(tmp_path / "out"), params=DecisionParams(), mode=mode)
+        out = run_batch(inputs, str(tmp_path / "out"), run=0, params=DecisionParams(), mode=mode)
     (call,) = out["call"].collect()
     assert (call.call_id, call.start_ts, call.end_ts) == ("a#1", at(5), at(40))
     assert call.is_caller_flagged and call.call_was_ai and call.caller_hash == known

@@ -38,14 +38,13 @@ def test_only_closed_ai_calls_with_a_caller_count(spark):
     assert caller.calls_to_flag(spark.createDataFrame(rows, CALLS)).count() == 1
 
 
-@pytest.mark.parametrize("rows,hot_keys", [(1_000_000, 9), (50, 9), (3, 2), (1, 1000)])
-def test_lookup_under_skew(spark, rows, hot_keys):
+def test_lookup_under_skew(spark):
     rng = random.Random(4)
     calls = [(str(i), rng.choice(["hot", "hot", None, f"h{rng.randrange(200)}"])) for i in range(2000)]
     listed = {"hot"} | {f"h{i}" for i in range(0, 200, 3)}
     right = spark.createDataFrame([(h, True) for h in listed], "caller_hash string, found boolean")
     left = spark.createDataFrame(calls, "call_id string, caller_hash string")
-    got = skew.lookup(left, right, "caller_hash", "call_id", rows, hot_keys).collect()
+    got = skew.lookup(left, right, "caller_hash", "call_id").collect()
     assert len(got) == len(calls)
     assert all(bool(r.found) == (r.caller_hash in listed) for r in got)
 
@@ -59,7 +58,8 @@ def test_lookup_counts(spark):
 
 def test_strikes_are_counted_once(spark, tmp_path):
     store = Blocklist(str(tmp_path / "list"))
-    assert store.read(spark).count() == 0
+    with pytest.raises(ValueError):  # neither created nor begun: perhaps a wrong path
+        store.read(spark)
     store.create(spark.createDataFrame([("a", 3, day(0)), ("b", 0, day(1))], FLAGGED))
     flags = "phone_hash string, end_ts timestamp"
     store.add(spark.createDataFrame([("a", day(2)), ("c", day(3))], flags), "live", 0)

@@ -165,10 +165,22 @@ def test_plan_has_one_shuffle_and_one_sort(spark):
     assert plan.count("Sort [") == 1 and plan.count("Window [") == 1
 
 
-def test_timeline_fit_splits_only_when_needed(spark):
+def test_chunks_need_no_job_and_split_a_hot_key(spark):
     rows = spark.range(5000).select(F.lit("hot").alias("k"), F.col("id").alias("n"))
-    assert Timeline.fit(rows, ("k",), ("n",), max_rows=5000).width is None
-    line = Timeline.fit(rows, ("k",), ("n",), max_rows=100)
-    assert line.width and line._largest(rows) <= 100
-    numbered = line.number(rows, "seq").filter("seq <> n + 1")
-    assert numbered.count() == 0
+    tracker = spark.sparkContext.statusTracker()
+    before = set(tracker.getJobIdsForGroup())
+    usual = Timeline.chunked(rows, ("k",), ("n",))
+    assert usual.width == 65_536 and set(tracker.getJobIdsForGroup()) == before
+    line = Timeline(("k",), ("n",), 100)
+    assert line.cut(rows).groupBy(*line.group).count().agg(F.max("count")).first()[0] <= 100
+    assert line.number(rows, "seq").filter("seq <> n + 1").count() == 0
+
+
+@pytest.mark.parametrize("width", [None, 86_400.0, 2.0, 0.25, 1e-6])
+def test_null_keys_and_order_are_the_same_for_every_width(spark, width):
+    rows = [(k, t, i, v) for k in ("a", None) for i, (t, v) in enumerate([(None, 5), (None, None), (0.0, None), (0.3, 7), (0.6, None), (90_000.5, None)])]
+    df = spark.createDataFrame(rows, "k string, s double, i int, v int").selectExpr("k", "timestamp_micros(CAST(s * 1000000 AS BIGINT)) AS t", "i", "v")
+    line = Timeline(("k",), ("t", "i"), width)
+    filled = {(r.k, r.i): r.f for r in line.last_known(df, f="v").collect()}
+    assert filled == {(k, i): v for k in ("a", None) for i, v in enumerate([5, 5, 5, 7, 7, 7])}
+    assert {(r.k, r.i): r.n for r in line.number(df, "n").collect()} == {(k, i): i + 1 for k in ("a", None) for i in range(6)}

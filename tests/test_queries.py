@@ -38,7 +38,7 @@ def test_same_as_sql(spark, con, name):
 
 @pytest.mark.parametrize("name", ORDERED)
 def test_same_in_small_chunks(spark, con, name, monkeypatch):
-    monkeypatch.setattr(timeline, "MAX_CHUNK_ROWS", 3)
+    monkeypatch.setattr(timeline, "WIDTHS", {"time": 600.0, "number": 3.0})
     got = entry.queries()[name](spark, SF).toPandas()
     assert differences(got, con.execute(SQL[name]).df()) is None
 

@@ -45,13 +45,6 @@ def test_fitted_pair_tells_two_groups_apart(spark):
     assert all((r.ll_ai > r.ll_human) == bool(r.i % 2) for r in logs)
 
 
-def test_parameter_table_is_bounded(spark, monkeypatch):
-    monkeypatch.setattr(scoring, "MAX_COMPONENTS", 1)
-    rows = [("ai", i, 0.5, [0.0], [[1.0]]) for i in range(2)]
-    with pytest.raises(ValueError):
-        scoring.load_mixtures(spark.createDataFrame(rows, GMM_MODEL))
-
-
 def test_trained_scorer(spark):
     rows = [(i, i % 2, RNG.normal(3.0 * (i % 2), 1, 4).tolist()) for i in range(100)]
     data = spark.createDataFrame(rows, "i int, y int, x array<float>")

@@ -1,6 +1,7 @@
 import io
+import os
 import wave
-from datetime import datetime
+from datetime import datetime, timedelta
 
 import numpy as np
 import pytest
@@ -10,7 +11,7 @@ from voxward import schemas
 from voxward.operators import framing
 from voxward.sources.alerts import write_alerts
 from voxward.sources.telemetry import read_telemetry
-from voxward.sources.wav import read_wav, wav_bytes, write_wav_frames
+from voxward.sources.wav import read_frames, read_wav, wav_bytes, wav_files, write_wav_frames
 
 RATE = 8000
 
@@ -116,3 +117,71 @@ def test_alerts_are_replaced_not_doubled(spark, tmp_path):
     for epoch in (0, 1, 1):
         write_alerts(alerts, str(tmp_path / "alerts"), epoch)
     assert spark.read.parquet(str(tmp_path / "alerts")).count() == 2
+
+
+def test_tasks_follow_bytes(spark, tmp_path):
+    for i in range(12):
+        store(tmp_path / "h" / f"{i}.wav", np.arange(RATE))
+    tasks = -(-12 * (RATE * 2 + 44) // 4000)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "64")
+    chunks = read_wav(spark, str(tmp_path / "h"), chunk_s=0.25, split_bytes=4000)
+    spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert chunks.rdd.getNumPartitions() == tasks and chunks.count() == 48
+
+
+def test_recordings_of_a_host_never_mix(spark, tmp_path):
+    store(tmp_path / "h" / "a.wav", np.full(RATE + 3000, 1))
+    store(tmp_path / "h" / "b.wav", np.full(RATE + 5000, 2))
+    chunks = read_wav(spark, str(tmp_path / "h"), chunk_s=0.3, pcm=True)
+    frames = framing.to_frames(chunks, frame_s=1.0).collect()
+    assert len(frames) == 2 and {len(set(np.frombuffer(f.samples, "<i2"))) for f in frames} == {1}
+    assert {f.host_id for f in frames} == {"h"} and len({f.recording for f in frames}) == 2
+
+
+def test_frames_take_each_files_rate_in_one_pass(spark, tmp_path):
+    for rate in (8_000, 16_000):
+        store(tmp_path / "h" / f"{rate}.wav", np.arange(rate * 9) % 100, rate)
+    frames = read_frames(spark, str(tmp_path / "h"), pcm=True)
+    plan = frames._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInPandas") == 2  # headers, then audio: once each
+    got = frames.collect()
+    assert sorted(len(f.samples) for f in got) == [48_000] * 3 + [96_000] * 3
+    assert {f.frame_seq for f in got} == {0, 1, 2}
+
+
+def test_stored_frames_come_back_in_order_and_time(spark, tmp_path):
+    at = datetime(2024, 5, 1, 9, 8, 7, 123000)
+    rows = [("c1", k, at + timedelta(seconds=3 * k), [k / 100] * (3 * RATE)) for k in (0, 1, 41)]
+    frames = spark.createDataFrame(rows, "call_id string, frame_seq int, captured_at timestamp, samples array<float>")
+    write_wav_frames(frames, str(tmp_path), rate=RATE)
+    got = read_frames(spark, f"{tmp_path}/*").orderBy("frame_seq").collect()
+    assert [(f.host_id, f.frame_seq, f.captured_at.time()) for f in got] == [("c1", k, t.time()) for _, k, t, _ in rows]
+    assert [f.samples[0] for f in got] == pytest.approx([0, 0.01, 0.41], abs=1e-4)
+
+
+def test_a_recording_without_a_time_began_before_its_file_was_closed(spark, tmp_path):
+    store(tmp_path / "h" / "a.wav", np.arange(RATE * 4))
+    os.utime(tmp_path / "h" / "a.wav", (1_700_000_000, 1_700_000_000))
+    first = read_wav(spark, str(tmp_path / "h"), chunk_s=1.0).orderBy("chunk_seq").first()
+    assert first.captured_at.timestamp() == 1_700_000_000 - 4
+
+
+def test_files_that_cannot_be_read_are_listed(spark, tmp_path):
+    folder = tmp_path / "h"
+    store(folder / "good.wav", np.arange(RATE))
+    (folder / "text.wav").write_bytes(b"no audio here at all")
+    (folder / "cut.wav").write_bytes((folder / "good.wav").read_bytes()[:30])
+    (folder / "short.wav").write_bytes((folder / "good.wav").read_bytes()[:1044])
+    with wave.open(str(folder / "wide.wav"), "wb") as wav:
+        wav.setnchannels(1)
+        wav.setsampwidth(3)
+        wav.setframerate(RATE)
+        wav.writeframes(bytes(30))
+    reasons = {r.path.rsplit("/", 1)[1]: r.reason for r in wav_files(spark, str(folder)).collect()}
+    assert reasons == {
+        "good.wav": None, "short.wav": None, "text.wav": "no WAVE header", "cut.wav": "no samples",
+        "wide.wav": "24-bit samples, expected 16-bit",
+    }
+    sizes = {r.path.rsplit("/", 1)[1]: len(r.samples) for r in read_wav(spark, str(folder)).collect()}
+    assert sizes == {"good.wav": RATE, "short.wav": 500}

@@ -7,6 +7,7 @@ import pytest
 
 from test_calls import fold
 from test_decision import replay
+from voxward.operators.calls import call_edges, latch
 from voxward.operators.decision import align_scores, decision_engine
 from voxward.operators.rollup import voice_alerts
 from voxward.params import MIC_CONSENT_ROOT, DecisionParams
@@ -14,6 +15,7 @@ from voxward.schemas import TELEMETRY
 from voxward.sources.blocklist import Blocklist
 from voxward.streaming.blocklist import blocklist_stream
 from voxward.streaming.decisions import decision_stream
+from voxward.session import closed
 from voxward.sources.telemetry import read_telemetry
 from voxward.streaming.monitor import call_monitor_stream, poll_status_stream
 
@@ -175,3 +177,30 @@ def test_blocklist_job(spark, tmp_path):
     assert alerts == ["1", "3"]
     counts = {r.phone_hash: r.strike_count for r in store.read(spark).collect()}
     assert counts == {"x": 2, "y": 1}
+
+
+def test_nan_and_null_are_told_apart_as_in_batch(spark, tmp_path):
+    schema = "call_id string, update_ts timestamp, update_seq int, cnn double, gmm double"
+    values = [float("nan")] * 6 + [None] * 6 + [0.5] * 6
+    rows = [(c, T0 + timedelta(seconds=i), i, v, None) for c in ("a", "b") for i, v in enumerate(values)]
+    path = str(tmp_path / "in")
+    spark.createDataFrame(rows, schema).coalesce(1).write.parquet(path)
+    stream = decision_stream(closed(source(spark, path, schema), "update_ts", "call_id"))
+    fields = ("label", "should_notify", "buffer_full", "frames_buffered")
+    got = {(r.call_id, r.update_seq): [r[f] for f in fields] for r in run(spark, stream, "nan", tmp_path).collect()}
+    batch = decision_engine(spark.createDataFrame(rows, schema)).collect()
+    assert got == {(r.call_id, r.update_seq + 1): [r[f] for f in fields] for r in batch}
+    assert any(label == "AI Generated" for label, *_ in got.values())
+
+
+@pytest.mark.parametrize("require_mic", [True, False])
+def test_unknown_audio_keeps_the_state_as_in_batch(spark, tmp_path, require_mic):
+    schema = "host_id string, poll_ts timestamp, has_voip_audio boolean, mic_active boolean"
+    told = [(None, True), (True, True), (None, None), (True, None), (False, True), (None, True), (True, None), (None, None)]
+    rows = [("h", T0 + timedelta(seconds=s), a, m) for s, (a, m) in enumerate(told)]
+    path = str(tmp_path / "in")
+    spark.createDataFrame(rows, schema).coalesce(1).write.parquet(path)
+    events = call_monitor_stream(closed(source(spark, path, schema), "poll_ts", "host_id"), require_mic)
+    got = {(r.edge, r.end_ts or r.start_ts) for r in run(spark, events, f"unknown_{require_mic}".lower(), tmp_path).collect()}
+    edges = call_edges(latch(spark.createDataFrame(rows, schema), require_mic)).where("edge IS NOT NULL").collect()
+    assert got == {(r.edge, r.poll_ts) for r in edges}

@@ -40,7 +40,6 @@ from voxward.operators.rollup import (
 from voxward.operators.scoring import (
     LogisticScorer,
     Mixture,
-    OnnxScorer,
     fit_gmm_pair,
     fit_logistic,
     gmm_loglik,
@@ -63,7 +62,7 @@ from voxward.plans.batch import BatchInputs, batch_predict, run_batch
 from voxward.sources.alerts import write_alerts
 from voxward.sources.blocklist import Blocklist
 from voxward.sources.telemetry import read_telemetry
-from voxward.sources.wav import read_wav, write_wav_frames
+from voxward.sources.wav import read_frames, read_wav, wav_files, write_wav_frames
 from voxward.streaming.blocklist import blocklist_stream
 from voxward.streaming.decisions import decision_stream
 from voxward.streaming.monitor import call_monitor_stream, poll_status_stream

@@ -7,11 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from voxward.operators.timeline import Timeline
-from voxward.params import CAPTURE_RATE, FRAME_SECONDS, RECORDER_FRAMES
-
-
-def frame_length(frame_s: float = FRAME_SECONDS, rate: int = CAPTURE_RATE) -> int:
-    return int(rate * frame_s)
+from voxward.params import FRAME_SECONDS, RECORDER_FRAMES
 
 
 def with_positions(chunks: DataFrame, key: str, seq: str, line: Timeline | None = None) -> DataFrame:
@@ -49,7 +45,18 @@ def _part(pcm: bool, first: Column, length: Column) -> Column:
     return F.slice("samples", (first + 1).cast("int"), length.cast("int"))
 
 
-def _pieces(chunks: DataFrame, key: str, n: int) -> DataFrame:
+def _recording(chunks: DataFrame, key: str | None) -> tuple[str, list[str]]:
+    """The column that tells recordings apart, and those to carry along with it."""
+    key = key or ("recording" if "recording" in chunks.columns else "host_id")
+    return key, [c for c in ("host_id",) if c in chunks.columns and c != key]
+
+
+def _frame_size(frame_s: float, n: int | None) -> Column:
+    """Samples of a frame: ``n``, else by the row's own rate."""
+    return F.lit(n) if n else F.floor(F.col("sample_rate") * F.lit(frame_s)).cast("int")
+
+
+def _pieces(chunks: DataFrame, columns: list[str], n: Column) -> DataFrame:
     """Each chunk cut where frames begin."""
     pcm = _is_pcm(chunks)
     start = F.col("first_sample")
@@ -64,7 +71,7 @@ def _pieces(chunks: DataFrame, key: str, n: int) -> DataFrame:
 
     has = _count(pcm) > 0
     pieces = chunks.filter(has).select(
-        key,
+        *columns,
         F.col("captured_at"),
         F.inline(F.transform(F.sequence(first, last), piece)),
         F.col("sample_rate"),
@@ -80,51 +87,53 @@ def _pieces(chunks: DataFrame, key: str, n: int) -> DataFrame:
 
 def whole_frames(
     chunks: DataFrame,
-    key: str = "host_id",
+    key: str | None = None,
     frame_s: float = FRAME_SECONDS,
-    rate: int = CAPTURE_RATE,
     n: int | None = None,
 ) -> DataFrame:
     """The frames that lie inside one chunk: all of them, where chunks end at frame borders.
 
     Needs no state, so it works on streams as it is.
     """
-    n = n or frame_length(frame_s, rate)
-    pieces = _pieces(chunks, key, n)
-    columns = [key, "frame_seq", "captured_at", "sample_rate", "samples"]
-    return pieces.filter(_count(_is_pcm(pieces)) == n).select(*columns)
+    key, carried = _recording(chunks, key)
+    size = _frame_size(frame_s, n)
+    pieces = _pieces(chunks, [key, *carried], size)
+    columns = [key, *carried, "frame_seq", "captured_at", "sample_rate", "samples"]
+    return pieces.filter(_count(_is_pcm(pieces)) == size).select(*columns)
 
 
 def to_frames(
     chunks: DataFrame,
-    key: str = "host_id",
+    key: str | None = None,
     frame_s: float = FRAME_SECONDS,
-    rate: int = CAPTURE_RATE,
     n: int | None = None,
 ) -> DataFrame:
-    """Frames of ``n`` samples without overlap; an incomplete tail is left out.
-
-    Expects mono chunks with ``first_sample``; samples are arrays or PCM bytes. Whole frames leave at once, so a
-    reader that cuts chunks at frame borders causes no shuffle of audio; only
-    the pieces of frames that span chunks are brought together, one frame's
-    samples per group.
+    """Frames of ``frame_s`` seconds at each row's own rate, or of ``n`` samples, without overlap.
+
+    For chunks that end anywhere; ``read_frames`` reads files in a single pass.
+    Expects mono chunks with ``first_sample``; samples are arrays or PCM bytes.
+    Frames never mix recordings: ``key`` tells them apart, by default
+    ``recording``, or ``host_id`` where there is no such column. An incomplete
+    tail is left out. Whole frames leave at once; only the pieces of frames
+    that span chunks are brought together, one frame's samples per group.
     """
-    n = n or frame_length(frame_s, rate)
-    whole, pieces = whole_frames(chunks, key, n=n), _pieces(chunks, key, n)
+    key, carried = _recording(chunks, key)
+    size = _frame_size(frame_s, n)
+    whole, pieces = whole_frames(chunks, key, frame_s, n), _pieces(chunks, [key, *carried], size)
     pcm = _is_pcm(chunks)
     joined = F.flatten(F.col("_parts.samples"))
     if pcm:
         empty = F.lit(b"")
         joined = F.aggregate(F.col("_parts.samples"), empty, lambda a, b: F.concat(a, b))
     parts = (
-        pieces.filter(_count(pcm) < n)
-        .groupBy(key, "frame_seq", "sample_rate")
+        pieces.filter(_count(pcm) < size)
+        .groupBy(key, *carried, "frame_seq", "sample_rate")
         .agg(
             F.min("captured_at").alias("captured_at"),
             F.array_sort(F.collect_list(F.struct("_at", "samples"))).alias("_parts"),
         )
         .withColumn("samples", joined)
-        .filter(_count(pcm) == n)
+        .filter(_count(pcm) == size)
     )
     return whole.unionByName(parts.select(*whole.columns))
 

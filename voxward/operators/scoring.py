@@ -23,9 +23,6 @@ from voxward.schemas import GMM_MODEL
 
 Scorer = Callable[[np.ndarray], np.ndarray]
 
-# A parameter table is small by nature; anything larger is a mistake.
-MAX_COMPONENTS = 4096
-
 
 @dataclass(frozen=True)
 class LogisticScorer:
@@ -39,24 +36,6 @@ class LogisticScorer:
         return 1.0 / (1.0 + np.exp(-np.clip(z, -700, 700)))
 
 
-class OnnxScorer:
-    """A trained network, loaded once per Python worker from a path all workers reach."""
-
-    _sessions: dict[str, object] = {}
-
-    def __init__(self, path: str):
-        self.path = path
-
-    def __call__(self, features: np.ndarray) -> np.ndarray:
-        if self.path not in self._sessions:
-            import onnxruntime
-
-            self._sessions[self.path] = onnxruntime.InferenceSession(self.path)
-        session = self._sessions[self.path]
-        feed = {session.get_inputs()[0].name: features[..., None].astype(np.float32)}
-        return np.asarray(session.run(None, feed)[0]).reshape(len(features))
-
-
 @dataclass(frozen=True)
 class Mixture:
     weights: np.ndarray
@@ -70,10 +49,11 @@ class Mixture:
 
 
 def load_mixtures(params: DataFrame) -> dict[str, Mixture]:
-    """The mixtures of a parameter table, by model name."""
-    rows = params.orderBy("model", "component").limit(MAX_COMPONENTS + 1).collect()
-    if len(rows) > MAX_COMPONENTS:
-        raise ValueError(f"more than {MAX_COMPONENTS} mixture components")
+    """The mixtures of a parameter table, by model name.
+
+    Holds the model itself, a few rows by contract, so it is read whole.
+    """
+    rows = params.orderBy("model", "component").collect()
     out = {}
     for name in sorted({r["model"] for r in rows}):
         mine = [r for r in rows if r["model"] == name]
@@ -188,7 +168,7 @@ def measure_frames(
         out["max_amplitude"] = [np.abs(x).max() if len(x) else None for x in samples]
         heard = np.ones(len(samples), bool)
         if silence is not None:
-            out["silence_ratio"] = [dsp.silence_ratio(x, silence) for x in samples]
+            out["silence_ratio"] = [dsp.silence_ratio(x, silence.at(r)) for x, r in zip(samples, rates, strict=True)]
             heard = (out["silence_ratio"] <= silence.max_ratio).to_numpy()
         if heard.any():
             for name, values in score(samples[heard], rates[heard]).items():
@@ -248,28 +228,39 @@ def latency_stats(
     quantiles: tuple[float, ...] = (0.5, 0.95),
     step: float = 0.01,
 ) -> DataFrame:
-    """Count, mean and exact quantiles of the times per model, on a grid of ``step`` ms.
+    """Count, mean and exact quantiles of the times per model.
 
-    Times are counted per grid value first, so what a model's window sees is
-    the number of distinct times, not of results.
+    A quantile is the smallest time that so large a share of the results does
+    not exceed. Counts on a grid of ``step`` ms tell in which cell it lies, then
+    the distinct times of that cell are ranked, so a window sees no more rows
+    than there are cells, or distinct times in one.
     """
-    grid = F.round(F.col(value) / step).cast("bigint")
-    counts = results.filter(F.col(value).isNotNull()).groupBy(key, grid.alias("_grid")).agg(
-        F.count(F.lit(1)).alias("_n"), F.sum(value).alias("_sum")
+    timed = results.filter(F.col(value).isNotNull()).select(
+        F.col(key), F.col(value), F.floor(F.col(value) / step).alias("_cell")
     )
-    upto = Window.partitionBy(key).orderBy("_grid")
-    counts = counts.withColumns(
-        {
-            "_seen": F.sum("_n").over(upto),
-            "_all": F.sum("_n").over(Window.partitionBy(key)),
-        }
+    cells = timed.groupBy(key, "_cell").agg(F.count(F.lit(1)).alias("_n"), F.sum(value).alias("_sum"))
+    upto = Window.partitionBy(key).orderBy("_cell")
+    cells = cells.withColumns(
+        {"_seen": F.sum("_n").over(upto), "_all": F.sum("_n").over(Window.partitionBy(key))}
     )
+    wanted = F.explode(F.array(*[F.lit(float(q)) for q in quantiles])).alias("_q")
+    hit = cells.select("*", wanted).filter(
+        (F.col("_seen") >= F.col("_all") * F.col("_q")) & (F.col("_seen") - F.col("_n") < F.col("_all") * F.col("_q"))
+    )
+    hit = hit.select(
+        F.col(key).alias("_key"), F.col("_cell").alias("_at"), "_q",
+        (F.col("_seen") - F.col("_n")).alias("_before"), (F.col("_all") * F.col("_q")).alias("_rank"),
+    )
+    times = timed.groupBy(key, "_cell", value).agg(F.count(F.lit(1)).alias("_n"))
+    inside = times.join(hit, F.col(key).eqNullSafe(F.col("_key")) & (F.col("_cell") == F.col("_at")))
+    within = Window.partitionBy(key, "_q").orderBy(value)
+    inside = inside.withColumn("_seen", F.col("_before") + F.sum("_n").over(within))
     picks = [
-        (F.min(F.when(F.col("_seen") >= F.col("_all") * q, F.col("_grid"))) * step).alias(
+        F.min(F.when((F.col("_q") == float(q)) & (F.col("_seen") >= F.col("_rank")), F.col(value))).alias(
             f"p{round(q * 100)}_ms"
         )
         for q in quantiles
     ]
-    return counts.groupBy(key).agg(
-        F.sum("_n").alias("n"), (F.sum("_sum") / F.sum("_n")).alias("avg_ms"), *picks
-    )
+    found = inside.groupBy(F.col(key).alias("_key")).agg(*picks)
+    sums = cells.groupBy(key).agg(F.sum("_n").alias("n"), (F.sum("_sum") / F.sum("_n")).alias("avg_ms"))
+    return sums.join(found, F.col(key).eqNullSafe(F.col("_key")), "left").drop("_key")

@@ -1,45 +1,18 @@
-"""Joins whose left side may have a few very frequent keys."""
+"""Joins whose left side may have many rows without a key."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Left rows of one key that one task may get; keys with more are split.
-ROWS_PER_TASK = 1_000_000
-# The broadcast below never holds more rows than this, whatever the input.
-HOT_KEYS = 16_384
 
+def lookup(left: DataFrame, right: DataFrame, key: str, row_id: str) -> DataFrame:
+    """Left join to a table with one row per ``key``.
 
-def lookup(
-    left: DataFrame,
-    right: DataFrame,
-    key: str,
-    row_id: str,
-    rows_per_task: int = ROWS_PER_TASK,
-    hot_keys: int = HOT_KEYS,
-) -> DataFrame:
-    """Left join to a table with one row per ``key``, balanced under skew.
-
-    Keys with more than ``rows_per_task`` rows are found by a grouped count.
-    The most frequent of them, at most ``hot_keys``, get a number of salts in
-    proportion to their rows and are broadcast: that table is small by
-    construction. Their left rows are spread by ``row_id``, their right row is
-    repeated once per salt, all others join as they are, and the adaptive skew
-    join takes what is left. Rows with a NULL key match nothing and are spread
-    too, so they never share a task.
+    Rows with a NULL key match nothing and are spread by ``row_id``, so they
+    never share a task. Very frequent keys are left to the adaptive skew join,
+    which splits the left side of this join by itself.
     """
-    counts = left.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
-    hot = (
-        counts.filter(F.col("_n") > rows_per_task)
-        .orderBy(F.desc("_n"), key)
-        .limit(hot_keys)
-        .select(key, F.ceil(F.col("_n") / rows_per_task).cast("int").alias("_salts"))
-    )
-    hot = F.broadcast(hot)
-    spread = F.abs(F.xxhash64(row_id) % F.lit(1 << 20)).cast("int")
-    salt = F.when(F.col(key).isNull(), spread).otherwise(F.coalesce(spread % F.col("_salts"), F.lit(0)))
-    salted = left.join(hot, key, "left").withColumn("_salt", salt).drop("_salts")
-    copies = F.sequence(F.lit(0), F.coalesce(F.col("_salts"), F.lit(1)) - 1)
-    repeated = right.join(hot, key, "left").withColumn("_salt", F.explode(copies)).drop("_salts")
-    return salted.join(repeated, [key, "_salt"], "left").drop("_salt")
+    spread = F.when(F.col(key).isNull(), F.xxhash64(row_id)).otherwise(F.lit(0))
+    salted = left.withColumn("_salt", spread)
+    return salted.join(right.withColumn("_salt", F.lit(0).cast("bigint")), [key, "_salt"], "left").drop("_salt")

@@ -12,67 +12,50 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
-from math import ceil, log2
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 CHUNK = "_chunk"
-# Rows one windowed group may hold: small enough for one task to sort in memory.
-MAX_CHUNK_ROWS = 1_000_000
-_WIDEST = {"time": 86_400, "number": 65_536}
+# Chunk widths by kind of order column: a day of seconds, or so many numbers. At a
+# row per second and key a chunk is small enough for one task to sort in memory.
+WIDTHS = {"time": 86_400.0, "number": 65_536.0}
 
 
 def position(df: DataFrame, name: str) -> Column:
-    """The order column as a whole number: seconds for times, itself for integers."""
+    """The order column as a whole number: microseconds for times, itself for integers."""
     kind, col = df.schema[name].dataType, F.col(name)
     if isinstance(kind, T.TimestampType):
-        return F.unix_seconds(col)
+        return F.unix_micros(col)
     if isinstance(kind, T.TimestampNTZType):
         # Built from date parts, so it ignores the session time zone.
-        parts = F.hour(col) * 3600 + F.minute(col) * 60 + F.second(col)
-        return F.unix_date(F.to_date(col)).cast("bigint") * 86_400 + parts
+        parts = F.hour(col) * 3600 + F.minute(col) * 60
+        day = F.unix_date(F.to_date(col)).cast("bigint") * 86_400 + parts
+        return day * 1_000_000 + (F.extract(F.lit("SECOND"), col) * 1_000_000).cast("bigint")
     return col.cast("bigint")
 
 
 @dataclass(frozen=True)
 class Timeline:
-    """Row order inside ``keys``; ``width`` cuts it into chunks, None means one chunk."""
+    """Row order inside ``keys``; ``width`` cuts it into chunks, None means one chunk.
+
+    ``width`` is in seconds for times, down to a microsecond, and in units for
+    numbers. NULL keys are a key, and NULLs in the order come first, with any
+    width.
+    """
 
     keys: tuple[str, ...]
     order: tuple[str, ...]
-    width: int | None = None
+    width: float | None = None
 
     @classmethod
-    def fit(
-        cls,
-        df: DataFrame,
-        keys: tuple[str, ...],
-        order: tuple[str, ...],
-        max_rows: int | None = None,
-    ) -> Timeline:
-        """Pick the widest chunks that hold at most ``max_rows`` rows.
-
-        Measures with grouped counts that are combined before the shuffle; one
-        number comes back. Tables below ``max_rows`` rows need the count only.
-        """
-        limit = MAX_CHUNK_ROWS if max_rows is None else max_rows
-        whole = cls(tuple(keys), tuple(order))
-        if df.count() <= limit or whole._largest(df) <= limit:
-            return whole
+    def chunked(cls, df: DataFrame, keys: tuple[str, ...], order: tuple[str, ...]) -> Timeline:
+        """Chunks of the usual width for the kind of ``order``; looks at the schema only."""
         numeric = isinstance(df.schema[order[0]].dataType, T.IntegralType)
-        width = _WIDEST["number" if numeric else "time"]
-        while True:
-            line = cls(whole.keys, whole.order, width)
-            rows = line._largest(df)
-            if rows <= limit or width == 1:
-                return line
-            width = max(1, width >> ceil(log2(rows / limit)))
-
-    def _largest(self, df: DataFrame) -> int:
-        counts = self.cut(df).groupBy(*self.group).agg(F.count(F.lit(1)).alias("n"))
-        return counts.agg(F.max("n")).first()[0] or 0
+        return cls(tuple(keys), tuple(order), WIDTHS["number" if numeric else "time"])
 
     @property
     def group(self) -> list[str]:
@@ -85,14 +68,17 @@ class Timeline:
 
     @property
     def at(self) -> Column:
-        """Order of a row as one comparable value."""
-        return F.col(self.order[0]) if len(self.order) == 1 else F.struct(*self.order)
+        """Order of a row as one comparable value, which is never NULL itself."""
+        return F.struct(*self.order)
 
     def cut(self, df: DataFrame) -> DataFrame:
         """Add the chunk number, once."""
         if not self.width or CHUNK in df.columns:
             return df
-        return df.withColumn(CHUNK, F.floor(position(df, self.order[0]) / F.lit(self.width)))
+        is_number = isinstance(df.schema[self.order[0]].dataType, T.IntegralType)
+        unit = max(1, round(self.width if is_number else self.width * 1_000_000))
+        at = position(df, self.order[0])
+        return df.withColumn(CHUNK, (at - F.pmod(at, F.lit(unit))) / F.lit(unit))
 
     def carry(
         self,
@@ -111,8 +97,10 @@ class Timeline:
         if not self.width:
             return df.withColumns({n: F.lit(None).cast(kinds[n]) for n in folds})
         chunks = Window.partitionBy(*self.keys).orderBy(CHUNK)
-        carried = summary.select(*self.group, *[f(chunks).alias(n) for n, f in folds.items()])
-        return df.join(carried, self.group, "left")
+        own = [F.col(c).alias(f"_of_{c}") for c in self.group]
+        carried = summary.select(*own, *[f(chunks).alias(n) for n, f in folds.items()])
+        same = reduce(and_, [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in self.group])
+        return df.join(carried, same, "left").drop(*[f"_of_{c}" for c in self.group])
 
     def summarize(self, df: DataFrame, **aggs: Column) -> DataFrame:
         """One row per chunk from aggregates that combine before the shuffle."""

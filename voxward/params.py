@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 # Model and decision contracts which results depend on.
 VOIP_KEYWORDS = (
@@ -64,6 +64,7 @@ class DecisionParams:
 APP_PROFILE = DecisionParams(cnn_weight=0.6, gmm_weight=0.4)
 
 
+# Cut points, and below it windows and level of silence.
 @dataclass(frozen=True)
 class ModelThresholds:
     """Cut points, in percent, of the label a single model gives."""
@@ -79,6 +80,10 @@ class SilenceParams:
     threshold_db: float = -40.0
     max_ratio: float = MAX_SILENCE_RATIO
 
+    def at(self, rate: int) -> SilenceParams:
+        """The same windows of time at another sample rate."""
+        return replace(self, sample_rate=int(rate))
+
     @property
     def chunk_samples(self) -> int:
         return max(1, int(self.sample_rate * self.chunk_ms / 1000))

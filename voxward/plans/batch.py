@@ -44,8 +44,8 @@ def batch_predict(
 def run_batch(
     inputs: BatchInputs,
     out: str,
+    run: int,
     job: str = "batch",
-    run: int = 0,
     params: DecisionParams = APP_PROFILE,
     silence: SilenceParams = SilenceParams(),
     mode: str = "per_result",
@@ -55,8 +55,10 @@ def run_batch(
 
     Each stage writes its table and the next reads it, so lost executors cost
     no more than the stage at hand. Audio is read once, by the measuring stage,
-    and is in no shuffle; frames are given to calls by what was measured. The
-    same ``job`` and ``run`` again give the same tables and no second strike.
+    and is in no shuffle; frames are given to calls by what was measured. A
+    ``job`` numbers its runs: the same ``run`` again gives the same tables and no
+    second strike, the next data needs the next number. Frames may come from
+    several recordings in a call; ``per_frame`` takes them by their times.
     """
     spark = inputs.sessions.sparkSession
 
@@ -66,7 +68,7 @@ def run_batch(
 
     status = detection.poll_status(inputs.sessions, inputs.processes, inputs.mic, root=mic_root)
     status = store(status, "poll_status")
-    polls = Timeline.fit(status.select(*detection.POLL), ("host_id",), ("poll_ts",))
+    polls = Timeline.chunked(status, ("host_id",), ("poll_ts",))
     latched = calls.latch(status, require_mic=True, line=polls)
     sessions = store(calls.call_sessions(calls.call_edges(latched), polls), "call_session")
 
@@ -77,13 +79,13 @@ def run_batch(
     results = results.withColumn("result_ts", F.col("captured_at"))
 
     frame_keys = measured.select(*FRAME)
-    width = Timeline.fit(frame_keys, ("host_id",), ("captured_at",)).width
+    width = Timeline.chunked(frame_keys, ("host_id",), ("captured_at",)).width
     in_calls = calls.assign_calls(frame_keys, sessions, width=width)
     scored = calls.assign_calls(results, sessions, tie=("model",), width=width)
-    slot = "tick" if mode == "per_result" else "frame_seq"
+    slot = "tick" if mode == "per_result" else "captured_at"
     scored = scored.withColumn("tick", decision.tick_of(F.col("result_ts"), TICK_MS))
     scored = store(scored, "model_result")
-    line = Timeline.fit(scored.select("call_id", slot), ("call_id",), (slot,))
+    line = Timeline.chunked(scored, ("call_id",), (slot,))
     updates = decision.align_scores(scored, mode, slot=slot, line=line)
     updates = line.number(updates, "update_seq").withColumnRenamed("result_ts", "update_ts")
     decided = store(decision.decision_engine(updates, params, line=line), "decision")
@@ -106,5 +108,5 @@ def run_batch(
         "model_result": scored,
         "decision": decided,
         "call": full,
-        "alert": spark.read.parquet(f"{out}/alert").drop("epoch"),
+        "alert": spark.read.parquet(f"{out}/alert").where(F.col("epoch") == run).drop("epoch"),
     }

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,7 +24,8 @@ from voxward.operators.timeline import Timeline
 from voxward.params import APP_PROFILE
 from voxward.plans import adapters as A
 from voxward.plans import batch
-from voxward.session import drain, materialize
+from voxward.session import closed, delete_at_end, drain, materialize, shared_folder
+from voxward.sources.wav import read_frames, write_wav_frames
 from voxward.streaming.decisions import decision_stream
 from voxward.streaming.monitor import call_monitor_stream
 
@@ -36,11 +39,11 @@ def r(col: Column | str, digits: int = DIGITS) -> Column:
 
 
 def _score_line(df: DataFrame) -> Timeline:
-    return Timeline.fit(df.select("call_id", *ORDER), ("call_id",), ORDER)
+    return Timeline.chunked(df, ("call_id",), ORDER)
 
 
 def _poll_line(df: DataFrame) -> Timeline:
-    return Timeline.fit(df.select("host_id", *POLL_ORDER), ("host_id",), POLL_ORDER)
+    return Timeline.chunked(df, ("host_id",), POLL_ORDER)
 
 
 # Detection
@@ -231,6 +234,35 @@ def pcm16(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def wav_round_trip(spark: SparkSession, sf: str) -> DataFrame:
+    """Vectors written as numbered WAV files, two rates and two recordings a host, and read back as frames.
+
+    Files hold 64 samples, frames take 4 ms: one or two to a file.
+    """
+    at = F.col("vec_id") * 7919 % 86_400_000
+    made = A.table(spark, sf, "embeddings").select(
+        F.concat(F.lit("rec"), "label", F.lit("-"), F.col("vec_id") % 2).alias("call_id"),
+        F.col("vec_id").cast("int").alias("frame_seq"),
+        F.timestamp_millis(at).alias("captured_at"),
+        F.when(F.col("vec_id") % 4 < 2, 8_000).otherwise(16_000).alias("sample_rate"),
+        F.col("embedding").alias("samples"),
+    )
+    folder = f"{shared_folder(spark)}/wav-{uuid.uuid4().hex}"
+    write_wav_frames(made, folder)
+    delete_at_end(spark, folder)
+    frames = read_frames(spark, f"{folder}/*", frame_s=0.004, pcm=False)
+    pcm = F.transform("samples", lambda v: F.round(v * 32_768).cast("bigint"))
+    return frames.select(
+        F.col("host_id").alias("call_id"),
+        F.element_at(F.split("recording", "/"), -1).alias("recording"),
+        "frame_seq",
+        "sample_rate",
+        F.date_format("captured_at", "HH:mm:ss.SSSSSS").alias("taken"),
+        F.aggregate(pcm, F.lit(0).cast("bigint"), lambda a, v: a + v).alias("total"),
+        F.concat_ws(",", pcm.cast("array<string>")).alias("pcm"),
+    )
+
+
 def audio_silence(spark: SparkSession, sf: str) -> DataFrame:
     """The Arrow form on three-second frames at 48 kHz."""
     checked = quality.frame_quality(A.tones(spark, sf), audio=True)
@@ -399,7 +431,7 @@ def latest_n(spark: SparkSession, sf: str) -> DataFrame:
 
 def _aligned(spark: SparkSession, sf: str, mode: str) -> DataFrame:
     found = A.results(spark, sf)
-    line = Timeline.fit(found.select("call_id", "tick"), ("call_id",), ("tick",))
+    line = Timeline.chunked(found, ("call_id",), ("tick",))
     updates = decision.align_scores(found, mode, line=line)
     return updates.select("call_id", "tick", "result_ts", r("cnn").alias("cnn"), r("gmm").alias("gmm"))
 
@@ -522,13 +554,12 @@ def call_report(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-# Streams over the events; the last hour stays behind the watermark.
+# Streams over the events, closed so that nothing stays behind the watermark.
 
 
 def live_decisions(spark: SparkSession, sf: str) -> DataFrame:
-    stream = decision_stream(
-        A.scores(spark, sf, A.live), APP_PROFILE, ts="ts", tie="event_id", delay="1 hour"
-    )
+    scores = closed(A.scores(spark, sf, A.live), "ts", "call_id")
+    stream = decision_stream(scores, APP_PROFILE, ts="ts", tie="event_id", delay="1 hour", idle_s=None)
     return drain(stream, "decisions").select(
         "call_id",
         F.col("tie").alias("event_id"),
@@ -542,7 +573,7 @@ def live_decisions(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def live_calls(spark: SparkSession, sf: str) -> DataFrame:
-    stream = call_monitor_stream(A.polls(spark, sf, A.live), delay="1 hour", tie="event_id")
+    stream = call_monitor_stream(closed(A.polls(spark, sf, A.live), "poll_ts", "host_id"), delay="1 hour", tie="event_id")
     found = drain(stream, "calls")
     start, end = F.unix_micros("start_ts"), F.unix_micros("end_ts").cast("double")
     return found.select("call_id", "host_id", "edge", start.alias("start_us"), end.alias("end_us"))
@@ -575,6 +606,7 @@ QUERIES = {
         rms_normalize,
         downmix,
         pcm16,
+        wav_round_trip,
         audio_silence,
         pcm_silence,
         resample,

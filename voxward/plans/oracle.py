@@ -342,9 +342,6 @@ mels AS (
   SELECT vec_id, band, col, sum(p * weight) AS power FROM bins JOIN bank USING (k) WHERE weight > 0 GROUP BY 1, 2, 3
 )"""
 
-# Streams emit what lies before the watermark: the newest event, in whole milliseconds, minus an hour.
-_MARK = "(SELECT (epoch_us(max(ts)) // 1000 - 3600000) * 1000 FROM events)"
-
 _RESAMPLE = """
 -- One third of the rate: sinc below 0.95 of the new band, 102 taps to each side, Kaiser window with 12.
 raw AS (
@@ -469,6 +466,17 @@ FROM mels, (SELECT unnest(range(0, 4)) AS k) GROUP BY 1, 2, 3""",
         "resample": _with(_RESAMPLE)
         + """SELECT vec_id, CAST(i AS INTEGER) AS i, round(sum(v * tap), 9) + 0.0 AS value
 FROM (SELECT unnest(range(0, 22)) AS i), samples JOIN taps ON j = t - 3 * i GROUP BY 1, 2""",
+        "wav_round_trip": """
+WITH v AS (
+  SELECT vec_id, 'rec' || label || '-' || (vec_id % 2) AS call_id, CASE WHEN vec_id % 4 < 2 THEN 8000 ELSE 16000 END AS rate,
+         list_transform(embedding, lambda x: CAST(trunc(greatest(-1.0::DOUBLE, least(1.0::DOUBLE, CAST(x AS DOUBLE))) * 32767) AS BIGINT)) AS pcm
+  FROM embeddings),
+f AS (SELECT *, CAST(rate * 0.004 AS INTEGER) AS n, unnest(range(0, CAST(64 / (rate * 0.004) AS INTEGER))) AS part FROM v),
+g AS (SELECT *, pcm[part * n + 1 : (part + 1) * n] AS own FROM f)
+SELECT call_id, call_id AS recording, CAST(vec_id * 750 + part AS INTEGER) AS frame_seq, CAST(rate AS INTEGER) AS sample_rate,
+       strftime(make_timestamp((vec_id * 7919 % 86400000) * 1000 + part * 4000), '%H:%M:%S.%f') AS taken,
+       CAST(list_sum(own) AS BIGINT) AS total, array_to_string(own, ',') AS pcm
+FROM g""",
         "audio_silence": _with(_AUDIO.format(sample="CAST(v AS DOUBLE)"))
         + "SELECT vec_id, round(silence_ratio, 9) AS silence_ratio, silence_ratio > 0.4 AS is_silent FROM quiet",
         "pcm_silence": _with(_AUDIO.format(sample=_PCM))
@@ -476,12 +484,12 @@ FROM (SELECT unnest(range(0, 22)) AS i), samples JOIN taps ON j = t - 3 * i GROU
        round(peak, 9) AS peak FROM quiet""",
         "gmm_confidence": _gmm_sql(),
         "latency_stats": """
-WITH g AS (SELECT event_type AS model, value, CAST(round(value / 0.01) AS BIGINT) AS grid FROM events),
+WITH g AS (SELECT event_type AS model, value FROM events WHERE value IS NOT NULL),
 c AS (SELECT *, count(*) OVER (PARTITION BY model) AS total,
-             count(*) OVER (PARTITION BY model ORDER BY grid) AS seen FROM g)
+             count(*) OVER (PARTITION BY model ORDER BY value) AS seen FROM g)
 SELECT model, count(*) AS n, round(sum(value) / count(*), 6) AS avg_ms,
-       round(min(CASE WHEN seen >= total * 0.5::DOUBLE THEN grid END) * 0.01::DOUBLE, 2) AS p50_ms,
-       round(min(CASE WHEN seen >= total * 0.95::DOUBLE THEN grid END) * 0.01::DOUBLE, 2) AS p95_ms
+       round(min(CASE WHEN seen >= total * 0.5::DOUBLE THEN value END), 2) AS p50_ms,
+       round(min(CASE WHEN seen >= total * 0.95::DOUBLE THEN value END), 2) AS p95_ms
 FROM c GROUP BY 1""",
         "latest_per_tick": _with(_RESULTS)
         + """SELECT call_id, model, tick,
@@ -557,13 +565,13 @@ SELECT call_id, end_ts, 'call_ended', '{ENDED_TITLE}', {_ENDED} FROM calls""",
         + f"""SELECT call_id, event_id, seq AS update_seq, round(average_score, 9) AS average_score, label,
        should_notify, frames_buffered,
        bool_or(label = 'AI Generated') OVER (PARTITION BY call_id ORDER BY ts, event_id) AS call_was_ai
-FROM decided WHERE epoch_us(ts) < {_MARK}""",
+FROM decided""",
         "live_calls": _with(_latch(), _SESSIONS)
         + f"""SELECT call_id, host_id, 'start' AS edge, epoch_us(start_ts) AS start_us, NULL::DOUBLE AS end_us
-FROM sessions WHERE epoch_us(start_ts) < {_MARK}
+FROM sessions
 UNION ALL
 SELECT call_id, host_id, 'end', epoch_us(start_ts), epoch_us(end_ts)::DOUBLE
-FROM sessions WHERE epoch_us(end_ts) < {_MARK}""",
+FROM sessions WHERE end_ts IS NOT NULL""",
         "call_report": _with(_decided(True), _ROLLUP, _BLOCKLIST, _CALLS)
         + """SELECT call_id, start_ts, end_ts, is_caller_flagged, call_was_ai, frames_processed,
        last_label, round(last_confidence, 6) AS last_confidence FROM calls""",

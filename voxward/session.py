@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import shutil
 import tempfile
 import uuid
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
-
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 _STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
 _ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -34,7 +37,11 @@ def local_session(cores: str | int = "*", shuffle_partitions: int = 8, **conf: s
 
 
 def drain(stream: DataFrame, name: str) -> DataFrame:
-    """Run a stream over what its source has now and read back what it wrote."""
+    """Run a stream over what its source has now and read back what it wrote.
+
+    The checkpoint goes at once, the rows when Python ends. Rows behind the
+    watermark come out only if the source was ``closed``.
+    """
     spark = stream.sparkSession
     base = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     before = spark.conf.get(_STATE_STORE)
@@ -42,15 +49,54 @@ def drain(stream: DataFrame, name: str) -> DataFrame:
     try:
         query = (
             stream.writeStream.format("parquet")
-            .option("checkpointLocation", f"{base}/checkpoint")
-            .option("path", f"{base}/rows")
+            .option("checkpointLocation", f"{base}-checkpoint")
+            .option("path", base)
             .trigger(availableNow=True)
             .start()
         )
         query.awaitTermination()
     finally:
         spark.conf.set(_STATE_STORE, before)
-    return spark.read.schema(stream.schema).parquet(f"{base}/rows")
+        _delete(spark, f"{base}-checkpoint")
+    delete_at_end(spark, base)
+    return spark.read.schema(stream.schema).parquet(base)
+
+
+def closed(stream: DataFrame, ts: str, key: str) -> DataFrame:
+    """A finite stream with a last row that is far past all others, under a reserved ``key`` and otherwise NULL.
+
+    It lets the watermark pass every real row, so that a stream over stored
+    data gives complete results. The row itself never gets due. Reserved are
+    the smallest long and the text of one NUL.
+    """
+    spark = stream.sparkSession
+    folder = f"{shared_folder(spark)}/closing-{uuid.uuid4().hex}"
+    numeric = isinstance(stream.schema[key].dataType, T.LongType)
+    given = {ts: F.lit("2200-01-01"), key: F.lit(-(1 << 63)) if numeric else F.lit("\0")}
+    last = [given.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in stream.schema]
+    spark.range(1).select(last).write.parquet(folder)
+    delete_at_end(spark, folder)
+    return stream.unionByName(spark.readStream.schema(stream.schema).parquet(folder))
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(place, True)
+
+
+_made: list[tuple[SparkSession, str]] = []
+
+
+def delete_at_end(spark: SparkSession, path: str) -> None:
+    """Results are lazy and may be read for as long as Python runs; then their tables go."""
+    _made.append((spark, path))
+
+
+@atexit.register
+def _delete_made() -> None:
+    for spark, path in _made:
+        with contextlib.suppress(Exception):  # the JVM may be gone
+            _delete(spark, path)
 
 
 _shipped: set[str] = set()
@@ -77,26 +123,22 @@ def ship_package(spark: SparkSession) -> SparkSession:
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors see.
 
-    Read from ``spark.checkpoint.dir``; only a local session without that
-    setting gets a temporary one.
+    Read from ``spark.checkpoint.dir``, else one in the warehouse, which is
+    shared as well.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return folder
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder all executors can reach")
-    folder = tempfile.mkdtemp(prefix="voxward-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    return folder or f"{spark.conf.get('spark.sql.warehouse.dir')}/_shared"
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back.
 
     Used where several jobs read a costly result. The written table outlives
-    lost executors, so nothing upstream is computed again.
+    lost executors, so nothing upstream is computed again; it goes when Python
+    ends.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.mode("overwrite").parquet(path)
+    delete_at_end(spark, path)
     return spark.read.schema(df.schema).parquet(path)

@@ -25,6 +25,10 @@ class Blocklist:
     its epochs start over. ``compact`` folds strikes into a new base version
     and logs it; readers take the newest logged version and the strikes after
     it. Nothing that is being read is ever overwritten.
+
+    A list may begin with its first strikes or with ``create``. A folder with
+    neither is no blocklist, and reading it fails, as it does where a logged
+    base version is gone: a lost or mistyped list does not pass for an empty one.
     """
 
     path: str
@@ -74,21 +78,27 @@ class Blocklist:
 
     def _newest(self, spark: SparkSession) -> tuple[int, dict[str, int]]:
         """Number of the newest base version and, per job, the last epoch in it."""
-        log = self._table(spark, "commits", _COMMITS)
+        log = self._written(spark, "commits", _COMMITS)
         newest = log.agg(F.max("version")).first()[0]
         if newest is None:
+            if self._written(spark, "strikes", _STRIKES).isEmpty():
+                raise ValueError(f"{self.path}: no blocklist here")
             return 0, {}
         # One row per job that ever added strikes.
         return newest, {r["job"]: r["through_epoch"] for r in log.filter(F.col("version") == newest).collect()}
 
     def _base(self, spark: SparkSession, version: int) -> DataFrame:
-        return self._table(spark, f"base/version={version}", FLAGGED_NUMBERS)
+        if not version:
+            return spark.createDataFrame([], FLAGGED_NUMBERS)
+        return spark.read.schema(FLAGGED_NUMBERS).parquet(f"{self.path}/base/version={version}")
 
     def _strikes(self, spark: SparkSession) -> DataFrame:
-        return self._table(spark, "strikes", _STRIKES)
+        return self._written(spark, "strikes", _STRIKES)
 
-    def _table(self, spark: SparkSession, name: str, schema: str) -> DataFrame:
+    def _written(self, spark: SparkSession, name: str, schema: str) -> DataFrame:
         try:
             return spark.read.schema(schema).parquet(f"{self.path}/{name}")
-        except AnalysisException:  # not written yet
+        except AnalysisException as missing:  # not written yet
+            if missing.getCondition() != "PATH_NOT_FOUND":
+                raise
             return spark.createDataFrame([], schema)

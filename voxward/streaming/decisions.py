@@ -75,12 +75,13 @@ def decision_stream(
     tie: str = "update_seq",
     fill: bool = False,
     delay: str = "1 minute",
-    idle_s: int | None = None,
+    idle_s: int | None = 86_400,
 ) -> DataFrame:
     """The decision fields per update, and whether the call has been AI so far.
 
     ``fill`` carries each model's latest score forward, for streams with one
-    row per model result. ``idle_s`` forgets a call after so long without updates.
+    row per model result. ``idle_s`` forgets a call after so long without updates;
+    None keeps its state for ever.
     """
     kind = updates.schema["call_id"].dataType.simpleString()
     made = run_ordered(

@@ -35,8 +35,8 @@ class CallMonitor(OrderedProcessor):
         active, ordinal, start = memory or (False, 0, None)
         made = []
         for us, _, audio, mic in rows:
-            # Audio alone keeps the state, unless the mic does not matter.
-            now = audio and (active or mic or not self.require_mic)
+            # Audio alone keeps the state, unless the mic does not matter; unknown audio keeps it too.
+            now = active if audio is None else bool(audio and (active or mic or not self.require_mic))
             if now and not active:
                 ordinal, start = ordinal + 1, us
                 made.append((key, ordinal, "start", us, None))

@@ -34,27 +34,43 @@ class OrderedProcessor(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         row = [T.StructField("us", T.LongType()), T.StructField("tie", T.LongType())]
-        kinds = zip(self.fields, self.field_types, strict=True)
-        row += [T.StructField(n, t) for n, t in kinds]
+        row += [T.StructField(n, t) for n, t in zip(self.fields, self.field_types, strict=True)]
         self._handle = handle
-        self._waiting = handle.getListState("waiting", T.StructType(row))
-        self._memory = handle.getValueState("memory", self.memory)
-        seen = T.StructType([T.StructField("us", T.LongType())])
-        self._seen = handle.getValueState("seen", seen)
+        # One value per key: what waits, what is remembered, and the last time a row was due.
+        self._state = handle.getValueState(
+            "state",
+            T.StructType(
+                [
+                    T.StructField("waiting", T.ArrayType(T.StructType(row))),
+                    T.StructField("memory", self.memory),
+                    T.StructField("seen", T.LongType()),
+                ]
+            ),
+        )
+
+    def _read(self) -> tuple[list[tuple], tuple | None, int | None]:
+        held = self._state.get() if self._state.exists() else None
+        if held is None:
+            return [], None, None
+        waiting, memory, seen = held
+        return [tuple(r) for r in waiting or ()], None if memory is None else tuple(memory), seen
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues):
-        oldest = None
+        waiting, memory, seen = self._read()
+        oldest = min((r[0] for r in waiting), default=None)
         for batch in rows:
-            columns = [batch["event_us"], batch[self.tie], *[batch[f] for f in self.fields]]
-            records = [
-                tuple(None if pd.isna(v) else getattr(v, "item", lambda v=v: v)() for v in r)
-                for r in zip(*columns, strict=True)
+            # pandas has NaN for NULL doubles, so every field comes with its own flag.
+            columns = [
+                [None if null else getattr(v, "item", lambda v=v: v)() for v, null in zip(batch[f], batch[f"{f}_null"], strict=True)]
+                for f in self.fields
             ]
-            self._waiting.appendList(records)
-            first = min(r[0] for r in records)
-            oldest = first if oldest is None else min(oldest, first)
-        if oldest is not None:
-            self._wake_after(oldest)
+            # Rows without a tie, like the closing one, come before others of their time.
+            ties = [-1 if pd.isna(v) else int(v) for v in batch[self.tie]]
+            waiting += zip(batch["event_us"].tolist(), ties, *columns, strict=True)
+        first = min((r[0] for r in waiting), default=None)
+        self._state.update((waiting, memory, seen))
+        if first is not None and first != oldest:
+            self._wake_after(first)
         return iter(())
 
     def _wake_after(self, us: int) -> None:
@@ -63,33 +79,24 @@ class OrderedProcessor(StatefulProcessor):
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
         mark = timerValues.getCurrentWatermarkInMs() * 1000
-        waiting = list(self._waiting.get()) if self._waiting.exists() else []
-        due = sorted(tuple(r) for r in waiting if r[0] < mark)
-        memory = tuple(self._memory.get()) if self._memory.exists() else None
+        waiting, memory, seen = self._read()
+        due = sorted((r for r in waiting if r[0] < mark), key=lambda r: r[:2])
+        idle = None if self.idle_s is None else self.idle_s * 1_000_000
         if not due:
             # Other timers fire as well, so only the last row's age tells whether the key is idle.
-            if self.idle_s and not waiting and self._seen.exists():
-                if mark >= self._seen.get()[0] + self.idle_s * 1_000_000:
-                    self._memory.clear()
-                    self._seen.clear()
+            if idle is not None and not waiting and seen is not None and mark >= seen + idle:
+                self._state.clear()
             return iter(())
-        rest = [tuple(r) for r in waiting if r[0] >= mark]
+        rest = [r for r in waiting if r[0] >= mark]
+        if idle is not None and seen is not None and due[0][0] >= seen + idle:
+            memory = None
+        memory, made = self.step(key[0], memory, due)
+        self._state.update((rest, memory, due[-1][0]))
         if rest:
-            self._waiting.put(rest)
             self._wake_after(min(r[0] for r in rest))
-        else:
-            self._waiting.clear()
-        if self.idle_s and memory is not None and self._seen.exists():
-            if due[0][0] >= self._seen.get()[0] + self.idle_s * 1_000_000:
-                memory = None
-        memory, made = self.step(key[0], memory, due)
-        self._memory.update(memory)
-        if self.idle_s:
-            self._seen.update((due[-1][0],))
-            self._handle.registerTimer(due[-1][0] // 1000 + self.idle_s * 1000)
-        if not made:
-            return iter(())
-        return iter([pd.DataFrame(made, columns=list(self.output))])
+        if idle is not None:
+            self._handle.registerTimer((due[-1][0] + idle) // 1000 + 1)
+        return iter([pd.DataFrame(made, columns=list(self.output))] if made else ())
 
 
 def run_ordered(
@@ -99,8 +106,9 @@ def run_ordered(
     timed = stream
     if delay is not None:
         timed = stream.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, delay)
+    flags = [F.isnull(f).alias(f"{f}_null") for f in processor.fields]
     timed = timed.withColumn("event_us", F.unix_micros(ts)).select(
-        processor.key, ts, "event_us", processor.tie, *processor.fields
+        processor.key, ts, "event_us", processor.tie, *processor.fields, *flags
     )
     return timed.groupBy(processor.key).transformWithStateInPandas(
         processor, outputStructType=output, outputMode="Append", timeMode="EventTime"
