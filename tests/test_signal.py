@@ -231,3 +231,23 @@ def test_latest_n(spark):
     df = spark.range(100).selectExpr("'h' AS host_id", "id AS frame_seq")
     got = sorted(r.frame_seq for r in framing.latest_n(df).collect())
     assert got == list(range(80, 100))
+
+
+@pytest.mark.parametrize("rate", [44_100, 11_025, 48_000])
+def test_both_ways_to_resample_agree(rate, monkeypatch):
+    x = RNG.normal(size=rate // 2)
+    by_block = dsp.resample(x, rate)
+    monkeypatch.setattr(dsp, "_MATRIX_CELLS", 0)
+    assert dsp.resample(x, rate) == pytest.approx(by_block, abs=1e-12)
+
+
+def test_odd_rates_need_little_memory():
+    import tracemalloc
+
+    tone = np.sin(2 * np.pi * 440 * np.arange(47_999) / 47_999)
+    tracemalloc.start()
+    got = dsp.resample(tone, 47_999)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 400e6
+    assert got[500:-500] == pytest.approx(np.sin(2 * np.pi * 440 * np.arange(len(got)) / 16_000)[500:-500], abs=1e-3)

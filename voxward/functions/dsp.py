@@ -71,14 +71,25 @@ def _block_filter(up: int, down: int) -> tuple[np.ndarray, int, int]:
     return matrix, turns * down, reach
 
 
+# Rates whose block of outputs would need a larger matrix go phase by phase.
+_MATRIX_CELLS = 1_000_000
+_OUTPUTS = 4096
+
+
 def resample(x: np.ndarray, rate: int, target: int = MODEL_RATE) -> np.ndarray:
-    """Band-limited change of the sample rate, a matrix product over blocks of outputs."""
+    """Band-limited change of the sample rate: a matrix product over blocks of outputs.
+
+    Odd rates, whose pattern of phases repeats late, take each output's taps by
+    its phase instead; memory is bounded by the target rate.
+    """
     if rate == target:
         return x
     g = gcd(rate, target)
     up, down = target // g, rate // g
-    matrix, step, reach = _block_filter(up, down)
     wanted = -(-len(x) * up // down)
+    if up * down > _MATRIX_CELLS:
+        return _by_phase(x, up, down, wanted)
+    matrix, step, reach = _block_filter(up, down)
     blocks = -(-wanted // matrix.shape[1])
     need = blocks * step + len(matrix)
     padded = np.pad(x, (reach, max(0, need - reach - len(x))))
@@ -86,6 +97,17 @@ def resample(x: np.ndarray, rate: int, target: int = MODEL_RATE) -> np.ndarray:
     return (spans @ matrix.astype(x.dtype)).reshape(-1)[:wanted]
 
 
+def _by_phase(x: np.ndarray, up: int, down: int, wanted: int) -> np.ndarray:
+    taps, reach = _phases(up, down)
+    taps = taps.astype(x.dtype)
+    windows = np.lib.stride_tricks.sliding_window_view(np.pad(x, (reach, taps.shape[1])), taps.shape[1])
+    out = np.empty(wanted, x.dtype)
+    for first in range(0, wanted, _OUTPUTS):
+        i = np.arange(first, min(first + _OUTPUTS, wanted))
+        out[i] = np.einsum("ij,ij->i", windows[i * down // up], taps[i * down % up])
+    return out
+
+
 def fit_center(x: np.ndarray, n: int = MODEL_SAMPLES, fill: float = 0.0) -> np.ndarray:
     """Last axis cropped to, or padded around, its middle."""
     short = n - x.shape[-1]

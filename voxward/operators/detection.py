@@ -51,28 +51,13 @@ def _under(path: Column, root: str | None) -> Column:
     return (low == base) | low.startswith(base + "\\")
 
 
-def _mic_claims(mic: DataFrame, root: str | None) -> DataFrame:
-    """Keys that say "in use", with the program that has to run for it (NULL: none)."""
+def _claim(root: str | None) -> tuple[Column, Column]:
+    """Of a mic key: does it say "in use", and which program has to run for it (NULL: none)."""
     leaf = F.element_at(F.split("key_path", r"\\"), -1)
     exe = F.when(leaf.contains("#"), F.lower(F.element_at(F.split(leaf, "#"), -1)))
-    used = mic.filter(
-        _under(F.col("key_path"), root) & (F.col("last_used_start") > F.col("last_used_stop"))
-    )
-    return used.select(*POLL, exe.alias("exe"))
-
-
-def _exe_evidence(mic: DataFrame, processes: DataFrame, root: str | None) -> DataFrame:
-    """Per poll and program: is there a claim, does it run, is it bound to a program."""
-    claims = _mic_claims(mic, root).select(
-        *POLL, "exe", F.lit(True).alias("claimed"), F.lit(False).alias("running")
-    )
-    running = processes.select(
-        *POLL,
-        F.lower("process_name").alias("exe"),
-        F.lit(False).alias("claimed"),
-        F.lit(True).alias("running"),
-    )
-    return claims.unionByName(running)
+    used = _under(F.col("key_path"), root) & (F.col("last_used_start") > F.col("last_used_stop"))
+    used = F.coalesce(used, F.lit(False))
+    return used, F.when(used, exe)
 
 
 def mic_in_use(
@@ -81,18 +66,25 @@ def mic_in_use(
     """Per poll with mic keys: does any program use the microphone.
 
     A desktop key (``#`` in its last segment) counts only while its program
-    runs. Claims and processes meet in one grouped aggregate instead of a join,
-    so both are combined before the shuffle.
+    runs. Keys and processes meet in one grouped aggregate instead of a join,
+    so both are combined before the shuffle; each table is read once.
     """
-    by_exe = (
-        _exe_evidence(mic, processes, root)
-        .groupBy(*POLL, "exe")
-        .agg(F.bool_or("claimed").alias("claimed"), F.bool_or("running").alias("running"))
+    used, exe = _claim(root)
+    keys = mic.select(
+        *POLL, exe.alias("exe"), used.alias("claimed"), F.lit(False).alias("running"), F.lit(True).alias("keyed")
     )
-    used = F.col("claimed") & (F.col("exe").isNull() | F.col("running"))
-    polls = mic.select(*POLL, F.lit(False).alias("used"))
-    found = by_exe.filter(used).select(*POLL, F.lit(True).alias("used"))
-    return polls.unionByName(found).groupBy(*POLL).agg(F.bool_or("used").alias("mic_in_use"))
+    running = processes.select(
+        *POLL,
+        F.lower("process_name").alias("exe"),
+        F.lit(False).alias("claimed"),
+        F.lit(True).alias("running"),
+        F.lit(False).alias("keyed"),
+    )
+    told = [F.bool_or(c).alias(c) for c in ("claimed", "running", "keyed")]
+    by_exe = keys.unionByName(running).groupBy(*POLL, "exe").agg(*told)
+    in_use = F.col("claimed") & (F.col("exe").isNull() | F.col("running"))
+    polls = by_exe.groupBy(*POLL).agg(F.bool_or(in_use).alias("mic_in_use"), F.bool_or("keyed").alias("keyed"))
+    return polls.filter("keyed").drop("keyed")
 
 
 def detect_voip_sources(
@@ -137,7 +129,8 @@ def poll_status(
 
     Everything reaches the poll through two grouped aggregates over tagged
     rows, the first per poll and pid or program, the second per poll. There is
-    no join and no spine: a poll shows up if any table has a row for it.
+    no join and no spine: a poll shows up if any table has a row for it. Each
+    table is read once, and equal programs of a poll combine before the shuffle.
     """
 
     def tagged(df: DataFrame, **cols: Column) -> DataFrame:
@@ -164,18 +157,26 @@ def poll_status(
         sessions=F.when(plays, one).otherwise(0),
         recording=F.when(records, one).otherwise(0),
     )
-    runs = F.when(is_voip_name(name, keywords), one).otherwise(0)
-    by_process = tagged(processes, pid=F.col("pid"), named=runs)
-    evidence = _exe_evidence(mic, processes, root)
-    by_exe = tagged(
-        evidence,
-        exe=F.col("exe"),
-        claimed=F.col("claimed"),
-        running=F.col("running"),
+    # A process proves that its program runs, and its poll took place; only those of
+    # call programs count by pid as well.
+    def tag(**cols: Column) -> Column:
+        return F.struct(
+            cols.get("pid", F.lit(None).cast("int")).alias("pid"),
+            cols.get("exe", F.lit(None).cast("string")).alias("exe"),
+            cols.get("named", F.lit(0)).alias("named"),
+            cols.get("running", F.lit(False)).alias("running"),
+        )
+
+    runs = tag(exe=F.lower(name), running=F.lit(True))
+    calls = F.when(is_voip_name(name, keywords), F.array(runs, tag(pid=F.col("pid"), named=one)))
+    marked = processes.select(*POLL, F.inline(calls.otherwise(F.array(runs))))
+    by_process = tagged(
+        marked, pid=F.col("pid"), exe=F.col("exe"), named=F.col("named"), running=F.col("running")
     )
     # Mic keys out of use still prove that their poll took place.
-    seen = tagged(mic.select(*POLL))
-    rows = by_session.unionByName(by_process).unionByName(by_exe).unionByName(seen)
+    used, exe = _claim(root)
+    by_key = tagged(mic, exe=exe, claimed=used)
+    rows = by_session.unionByName(by_process).unionByName(by_key)
     parts = rows.groupBy(*POLL, "pid", "exe").agg(
         F.sum("sessions").alias("sessions"),
         F.sum("named").alias("named"),

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from voxward.params import AI_TITLE, APP_PROFILE, ENDED_EMPTY, ENDED_TITLE, FLAGGED_MESSAGE, FLAGGED_TITLE
-
-_P = APP_PROFILE
+# Fixed values, written out here so that nothing of the code under test is used.
+_WEIGHTS, _BUFFER, _HUMAN_BELOW, _AI_FROM = (0.6, 0.4), 5, 0.40, 0.70
+FLAGGED_TITLE = "⚠️ AI Scammer Flagged"
+FLAGGED_MESSAGE = "A community-flagged AI caller is calling!"
+AI_TITLE = "🚨 AI Voice Detected"
+ENDED_TITLE = "📴 Call Ended"
+ENDED_EMPTY = "No audio frames captured"
 
 _PARTS = """
 parts AS (
@@ -122,14 +126,14 @@ calls AS (
 )"""
 
 
-def _decided(only_heard: bool = False, w: tuple[float, float] = (_P.cnn_weight, _P.gmm_weight)) -> str:
-    n, where = _P.buffer_size, "WHERE event_type <> 'error'" if only_heard else ""
+def _decided(only_heard: bool = False, w: tuple[float, float] = _WEIGHTS) -> str:
+    n, where = _BUFFER, "WHERE event_type <> 'error'" if only_heard else ""
     by = "PARTITION BY call_id ORDER BY ts, event_id"
 
     def label(c: str) -> str:
         return (
-            f"CASE WHEN {c} < {_P.human_threshold} THEN 'Human'"
-            f" WHEN {c} < {_P.ai_threshold} THEN 'Suspicious' ELSE 'AI Generated' END"
+            f"CASE WHEN {c} < {_HUMAN_BELOW} THEN 'Human'"
+            f" WHEN {c} < {_AI_FROM} THEN 'Suspicious' ELSE 'AI Generated' END"
         )
 
     return f"""
@@ -250,19 +254,19 @@ def _with(*parts: str) -> str:
 
 
 def _gmm_sql() -> str:
-    from voxward.plans.catalog import AI_MIX, HUMAN_MIX
-
-    def sql(m) -> str:
-        diags = [[float(c[i][i]) for i in range(4)] for c in m.covs]
-        return _mixture(m.weights.tolist(), m.means.tolist(), diags)
-
+    human = _mixture(
+        [0.6, 0.4], [[0.05, -0.05, 0.0, 0.1], [-0.1, 0.1, 0.05, 0.0]], [[0.02, 0.03, 0.025, 0.02], [0.015, 0.02, 0.03, 0.025]]
+    )
+    ai = _mixture(
+        [0.5, 0.5], [[0.0, 0.05, -0.05, 0.0], [0.1, 0.0, 0.1, -0.1]], [[0.01, 0.02, 0.015, 0.03], [0.03, 0.01, 0.02, 0.02]]
+    )
     return f"""
 WITH fours AS (
   SELECT vec_id, unnest(list_transform(range(0, 16), lambda i: embedding[i * 4 + 1 : i * 4 + 4])) AS y
   FROM embeddings
 ),
 vectors AS (SELECT vec_id, list_transform(y, lambda v: CAST(v AS DOUBLE)) AS x FROM fours),
-logs AS (SELECT vec_id, {sql(HUMAN_MIX)} AS h, {sql(AI_MIX)} AS a FROM vectors),
+logs AS (SELECT vec_id, {human} AS h, {ai} AS a FROM vectors),
 means AS (SELECT vec_id, avg(h) AS h, avg(a) AS a FROM logs GROUP BY 1),
 scored AS (SELECT *, 100 / (1 + exp(-0.5 * (a - h))) AS pct FROM means)
 SELECT vec_id, round(h, 6) + 0.0 AS ll_human, round(a, 6) + 0.0 AS ll_ai, round(pct, 6) AS confidence_pct,
@@ -372,7 +376,7 @@ def oracle_sql() -> dict[str, str]:
         " (CAST(embedding[i * 2 + 1] AS DOUBLE) + CAST(embedding[i * 2 + 2] AS DOUBLE)) / 2)"
     )
     shapes = f"SELECT vec_id, {_shape('a', 'cut')}, {_shape('b', 'pad')}, {_shape('embedding', 'inner')}"
-    listed = f"CASE WHEN s < {_P.human_threshold} THEN 'Human' WHEN s < {_P.ai_threshold} THEN 'Suspicious' ELSE 'AI Generated' END"
+    listed = f"CASE WHEN s < {_HUMAN_BELOW} THEN 'Human' WHEN s < {_AI_FROM} THEN 'Suspicious' ELSE 'AI Generated' END"
     return {
         "voip_source_filter": _with(_PARTS)
         + f"SELECT DISTINCT host_id, poll_ts, pid FROM parts WHERE p_size % 2 = 1 AND pid <> 0 AND {_VOIP_CHAIN}",
@@ -483,6 +487,22 @@ FROM g""",
         + """SELECT vec_id, round(silence_ratio, 9) AS silence_ratio, silence_ratio > 0.4 AS is_silent,
        round(peak, 9) AS peak FROM quiet""",
         "gmm_confidence": _gmm_sql(),
+        "fit_gmm_pair": """
+WITH fours AS (
+  SELECT CASE WHEN label < 5 THEN 'ai' ELSE 'human' END AS model,
+         unnest(list_transform(range(0, 16), lambda b: embedding[b * 4 + 1 : b * 4 + 4])) AS x FROM embeddings),
+cells AS (SELECT model, unnest(range(0, 4)) AS i, x FROM fours),
+stats AS (SELECT model, i, avg(CAST(x[i + 1] AS DOUBLE)) AS mean, var_pop(CAST(x[i + 1] AS DOUBLE)) AS variance FROM cells GROUP BY 1, 2)
+SELECT model, CAST(k AS INTEGER) AS k, CAST(i AS INTEGER) AS i, 1.0::DOUBLE AS weight, round(mean, 6) + 0.0 AS mean,
+       round(variance, 6) AS variance
+FROM stats, (SELECT unnest([2, 3]) AS k)""",
+        "score_frames": """
+WITH z AS (
+  SELECT vec_id, 0.1::DOUBLE + list_sum(list_transform(range(0, 64), lambda i: CAST(embedding[i + 1] AS DOUBLE) * (i % 7 - 3) / 10)) AS z
+  FROM embeddings),
+p AS (SELECT vec_id, 100 / (1 + exp(-z)) AS pct FROM z)
+SELECT vec_id, round(pct, 4) AS confidence_pct,
+       CASE WHEN pct < 50 THEN 'HUMAN' WHEN pct < 70 THEN 'SUSPICIOUS' ELSE 'AI' END AS label FROM p""",
         "latency_stats": """
 WITH g AS (SELECT event_type AS model, value FROM events WHERE value IS NOT NULL),
 c AS (SELECT *, count(*) OVER (PARTITION BY model) AS total,
