@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import os
+import sys
+from array import array
 
 import numpy as np
 import regex
@@ -11,8 +13,10 @@ import regex
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Characters on whose class all Unicode versions agree: texts with others are encoded whole by the library.
 _PLAIN = regex.compile(r"[\t\n\r\x20-\x7e¡-ÿĀ-ſα-ωА-я‐-‧]*")
-#: Words remembered by a task; the memory is emptied when full.
-WORDS_KEPT = 300_000
+#: A space beside other white space of plain texts; without it every space begins a word of the pattern.
+_WIDE = ("  ", " \n", "\n ", " \t", "\t ", " \r", "\r ")
+#: Words, and parts of words, remembered by a worker in each of two generations.
+WORDS_KEPT, PARTS_KEPT = 400_000, 200_000
 
 
 def _byte_letters() -> dict[int, str]:
@@ -22,39 +26,89 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(other)}
 
 
-class Encoder(dict):
-    """Encodes texts by a byte-level BPE file; maps each word met to its ids as little-endian 32-bit numbers.
+def _little(ids: array) -> bytes:
+    if sys.byteorder == "big":
+        ids.byteswap()
+    return ids.tobytes()
 
-    Equal to the library's ``encode(text, add_special_tokens=False)`` with
-    special tokens taken as ordinary text.
+
+class Memory(dict):
+    """What has been made of each word met, in bounded memory.
+
+    When one generation is full it becomes the older one and the oldest goes;
+    words met again move to the young one, so frequent words stay.
     """
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, kept: int) -> None:
         super().__init__()
+        self._kept, self._older = kept, {}
+
+    def make(self, word):
+        raise NotImplementedError
+
+    def __missing__(self, word):
+        made = self._older.get(word)
+        if made is None:
+            made = self.make(word)
+        if len(self) >= self._kept:
+            self._older = dict(self)
+            self.clear()
+        self[word] = made
+        return made
+
+
+class Parts(Memory):
+    """The ids of the parts into which the pattern cuts a text."""
+
+    def __init__(self, model) -> None:
+        super().__init__(PARTS_KEPT)
+        self._model = model
+        self._letters = str.maketrans({chr(b): c for b, c in _byte_letters().items()})
+        self._cut = regex.compile(PATTERN).findall
+
+    def make(self, part: str) -> bytes:
+        letters = part.encode().decode("latin-1").translate(self._letters)
+        return _little(array("I", [token.id for token in self._model.tokenize(letters)]))
+
+    def encode(self, text: str) -> bytes:
+        return b"".join(map(self.__getitem__, self._cut(text)))
+
+
+class Encoder(Memory):
+    """Encodes texts by a byte-level BPE file; maps each word met to the ids of a space and the word.
+
+    Ids are little-endian 32-bit numbers, equal to the library's
+    ``encode(text, add_special_tokens=False)`` with special tokens taken as
+    ordinary text. Merges are the library's, made once for each part met.
+    """
+
+    def __init__(self, path: str) -> None:
+        super().__init__(WORDS_KEPT)
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self._whole = Tokenizer.from_file(path)
         self._whole.encode_special_tokens = True
-        self._model = self._whole.model
-        self._letters = str.maketrans({chr(b): c for b, c in _byte_letters().items()})
-        self._words = regex.compile(PATTERN).findall
+        self._parts = Parts(self._whole.model)
 
-    def __missing__(self, word: str) -> bytes:
-        letters = word.encode().decode("latin-1").translate(self._letters)
-        ids = np.array([token.id for token in self._model.tokenize(letters)], "<u4").tobytes()
-        if len(self) >= WORDS_KEPT:
-            self.clear()
-        self[word] = ids
-        return ids
+    def make(self, word: str) -> bytes:
+        # A space and letters are one part of the pattern, a mark behind them the next.
+        if word.isalpha():
+            return self._parts.make(f" {word}")
+        if word[-1:] in (".", ",") and word[:-1].isalpha():
+            return self._parts.make(f" {word[:-1]}") + self._parts[word[-1]]
+        return self._parts.encode(f" {word}")
 
     def encode(self, text: str | None) -> bytes:
-        """The ids of a whole text, null as empty, as little-endian 32-bit numbers."""
+        """The ids of a whole text, null as empty."""
         if not text:
             return b""
         if not _PLAIN.fullmatch(text):
             return np.array(self._whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        return b"".join(map(self.__getitem__, self._words(text)))
+        if any(pair in text for pair in _WIDE):
+            return self._parts.encode(text)
+        first, *words = text.split(" ")
+        return self._parts.encode(first) + b"".join(map(self.__getitem__, words))
 
 
 _encoders: dict[str, Encoder] = {}

@@ -27,14 +27,14 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voxward.llm.encoding import public_path
+from voxward.llm.encoding import Memory, public_path
 
 #: White space in pieces, and the kinds of pieces in a model file (fixed values).
 MARK = "▁"
 NORMAL, UNKNOWN, USER, BYTE = 1, 2, 4, 6
-#: Words and neighbours remembered by a task; a full memory is emptied.
-WORDS_KEPT, NEIGHBOURS_KEPT = 300_000, 500_000
-#: Longer runs without a mark are cut into the lattice without being remembered.
+#: Words, and neighbours of pieces, remembered by a worker in each of two generations.
+WORDS_KEPT, NEIGHBOURS_KEPT = 400_000, 300_000
+#: Longer runs without a mark are not remembered.
 LONG_WORD = 200
 
 
@@ -71,11 +71,58 @@ def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
         yield key >> 3, value
 
 
-class Transducer(dict):
+class Neighbours(Memory):
+    """Whether the arc from one piece to the next has a finite weight.
+
+    It has if no merge across their border would have come before the merges
+    that made them. Undoing the latest of these merges, step by step, shows each
+    pair of symbols that ever met at the border.
+    """
+
+    def __init__(self, ids: dict[str, int], score: list[float]) -> None:
+        super().__init__(NEIGHBOURS_KEPT)
+        # Merges come in order of rank; single characters are not merged.
+        self._rank = {p: -score[i] for p, i in ids.items() if len(p) > 1}
+        self._halves: dict[str, tuple[str, str] | None] = {}
+
+    def halves(self, piece: str) -> tuple[str, str] | None:
+        """The two symbols whose merge makes a piece of its own characters, None if none does."""
+        if piece not in self._halves:
+            symbols, last = list(piece), None
+            while len(symbols) > 1:
+                ranks = [self._rank.get(x + y, np.inf) for x, y in zip(symbols, symbols[1:], strict=False)]
+                at = ranks.index(min(ranks))
+                if ranks[at] == np.inf:
+                    break
+                last = symbols[at], symbols[at + 1]
+                symbols[at : at + 2] = ["".join(last)]
+            self._halves[piece] = last if len(symbols) == 1 else None
+        return self._halves[piece]
+
+    def make(self, pair: tuple[str, str]) -> bool:
+        left, right = pair
+        rank, limit = self._rank, np.inf
+        if (left in rank and not self.halves(left)) or (right in rank and not self.halves(right)):
+            return False
+        while left:
+            if rank.get(left + right, np.inf) < limit:
+                return False
+            of_left, of_right = rank.get(left, -1.0), rank.get(right, -1.0)
+            if of_left > of_right:
+                limit, left = of_left, self.halves(left)[1]
+            elif of_right >= 0:
+                # Of equal merges the left one comes first.
+                limit, right = np.nextafter(of_right, np.inf), self.halves(right)[0]
+            else:
+                break
+        return True
+
+
+class Transducer(Memory):
     """Compiled from a model file; maps each word met to the ids of its shortest path, as 32-bit numbers."""
 
     def __init__(self, path: str) -> None:
-        super().__init__()
+        super().__init__(WORDS_KEPT)
         with open(path, "rb") as file:
             model = list(_fields(file.read()))
         rule = dict(_fields(next(v for k, v in model if k == 3)))
@@ -89,10 +136,16 @@ class Transducer(dict):
         self._bytes = {int(p[3:5], 16): i for i, (p, k) in enumerate(zip(self.pieces, kinds, strict=True)) if k == BYTE}
         self._ids = {p: i for i, (p, k) in enumerate(zip(self.pieces, kinds, strict=True)) if k in (NORMAL, USER)}
         self._score = [struct.unpack("<f", e.get(2, b"\0\0\0\0"))[0] for e in entries]
-        self._longest = max(map(len, self._ids))
+        self._tree: dict = {}
+        for piece in self._ids:
+            node = self._tree
+            for c in piece:
+                node = node.setdefault(c, {})
+            node[""] = {}
+        self._inside = {p[k : k + 2] for p in self._ids for k in range(len(p) - 1)}
         if any(regex.fullmatch(f"{MARK}*[^{MARK}]*", p) is None for p in self._ids):
             raise ValueError("a piece has a mark behind another character")
-        self._neighbours: dict[tuple[str, str], bool] = {}
+        self._may_follow = Neighbours(self._ids, self._score)
         self._words = regex.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+").findall
         self._text = [self._written(i, k) for i, k in enumerate(kinds)]
 
@@ -104,65 +157,54 @@ class Transducer(dict):
             return " ⁇ ".encode()
         return self.pieces[i].replace(MARK, " ").encode() if kind in (NORMAL, USER) else b""
 
-    def _merged(self, symbols: list[str]) -> list[str]:
-        """The vocabulary's merges: the best-scored neighbours are joined, the leftmost of equals first."""
-        ids, score = self._ids, self._score
-        while len(symbols) > 1:
-            best, at = None, 0
-            for k in range(len(symbols) - 1):
-                i = ids.get(symbols[k] + symbols[k + 1])
-                if i is not None and (best is None or score[i] > best):
-                    best, at = score[i], k
-            if best is None:
-                break
-            symbols[at : at + 2] = [symbols[at] + symbols[at + 1]]
-        return symbols
-
-    def _may_follow(self, left: str, right: str) -> bool:
-        """Whether the arc from one piece to the next has a finite weight."""
-        if not left and len(right) == 1:
-            return True
-        key = left, right
-        known = self._neighbours.get(key)
-        if known is None:
-            if len(self._neighbours) >= NEIGHBOURS_KEPT:
-                self._neighbours.clear()
-            known = self._neighbours[key] = self._merged([*left, *right]) == ([left, right] if left else [right])
-        return known
-
     def _shortest_path(self, word: str) -> list[str]:
         """The pieces of the path of least weight through the lattice of a word.
 
-        At each place one piece at most ends a path of finite weight, so the
-        search there stops with it.
+        One path only has a finite weight, so the first one found is it, looked
+        for along the longest arcs. States (place and last piece) without a way
+        on are visited once. A character without a piece stands for its bytes.
         """
-        n, ids, longest, may_follow = len(word), self._ids, self._longest, self._may_follow
-        ends: list[str | None] = [""] + [None] * n
-        for place in range(1, n + 1):
-            for begin in range(max(0, place - longest), place):
-                last = ends[begin]
-                if last is not None:
-                    piece = word[begin:place]
-                    if (piece in ids or place - begin == 1) and may_follow(last, piece):
-                        ends[place] = piece
-                        break
-        path, place = [], n
-        while place:
-            path.append(ends[place])
-            place -= len(path[-1])
-        return path[::-1]
-
-    def __missing__(self, word: str) -> bytes:
+        path, arcs, place, n = [], [], 0, len(word)
+        tree, dead, may_follow = self._tree, set(), self._may_follow
+        forward = True
+        while place < n:
+            if forward:
+                node, ends, k = tree, [place + 1], place
+                while k < n and (node := node.get(word[k])):
+                    k += 1
+                    if "" in node and k > place + 1:
+                        ends.append(k)
+                arcs.append(ends)
+            last, ends = path[-1] if path else "", arcs[-1]
+            forward = False
+            while ends:
+                end = ends.pop()
+                piece = word[place:end]
+                if may_follow[last, piece] and not (dead and (end, piece) in dead):
+                    path.append(piece)
+                    place, forward = end, True
+                    break
+            if not forward:
+                arcs.pop()
+                dead.add((place, last))
+                place -= len(path.pop())
+        return path
+
+    def _made(self, word: str) -> bytes:
         ids: list[int] = []
         for piece in self._shortest_path(word):
             i = self._ids.get(piece)
             ids += [i] if i is not None else [self._bytes[b] for b in piece.encode()]
-        found = np.array(ids, "<u4").tobytes()
-        if len(word) <= LONG_WORD:
-            if len(self) >= WORDS_KEPT:
-                self.clear()
-            self[word] = found
-        return found
+        return np.array(ids, "<u4").tobytes()
+
+    def make(self, word: str) -> bytes:
+        if len(word) > 1 and word[-2:] not in self._inside:
+            # No piece holds these two characters side by side, so no arc crosses here.
+            return self[word[:-1]] + self[word[-1]]
+        return self._made(word)
+
+    def __missing__(self, word: str) -> bytes:
+        return super().__missing__(word) if len(word) <= LONG_WORD else self._made(word)
 
     def normalized(self, text: str) -> str:
         return (MARK if self._prefix and text else "") + text.replace(" ", MARK)

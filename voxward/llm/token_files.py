@@ -49,7 +49,7 @@ class TokenFileParams:
     end_id: int = 2
     vocabulary: str = "byte_bpe_50k.json"
     id_bytes: int = 2
-    level: int = 3
+    level: int = 1
     dictionary_bytes: int = 65536
     sample: int = 1000
     sample_bytes: int = 16384
@@ -69,7 +69,7 @@ def _serialized(ids: np.ndarray, id_bytes: int) -> bytes:
 
 
 def _ids(text: str | None, path: str, params: TokenFileParams) -> np.ndarray:
-    return np.append(np.frombuffer(encoder(path).encode(text), "<u4"), np.uint32(params.end_id))
+    return np.frombuffer(encoder(path).encode(text) + params.end_id.to_bytes(4, "little"), "<u4")
 
 
 def train_dictionary(docs: DataFrame, params: TokenFileParams = TokenFileParams()) -> bytes:
@@ -96,7 +96,10 @@ def _loaded(dictionary: bytes) -> zstandard.ZstdCompressionDict | None:
 
 def _write(file: pa.NativeFile, rows: Iterator[tuple[int | None, np.ndarray]], dictionary: bytes, params: TokenFileParams) -> tuple[int, int]:
     """Write one file as the documents come; returns the numbers of documents and ids."""
-    packer = zstandard.ZstdCompressor(level=params.level, dict_data=_loaded(dictionary))
+    loaded = _loaded(dictionary)
+    if loaded:
+        loaded.precompute_compress(level=params.level)  # once for all documents
+    packer = zstandard.ZstdCompressor(level=params.level, dict_data=loaded)
     file.write(_HEAD.pack(MAGIC, params.id_bytes, hashlib.sha256(dictionary).digest()))
     doc_ids, known, offsets, sizes = [], [], [_HEAD.size], []
     for doc_id, ids in rows:
