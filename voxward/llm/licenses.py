@@ -20,7 +20,7 @@ SPELLINGS = {
     "acknowledgement": "acknowledgment", "organisation": "organization", "authorisation": "authorization",
     "copyright owner": "copyright holder", "favour": "favor", "fulfil ": "fulfill ", "judgement": "judgment",
     "per cent": "percent", "programme": "program", "utilisation": "utilization", "whilst": "while", "https": "http",
-    "merchantibility": "merchantability", "v\\. ?(?=\\d)": "version ",
+    "merchantibility": "merchantability", r"\bv\. ?(\d)": "version $1",
 }
 #: A line that starts so says whose the copyright is, and nothing of the terms.
 COPYRIGHT = r"(?m)^\W*(?:copyright|©|\(c\))\W.*$|all rights reserved\.?"

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from voxward.llm.embeddings import CellParams, near_duplicates
-from voxward.llm.licenses import scan_licenses
+from voxward.llm.licenses import LICENSES, scan_licenses
 from voxward.llm.ngram_join import JaccardParams, jaccard_components
 from voxward.llm.packing import PackParams, pack_documents
 from voxward.llm.pieces import PieceParams, encode_pieces
@@ -56,7 +56,8 @@ def op7_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per page what its two derived records say, read back from the files."""
     pages = responses(table(spark, sf_dir, "pages"))
     manifest = write_derivatives(pages, f"{shared_folder(spark)}/warc-{uuid.uuid4().hex}")
-    read = read_warc(manifest, keep_block=False)
+    # Both sides grow with the pages, which the planner can't see in what is read from files.
+    read = read_warc(manifest, keep_block=False).hint("merge")
     return pages.select("page_id", F.col("record_id").alias("refers_to")).join(read, "refers_to")
 
 
@@ -129,7 +130,47 @@ _QUALITY = rf"""
             FROM m JOIN f USING (doc_id) LEFT JOIN bad ON bad.source = m.source
         )"""
 
+_HINT = "licen[sc]e|permission|redistribut|public domain"
+_SPELLINGS = (
+    ("licence", "license"), ("sub-license", "sublicense"), ("sub license", "sublicense"), ("non-commercial", "noncommercial"),
+    ("acknowledgement", "acknowledgment"), ("organisation", "organization"), ("authorisation", "authorization"),
+    ("copyright owner", "copyright holder"), ("favour", "favor"), ("fulfil ", "fulfill "), ("judgement", "judgment"),
+    ("per cent", "percent"), ("programme", "program"), ("utilisation", "utilization"), ("whilst", "while"), ("https", "http"),
+    ("merchantibility", "merchantability"), (r"\bv\. ?(\d)", r"version \1"),
+)
+
+
+def _canonical(text: str) -> str:
+    """SQL for the canonical form of a licence text."""
+    form = rf"regexp_replace(lower({text}), '(?m)^\W*(?:copyright|©|\(c\))\W.*$|all rights reserved\.?', ' ', 'g')"
+    for other, one in _SPELLINGS:
+        form = f"regexp_replace({form}, '{other}', '{one}', 'g')"
+    return rf"trim(regexp_replace({form}, '[^\p{{L}}\p{{N}}]+', ' ', 'g'))"
+
+
+def _texts(rows: tuple[tuple[str, str], ...]) -> str:
+    quoted = (", ".join("'" + v.replace("'", "''") + "'" for v in row) for row in rows)
+    return ", ".join(f"({row})" for row in quoted)
+
+
 ORACLE_SQL = {
+    "op2_license_scan": f"""
+        WITH k AS (
+            SELECT {_canonical("text")} AS form, min(license) AS license FROM (VALUES {_texts(LICENSES)}) t(license, text) GROUP BY 1
+        ), d AS (SELECT doc_id, text FROM documents WHERE regexp_matches(lower(text), '{_HINT}')),
+        u AS (
+            SELECT doc_id, false AS whole, line AS text FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM d)
+            WHERE regexp_matches(lower(line), '{_HINT}')
+            UNION ALL
+            SELECT doc_id, true, text FROM d
+        ), f AS (
+            SELECT doc_id, count(*) FILTER (NOT whole) AS n_notices,
+                array_to_string(list_sort(list(DISTINCT license)), ',') AS licenses, min(license) FILTER (whole) AS whole_license
+            FROM (SELECT doc_id, whole, {_canonical("text")} AS form FROM u) JOIN k USING (form) GROUP BY doc_id
+        )
+        SELECT doc_id, coalesce(n_notices, 0)::BIGINT AS n_notices, coalesce(licenses, '') AS licenses, whole_license
+        FROM documents LEFT JOIN f USING (doc_id)
+    """,
     "op3_host_rules": f"""
         WITH {_QUALITY}
         SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, host_rejected,
