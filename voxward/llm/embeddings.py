@@ -111,7 +111,7 @@ def _compared(group: pa.Table, cosine: float) -> pa.Table:
     A pair that shares several cells is taken in the first of them.
     """
     frame = group.to_pandas().sort_values(["side", "rep"])
-    cell, two = int(frame["cell"].iloc[0]), bool((frame["side"] == 1).any())
+    cell, two = int(frame["cell"].iloc[0]), frame["i"].iloc[0] != frame["j"].iloc[0]
     unit, side = _unit(frame["vector"]), frame["side"].to_numpy()
     ids, weight = frame["rep"].to_numpy(), frame["weight"].to_numpy()
     linked = unit @ unit.T >= cosine
