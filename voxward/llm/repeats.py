@@ -204,7 +204,10 @@ def repeated_spans(docs: DataFrame, params: RepeatParams = RepeatParams()) -> Da
     def in_shard(shard: pa.Table) -> pa.Table:
         shard = shard.sort_by([("doc_id", "ascending"), ("first", "ascending")])
         doc_ids, firsts, data = (shard.column(c).to_pylist() for c in ("doc_id", "first", "data"))
-        found = list(zip(doc_ids, firsts, repeats(data, window), strict=True))
+        # Documents one after the other, with more room than any has bytes.
+        number = np.unique(np.array(doc_ids, np.int64), return_inverse=True)[1]
+        places = number * (max(firsts) + max(map(len, data)) + 1) + np.array(firsts, np.int64)
+        found = list(zip(doc_ids, firsts, repeats(data, window, places), strict=True))
         return pa.Table.from_pandas(_span_frame(found, window), schema=span_schema, preserve_index=False)
 
     span_schema = pa.schema([("doc_id", pa.int64()), ("first", pa.int64()), ("size", pa.int32())])
@@ -229,13 +232,13 @@ def _single_windows(cuts: DataFrame, window: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, 1000):
-                seen: set[bytes] = set()
+                seen: dict[bytes, tuple[int, int]] = {}
                 rows = []
                 for doc_id, first, data in sorted(zip(*(whole.slice(at, 1000).column(c).to_pylist() for c in range(3)), strict=True)):
                     for i in range(len(data) - window + 1):
                         digest = hashlib.blake2b(data[i : i + window], digest_size=16).digest()
-                        rows.append((digest, doc_id, first + i, digest in seen))
-                        seen.add(digest)
+                        earlier = seen.setdefault(digest, (doc_id, first + i))
+                        rows.append((digest, doc_id, first + i, earlier != (doc_id, first + i)))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
 
     names, types = ["digest", "doc_id", "first", "again"], [pa.binary(), pa.int64(), pa.int64(), pa.bool_()]

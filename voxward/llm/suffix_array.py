@@ -174,16 +174,24 @@ def permuted_lcp(text: np.ndarray, array: np.ndarray) -> tuple[np.ndarray, np.nd
     return before, np.maximum(full[source] - (np.arange(n) - source), 0)
 
 
-def repeats(strings: list[bytes], window: int) -> list[np.ndarray]:
-    """For each string the starts of windows that also occur in an earlier string or earlier in it."""
+def repeats(strings: list[bytes], window: int, places: np.ndarray | None = None) -> list[np.ndarray]:
+    """For each string the starts of windows that also occur at an earlier place.
+
+    ``places`` are the strings' own, ascending numbers, by which a window at an
+    offset is at the sum of both; equal places are one. By default the strings
+    follow each other.
+    """
     text, starts = joined(strings)
     array = suffix_array(text, window)
     _, common = permuted_lcp(text, array)
     group = np.cumsum(common[array] < window)
-    first = np.full(int(group[-1]) + 1, len(text), np.int64)
-    np.minimum.at(first, group, array)
+    place = np.arange(len(text))
+    if places is not None and len(places):
+        place += np.repeat(places - starts, np.diff(np.append(starts, len(text))))
+    first = np.full(int(group[-1]) + 1, np.iinfo(np.int64).max)
+    np.minimum.at(first, group, place[array])
     again = np.zeros(len(text), bool)
-    again[array] = first[group] < array
+    again[array] = first[group] < place[array]
     marked = np.flatnonzero(again)
     cut = np.searchsorted(marked, starts[1:])
     return [part - start for part, start in zip(np.split(marked, cut), starts, strict=True)]
