@@ -30,7 +30,7 @@ PATTERNS = {
     "ip": r"(?<![\w.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\w]|\.\d)",
     "iban": r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?!\w)",
     "card": r"(?<![\w-])\d(?:[ -]?\d){12,18}(?![\w-])",
-    "phone": r"(?<![\w+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)|\d{2,4})[ .-]\d{3,4}[ .-]\d{3,4}(?!\w)|(?<!\w)\+\d{8,15}(?!\w)",
+    "phone": r"(?<![\w+])(?<!\d[ .-])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)|\d{2,4})[ .-]\d{3,4}[ .-]\d{3,4}(?!\w)|(?<!\w)\+\d{8,15}(?!\w)",
     "person": r"(?<!\w)(?:Mrs|Mr|Ms|Miss|Herr|Frau|Mme|Monsieur|Madame|Señora|Señor|Sra|Sr)\.? (?P<person_value>[^\W\d_]+(?: [^\W\d_]+)?)",
 }
 _ALL = re.compile("|".join(f"(?P<{kind}>{pattern})" for kind, pattern in PATTERNS.items()))
@@ -316,4 +316,4 @@ def replace_pii(docs: DataFrame, params: PiiParams = PiiParams(), keep_entities:
     result = numbered.mapInArrow(run, ", ".join(f"`{c}` {t}" for c, t in shape.items()))
     if "n_chars" in rest:
         result = result.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
-    return result
+    return result.select(*(c for c in docs.columns if c != "entities"), *["entities"] * keep_entities)
