@@ -33,7 +33,7 @@ PART_BITS = 20
 MOST_BITS = 3
 #: Parts with up to FEW members are joined with themselves, larger ones are compared in blocks of BLOCK members.
 FEW = 64
-BLOCK = 1024
+BLOCK = 8192
 
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
@@ -230,11 +230,15 @@ def _crossing(block: pd.DataFrame, percent: int) -> pd.DataFrame:
     bits = np.stack([np.bitwise_xor.reduce(v.reshape(-1, size), axis=0) for v in folds])
     n, ids, component = (block[c].to_numpy() for c in ("n", "doc_id", "component"))
     first, second = (np.flatnonzero(block["side"].to_numpy() == side) for side in (0, 1))
-    apart = np.stack([np.bitwise_count(bits[i] ^ bits[second]).sum(axis=1) for i in first])
-    near = apart * (100 + percent) <= (100 - percent) * (n[first, None] + n[second])
-    x, y = np.nonzero(near & (component[first, None] != component[second]))
-    x, y = ids[first[x]], ids[second[y]]
-    return pd.DataFrame({"a": np.maximum(x, y), "b": np.minimum(x, y)}).drop_duplicates()
+    found = [np.empty((2, 0), np.int64)]
+    for i in first:
+        apart = np.bitwise_count(bits[i] ^ bits[second]).sum(axis=1, dtype=np.int64)
+        near = (apart * (100 + percent) <= (100 - percent) * (n[i] + n[second])) & (component[second] != component[i])
+        if near.any():
+            other = ids[second[near]]
+            found.append(np.stack((np.maximum(ids[i], other), np.minimum(ids[i], other))))
+    a, b = np.unique(np.concatenate(found, axis=1), axis=1)
+    return pd.DataFrame({"a": a, "b": b})
 
 
 def _left_over(kept: DataFrame, sketched: DataFrame, components: DataFrame, percent: int) -> DataFrame:
