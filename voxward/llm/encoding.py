@@ -15,8 +15,8 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 _PLAIN = regex.compile(r"[\t\n\r\x20-\x7e¡-ÿĀ-ſα-ωА-я‐-‧]*")
 #: A space beside other white space of plain texts; without it every space begins a word of the pattern.
 _WIDE = ("  ", " \n", "\n ", " \t", "\t ", " \r", "\r ")
-#: Words, and parts of words, remembered by a worker in each of two generations.
-WORDS_KEPT, PARTS_KEPT = 400_000, 200_000
+#: Words that a worker remembers in each of two generations, and half as many parts of words; some 60 MB.
+WORDS_KEPT = 150_000
 
 
 def _byte_letters() -> dict[int, str]:
@@ -60,8 +60,8 @@ class Memory(dict):
 class Parts(Memory):
     """The ids of the parts into which the pattern cuts a text."""
 
-    def __init__(self, model) -> None:
-        super().__init__(PARTS_KEPT)
+    def __init__(self, model, kept: int) -> None:
+        super().__init__(kept)
         self._model = model
         self._letters = str.maketrans({chr(b): c for b, c in _byte_letters().items()})
         self._cut = regex.compile(PATTERN).findall
@@ -82,14 +82,14 @@ class Encoder(Memory):
     ordinary text. Merges are the library's, made once for each part met.
     """
 
-    def __init__(self, path: str) -> None:
-        super().__init__(WORDS_KEPT)
+    def __init__(self, path: str, kept: int) -> None:
+        super().__init__(kept)
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self._whole = Tokenizer.from_file(path)
         self._whole.encode_special_tokens = True
-        self._parts = Parts(self._whole.model)
+        self._parts = Parts(self._whole.model, kept // 2)
 
     def make(self, word: str) -> bytes:
         # A space and letters are one part of the pattern, a mark behind them the next.
@@ -111,14 +111,15 @@ class Encoder(Memory):
         return self._parts.encode(first) + b"".join(map(self.__getitem__, words))
 
 
-_encoders: dict[str, Encoder] = {}
+_encoders: dict[tuple[str, int], Encoder] = {}
 
 
-def encoder(path: str) -> Encoder:
+def encoder(path: str, kept: int = WORDS_KEPT) -> Encoder:
     """This worker's encoder for a file; kept between tasks."""
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+    if (path, kept) not in _encoders:
+        _encoders.clear()
+        _encoders[path, kept] = Encoder(path, kept)
+    return _encoders[path, kept]
 
 
 def public_path(name: str) -> str:

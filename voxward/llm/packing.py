@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from voxward.llm.encoding import encoder, public_path
+from voxward.llm.encoding import WORDS_KEPT, encoder, public_path
 from voxward.llm.tables import stored
 
 #: Pieces of one length are ranked in buckets of about this many.
@@ -28,11 +28,15 @@ BUCKET_ROWS = 100_000
 
 @dataclass(frozen=True)
 class PackParams:
-    """Tokens in a sequence, the id that ends each document, and the vocabulary file (a path, or a public name)."""
+    """Tokens in a sequence, the id that ends each document, and the vocabulary file (a path, or a public name).
+
+    ``words_kept`` trades a worker's memory for speed (400 bytes a word).
+    """
 
     capacity: int = 1024
     end_id: int = 2
     vocabulary: str = "byte_bpe_50k.json"
+    words_kept: int = WORDS_KEPT
 
     def __post_init__(self) -> None:
         if self.capacity < 1:
@@ -52,7 +56,7 @@ def pieces(docs: DataFrame, params: PackParams = PackParams(), keep_ids: bool =
     path, capacity, end = params.path(), params.capacity, np.array([params.end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(path).encode
+        encode = encoder(path, params.words_kept).encode
         for whole in batches:
             for at in range(0, whole.num_rows, 256):
                 batch = whole.slice(at, 256)

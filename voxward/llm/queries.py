@@ -18,7 +18,7 @@ from voxward.llm.repeats import RepeatParams, remove_repeats
 from voxward.llm.tables import table
 from voxward.llm.token_files import TokenFileParams, read_tokens, write_tokens
 from voxward.llm.warc import read_warc, responses, write_derivatives
-from voxward.session import shared_folder
+from voxward.session import delete_at_end, shared_folder
 
 
 def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -37,7 +37,7 @@ def op3_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack_documents(table(spark, sf_dir, "documents"), PackParams(capacity=1024, end_id=2))
+    return pack_documents(table(spark, sf_dir, "documents"), PackParams(capacity=1024, end_id=2, words_kept=400_000))
 
 
 def op5_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,7 +55,9 @@ def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per page what its two derived records say, read back from the files."""
     pages = responses(table(spark, sf_dir, "pages"))
-    manifest = write_derivatives(pages, f"{shared_folder(spark)}/warc-{uuid.uuid4().hex}")
+    folder = f"{shared_folder(spark)}/warc-{uuid.uuid4().hex}"
+    delete_at_end(spark, folder)
+    manifest = write_derivatives(pages, folder)
     # Both sides grow with the pages, which the planner can't see in what is read from files.
     read = read_warc(manifest, keep_block=False).hint("merge")
     return pages.select("page_id", F.col("record_id").alias("refers_to")).join(read, "refers_to")
@@ -63,7 +65,8 @@ def op7_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = f"{shared_folder(spark)}/tokens-{uuid.uuid4().hex}"
-    manifest = write_tokens(table(spark, sf_dir, "documents"), folder, TokenFileParams(end_id=2))
+    delete_at_end(spark, folder)
+    manifest = write_tokens(table(spark, sf_dir, "documents"), folder, TokenFileParams(end_id=2, words_kept=400_000))
     return read_tokens(manifest, keep_ids=False)
 
 
