@@ -230,6 +230,8 @@ def _crossing(block: pd.DataFrame, percent: int) -> pd.DataFrame:
     bits = np.stack([np.bitwise_xor.reduce(v.reshape(-1, size), axis=0) for v in folds])
     n, ids, component = (block[c].to_numpy() for c in ("n", "doc_id", "component"))
     first, second = (np.flatnonzero(block["side"].to_numpy() == side) for side in (0, 1))
+    if block["i"].iloc[0] == block["j"].iloc[0]:
+        second = first  # a block with itself is sent once
     found = [np.empty((2, 0), np.int64)]
     for i in first:
         apart = np.bitwise_count(bits[i] ^ bits[second]).sum(axis=1, dtype=np.int64)
@@ -274,17 +276,11 @@ def _left_over(kept: DataFrame, sketched: DataFrame, components: DataFrame, perc
         .withColumn("block", F.pmod(F.xxhash64("doc_id"), blocks).cast("int"))
         .join(sketched.select("doc_id", "n", "fold"), "doc_id")
     )
-    sides = F.flatten(
-        F.transform(
-            F.sequence(F.lit(0), blocks - 1),
-            lambda j: F.filter(
-                F.array(
-                    F.struct(F.col("block").alias("i"), j.alias("j"), F.lit(0).alias("side")),
-                    F.struct(j.alias("i"), F.col("block").alias("j"), F.lit(1).alias("side")),
-                ),
-                lambda s: s["i"] <= s["j"],
-            ),
-        )
+    sides = F.transform(
+        F.sequence(F.lit(0), blocks - 1),
+        lambda j: F.struct(
+            F.least("block", j).alias("i"), F.greatest("block", j).alias("j"), (j < F.col("block")).cast("int").alias("side")
+        ),
     )
     many = (
         dealt.withColumn("s", F.explode(sides))
