@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 
 from voxward.llm.tables import small_side, stored
 
+#: A number ends here: no letter or digit follows, nor a hyphen or point with more of the same.
+_END = r"(?!\w|-\w|\.\d)"
 #: What is looked for, in order of precedence; the first that matches at a place wins (fixed values of public formats).
 PATTERNS = {
     "key": r"(?<![A-Za-z0-9])(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9])",
@@ -29,11 +31,25 @@ PATTERNS = {
     "ssn": r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])",
     "ip": r"(?<![\w.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\w]|\.\d)",
     "iban": r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?!\w)",
-    "card": r"(?<![\w-])\d(?:[ -]?\d){12,18}(?![\w-])",
-    "phone": r"(?<![\w+])(?<!\d[ .-])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)|\d{2,4})[ .-]\d{3,4}[ .-]\d{3,4}(?!\w)|(?<!\w)\+\d{8,15}(?!\w)",
-    "person": r"(?<!\w)(?:Mrs|Mr|Ms|Miss|Herr|Frau|Mme|Monsieur|Madame|Señora|Señor|Sra|Sr)\.? (?P<person_value>[^\W\d_]+(?: [^\W\d_]+)?)",
+    "card": rf"(?<![\w-])\d(?:[ -]?\d){{12,18}}{_END}",
+    "phone": "|".join((
+        r"(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?\d{3,4}[ .-]\d{3,4}|\(\d{3}\)[ .-]?\d{7})(?!\w)",
+        r"\+\d{1,3}[ .-]?\d{2,4}[ .-]\d{3,4}[ .-]\d{3,4}(?!\w)",
+        r"\+\d{1,3}[ .-]?(?:\(0\)[ .-]?)?\d{1,3}[ .-]\d{2,3}(?:[ .-]\d\d){2,3}(?!\w)",
+        r"(?<!\w)\+\d{8,15}(?!\w)",
+        r"(?<![\w+])(?<!\d/)1[ .-]?(?:\(\d{3}\)[ .-]?|\d{3}[ .-])\d{3}[ .-]\d{4}(?!\w)",
+        r"(?<![\w+])(?<!\d/)\d{2,4}[ .-]\d{3,4}[ .-]\d{3,4}(?!\w)",
+        r"(?<![\w+])(?<!\d/)0\d(?:[ .-]\d\d){4}(?!\w)",
+    )),
+    "person": r"(?<!\w)(?:Mrs|Mr|Ms|Miss|Herr|Frau|Mme|Monsieur|Madame|Señora|Señor|Sra|Sr)\.? (?P<person_value>[^\W\d_]+(?: (?!(?i:password|passwd|secret|token|api_key|apikey)\s*[=:]|(?:Mrs|Mr|Ms|Miss|Herr|Frau|Mme|Monsieur|Madame|Señora|Señor|Sra|Sr)\b)[^\W\d_]+(?![\w%+-]|\.\w|@))?)",
 }
 _ALL = re.compile("|".join(f"(?P<{kind}>{pattern})" for kind, pattern in PATTERNS.items()))
+_ONE = {kind: re.compile(PATTERNS[kind]) for kind in ("card", "ssn", "ip", "phone")}
+#: Usual groups of card numbers, longest first.
+_CARD_FORMS = tuple(
+    re.compile(form + _END)
+    for form in (r"\d{13,19}", r"\d{4}([ -])\d{4}\1\d{4}\1\d{4}\1\d{3}", r"\d{4}([ -])\d{4}\1\d{4}\1\d{4}", r"\d{4}([ -])\d{6}\1\d{4,5}", r"\d{4}([ -])\d{3}\1\d{3}\1\d{3}")
+)
 #: A text without any of these holds no entity.
 _HINT = re.compile(r"@|\d[\d.() -]{5}|AKIA|ASIA|[=:]\s*[\"']?[\w/+-]{8}|(?:Mrs|Mr|Ms|Miss|Herr|Frau|Mme|Monsieur|Madame|Señora|Señor|Sra|Sr)\.? ")
 
@@ -61,23 +77,44 @@ class PiiParams:
 def find_entities(text: str) -> list[tuple[int, int, str]]:
     """``start, end, kind`` of the entities of a text, in order, without overlap.
 
-    Card numbers must pass the Luhn test, account numbers theirs (mod 97).
+    Card numbers must pass the Luhn test, account numbers theirs (mod 97); where
+    more digits follow, the part that passes counts. A number that precedes or
+    follows does not hide another one.
     Persons are found behind a form of address, which tells the gender; their
     given and family names are entities of their own, so that a mention by
     family name alone stays the same person.
     """
     if not _HINT.search(text):
         return []
-    found, at = [], 0
+    found, at, barred = [], 0, 0
     while match := _ALL.search(text, at):
         kind = match.lastgroup.removesuffix("_value")
         value = f"{kind}_value"
         start, end = match.span(value if value in _ALL.groupindex else kind)
         at = max(end, match.start() + 1)
-        if (kind == "card" and not _luhn(text[start:end])) or (kind == "iban" and not _mod97(text[start:end])):
-            at = match.start() + 1
-            while at < end and text[at - 1].isalnum() and text[at].isalnum():
-                at += 1
+        if kind in ("card", "iban", "phone"):
+            whole = end
+            if kind == "card":
+                end = _card_end(text, start, end)
+                if not end and any(form.match(text, start) for form in _CARD_FORMS):
+                    barred = max(barred, start + 16)
+                if not end and (phone := _ONE["phone"].match(text, start)):
+                    kind, end = "phone", phone.end()
+            elif kind == "iban":
+                end = _iban_end(text, start, end)
+                barred = barred if end else whole
+            if end and kind == "phone" and text[start].isdigit():
+                beside = bool(found) and found[-1][1] == start - 1
+                joined = _joined_until(text, start, end, beside)
+                barred = max(barred, joined)
+                end = 0 if start < barred or not beside and _number_before(text, start, end) else end
+            if end:
+                found.append((start, end, kind))
+                at = end
+            else:
+                at = start + 1
+                while at < whole and text[at - 1].isalnum() and text[at].isalnum():
+                    at += 1
         elif kind == "person":
             given, _, family = text[start:end].rpartition(" ")
             if given:
@@ -88,6 +125,83 @@ def find_entities(text: str) -> list[tuple[int, int, str]]:
     return found
 
 
+def _form_end(text: str, start: int) -> int:
+    """Where a valid card number in a usual form ends that starts here, or 0."""
+    for form in _CARD_FORMS:
+        if (match := form.match(text, start)) and _luhn(match.group()):
+            return match.end()
+    return 0
+
+
+def _card_end(text: str, start: int, end: int) -> int:
+    """Where the card number ends that starts here, or 0: usual forms first, then the whole run of digits and what is left without its last groups."""
+    if usual := _form_end(text, start):
+        return usual
+    groups = [m.span() for m in re.finditer(r"\d+", text[start:end])]
+    for k in range(len(groups), 0, -1):
+        stop = start + groups[k - 1][1]
+        number = text[start:stop]
+        n = sum(c.isdigit() for c in number)
+        if n < 13:
+            return 0
+        if n <= 19 and _luhn(number) and not _others_in(text, start, stop, [start + a for a, _ in groups[1:k]]):
+            return stop
+    return 0
+
+
+def _others_in(text: str, start: int, end: int, inner: list[int]) -> bool:
+    """Whether the groups of a run read better as entities of their own than as one number: a card number or others
+    start inside, or a phone number, where separators differ or what follows it is another entity."""
+    if any(_form_end(text, g) or _ONE["ssn"].match(text, g) or _ONE["ip"].match(text, g) for g in inner):
+        return True
+    if len({c for c in text[start:end] if not c.isdigit()}) > 1:
+        return any(_ONE["phone"].match(text, g) for g in (start, *inner))
+    phone = _ONE["phone"].match(text, start)
+    return bool(phone) and any(_ONE[kind].match(text, phone.end() + 1) for kind in ("phone", "ssn", "ip"))
+
+
+def _joined_until(text: str, start: int, end: int, beside: bool) -> int:
+    """The end of the longer number that these groups of digits are a part of, or 0.
+
+    Hyphens and points join what precedes; blanks only up to numbers of more than 15 digits or in groups of thousands.
+    What follows an entity directly (``beside``) starts anew, and an entity that follows is not part of the number.
+    """
+    left = start
+    if not beside and start > 1 and text[start - 2].isdigit():
+        if text[start - 1] in ".-":
+            return end
+        if text[start - 1] == " ":
+            if re.fullmatch(r"\d{3} \d{3} \d{3}", text[start:end]) and re.search(r"(?<!\d)\d{1,3} $", text[max(0, start - 5) : start]):
+                return end
+            left = re.search(r"(?:(?<![^\s\d])\d+ )*$", text[max(0, start - 40) : start]).start() + max(0, start - 40)
+    right = end
+    while right + 1 < len(text) and text[right] in " -" and (more := re.compile(r"\d+(?!\w)").match(text, right + 1)):
+        if _form_end(text, right + 1) or any(_ONE[kind].match(text, right + 1) for kind in ("ssn", "ip", "phone")):
+            break
+        if text[right] not in text[start:end]:
+            break
+        right = more.end()
+    return right if sum(c.isdigit() for c in text[left:right]) > 15 else 0
+
+
+def _number_before(text: str, start: int, end: int) -> bool:
+    """Whether the first group is a number of its own, before a phone number that takes up the rest."""
+    if text[start] == "0" or re.fullmatch(r"\d{3}\D\d{3}\D\d{4}|1\D.*", text[start:end]) or re.fullmatch(r"\d+( \d{3}){2}", text[start:end]) and not re.match(r" \d{4}", text[end:]):
+        return False
+    second = text.find(" ", start, end)
+    later = second > 0 and _ONE["phone"].match(text, second + 1)
+    return bool(later) and later.end() > end and not re.compile(r"[ .-]\d").match(text, later.end())
+
+
+def _iban_end(text: str, start: int, end: int) -> int:
+    """Where the account number ends that starts here, or 0: what follows it may look like more of it."""
+    while end - start >= 15:
+        if text[end - 1].isalnum() and not text[end : end + 1].isalnum() and _mod97(text[start:end]):
+            return end
+        end -= 1
+    return 0
+
+
 def _luhn(number: str) -> bool:
     return _luhn_sum([int(c) for c in number if c.isdigit()]) % 10 == 0
 
@@ -143,7 +257,7 @@ def surrogate(kind: str, value: str, key: str, attempt: int = 0) -> str:
     """A replacement for a canonical value, of its type and form.
 
     Emails keep their length and punctuation in a reserved domain, numbers
-    their check digits, phones the start of their country code,
+    their check digits, phones the start of their country code or their trunk prefix,
     addresses lie in a reserved network, secrets keep the case and kind of each
     character, names their gender and script.
     """
@@ -168,6 +282,8 @@ def surrogate(kind: str, value: str, key: str, attempt: int = 0) -> str:
         return value[:4] + "".join("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"[draw.below(32)] for _ in value[4:])
     if kind == "phone" and value.startswith("+"):
         return value[:2] + draw.like(value[2:])
+    if kind == "phone" and (value[0] == "0" or value[0] == "1" and len(value) == 11):
+        return value[0] + draw.like(value[1:])
     return draw.like(value)
 
 
