@@ -1,8 +1,12 @@
 """Canonical forms and the scan."""
 
+import re
+import textwrap
+
 import pytest
+from pyspark.sql import functions as F
 
-from voxward.llm.licenses import LICENSES, scan_licenses
+from voxward.llm.licenses import LICENSES, canonical, scan_licenses
 
 
 def test_same_form_for_the_same_terms(documents):
@@ -29,3 +33,32 @@ def test_own_table_of_licenses(spark, documents):
     assert scan_licenses(documents([(1, "Own licence, text")]), known).first().whole_license == "A"
     with pytest.raises(ValueError):
         scan_licenses(documents([]), spark.createDataFrame([("A", "free to use")], "license string, text string"))
+
+
+def wrapped(text, width, mark=""):
+    return "\n".join(textwrap.fill(part, width, initial_indent=mark, subsequent_indent=mark, break_on_hyphens=False) for part in text.split("\n"))
+
+
+def test_wrapped_at_any_width(documents):
+    """At some widths a line of terms starts with the word copyright."""
+    names = {i: name for i, (name, text) in enumerate(LICENSES) if len(text) > 500}
+    rows = [
+        (1000 * i + width, wrapped(LICENSES[i][1].replace("<year> <holders>", holder), width, mark))
+        for i in names for width, mark, holder in [(w, "# " if w % 2 else "", "2020 A Body" if w % 3 else "<year> <holders>") for w in range(30, 130)]
+    ]
+    assert any(line.strip("# ").lower().startswith("copyright holders") for _, text in rows for line in text.split("\n"))
+    assert {r.doc_id: r.whole_license for r in scan_licenses(documents(rows)).collect()} == {i: names[i // 1000] for i, _ in rows}
+
+
+def test_lines_of_ownership(spark):
+    gone = [
+        "Copyright 2020 Some Body", "Copyright (c) Some Body", "(c) 2020 Some Body", "© Some Body", "# Copyright: Some Body", "Copyright The Foo Authors",
+        "COPYRIGHT © 2020-2024 X", "Copyright [yyyy] [name of copyright owner]", "(C) Copyright Some Body", "All rights\nreserved.",
+    ]
+    stay = [
+        "COPYRIGHT HOLDERS BE LIABLE", "copyright notice and this permission", "copyright, patent, trademark", "(c) You must retain", "copyright license to reproduce",
+        "copyright and related rights", "copyright\nnotice", "copyrighted work",
+    ]
+    forms = dict(spark.createDataFrame([(t,) for t in gone + stay], "t string").select("t", canonical(F.col("t"))).collect())
+    assert [forms[t] for t in gone] == [""] * len(gone)
+    assert [forms[t].split() for t in stay] == [re.sub(r"[^a-z ]+", " ", t.lower()).split() for t in stay]

@@ -22,8 +22,18 @@ SPELLINGS = {
     "per cent": "percent", "programme": "program", "utilisation": "utilization", "whilst": "while", "https": "http",
     "merchantibility": "merchantability", r"\bv\. ?(\d)": "version $1",
 }
-#: A line that starts so says whose the copyright is, and nothing of the terms.
-COPYRIGHT = r"(?m)^\W*(?:copyright|©|\(c\))\W.*$|all rights reserved\.?"
+#: What follows the word copyright in terms, unlike the name of a holder: a wrapped line of terms may start with it.
+_TERMS = (
+    "holders?|owners?|notices?|licen[sc]e|licen[sc]es|licen[sc]ed|licensors?|laws?|acts?|and|or|in|to|of|is|are|as|for|on|under|that|this|which|with|from"
+    "|interests?|rights?|statements?|protections?|treaty|treaties|patents?|trademarks?|status|works?|claims?|infringements?|disclaimers?|has|have"
+    "|permissions?|information|management|legislation|liability|ownership|date|year|terms?|must|may|shall|will|can|be|not|does|if|but|where|when"
+)
+#: A line that starts so says whose the copyright is, and nothing of the terms: a sign, a year, a gap to fill in or a holder follows.
+#: A bare (c) is a list mark unless a year or the word follows.
+COPYRIGHT = (
+    r"(?m)^[^\w\n]*(?:©|\(c\)[^\w\n]*(?:copyright\b|©|\d{4}|<year)|copyright[^\w\n]*(?:\(c\)|©|\d{4}\b|[<\[{])"
+    rf"|copyright(?:[ \t]*:[ \t]*|[ \t]+)(?!(?:{_TERMS})\b)\w).*$|all\s+rights\s+reserved\.?"
+)
 #: Every known text must hold one of these words, so that only such lines are brought to canonical form.
 HINT = "licen[sc]e|permission|redistribut|public domain"
 
@@ -73,7 +83,7 @@ LICENSES = (
 
 def canonical(text: Column) -> Column:
     """The canonical form of a text; null stays null."""
-    form = F.regexp_replace(F.lower(text), COPYRIGHT, " ")
+    form = F.regexp_replace(F.regexp_replace(F.lower(text), COPYRIGHT, " "), r"\s+", " ")
     for other, one in SPELLINGS.items():
         form = F.regexp_replace(form, other, one)
     return F.trim(F.regexp_replace(form, r"[^\p{L}\p{N}]+", " "))
