@@ -2,10 +2,13 @@
 
 import re
 import textwrap
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
+from voxward.llm import licenses
+from voxward.llm.license_digests import DIGESTS
 from voxward.llm.licenses import LICENSES, canonical, scan_licenses
 
 
@@ -62,3 +65,24 @@ def test_lines_of_ownership(spark):
     forms = dict(spark.createDataFrame([(t,) for t in gone + stay], "t string").select("t", canonical(F.col("t"))).collect())
     assert [forms[t] for t in gone] == [""] * len(gone)
     assert [forms[t].split() for t in stay] == [re.sub(r"[^a-z ]+", " ", t.lower()).split() for t in stay]
+
+
+def test_whole_public_texts(documents):
+    """BSD as published, and the long texts where this machine has them, as they are and wrapped anew."""
+    parts = [
+        "BSD 3-Clause License", "Copyright (c) 2021, Some Body\nAll rights reserved.", licenses._BSD_HEAD,
+        *(f"{k}. {c}" for k, c in enumerate(licenses._BSD_CLAUSES, 1)), licenses._BSD_END,
+    ]
+    rows, want = [(1, wrapped("\n\n".join(parts), 79)), (2, wrapped("\n".join(parts[1:5] + parts[6:]), 60, "# "))], ["BSD-3-Clause", "BSD-2-Clause"]
+    files = {
+        "Apache-2.0": "Apache-2.0", "GPL-2": "GPL-2.0-only", "GPL-3": "GPL-3.0-only", "LGPL-2.1": "LGPL-2.1-only", "LGPL-3": "LGPL-3.0-only",
+        "MPL-2.0": "MPL-2.0", "CC0-1.0": "CC0-1.0",
+    }
+    for name, license in files.items():
+        if (path := Path("/usr/share/common-licenses", name)).exists():
+            text = path.read_text()
+            rows += [(len(rows) + 1, text), (len(rows) + 2, "\n".join(line.strip() for line in text.split("\n")).upper())]
+            want += [license, license]
+    assert [r.whole_license for r in scan_licenses(documents(rows)).orderBy("doc_id").collect()] == want
+    assert scan_licenses(documents([(1, rows[0][1][:-60])])).first().whole_license is None
+    assert set(files.values()) <= {name for name, _ in DIGESTS}

@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from voxward.llm.license_digests import DIGESTS
 from voxward.llm.tables import small_side, stored
 
 #: Spellings that count as equal (fixed values, after public matching guidelines).
@@ -80,6 +81,40 @@ LICENSES = (
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
 )
 
+_BSD_HEAD = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:"
+_BSD_CLAUSES = (
+    "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
+    "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the"
+    " documentation and/or other materials provided with the distribution.",
+    "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this"
+    " software without specific prior written permission.",
+)
+_BSD_END = (
+    "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT"
+    " LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT"
+    " HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT"
+    " LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY"
+    " THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF"
+    " THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+)
+
+
+def _bsd(n: int, head: str, numbered: bool) -> str:
+    clauses = (f"{k}. {clause}" if numbered else f"* {clause}" for k, clause in enumerate(_BSD_CLAUSES[:n], 1))
+    return "\n".join([head, "Copyright (c) <year> <holders>", _BSD_HEAD, *clauses, _BSD_END])
+
+
+#: Whole texts besides LICENSES, with the headings and clause marks they come with (fixed values).
+TEXTS = (
+    *(("MIT", f"{head}\nCopyright (c) <year> <holders>\n{_GRANT}") for head in ("The MIT License", "The MIT License (MIT)", "MIT License (MIT)")),
+    *(
+        (f"BSD-{n}-Clause", _bsd(n, head, numbered))
+        for n in (2, 3)
+        for head in ("", f"BSD {n}-Clause License", f"The {n}-Clause BSD License", "BSD License")
+        for numbered in (False, True)
+    ),
+)
+
 
 def canonical(text: Column) -> Column:
     """The canonical form of a text; null stays null."""
@@ -94,8 +129,8 @@ def digest(text: Column) -> Column:
 
 
 def known_licenses(spark: SparkSession) -> DataFrame:
-    """``license, text`` of LICENSES."""
-    return spark.createDataFrame(list(LICENSES), "license string, text string")
+    """``license, text`` of LICENSES and TEXTS."""
+    return spark.createDataFrame(list(LICENSES + TEXTS), "license string, text string")
 
 
 def scan_licenses(docs: DataFrame, known: DataFrame | None = None) -> DataFrame:
@@ -104,15 +139,17 @@ def scan_licenses(docs: DataFrame, known: DataFrame | None = None) -> DataFrame:
     ``whole_license`` is the licence that the whole text is, or null;
     ``n_notices`` counts lines that are a known notice or licence; ``licenses`` lists
     all licences found, sorted, apart by commas, empty if none. Null and empty
-    texts have none. Rows that repeat a ``doc_id`` each have what was found in any
+    texts have none. Without ``known`` the licences are those of LICENSES, TEXTS and DIGESTS. Rows that repeat a ``doc_id`` each have what was found in any
     of them; rows with a null ``doc_id`` share what was found in those. A digest known
     under two names gives the smaller one.
     """
     docs = docs.select("doc_id", "text")
+    more = docs.sparkSession.createDataFrame(list(DIGESTS) if known is None else [], "license string, digest string")
     known = known if known is not None else known_licenses(docs.sparkSession)
     if not known.where(~F.lower("text").rlike(HINT)).isEmpty():
         raise ValueError(f"every known text must match {HINT}")
-    digests = stored(known.groupBy(digest(F.col("text")).alias("digest")).agg(F.min("license").alias("license")), "licenses")
+    both = known.select("license", digest(F.col("text")).alias("digest")).union(more)
+    digests = stored(both.groupBy("digest").agg(F.min("license").alias("license")), "licenses")
     with_hint = docs.where(F.lower("text").rlike(HINT))
     lines = F.filter(F.split("text", "\n"), lambda x: F.lower(x).rlike(HINT))
     units = with_hint.select(
