@@ -133,3 +133,19 @@ def test_numbers_that_are_part_of_longer_ones():
         for attempt in range(4):
             new = formatted("phone", phone, surrogate("phone", canonical("phone", phone), "k", attempt))
             assert found(f"see {new} there") == [("phone", new)]
+
+
+def test_all_mentions_of_a_person(documents):
+    text = "Smith is early. Mr. John Smith came. Smith left, and John Smith's brother wrote to smith@x.example.com, Smithers and John-Paul."
+    f, m = "family", "given:m"
+    assert [e for e in found(text) if e[0] != "email"] == [(f, "Smith"), (m, "John"), (f, "Smith"), (f, "Smith"), (m, "John"), (f, "Smith")]
+    new = replace_pii(documents([(1, text)])).first().text
+    family = surrogate(f, "Smith", PiiParams().key)
+    assert new.count(family) == 4 and not re.search(r"\b(John|Smith)\b(?!-)", new) and "John-Paul" in new and "Smithers" in new
+    assert found("Frau Dr. Anna Keller und Keller") == [("given:f", "Anna"), (f, "Keller"), (f, "Keller")]
+    assert found("Prof. Dr. Anna Keller") == [("given:f", "Anna"), (f, "Keller")] and found("Dr. Kim Lee, Ms Kim Lee")[0] == ("given:f", "Kim")
+    assert found("Herr Keller kam") == [(f, "Keller")] and found("Mr. Smith came. Smith left") == [(f, "Smith")] * 2
+    assert found("Mr. Conan O'Brien and O'Brien") == [(m, "Conan"), (f, "O'Brien"), (f, "O'Brien")]
+    assert found("Herr Ludwig van Beethoven, Beethoven") == [(m, "Ludwig"), (f, "Beethoven"), (f, "Beethoven")]
+    assert found("Mr. John F. Kennedy") == [(m, "John"), (f, "Kennedy")] and found("Signor Rossi, Don Juan, г-жа Иванова") == [
+        (f, "Rossi"), (f, "Juan"), (f, "Иванова")]

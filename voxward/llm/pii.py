@@ -21,6 +21,18 @@ from pyspark.sql import functions as F
 
 from voxward.llm.tables import small_side, stored
 
+#: Forms of address and titles, by the gender they show (fixed values).
+_FEMALE = "Mrs|Ms|Miss|Madam|Lady|Frau|Fräulein|Mme|Madame|Mlle|Mademoiselle|Señora|Señorita|Sra|Srta|Doña|Signora|Signorina|Sig\\.ra|Dra|[Гг]оспожа|[Гг]-жа|[Κκ]υρία|Κα"
+_MALE = "Mr|Mister|Sir|Lord|Herrn|Herr|Monsieur|Señor|Sr|Don|Signore|Signor|Sig|[Гг]осподин|[Гг]-н|[Κκ]ύριος|[Κκ]ύριο"
+_NEUTRAL = "Dr|Prof|Professor|Doctor|Doktor|Dott|Rev|Hon|Доктор|Профессор"
+#: The longer of two that start alike first.
+_TITLE = "|".join(sorted(f"{_FEMALE}|{_MALE}|{_NEUTRAL}".split("|"), key=len, reverse=True))
+#: Tells most places from a title by one character.
+_FIRST = "(?=[DFHLMPRSГгДПΚκ])"
+_GAP = r"\.?[ \t\n\u00a0]{1,3}"
+_NAME = r"[^\W\d_]+(?:['’-][^\W\d_]+)*"
+_PARTICLE = "von|van|vom|zu|zur|der|den|de|del|della|di|da|dos|du|la|le|ten|ter|bin|ibn|al|el"
+_NO_NAME = rf"(?i:password|passwd|secret|token|api_key|apikey)\s*[=:]|(?:{_TITLE})\b"
 #: A number ends here: no letter or digit follows, nor a hyphen or point with more of the same.
 _END = r"(?!\w|-\w|\.\d)"
 #: What is looked for, in order of precedence; the first that matches at a place wins (fixed values of public formats).
@@ -41,9 +53,11 @@ PATTERNS = {
         r"(?<![\w+])(?<!\d/)\d{2,4}[ .-]\d{3,4}[ .-]\d{3,4}(?!\w)",
         r"(?<![\w+])(?<!\d/)0\d(?:[ .-]\d\d){4}(?!\w)",
     )),
-    "person": r"(?<!\w)(?:Mrs|Mr|Ms|Miss|Herr|Frau|Mme|Monsieur|Madame|Señora|Señor|Sra|Sr)\.? (?P<person_value>[^\W\d_]+(?: (?!(?i:password|passwd|secret|token|api_key|apikey)\s*[=:]|(?:Mrs|Mr|Ms|Miss|Herr|Frau|Mme|Monsieur|Madame|Señora|Señor|Sra|Sr)\b)[^\W\d_]+(?![\w%+-]|\.\w|@))?)",
+    "person": rf"{_FIRST}(?<!\w)(?P<titles>(?:{_TITLE}){_GAP}(?:(?:{_TITLE}){_GAP})*)"
+    rf"(?P<person_value>{_NAME}(?:(?: [^\W\d_]\.)* (?!{_NO_NAME})(?:(?:{_PARTICLE}) )*(?P<last>{_NAME})(?![\w%+-]|\.\w|@))?)",
 }
 _ALL = re.compile("|".join(f"(?P<{kind}>{pattern})" for kind, pattern in PATTERNS.items()))
+_IS_FEMALE, _IS_MALE = (re.compile(rf"(?<!\w)(?:{titles})(?!\w)") for titles in (_FEMALE, _MALE))
 _ONE = {kind: re.compile(PATTERNS[kind]) for kind in ("card", "ssn", "ip", "phone")}
 #: Usual groups of card numbers, longest first.
 _CARD_FORMS = tuple(
@@ -51,7 +65,7 @@ _CARD_FORMS = tuple(
     for form in (r"\d{13,19}", r"\d{4}([ -])\d{4}\1\d{4}\1\d{4}\1\d{3}", r"\d{4}([ -])\d{4}\1\d{4}\1\d{4}", r"\d{4}([ -])\d{6}\1\d{4,5}", r"\d{4}([ -])\d{3}\1\d{3}\1\d{3}")
 )
 #: A text without any of these holds no entity.
-_HINT = re.compile(r"@|\d[\d.() -]{5}|AKIA|ASIA|[=:]\s*[\"']?[\w/+-]{8}|(?:Mrs|Mr|Ms|Miss|Herr|Frau|Mme|Monsieur|Madame|Señora|Señor|Sra|Sr)\.? ")
+_HINT = re.compile(rf"@|\d[\d.() -]{{5}}|AKIA|ASIA|[=:]\s*[\"']?[\w/+-]{{8}}|{_FIRST}(?:{_TITLE}){_GAP}")
 
 #: Syllables and endings of made-up names by script; the endings show the gender of given names (fixed values).
 SYLLABLES = {
@@ -64,7 +78,6 @@ ENDINGS = {
     ("given:f", "cyrillic"): "на ля ра", ("given:m", "cyrillic"): "н р й", ("family", "cyrillic"): "ов ин ский",
     ("given:f", "greek"): "να λα ρα", ("given:m", "greek"): "νος ρης λος", ("family", "greek"): "ίδης άκης όπουλος",
 }
-_FEMALE = ("Mrs", "Ms", "Miss", "Frau", "Mme", "Madame", "Señora", "Sra")
 
 
 @dataclass(frozen=True)
@@ -80,9 +93,13 @@ def find_entities(text: str) -> list[tuple[int, int, str]]:
     Card numbers must pass the Luhn test, account numbers theirs (mod 97); where
     more digits follow, the part that passes counts. A number that precedes or
     follows does not hide another one.
-    Persons are found behind a form of address, which tells the gender; their
-    given and family names are entities of their own, so that a mention by
-    family name alone stays the same person.
+    Persons are found behind a form of address or title, which may tell the
+    gender; their given and family names are entities of their own. All other
+    mentions of these names in the text, earlier or later, are entities too, so
+    that a mention by one name alone stays the same person. Not detected are
+    persons who have no title anywhere in the text, names behind other titles,
+    third and later names, and bare mentions in another case, inflected or
+    inside longer words. Bare names are only looked for as they are written.
     """
     if not _HINT.search(text):
         return []
@@ -116,13 +133,67 @@ def find_entities(text: str) -> list[tuple[int, int, str]]:
                 while at < whole and text[at - 1].isalnum() and text[at].isalnum():
                     at += 1
         elif kind == "person":
-            given, _, family = text[start:end].rpartition(" ")
-            if given:
-                found.append((start, start + len(given), "given:f" if match.group().startswith(_FEMALE) else "given:m"))
-            found.append((end - len(family), end, "family"))
+            last, stop = match.span("last")
+            if last >= 0 and text[last].islower():
+                last, stop = -1, 0
+            given = re.match(_NAME, text[start:end]).end() + start
+            at = stop if last >= 0 else given
+            if last >= 0:
+                gender = _gender(match.group("titles"))
+                found += [(start, given, gender), (last, stop, "family")]
+            else:
+                found.append((start, given, "family"))
         else:
             found.append((start, end, kind))
-    return found
+    return _with_bare_names(text, found)
+
+
+def _gender(titles: str) -> str:
+    """``given:f`` or ``given:m``, or ``given:`` after titles that don't tell."""
+    return "given:f" if _IS_FEMALE.search(titles) else "given:m" if _IS_MALE.search(titles) else "given:"
+
+
+def _with_bare_names(text: str, found: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
+    """The entities and all other mentions of the names among them.
+
+    A given name whose title doesn't tell the gender has that of another mention in the text, else that of its ending.
+    A word found as both given and family name is what it was first, where it stands alone.
+    """
+    kinds, genders = {}, {}
+    for start, end, kind in found:
+        if kind == "family" or kind.startswith("given"):
+            name = text[start:end]
+            if kind != "given:" and kind != "family":
+                genders.setdefault(name, kind)
+            kinds.setdefault(name, kind)
+    if not kinds:
+        return found
+    for name, kind in kinds.items():
+        if kind.startswith("given"):
+            kinds[name] = genders.setdefault(name, "given:f" if name[-1] in "aаяαηά" else "given:m")
+    found = [(a, b, genders.get(text[a:b]) or kinds[text[a:b]] if k == "given:" else k) for a, b, k in found]
+    bare, taken = [], iter([*found, (len(text) + 1, len(text) + 1, "")])
+    names = {name for name in kinds if len(name) > 1 and not name[0].islower()}
+    if not names:
+        return found
+    a, b, _ = next(taken)
+    for match in re.finditer("|".join(map(re.escape, sorted(names, key=len, reverse=True))) if len(names) <= 8 else _NAME, text):
+        start, end = match.span()
+        while b <= start:
+            a, b, _ = next(taken)
+        if end <= a and match.group() in names and _apart(text, start, end):
+            bare.append((start, end, kinds[match.group()]))
+    return sorted(found + bare) if bare else found
+
+
+def _apart(text: str, start: int, end: int) -> bool:
+    """Whether a name is a word of its own here, not a part of an address, a path or an identifier."""
+    before, after = text[max(0, start - 1) : start], text[end : end + 2]
+    if before.isalnum() or before in ("_", "@", "/", "\\") or after[:1].isalnum() or after[:1] in ("_", "@", "/", "\\"):
+        return False
+    if before == "-" and text[start - 2 : start - 1].isalpha() or after[:1] == "-" and after[1:].isupper():
+        return False  # a compound name is another one
+    return not (after[:1] in (".", "=", ":") and after[1:].isalnum())
 
 
 def _form_end(text: str, start: int) -> int:
