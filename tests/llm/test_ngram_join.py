@@ -93,3 +93,10 @@ def test_components_of_chains_and_stars(spark):
     links = [(k, k + 1) for k in range(1, 60)] + [(500, k) for k in range(501, 700)] + [(900, 900), (None, 3)]
     rows = {r.node: r.component for r in connected_components(spark.createDataFrame(links, "a bigint, b bigint")).collect()}
     assert rows == {k: 1 for k in range(1, 61)} | {k: 500 for k in range(500, 700)}
+
+
+def test_other_text_of_a_repeated_id_keeps_its_links(documents):
+    one, two = (" ".join(f"{p}{k}" for k in range(60)) for p in "ab")
+    rows = [(1, one), (2, one), (2, two), (3, two + " more"), (4, "quite another text than all of them")]
+    got = {r.doc_id: r.component_id for r in jaccard_components(documents(rows), JaccardParams(4, 85)).collect()}
+    assert got == {1: 1, 2: 1, 3: 1, 4: 4}

@@ -318,8 +318,9 @@ def jaccard_components(docs: DataFrame, params: JaccardParams = JaccardParams())
         known.groupBy(prints).agg(F.min("doc_id").alias("first_id"), F.count("*").alias("times")).where("times > 1").drop("times"),
         "copies",
     )
-    rest = stored(known.select("doc_id", *prints).join(copies, prints).where("doc_id != first_id").select("doc_id", "first_id"), "rest")
-    singles = known.join(small_side(rest.select("doc_id")), "doc_id", "left_anti")
+    rest = stored(known.select("doc_id", *prints).join(copies, prints).where("doc_id != first_id").select("doc_id", "first_id", *prints), "rest")
+    # By fingerprint too: another row of that doc_id may hold another text.
+    singles = known.join(small_side(rest.select("doc_id", *prints)), ["doc_id", *prints], "left_anti")
 
     kept = _shared_parts(singles)
     lowest = stored(kept.groupBy("key").agg(F.min("doc_id").alias("b"), F.count("*").alias("times")).where("times > 1"), "lowest")
