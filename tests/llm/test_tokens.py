@@ -134,3 +134,17 @@ def test_ids_that_do_not_fit_are_refused(documents, tmp_path):
         TokenFileParams(id_bytes=3)
     wide = write_tokens(documents([(1, "text")]), str(tmp_path / "wide"), TokenFileParams(end_id=70_000, id_bytes=4))
     assert read_tokens(wide).first().n_tokens == 2
+
+
+def test_added_tokens_are_the_librarys(documents, tmp_path):
+    unchanged = tokenizers.Tokenizer.from_file(PATH)
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "plain text.<|endoftext|>\nπ <|endoftext|>", "日本 <|endoftext|>", "no <|endoftext| here"]
+    want = [unchanged.encode(text, add_special_tokens=False).ids for text in texts]
+    assert [50256 in ids for ids in want] == [True] * 4 + [False]
+    for text, ids in zip(texts, want, strict=True):
+        assert np.frombuffer(encoder(PATH, added=True).encode(text), "<u4").tolist() == ids
+    table = documents(list(enumerate(texts)))
+    crcs = {i: zlib.crc32(np.array([*ids, 2], "<u4").tobytes()) for i, ids in enumerate(want)}
+    manifest = write_tokens(table, str(tmp_path / "tokens"), TokenFileParams(end_id=2))
+    assert {r.doc_id: r.ids_crc32 for r in read_tokens(manifest, keep_ids=False).collect()} == crcs
+    assert {r.doc_id: r.ids_crc32 for r in pack_documents(table, PackParams(capacity=1024, end_id=2)).collect()} == crcs

@@ -78,17 +78,19 @@ class Encoder(Memory):
     """Encodes texts by a byte-level BPE file; maps each word met to the ids of a space and the word.
 
     Ids are little-endian 32-bit numbers, equal to the library's
-    ``encode(text, add_special_tokens=False)`` with special tokens taken as
-    ordinary text. Merges are the library's, made once for each part met.
+    ``encode(text, add_special_tokens=False)``. With ``added`` the file is taken
+    as it is, and texts that hold an added token, such as ``<|endoftext|>``, are
+    encoded whole; without, such tokens are ordinary text. Merges are the library's, made once for each part met.
     """
 
-    def __init__(self, path: str, kept: int) -> None:
+    def __init__(self, path: str, kept: int, added: bool = False) -> None:
         super().__init__(kept)
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self._whole = Tokenizer.from_file(path)
-        self._whole.encode_special_tokens = True
+        self._whole.encode_special_tokens = not added
+        self._added = tuple(token.content for token in self._whole.get_added_tokens_decoder().values()) if added else ()
         self._parts = Parts(self._whole.model, kept // 2)
 
     def make(self, word: str) -> bytes:
@@ -103,7 +105,7 @@ class Encoder(Memory):
         """The ids of a whole text, null as empty."""
         if not text:
             return b""
-        if not _PLAIN.fullmatch(text):
+        if not _PLAIN.fullmatch(text) or any(token in text for token in self._added):
             return np.array(self._whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         if any(pair in text for pair in _WIDE):
             return self._parts.encode(text)
@@ -111,15 +113,15 @@ class Encoder(Memory):
         return self._parts.encode(first) + b"".join(map(self.__getitem__, words))
 
 
-_encoders: dict[tuple[str, int], Encoder] = {}
+_encoders: dict[tuple[str, int, bool], Encoder] = {}
 
 
-def encoder(path: str, kept: int = WORDS_KEPT) -> Encoder:
+def encoder(path: str, kept: int = WORDS_KEPT, added: bool = False) -> Encoder:
     """This worker's encoder for a file; kept between tasks."""
-    if (path, kept) not in _encoders:
+    if (path, kept, added) not in _encoders:
         _encoders.clear()
-        _encoders[path, kept] = Encoder(path, kept)
-    return _encoders[path, kept]
+        _encoders[path, kept, added] = Encoder(path, kept, added)
+    return _encoders[path, kept, added]
 
 
 def public_path(name: str) -> str:

@@ -56,7 +56,7 @@ def pieces(docs: DataFrame, params: PackParams = PackParams(), keep_ids: bool =
     path, capacity, end = params.path(), params.capacity, np.array([params.end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(path, params.words_kept).encode
+        encode = encoder(path, params.words_kept, added=True).encode
         for whole in batches:
             for at in range(0, whole.num_rows, 256):
                 batch = whole.slice(at, 256)

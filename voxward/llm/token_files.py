@@ -71,7 +71,7 @@ def _serialized(ids: np.ndarray, id_bytes: int) -> bytes:
 
 
 def _ids(text: str | None, path: str, params: TokenFileParams) -> np.ndarray:
-    return np.frombuffer(encoder(path, params.words_kept).encode(text) + params.end_id.to_bytes(4, "little"), "<u4")
+    return np.frombuffer(encoder(path, params.words_kept, added=True).encode(text) + params.end_id.to_bytes(4, "little"), "<u4")
 
 
 def train_dictionary(docs: DataFrame, params: TokenFileParams = TokenFileParams()) -> bytes:
