@@ -3,7 +3,8 @@
 Works on bytes with separators. Suffixes of type S are smaller than their right
 neighbour, those of type L larger; a leftmost S suffix (LMS) follows an L. LMS
 substrings are sorted by one induction and named, the string of names is sorted
-in turn, and from the sorted LMS suffixes a second induction sorts all. An
+by prefix doubling up to the depth asked for (not by induced sorting in turn),
+and from the sorted LMS suffixes a second induction sorts all. An
 induction goes through the buckets of first symbols once from each end and moves
 a whole bucket at a time.
 """
