@@ -251,3 +251,14 @@ def test_odd_rates_need_little_memory():
     tracemalloc.stop()
     assert peak < 400e6
     assert got[500:-500] == pytest.approx(np.sin(2 * np.pi * 440 * np.arange(len(got)) / 16_000)[500:-500], abs=1e-3)
+
+
+def test_lfcc_frames_returns_every_cell(spark):
+    from voxward.plans import adapters, catalog
+
+    sf = "/root/testdata/sf0.001"
+    want = {r.vec_id: np.array(r.lfcc) for r in features.lfcc(adapters.pcm_tones(spark, sf), ("vec_id", "label")).collect()}
+    got = {r.vec_id: r for r in catalog.lfcc_frames(spark, sf).collect()}
+    assert set(got) == set(want)
+    for i, cells in want.items():
+        assert np.array(got[i].cells) == pytest.approx(cells.ravel(), abs=1e-4)

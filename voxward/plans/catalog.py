@@ -332,7 +332,8 @@ def mel_frames(spark: SparkSession, sf: str) -> DataFrame:
 def lfcc_frames(spark: SparkSession, sf: str) -> DataFrame:
     cepstra = features.lfcc(A.pcm_tones(spark, sf), ("vec_id", "label"))
     return cepstra.select(
-        "vec_id", "label", F.size("lfcc").alias("columns"), *_shape(F.element_at("lfcc", 40), "mid")
+        "vec_id", "label", F.size("lfcc").alias("columns"), *_shape(F.element_at("lfcc", 40), "mid"),
+        F.transform(F.flatten("lfcc"), lambda v: r(v, 4)).alias("cells"),
     )
 
 
