@@ -27,7 +27,7 @@ def docs(spark):
 
 def test_there_is_one_query_for_each_operator():
     numbers = sorted(int(n[2:].split("_")[0]) for n in entry.queries() if n.startswith("op"))
-    assert numbers == list(range(1, 11)) and "pipeline" in entry.queries()
+    assert numbers == list(range(1, 14)) and "pipeline" in entry.queries()
     assert [n for n, _ in corpus_pipeline.STAGES][0] == "quality rules" and len(corpus_pipeline.STAGES) == 5
 
 
@@ -79,6 +79,24 @@ def test_op10_finds_nearly_all_links(spark):
     assert len(got) == len(rows) and got.n_links.sum() >= 0.95 * links
 
 
+def test_op12(spark):
+    from test_whitening import check
+
+    rows = spark.read.parquet(f"{SF}/embeddings.parquet").toPandas()
+    check(entry.queries()["op12_embedding_whitening"](spark, SF), list(zip(rows["vec_id"], rows["embedding"], strict=True)))
+
+
+def test_op13(spark, docs):
+    from test_sharding import check
+
+    sizes = check(entry.queries()["op13_sharding"](spark, SF), docs)
+    whole = {}
+    for _, t in docs:
+        whole[t] = whole.get(t, 0) + len(t.encode()) + 8
+    # What doesn't fit in an equal share can't be balanced.
+    assert max(sizes) - min(sizes) <= 16 or max(sizes) == max(whole.values())
+
+
 def test_pipeline_stages_against_brute_force(spark, docs):
     raw = spark.read.parquet(f"{SF}/documents.parquet")
     kept = {r.doc_id for r in judge(raw).where("kept").collect()}

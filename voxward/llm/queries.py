@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from voxward.llm.collocations import PhraseParams, collocations
 from voxward.llm.embeddings import CellParams, near_duplicates
 from voxward.llm.licenses import LICENSES, scan_licenses
 from voxward.llm.ngram_join import JaccardParams, jaccard_components
@@ -15,9 +16,11 @@ from voxward.llm.pieces import PieceParams, encode_pieces
 from voxward.llm.pii import PiiParams, replace_pii
 from voxward.llm.quality import judge
 from voxward.llm.repeats import RepeatParams, remove_repeats
+from voxward.llm.sharding import ShardParams, shard_documents
 from voxward.llm.tables import table
 from voxward.llm.token_files import TokenFileParams, read_tokens, write_tokens
 from voxward.llm.warc import read_warc, responses, write_derivatives
+from voxward.llm.whitening import WhitenParams, whiten
 from voxward.session import delete_at_end, shared_folder
 
 
@@ -79,6 +82,22 @@ def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "embeddings"), CellParams(cosine=0.93))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first 2000 phrases of two or three words of each language."""
+    return collocations(table(spark, sf_dir, "documents"), PhraseParams(min_count=10, covered=50, top=2000, max_words=3))
+
+
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Eight whitened components per vector; a deviation that no long can hold is NULL."""
+    found = whiten(table(spark, sf_dir, "embeddings"), WhitenParams(components=8))
+    return found.withColumn("deviation", F.col("deviation").try_cast("bigint"))
+
+
+def op13_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents in 24 shards of nearly equal bytes, equal texts together."""
+    return shard_documents(table(spark, sf_dir, "documents"), ShardParams(shards=24, extra=8))
+
+
 QUERIES = {
     "op1_ngram_join": op1_ngram_join,
     "op2_license_scan": op2_license_scan,
@@ -90,6 +109,9 @@ QUERIES = {
     "op8_token_files": op8_token_files,
     "op9_suffix_array": op9_suffix_array,
     "op10_embedding_dedup": op10_embedding_dedup,
+    "op11_collocations": op11_collocations,
+    "op12_embedding_whitening": op12_embedding_whitening,
+    "op13_sharding": op13_sharding,
 }
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
@@ -205,4 +227,41 @@ ORACLE_SQL = {
         SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, least(d.doc_id, coalesce(low.other, d.doc_id)) AS component_id
         FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN low ON low.node = d.doc_id
     """,
+    "op11_collocations": r"""
+        WITH p AS (
+            SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(
+                translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+            FROM documents
+        ), w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS words FROM p),
+        t AS (SELECT lang, sum(len(words))::BIGINT AS n FROM w GROUP BY lang),
+        g AS (
+            SELECT lang, 1 AS k, unnest(words) AS phrase FROM w
+            UNION ALL
+            SELECT lang, 2, unnest(list_transform(range(1, len(words)), lambda i: array_to_string(words[i:i + 1], ' '))) FROM w
+            UNION ALL
+            SELECT lang, 3, unnest(list_transform(range(1, len(words) - 1), lambda i: array_to_string(words[i:i + 2], ' '))) FROM w
+        ), f AS (SELECT lang, k, phrase, count(*) AS a FROM g GROUP BY ALL HAVING count(*) >= 10),
+        c AS (SELECT lang, k, phrase, a, string_split(phrase, ' ') AS words FROM f WHERE k > 1),
+        cuts AS (SELECT *, unnest(range(1, k)) AS cut FROM c),
+        parts AS (
+            SELECT *, array_to_string(words[1:cut], ' ') AS head, array_to_string(words[cut + 1:k], ' ') AS rest FROM cuts
+        ), scored AS (
+            SELECT parts.lang, parts.phrase, parts.a, cut, x.a AS l, y.a AS r,
+                ((1000000::HUGEINT * parts.a * parts.a) // (x.a::HUGEINT * y.a))::BIGINT AS score
+            FROM parts JOIN f x ON x.lang = parts.lang AND x.phrase = head JOIN f y ON y.lang = parts.lang AND y.phrase = rest
+        ), lowest AS (
+            SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) AS place FROM scored
+        ), inner_ AS (
+            SELECT lang, array_to_string(words[1:2], ' ') AS phrase, a FROM c WHERE k = 3
+            UNION ALL
+            SELECT lang, array_to_string(words[2:3], ' '), a FROM c WHERE k = 3
+        ), longer AS (SELECT lang, phrase, max(a) AS most FROM inner_ GROUP BY ALL),
+        kept AS (
+            SELECT lowest.* FROM lowest LEFT JOIN longer USING (lang, phrase)
+            WHERE place = 1 AND (most IS NULL OR 100 * most < 50 * lowest.a)
+        ), ranked AS (
+            SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept
+        )
+        SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN t USING (lang) WHERE rank <= 2000
+    """,
 }
