@@ -4,23 +4,29 @@ import random
 from datetime import datetime, timedelta
 
 import pytest
+from pyspark.sql import functions as F
 
 from test_calls import fold
 from test_decision import replay
-from voxward.operators.calls import call_edges, latch
+from voxward.operators.calls import assign_calls, call_edges, call_sessions, latch
 from voxward.operators.decision import align_scores, decision_engine
-from voxward.operators.rollup import voice_alerts
+from voxward.operators.rollup import call_rollup, complete_calls, voice_alerts
 from voxward.params import MIC_CONSENT_ROOT, DecisionParams
 from voxward.schemas import TELEMETRY
 from voxward.sources.blocklist import Blocklist
+from voxward.streaming.align import align_stream
 from voxward.streaming.blocklist import blocklist_stream
 from voxward.streaming.decisions import decision_stream
 from voxward.session import closed
 from voxward.sources.telemetry import read_telemetry
+from voxward.streaming.frames import frames_in_calls_stream
 from voxward.streaming.monitor import call_monitor_stream, poll_status_stream
+from voxward.streaming.rollup import rollup_stream
 
 T0 = datetime(2024, 3, 1)
 LATER = T0 + timedelta(days=2)
+EDGES = "call_id string, host_id string, edge string, start_ts timestamp, end_ts timestamp"
+POLLS = "host_id string, poll_ts timestamp, has_voip_audio boolean, mic_active boolean"
 
 
 def files(spark, rows, schema, path, parts, late=20):
@@ -204,3 +210,93 @@ def test_unknown_audio_keeps_the_state_as_in_batch(spark, tmp_path, require_mic)
     got = {(r.edge, r.end_ts or r.start_ts) for r in run(spark, events, f"unknown_{require_mic}".lower(), tmp_path).collect()}
     edges = call_edges(latch(spark.createDataFrame(rows, schema), require_mic)).where("edge IS NOT NULL").collect()
     assert got == {(r.edge, r.poll_ts) for r in edges}
+
+
+def rows_left(spark, checkpoint, operator=0, name="state"):
+    """Keys that still have state in a checkpoint."""
+    return spark.read.format("statestore").option("operatorId", operator).option("stateVarName", name).load(checkpoint)
+
+
+def test_frames_in_live_calls(spark, tmp_path):
+    rng, polls, frames = random.Random(16), [], []
+    for s in range(120):
+        for h in ("a", "b", "c"):
+            polls.append((h, T0 + timedelta(seconds=s), rng.random() < 0.8, rng.random() < 0.4))
+            frames += [(h, T0 + timedelta(seconds=s, milliseconds=m), len(frames), "path") for m in (0, rng.randrange(1000))]
+    polls += [("z", LATER, None, None)]
+    frames += [("z", LATER, -1, None)]
+    found = call_sessions(call_edges(latch(spark.createDataFrame(polls[:-1], POLLS))))
+    edges = found.select("call_id", "host_id", F.lit("start").alias("edge"), "start_ts", F.lit(None).cast("timestamp").alias("end_ts"))
+    ends = found.where("end_ts IS NOT NULL").select("call_id", "host_id", F.lit("end"), "start_ts", "end_ts")
+    far = (None, "z", None, LATER, None)
+    rows = [tuple(r) for r in edges.union(ends).collect()] + [far]
+    kinds = "host_id string, captured_at timestamp, frame_seq bigint, audio string"
+    files(spark, rows[:-1], EDGES, str(tmp_path / "edges"), 3, late=5)
+    files(spark, rows[-1:], EDGES, str(tmp_path / "edges"), 1)
+    files(spark, frames[:-1], kinds, str(tmp_path / "frames"), 4)
+    files(spark, frames[-1:], kinds, str(tmp_path / "frames"), 1)
+    stream = frames_in_calls_stream(
+        source(spark, str(tmp_path / "frames"), kinds), source(spark, str(tmp_path / "edges"), EDGES), tie="frame_seq", delay="10 minutes"
+    )
+    got = run(spark, stream, "live_frames", tmp_path).select("call_id", "host_id", "captured_at", "frame_seq", "audio").collect()
+    want = assign_calls(spark.createDataFrame(frames[:-1], kinds), found).select("call_id", "host_id", "captured_at", "frame_seq", "audio")
+    assert sorted(got) == sorted(want.collect()) and got
+    # State is left for hosts whose call is still on, and for the far-off row.
+    open_hosts = {r.host_id for r in found.where("end_ts IS NULL").collect()}
+    assert {r.key.host_id for r in rows_left(spark, str(tmp_path / "cp")).collect()} == open_hosts | {"z"}
+
+
+def test_live_rollup_clears_ended_calls(spark, tmp_path):
+    rng, rows, ends = random.Random(17), [], []
+    for c in range(12):
+        n = rng.randrange(0, 40)
+        for i in range(n):
+            cnn, gmm = (None if rng.random() < 0.2 else rng.random() ** 0.5 for _ in "ab")
+            rows.append((f"c{c}", T0 + timedelta(seconds=i), i, cnn, gmm, [True, False, False, None][rng.randrange(4)]))
+        if c % 4:
+            ends.append((f"c{c}", T0 + timedelta(seconds=max(0, n - 1))))
+    kinds = "call_id string, ts timestamp, frame_seq bigint, cnn double, gmm double, is_silent boolean"
+    rng.shuffle(rows)
+    files(spark, rows, kinds, str(tmp_path / "rows"), 3, late=200)
+    files(spark, [("z", LATER, 0, None, None, None)], kinds, str(tmp_path / "rows"), 1)
+    files(spark, ends, "call_id string, end_ts timestamp", str(tmp_path / "ends"), 2)
+    files(spark, [("z", LATER)], "call_id string, end_ts timestamp", str(tmp_path / "ends"), 1)
+    stream = rollup_stream(
+        source(spark, str(tmp_path / "rows"), kinds), source(spark, str(tmp_path / "ends"), "call_id string, end_ts timestamp"), delay="1 hour"
+    )
+    columns = ["call_id", "call_was_ai", "frames_processed", "last_label", "last_confidence"]
+    got = sorted(run(spark, stream, "live_rollups", tmp_path).select(columns).collect())
+    frames = spark.createDataFrame(rows, kinds)
+    decided = decision_engine(frames.where("NOT is_silent"), order=("ts", "frame_seq"))
+    rolled = call_rollup(decided, frames, order=("ts", "frame_seq"))
+    ended = spark.createDataFrame(ends, "call_id string, end_ts timestamp")
+    want = sorted(complete_calls(ended, rolled).select(columns).collect())
+    assert [r[:4] for r in got] == [r[:4] for r in want]
+    assert [r[4] for r in got] == pytest.approx([r[4] for r in want], nan_ok=True)
+    left = {r.key.call_id for r in rows_left(spark, str(tmp_path / "cp")).collect()}
+    assert left == {"z"} | {r[0] for r in rows if int(r[0][1:]) % 4 == 0}
+
+
+@pytest.mark.parametrize("mode,tick", [("per_result", 100), ("per_result", 7000), ("per_frame", 1000)])
+def test_live_align(spark, tmp_path, mode, tick):
+    rng, rows = random.Random(18), []
+    for i in range(400):
+        at = T0 + timedelta(milliseconds=rng.randrange(0, 60_000, 50))
+        rows.append((f"c{i % 3}", at, i, rng.choice(["cnn", "gmm", "other"]), None if rng.random() < 0.2 else rng.random() * 100))
+    kinds = "call_id string, result_ts timestamp, seq bigint, model string, confidence_pct double"
+    files(spark, rows, kinds, str(tmp_path / "in"), 4, late=300)
+    files(spark, [("z", LATER, 0, None, None)], kinds, str(tmp_path / "in"), 1)
+    stream = align_stream(source(spark, str(tmp_path / "in"), kinds), tick, mode, tie="seq", delay="1 hour", idle_s=None)
+    got = run(spark, stream, f"live_align_{mode}_{tick}", tmp_path).collect()
+    known, want = {}, []
+    for key in sorted({(c, int(t.timestamp() * 1000) // tick) for c, t, *_ in rows}):
+        here = [r for r in rows if (r[0], int(r[1].timestamp() * 1000) // tick) == key]
+        news = {}
+        for _, t, i, model, value in sorted(here, key=lambda r: r[1:3]):
+            news[model] = None if value is None else value / 100
+        if mode == "per_result":
+            known.setdefault(key[0], {}).update({m: v for m, v in news.items() if v is not None})
+            news = known[key[0]]
+        want.append((*key, max(r[1] for r in here), news.get("cnn"), news.get("gmm")))
+    assert sorted(map(tuple, got), key=lambda r: r[:2]) == want
+    assert rows_left(spark, str(tmp_path / "cp"), name="slots").where("key.call_id != 'z'").count() == 0

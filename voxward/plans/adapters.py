@@ -73,11 +73,11 @@ def scores(spark: SparkSession, sf_dir: str, read=table) -> DataFrame:
     )
 
 
-def results(spark: SparkSession, sf_dir: str, tick_s: int = 3600) -> DataFrame:
+def results(spark: SparkSession, sf_dir: str, read=table) -> DataFrame:
     """Events as results of one model each."""
     kind, ts = F.col("event_type"), F.col("ts")
     hour = F.unix_date(F.to_date(ts)).cast("bigint") * 24 + F.hour(ts)
-    return table(spark, sf_dir, "events").select(
+    return read(spark, sf_dir, "events").select(
         F.col("user_id").alias("call_id"),
         hour.alias("tick"),
         ts.alias("result_ts"),

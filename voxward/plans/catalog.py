@@ -26,8 +26,11 @@ from voxward.plans import adapters as A
 from voxward.plans import batch
 from voxward.session import closed, delete_at_end, drain, materialize, shared_folder
 from voxward.sources.wav import read_frames, write_wav_frames
+from voxward.streaming.align import align_stream
 from voxward.streaming.decisions import decision_stream
+from voxward.streaming.frames import frames_in_calls_stream
 from voxward.streaming.monitor import call_monitor_stream
+from voxward.streaming.rollup import rollup_stream
 
 ORDER = ("ts", "event_id")
 POLL_ORDER = ("poll_ts", "event_id")
@@ -594,6 +597,61 @@ def live_calls(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("call_id", "host_id", "edge", start.alias("start_us"), end.alias("end_us"))
 
 
+def _as_given(ts: str) -> Column:
+    """A time of a stream in the type the tables have."""
+    return F.col(ts).cast("timestamp_ntz").alias(ts)
+
+
+def _streamed(df: DataFrame, name: str, ts: str, key: str) -> DataFrame:
+    """A table, written once, as a closed stream of its files."""
+    folder = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(folder)
+    delete_at_end(df.sparkSession, folder)
+    return closed(df.sparkSession.readStream.schema(df.schema).parquet(folder), ts, key)
+
+
+def live_frames_in_calls(spark: SparkSession, sf: str) -> DataFrame:
+    """Frames assigned to the calls whose edges another job wrote, both as streams."""
+    polls = closed(A.polls(spark, sf, A.live), "poll_ts", "host_id")
+    edges = drain(call_monitor_stream(polls, delay="1 hour", tie="event_id"), "edges")
+    captured = A.polls(spark, sf, A.live).select("host_id", F.col("poll_ts").alias("captured_at"), "event_id")
+    stream = frames_in_calls_stream(
+        closed(captured, "captured_at", "host_id"), _streamed(edges, "edges", "start_ts", "host_id"), tie="event_id", delay="1 hour"
+    )
+    found = drain(stream, "frames-in-calls")
+    return found.select("call_id", "host_id", _as_given("captured_at"), "event_id")
+
+
+def _rolled(spark: SparkSession, sf: str, ends: DataFrame) -> DataFrame:
+    frames = closed(A.scores(spark, sf, A.live), "ts", "call_id")
+    stream = rollup_stream(frames, _streamed(ends, "ends", "end_ts", "call_id"), APP_PROFILE, tie="event_id", delay="1 hour")
+    return drain(stream, "rollups")
+
+
+def live_rollup(spark: SparkSession, sf: str) -> DataFrame:
+    """Users as calls that end with their last event."""
+    ends = A.frames(spark, sf).groupBy("call_id").agg(F.max("ts").alias("end_ts"))
+    rolled = _rolled(spark, sf, ends)
+    return rolled.drop("end_ts").withColumn("last_confidence", r("last_confidence", 6))
+
+
+def live_summary(spark: SparkSession, sf: str) -> DataFrame:
+    """Customers as calls that end when the last event of all has come."""
+    over = A.frames(spark, sf).agg(F.max("ts")).first()[0]
+    everyone = A.table(spark, sf, "customer").select(F.col("c_custkey").alias("call_id"), F.lit(over).alias("end_ts"))
+    rolled = _rolled(spark, sf, everyone)
+    return rollup.call_summary(rolled).select("call_id", "frames_processed", "summary", "frames_text")
+
+
+def live_align(spark: SparkSession, sf: str) -> DataFrame:
+    """Score updates per hour from raw results."""
+    found = closed(A.results(spark, sf, A.live).drop("tick"), "result_ts", "call_id")
+    stream = align_stream(found, 3_600_000, tie="event_id", delay="1 hour", idle_s=None)
+    at = _as_given("result_ts")
+    hour = F.unix_date(F.to_date(at)).cast("bigint") * 24 + F.hour(at)
+    return drain(stream, "updates").select("call_id", hour.alias("tick"), at, r("cnn").alias("cnn"), r("gmm").alias("gmm"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -652,5 +710,9 @@ QUERIES = {
         call_report,
         live_decisions,
         live_calls,
+        live_frames_in_calls,
+        live_rollup,
+        live_summary,
+        live_align,
     )
 }

@@ -377,7 +377,7 @@ def oracle_sql() -> dict[str, str]:
     )
     shapes = f"SELECT vec_id, {_shape('a', 'cut')}, {_shape('b', 'pad')}, {_shape('embedding', 'inner')}"
     listed = f"CASE WHEN s < {_HUMAN_BELOW} THEN 'Human' WHEN s < {_AI_FROM} THEN 'Suspicious' ELSE 'AI Generated' END"
-    return {
+    found = {
         "voip_source_filter": _with(_PARTS)
         + f"SELECT DISTINCT host_id, poll_ts, pid FROM parts WHERE p_size % 2 = 1 AND pid <> 0 AND {_VOIP_CHAIN}",
         "voip_mic_pids": _with(_PARTS)
@@ -596,3 +596,6 @@ FROM sessions WHERE end_ts IS NOT NULL""",
         + """SELECT call_id, start_ts, end_ts, is_caller_flagged, call_was_ai, frames_processed,
        last_label, round(last_confidence, 6) AS last_confidence FROM calls""",
     }
+    # Streams over all rows give what the batch operators give.
+    live = ("frames_in_calls", "frames_in_calls"), ("rollup", "call_rollup"), ("summary", "call_summary"), ("align", "align_scores")
+    return found | {f"live_{name}": found[batch] for name, batch in live}

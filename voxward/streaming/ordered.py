@@ -18,7 +18,8 @@ class OrderedProcessor(StatefulProcessor):
     watermark's delay. Subclasses say what a key remembers (``memory``) and
     what a run of ordered rows does with it (``step``). What is held per key is
     bounded by its rate times the delay. ``idle_s`` clears the memory of a key
-    that has been quiet for so long between two runs of due rows.
+    that has been quiet for so long between two runs of due rows. Without it, a
+    key whose step returns no memory leaves no state.
     """
 
     fields: tuple[str, ...]  # columns the step reads, after the microsecond clock and the tie
@@ -91,7 +92,10 @@ class OrderedProcessor(StatefulProcessor):
         if idle is not None and seen is not None and due[0][0] >= seen + idle:
             memory = None
         memory, made = self.step(key[0], memory, due)
-        self._state.update((rest, memory, due[-1][0]))
+        if rest or memory is not None or idle is not None:
+            self._state.update((rest, memory, due[-1][0]))
+        else:
+            self._state.clear()
         if rest:
             self._wake_after(min(r[0] for r in rest))
         if idle is not None:
@@ -99,6 +103,14 @@ class OrderedProcessor(StatefulProcessor):
         return iter([pd.DataFrame(made, columns=list(self.output))] if made else ())
 
 
+def merged(left: DataFrame, right: DataFrame, ts: str, delay: str | None) -> DataFrame:
+    """Both streams as one, whose watermark is the slower one's; columns that only one has are NULL in the other."""
+    sides = (left, right)
+    if delay is not None:
+        sides = [df.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, delay) for df in sides]
+    return sides[0].unionByName(sides[1], allowMissingColumns=True)
+
+
 def run_ordered(
     stream: DataFrame, processor: OrderedProcessor, ts: str, delay: str | None, output: str
 ) -> DataFrame:
