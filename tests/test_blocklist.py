@@ -1,10 +1,12 @@
 import random
+from concurrent.futures import ThreadPoolExecutor
 from datetime import datetime, timedelta
 
 import pytest
 
 from voxward.operators import caller, skew
 from voxward.sources.blocklist import Blocklist
+from voxward.sources.commits import CommitLog
 from voxward.streaming.blocklist import apply_calls
 
 D = datetime(2024, 1, 1)
@@ -91,3 +93,59 @@ def test_repeated_micro_batch_changes_nothing(spark, tmp_path):
     alerts = spark.read.parquet(str(tmp_path / "alerts"))
     assert [r.call_id for r in alerts.collect()] == ["1"]
     assert content(store.read(spark)) == {"x": (2, day(1)), "q": (1, day(1))}
+
+
+def test_compactors_that_meet_lose_no_strike(spark, tmp_path, monkeypatch):
+    """Each time one is about to log its version, another gets there first, and once two run in threads."""
+    flags = "phone_hash string, end_ts timestamp"
+    store = Blocklist(str(tmp_path / "list"))
+    store.create(spark.createDataFrame([("a", 1, day(0))], FLAGGED))
+    for job, number in (("one", "a"), ("two", "b"), ("three", "c")):
+        for epoch in (0, 1):
+            store.add(spark.createDataFrame([(number, day(epoch + 1))], flags), job, epoch)
+    want = {"a": (3, day(2)), "b": (2, day(2)), "c": (2, day(2))}
+    put, others = CommitLog.put, ["two", "three"]
+
+    def overtaken(log, session, number, entry):
+        if others:
+            store.compact(session, others.pop(), 0)
+        return put(log, session, number, entry)
+
+    monkeypatch.setattr(CommitLog, "put", overtaken)
+    store.compact(spark, "one", 0)
+    monkeypatch.setattr(CommitLog, "put", put)
+    log = CommitLog(str(tmp_path / "list" / "commits"))
+    assert log.newest(spark)[0] == 4 and log.newest(spark)[1]["done"] == {"one": 0, "two": 0, "three": 0}
+    assert content(store.read(spark)) == want
+    with ThreadPoolExecutor(3) as pool:
+        list(pool.map(lambda job: store.compact(spark, job, 1), ("one", "two", "three")))
+    assert log.newest(spark)[1]["done"] == {"one": 1, "two": 1, "three": 1}
+    assert content(store.read(spark)) == want
+    store.compact(spark, "one", 0)  # folded already
+    assert log.newest(spark)[0] == 7
+    lost = len(list((tmp_path / "list" / "base").iterdir())) - 7
+    assert lost >= 2 and store.clean(spark) == 0 and store.clean(spark, older_s=0) == lost
+    assert content(store.read(spark)) == want
+
+
+def test_a_half_written_version_is_never_read(spark, tmp_path):
+    flags = "phone_hash string, end_ts timestamp"
+    store = Blocklist(str(tmp_path / "list"))
+    store.create(spark.createDataFrame([("a", 1, day(0))], FLAGGED))
+    with pytest.raises(ValueError):
+        store.create(spark.createDataFrame([("b", 1, day(0))], FLAGGED))
+    store.add(spark.createDataFrame([("a", day(1))], flags), "one", 0)
+    half = tmp_path / "list" / "base" / "00000002-lost"
+    half.mkdir()
+    (half / "part-0.parquet").write_bytes(b"PAR1")
+    (tmp_path / "list" / "commits" / "_draft").write_text("{")
+    store.compact(spark, "one", 0)
+    assert content(store.read(spark)) == {"a": (2, day(1))}
+
+
+def test_a_number_is_given_once(spark, tmp_path):
+    log = CommitLog(f"file://{tmp_path}/log")
+    assert log.newest(spark) == (0, None) and log.entries(spark) == {}
+    with ThreadPoolExecutor(8) as pool:
+        won = list(pool.map(lambda i: log.put(spark, 1, {"by": i}), range(16)))
+    assert sum(won) == 1 and log.entries(spark) == {1: {"by": won.index(True)}}

@@ -13,7 +13,9 @@ from voxward.operators.decision import align_scores, decision_engine
 from voxward.operators.rollup import call_rollup, complete_calls, voice_alerts
 from voxward.params import MIC_CONSENT_ROOT, DecisionParams
 from voxward.schemas import TELEMETRY
+from voxward.sources.alerts import AlertSink
 from voxward.sources.blocklist import Blocklist
+from voxward.streaming.alerts import voice_alert_stream
 from voxward.streaming.align import align_stream
 from voxward.streaming.blocklist import blocklist_stream
 from voxward.streaming.decisions import decision_stream
@@ -300,3 +302,38 @@ def test_live_align(spark, tmp_path, mode, tick):
         want.append((*key, max(r[1] for r in here), news.get("cnn"), news.get("gmm")))
     assert sorted(map(tuple, got), key=lambda r: r[:2]) == want
     assert rows_left(spark, str(tmp_path / "cp"), name="slots").where("key.call_id != 'z'").count() == 0
+
+
+def test_voice_alerts_are_delivered_once(spark, tmp_path):
+    """A replay with a new checkpoint, and another job over the same calls, add nothing."""
+    rng = random.Random(19)
+    rows = [(f"c{c}", T0 + timedelta(seconds=i), i, 1.0 if i // 9 % 2 else 0.1, None) for c in range(3) for i in range(60)]
+    kinds = "call_id string, update_ts timestamp, update_seq bigint, cnn double, gmm double"
+    rng.shuffle(rows)
+    files(spark, rows, kinds, str(tmp_path / "in"), 2, late=50)
+    files(spark, [("z", LATER, 0, None, None)], kinds, str(tmp_path / "in"), 1)
+    sink = AlertSink(str(tmp_path / "alerts"))
+    with pytest.raises(ValueError):
+        sink.read(spark)
+    for job, checkpoint in (("voices", "a"), ("voices", "b"), ("others", "c")):
+        decisions = decision_stream(source(spark, str(tmp_path / "in"), kinds), delay="1 hour")
+        query = voice_alert_stream(decisions, sink, str(tmp_path / checkpoint), job)
+        query.awaitTermination(300)
+        assert query.exception() is None
+        got = sorted((r.call_id, r.ts, r.update_seq) for r in sink.read(spark).collect())
+        assert got == [(f"c{c}", T0 + timedelta(seconds=s - 1), s) for c in range(3) for s in (13, 31, 49)]
+        assert spark.read.parquet(sink.path).count() == len(got)
+
+
+def test_alerts_of_jobs_do_not_replace_each_other(spark, tmp_path):
+    kinds = "call_id string, ts timestamp, kind string, update_seq bigint"
+    sink = AlertSink(str(tmp_path / "alerts"))
+    one = spark.createDataFrame([("a", T0, "call_ended", None), ("a", T0, "ai_voice", 3), ("a", T0, "ai_voice", 3)], kinds)
+    two = spark.createDataFrame([("a", T0, "call_ended", 0), ("a", T0, "ai_voice", 4), ("b", LATER, "ai_voice", 3)], kinds)
+    for _ in range(2):  # both batches run twice
+        sink.deliver(one, "1", 0)
+        sink.deliver(two, "2", 0)
+    sink.deliver(one.limit(0), "1", 1)
+    want = [("a", "ai_voice", 3), ("a", "ai_voice", 4), ("a", "call_ended", 0), ("b", "ai_voice", 3)]
+    assert sorted((r.call_id, r.kind, r.update_seq) for r in sink.read(spark).collect()) == want
+    assert spark.read.parquet(sink.path).count() == 4

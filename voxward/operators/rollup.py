@@ -124,8 +124,8 @@ def flagged_alerts(calls: DataFrame) -> DataFrame:
     )
 
 
-def voice_alerts(decisions: DataFrame, ts: str = "update_ts") -> DataFrame:
-    """An alert for each update that notifies; works on decision streams too."""
+def voice_alerts(decisions: DataFrame, ts: str = "update_ts", seq: str | None = None) -> DataFrame:
+    """An alert for each update that notifies; works on decision streams too. ``seq`` adds the number of the update."""
     detail = detail_text(F.col("cnn") * 100, F.col("gmm") * 100)
     return decisions.filter("should_notify").select(
         "call_id",
@@ -133,6 +133,7 @@ def voice_alerts(decisions: DataFrame, ts: str = "update_ts") -> DataFrame:
         F.lit("ai_voice").alias("kind"),
         F.lit(AI_TITLE).alias("title"),
         ai_text(F.col("average_score"), detail).alias("message"),
+        *([] if seq is None else [F.col(seq).alias("update_seq")]),
     )
 
 

@@ -24,9 +24,13 @@ from voxward.operators.timeline import Timeline
 from voxward.params import APP_PROFILE
 from voxward.plans import adapters as A
 from voxward.plans import batch
-from voxward.session import closed, delete_at_end, drain, materialize, shared_folder
+from voxward.session import closed, delete_at_end, drain, materialize, rocksdb, shared_folder
+from voxward.sources.alerts import AlertSink
+from voxward.sources.blocklist import Blocklist
 from voxward.sources.wav import read_frames, write_wav_frames
+from voxward.streaming.alerts import voice_alert_stream
 from voxward.streaming.align import align_stream
+from voxward.streaming.blocklist import blocklist_stream
 from voxward.streaming.decisions import decision_stream
 from voxward.streaming.frames import frames_in_calls_stream
 from voxward.streaming.monitor import call_monitor_stream
@@ -652,6 +656,28 @@ def live_align(spark: SparkSession, sf: str) -> DataFrame:
     return drain(stream, "updates").select("call_id", hour.alias("tick"), at, r("cnn").alias("cnn"), r("gmm").alias("gmm"))
 
 
+def live_alerts(spark: SparkSession, sf: str) -> DataFrame:
+    """All alerts as two jobs deliver them to one sink: about callers and ended calls, and about voices."""
+    folder = f"{shared_folder(spark)}/live-alerts-{uuid.uuid4().hex}"
+    delete_at_end(spark, folder)
+    spans = A.frames(spark, sf).groupBy("call_id").agg(F.min("ts").alias("start_ts"), F.max("ts").alias("end_ts"))
+    spans = materialize(spans, "spans")
+    rolled = _rolled(spark, sf, spans.select("call_id", "end_ts")).drop("end_ts")
+    ended = spans.join(rolled, "call_id").withColumn("caller_hash", A.customer_hash("call_id"))
+    begun = ended.select(*[F.lit(None).cast(f.dataType).alias(f.name) if f.name not in ("call_id", "start_ts", "caller_hash") else f.name for f in ended.schema])
+    calls_folder = f"{folder}/calls"
+    begun.union(ended).write.parquet(calls_folder)
+    store, sink = Blocklist(f"{folder}/list"), AlertSink(f"{folder}/alerts")
+    store.create(A.blocklist(spark, sf).withColumn("last_flagged_at", F.col("last_flagged_at").cast("timestamp")))
+    events = spark.readStream.schema(ended.schema).parquet(calls_folder)
+    heard = A.scores(spark, sf, A.live).filter(~F.col("is_silent"))
+    with rocksdb(spark):
+        blocklist_stream(events, store, sink.path, f"{folder}/calls-checkpoint", "calls").awaitTermination()
+        decisions = decision_stream(closed(heard, "ts", "call_id"), APP_PROFILE, ts="ts", tie="event_id", delay="1 hour", idle_s=None)
+        voice_alert_stream(decisions, sink, f"{folder}/voices-checkpoint", "voices").awaitTermination()
+    return sink.read(spark).select("call_id", _as_given("ts"), "kind", "title", "message")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -714,5 +740,6 @@ QUERIES = {
         live_rollup,
         live_summary,
         live_align,
+        live_alerts,
     )
 }

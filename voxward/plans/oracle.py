@@ -597,5 +597,5 @@ FROM sessions WHERE end_ts IS NOT NULL""",
        last_label, round(last_confidence, 6) AS last_confidence FROM calls""",
     }
     # Streams over all rows give what the batch operators give.
-    live = ("frames_in_calls", "frames_in_calls"), ("rollup", "call_rollup"), ("summary", "call_summary"), ("align", "align_scores")
+    live = ("frames_in_calls", "frames_in_calls"), ("rollup", "call_rollup"), ("summary", "call_summary"), ("align", "align_scores"), ("alerts", "alerts")
     return found | {f"live_{name}": found[batch] for name, batch in live}

@@ -7,6 +7,7 @@ import contextlib
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -36,6 +37,17 @@ def local_session(cores: str | int = "*", shuffle_partitions: int = 8, **conf: s
     return ship_package(spark)
 
 
+@contextlib.contextmanager
+def rocksdb(spark: SparkSession) -> Iterator[None]:
+    """Streams started inside keep their state in RocksDB, whatever the session's own setting is."""
+    before = spark.conf.get(_STATE_STORE)
+    spark.conf.set(_STATE_STORE, _ROCKSDB)
+    try:
+        yield
+    finally:
+        spark.conf.set(_STATE_STORE, before)
+
+
 def drain(stream: DataFrame, name: str) -> DataFrame:
     """Run a stream over what its source has now and read back what it wrote.
 
@@ -44,19 +56,17 @@ def drain(stream: DataFrame, name: str) -> DataFrame:
     """
     spark = stream.sparkSession
     base = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    before = spark.conf.get(_STATE_STORE)
-    spark.conf.set(_STATE_STORE, _ROCKSDB)
     try:
-        query = (
-            stream.writeStream.format("parquet")
-            .option("checkpointLocation", f"{base}-checkpoint")
-            .option("path", base)
-            .trigger(availableNow=True)
-            .start()
-        )
-        query.awaitTermination()
+        with rocksdb(spark):
+            query = (
+                stream.writeStream.format("parquet")
+                .option("checkpointLocation", f"{base}-checkpoint")
+                .option("path", base)
+                .trigger(availableNow=True)
+                .start()
+            )
+            query.awaitTermination()
     finally:
-        spark.conf.set(_STATE_STORE, before)
         _delete(spark, f"{base}-checkpoint")
     delete_at_end(spark, base)
     return spark.read.schema(stream.schema).parquet(base)

@@ -8,7 +8,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from voxward.operators.caller import calls_to_flag, lookup_blocklist
 from voxward.operators.rollup import ended_alerts, flagged_alerts
-from voxward.sources.alerts import write_alerts
+from voxward.sources.alerts import AlertSink
 from voxward.sources.blocklist import Blocklist
 
 
@@ -24,7 +24,7 @@ def apply_calls(
     alerts = flagged_alerts(flagged)
     if "frames_processed" in calls.columns:
         alerts = alerts.unionByName(ended_alerts(calls))
-    write_alerts(alerts, alerts_path, epoch)
+    AlertSink(alerts_path).deliver(alerts, job, epoch)
     blocklist.add(calls_to_flag(calls), job, epoch)
 
 
