@@ -63,7 +63,8 @@ def op7_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     manifest = write_derivatives(pages, folder)
     # Both sides grow with the pages, which the planner can't see in what is read from files.
     read = read_warc(manifest, keep_block=False).hint("merge")
-    return pages.select("page_id", F.col("record_id").alias("refers_to")).join(read, "refers_to")
+    # Repeated pages share an identifier; each of their records comes back once.
+    return pages.select("page_id", F.col("record_id").alias("refers_to")).distinct().join(read, "refers_to")
 
 
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:

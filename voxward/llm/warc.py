@@ -32,11 +32,15 @@ VERSION = "WARC/1.1"
 _SPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")
 _GZIP, _LEVEL = 31, 1
 
-_DROPPED = re.compile(r"<!--.*?-->|<(script|style|head|noscript|template)\b.*?</\1\s*>", re.S | re.I)
+_OPENS = re.compile(r"<!--|<(script|style|head|noscript|template)\b", re.I)
+_ENDS = {name: re.compile(rf"</{name}\s*>", re.I) for name in ("script", "style", "head", "noscript", "template", "title")}
+_ENDS["--"] = re.compile("-->")
 _BREAKS = re.compile(r"</?(?:p|div|br|li|ul|ol|tr|table|h[1-6]|article|section|header|footer|nav|blockquote|pre)\b[^>]*>", re.I)
 _TAG = re.compile(r"<[!/?a-zA-Z][^>]*>")
-_TITLE = re.compile(r"<title\b[^>]*>(.*?)</title\s*>", re.S | re.I)
-_LINK = re.compile(r"<a\b[^>]*?\bhref\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+_TITLE = re.compile(r"<title\b", re.I)
+_ANCHOR = re.compile(r"<a\b", re.I)
+_HREF = re.compile(r"\bhref\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+_CHARSET = re.compile(r"charset\s*=\s*[\"']?([\w.:-]+)", re.I)
 _BLANKS = re.compile(r"[^\S\n]+")
 _LINES = re.compile(r" ?\n[ \n]*")
 
@@ -92,17 +96,81 @@ def records(file: pa.NativeFile, chunk: int = 1 << 20) -> Iterator[Record]:
         data = data or file.read(chunk)
 
 
+def _without_dropped(page: str) -> str:
+    """The page with a blank for each comment, script, style, template and head. An end that is missing is looked for once."""
+    kept, at, missing = [], 0, set()
+    for opened in _OPENS.finditer(page):
+        name = (opened.group(1) or "--").lower()
+        if opened.start() < at or name in missing:
+            continue
+        end = _ENDS[name].search(page, opened.end())
+        if end is None:
+            missing.add(name)
+            continue
+        kept += page[at : opened.start()], " "
+        at = end.end()
+    return "".join([*kept, page[at:]])
+
+
+def _replaced(pattern: re.Pattern, by: str, text: str) -> str:
+    """Tags replaced; behind the last ``>`` there are none, and before it each ends, so a text is passed over once."""
+    cut = text.rfind(">") + 1
+    return pattern.sub(by, text[:cut]) + text[cut:]
+
+
 def plain_text(page: str) -> str:
     """The text of an HTML page: without scripts, styles and head, a line for each block."""
-    text = html.unescape(_TAG.sub("", _BREAKS.sub("\n", _DROPPED.sub(" ", page))))
+    text = html.unescape(_replaced(_TAG, "", _replaced(_BREAKS, "\n", _without_dropped(page))))
     return _LINES.sub("\n", _BLANKS.sub(" ", text)).strip()
 
 
+def _title(page: str) -> str | None:
+    """What the first title element holds; if that has no end, no later one has."""
+    opened = _TITLE.search(page)
+    inside = page.find(">", opened.end()) + 1 if opened else 0
+    end = _ENDS["title"].search(page, inside) if inside else None
+    return html.unescape(page[inside : end.start()]).strip() if end else None
+
+
+def _links(page: str) -> Iterator[str]:
+    """Addresses of the anchors. The next one found is remembered, so tags that have none are not searched again and again."""
+    at, href = 0, None
+    while opened := _ANCHOR.search(page, at):
+        end = page.find(">", opened.end())
+        end = len(page) if end < 0 else end
+        if href is None or href.start() < opened.end():
+            href = _HREF.search(page, opened.end())
+            if href is None:
+                return
+        if href.start() < end:
+            yield html.unescape(next(v for v in href.groups() if v is not None))
+            at = href.end()
+        else:
+            at = end
+
+
 def outline(page: str) -> dict:
     """Title and links of an HTML page, in order."""
-    title = _TITLE.search(page)
-    links = [html.unescape(next(v for v in found if v is not None)) for found in (m.groups() for m in _LINK.finditer(page))]
-    return {"title": html.unescape(title.group(1)).strip() if title else None, "links": links}
+    return {"title": _title(page), "links": list(_links(page))}
+
+
+def decoded(headers: list[list[str]], body: bytes) -> str:
+    """The page of a response, by the encodings its headers name; what can't be unpacked or read so is taken as it is, as UTF-8."""
+    named = {k.lower(): v for k, v in headers}
+    coding = named.get("content-encoding", "").strip().lower()
+    if coding in ("gzip", "x-gzip", "deflate"):
+        # 32 takes both gzip and zlib heads.
+        for window in (32 + zlib.MAX_WBITS, -zlib.MAX_WBITS):
+            try:
+                body = zlib.decompressobj(window).decompress(body)
+                break
+            except zlib.error:
+                continue
+    charset = _CHARSET.search(named.get("content-type", ""))
+    try:
+        return body.decode(charset.group(1) if charset else "utf-8", errors="replace")
+    except (LookupError, UnicodeError):
+        return body.decode(errors="replace")
 
 
 def derivatives(response: Record) -> tuple[Record, Record]:
@@ -110,12 +178,13 @@ def derivatives(response: Record) -> tuple[Record, Record]:
     source = response.headers["WARC-Record-ID"]
     head, _, body = response.block.partition(b"\r\n\r\n")
     lines = head.decode("latin-1").split("\r\n")
-    page = body.decode(errors="replace")
+    sent = [line.split(": ", 1) for line in lines[1:] if ": " in line]
+    page = decoded(sent, body)
     kept = {k: response.headers[k] for k in ("WARC-Target-URI", "WARC-Date") if k in response.headers}
     payload = response.headers.get("WARC-Payload-Digest") or sha1(body)
     facts = {
         "status": lines[0],
-        "headers": [line.split(": ", 1) for line in lines[1:] if ": " in line],
+        "headers": sent,
         "payload_digest": payload,
         "payload_length": len(body),
         **outline(page),
@@ -142,7 +211,8 @@ def responses(pages: DataFrame, date: str = "1970-01-01T00:00:00Z", http_head: C
     """Raw pages (``page_id, url, html``) as rows ``record_id, target_uri, date, head, body``.
 
     Identifiers follow from ``page_id`` and ``url``; a null page is empty, a null
-    address stays null. ``http_head`` are status line and headers.
+    address stays null. ``http_head`` are status line and headers. Repeated rows
+    have one identifier and stay as many rows.
     """
     head = http_head if http_head is not None else F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8")
     key = F.sha1(F.concat_ws("|", F.coalesce(F.col("page_id").cast("string"), F.lit("null")), F.coalesce("url", F.lit(""))))
@@ -172,8 +242,8 @@ def write_derivatives(rows: DataFrame, folder: str) -> DataFrame:
 
     Each task writes one metadata and one conversion file under a name of its
     own attempt, record by record, and the manifest lists those that counted.
-    ``folder`` must be reachable by all executors. An empty table gives an empty
-    manifest.
+    ``folder`` must be reachable by all executors. Repeated rows make repeated
+    records; an empty table gives an empty manifest.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -183,7 +253,8 @@ def write_derivatives(rows: DataFrame, folder: str) -> DataFrame:
         fs, _ = FileSystem.from_uri(folder)
         places = [FileSystem.from_uri(path)[1] for path in paths]
         fs.create_dir(places[0].rsplit("/", 1)[0])
-        files, n, size = [fs.open_output_stream(place) for place in places], 0, [0, 0]
+        # Records are compressed one by one, so the stream must not do it again.
+        files, n, size = [fs.open_output_stream(place, compression=None) for place in places], 0, [0, 0]
         for batch in batches:
             for at in range(0, batch.num_rows, 64):
                 for row in batch.slice(at, 64).to_pylist():
@@ -214,7 +285,7 @@ def read_warc(files: DataFrame, keep_block: bool = True) -> DataFrame:
         for batch in batches:
             for path in batch.column(0).to_pylist():
                 fs, place = FileSystem.from_uri(path)
-                with fs.open_input_stream(place) as file:
+                with fs.open_input_stream(place, compression=None) as file:
                     rows = []
                     for record in records(file):
                         h = record.headers
@@ -237,3 +308,24 @@ def read_warc(files: DataFrame, keep_block: bool = True) -> DataFrame:
     types = [pa.string()] * len(texts) + [pa.int64(), pa.bool_()] + [pa.binary()] * keep_block
     shape = ", ".join(f"{c} string" for c in texts) + ", n_bytes bigint, digest_ok boolean" + ", block binary" * keep_block
     return files.select("path").repartition(max(1, files.count())).mapInArrow(run, shape)
+
+
+def read_responses(files: DataFrame) -> DataFrame:
+    """The response records of WARC files (column ``path``) as rows for ``write_derivatives``.
+
+    Identifier, address and date are those of the record; the block is cut into the head of the answer and its body. A
+    block without a head is all body. Records of other kinds are passed over.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for row in batch.to_pylist():
+                head, found, body = row.pop("block").partition(b"\r\n\r\n")
+                rows.append(row | {"head": head.decode("latin-1") if found else "", "body": body if found else head})
+            yield pa.RecordBatch.from_pylist(rows, schema=shape)
+
+    names = ("record_id", "target_uri", "date", "head")
+    shape = pa.schema([*((n, pa.string()) for n in names), ("body", pa.binary())])
+    found = read_warc(files).where("kind = 'response'").select("record_id", "target_uri", "date", "block")
+    return found.mapInArrow(run, ", ".join(f"{n} string" for n in names) + ", body binary")
