@@ -57,7 +57,7 @@ def corpus(seed, docs=120, words=18):
     rows = []
     for _ in range(docs):
         text = "".join(rng.choice(vocabulary) + rng.choice(glue) for _ in range(rng.randrange(120)))
-        rows.append((text + "New York City Hall" * (rng.random() < 0.3), rng.choice(["en", "fr", None, "und", ""])))
+        rows.append((text + "New York City Hall" * (rng.random() < 0.3), rng.choice(["en", "fr", None, "und", "", "a b"])))
     return rows
 
 
@@ -65,9 +65,9 @@ def corpus(seed, docs=120, words=18):
     "seed,params",
     [
         (1, PhraseParams()),
-        (2, PhraseParams(burst=3, held=40, words=9, piece_bytes=50)),
-        (3, PhraseParams(burst=1, held=1, words=1, piece_bytes=1, top=7, ranked=28)),
-        (4, PhraseParams(min_count=3, covered=80, max_words=2, held=500)),
+        (2, PhraseParams(burst=3, held=40, words=9, piece_bytes=50, range_bytes=500)),
+        (3, PhraseParams(burst=1, held=1, words=1, piece_bytes=1, range_bytes=100, sample=20, top=7, ranked=28)),
+        (4, PhraseParams(min_count=3, covered=80, max_words=2, held=500, range_bytes=3000, ranges=4)),
     ],
 )
 def test_same_as_plain_counting(spark, seed, params):
@@ -99,4 +99,15 @@ def test_nothing_to_find(spark):
 def test_a_long_text_in_one_piece(spark):
     rng = random.Random(6)
     rows = [(" ".join(rng.choice("abcdefgh") for _ in range(60_000)), "en"), ("z" * 300_000, "en")]
-    assert rows_of(collocations(table(spark, rows), PhraseParams(piece_bytes=777, held=300))) == plain(rows)
+    assert rows_of(collocations(table(spark, rows), PhraseParams(piece_bytes=777, held=300, range_bytes=9000))) == plain(rows)
+
+
+def test_pairs_over_many_batches(spark):
+    rows = corpus(7, docs=60) + [("one two " + w, "en") for w in "abc" for _ in range(30)]
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "13")
+    try:
+        got = rows_of(collocations(table(spark, rows), PhraseParams(merge_rows=20, range_bytes=2000)))
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert got == plain(rows)
