@@ -63,7 +63,7 @@ STAGES = [
     ("best-fit packing", best_fit_packing),
 ]
 
-#: Tokens and keyed surrogates are beyond SQL; tests/llm/test_pipeline.py holds the stages against brute force.
+#: Tokens and keyed surrogates are beyond SQL; tests/llm/test_llm_queries.py holds the stages against brute force.
 ORACLE_SQL = None
 
 
