@@ -1,5 +1,6 @@
 """Streams give what the batch operators give, over several shuffled micro-batches."""
 
+import hashlib
 import random
 from datetime import datetime, timedelta
 
@@ -9,8 +10,10 @@ from pyspark.sql import functions as F
 from test_calls import fold
 from test_decision import replay
 from voxward.operators.calls import assign_calls, call_edges, call_sessions, latch
-from voxward.operators.decision import align_scores, decision_engine
+from voxward.operators.decision import align_scores, buffer_scores, current_state, decision_engine
+from voxward.operators.framing import latest_n
 from voxward.operators.rollup import call_rollup, complete_calls, voice_alerts
+from voxward.operators.timeline import Timeline
 from voxward.params import MIC_CONSENT_ROOT, DecisionParams
 from voxward.schemas import TELEMETRY
 from voxward.sources.alerts import AlertSink
@@ -18,11 +21,14 @@ from voxward.sources.blocklist import Blocklist
 from voxward.streaming.alerts import voice_alert_stream
 from voxward.streaming.align import align_stream
 from voxward.streaming.blocklist import blocklist_stream
-from voxward.streaming.decisions import decision_stream
+from voxward.sources.warnings import WarningLog
+from voxward.streaming.caller import caller_id_stream, caller_warning_stream
+from voxward.streaming.decisions import decision_history, decision_stream, running_state
 from voxward.session import closed
 from voxward.sources.telemetry import read_telemetry
 from voxward.streaming.frames import frames_in_calls_stream
 from voxward.streaming.monitor import call_monitor_stream, poll_status_stream
+from voxward.streaming.recent import latest_n_stream, newest_frames
 from voxward.streaming.rollup import rollup_stream
 
 T0 = datetime(2024, 3, 1)
@@ -337,3 +343,132 @@ def test_alerts_of_jobs_do_not_replace_each_other(spark, tmp_path):
     want = [("a", "ai_voice", 3), ("a", "ai_voice", 4), ("a", "call_ended", 0), ("b", "ai_voice", 3)]
     assert sorted((r.call_id, r.kind, r.update_seq) for r in sink.read(spark).collect()) == want
     assert spark.read.parquet(sink.path).count() == 4
+
+
+TEXTS = "call_id string, seen_ts timestamp, window_name string, walk_ordinal int, depth int, text string"
+
+
+def test_caller_at_call_start(spark, tmp_path):
+    def at(s):
+        return T0 + timedelta(seconds=s)
+
+    voice, video = "Voice call", "Video call"
+    texts = [
+        # The first window counts, even where only the second one shows a number.
+        ("a", at(5), video, 0, 1, "+1 555 000 1111"), ("a", at(5), voice, 1, 1, "Mute"),
+        ("a", at(9), voice, 2, 1, "+49 170 1234567"), ("a", at(9), voice, 1, 16, "+49 170 7654321"), ("a", at(9), voice, 3, 1, "+49 170 0000000"),
+        ("a", at(12), voice, 1, 1, "+49 170 9999999"),
+        # Shown before the start, after the limit and after the end.
+        ("b", at(0), voice, 1, 1, "+49 170 1111111"), ("b", at(60), voice, 1, 1, "+49 170 1111111"),
+        ("c", at(30), video, 1, 1, "+49 170 2222222"), ("c", at(30), "Chat", 1, 1, "+49 170 3333333"),
+        ("d", at(40), voice, 1, 1, "+49 170 4444444"),
+        ("e", at(3), voice, 1, 1, None), ("e", at(3), None, 1, 1, "+49 170 5555555"), ("e", None, voice, 1, 1, "+49 170 5555555"),
+        (None, at(3), voice, 1, 1, "+49 170 6666666"),
+        ("z", LATER, None, None, None, None),
+    ]
+    spans = {"a": (5, 90), "b": (10, 70), "c": (30, 31), "d": (20, 39), "e": (3, None)}
+    edges = [(c, "h", "start", at(s), None) for c, (s, _) in spans.items()]
+    edges += [(c, "h", "end", at(s), at(e)) for c, (s, e) in spans.items() if e] + [("x", "h", "end", None, at(50))]
+    for name, rows, kind in (("texts", texts[:-1], TEXTS), ("edges", edges, EDGES)):
+        files(spark, rows, kind, str(tmp_path / name), 3, late=4)
+    files(spark, texts[-1:], TEXTS, str(tmp_path / "texts"), 1)
+    files(spark, [(None, "z", None, LATER, None)], EDGES, str(tmp_path / "edges"), 1)
+    stream = caller_id_stream(
+        source(spark, str(tmp_path / "texts"), TEXTS), source(spark, str(tmp_path / "edges"), EDGES), wait_s=30, delay="10 minutes"
+    )
+    got = {(r.call_id, r.end_ts): (r.start_ts, r.caller_hash) for r in run(spark, stream, "callers", tmp_path).collect()}
+    number = {"a": "+491701234567", "c": "+491702222222"}
+    want = {}
+    for c, (s, e) in spans.items():
+        hashed = hashlib.sha256(number[c].encode()).hexdigest() if c in number else None
+        want |= {(c, t): (at(s), hashed) for t in {None, e and at(e)}}
+    assert got == want
+    # A call that is on and what waits at the far end are all that is left.
+    assert {r.key.call_id for r in rows_left(spark, str(tmp_path / "cp")).collect()} - {None} == {"e", "z"}
+
+
+def test_caller_warnings_from_start_to_end(spark, tmp_path):
+    listed, other = (hashlib.sha256(n.encode()).hexdigest() for n in ("+491701234567", "+491707654321"))
+    store, log = Blocklist(str(tmp_path / "list")), WarningLog(str(tmp_path / "warnings"))
+    store.create(spark.createDataFrame([(listed, 2, T0), (other, 0, T0)], "phone_hash string, strike_count int, last_flagged_at timestamp"))
+    kind = "call_id string, start_ts timestamp, end_ts timestamp, caller_hash string"
+    first = [("a", T0, None, listed), ("b", T0, None, other), ("c", T0, None, None), ("d", T0, None, listed)]
+    for i, rows in enumerate((first, [("a", T0, LATER, listed), ("c", T0, LATER, None)])):
+        spark.createDataFrame(rows, kind).coalesce(1).write.mode("append").parquet(str(tmp_path / "calls"))
+        calls = source(spark, str(tmp_path / "calls"), kind)
+        caller_warning_stream(calls, store, log, str(tmp_path / "cp"), "w").awaitTermination()
+        want = [("a", T0, LATER if i else None), ("d", T0, None)]
+        assert sorted(map(tuple, log.read(spark).collect())) == want
+    # A second job over the same calls shows nothing twice.
+    caller_warning_stream(source(spark, str(tmp_path / "calls"), kind), store, log, str(tmp_path / "cp2"), "v").awaitTermination()
+    assert sorted(map(tuple, log.read(spark).collect())) == want
+
+
+@pytest.mark.parametrize("fill", [False, True])
+def test_decisions_resumed_from_history(spark, tmp_path, fill):
+    rng, rows = random.Random(21), []
+    for i in range(60):
+        for c in ("a", "b", "late") if i > 40 else ("a", "b"):
+            cnn, gmm = (None if rng.random() < 0.4 else rng.random() ** 0.4 for _ in "ab")
+            rows.append((c, T0 + timedelta(seconds=i), i, cnn, gmm))
+    rows += [("gone", T0, 0, 0.9, None)]
+    kinds = "call_id string, update_ts timestamp, update_seq bigint, cnn double, gmm double"
+    order = ("update_ts", "update_seq")
+    everything = spark.createDataFrame(rows, kinds)
+    line = Timeline(("call_id",), order)
+    filled = everything
+    if fill:
+        filled = line.last_known(everything, _c="cnn", _g="gmm").select("call_id", *order, F.col("_c").alias("cnn"), F.col("_g").alias("gmm"))
+    cut = T0 + timedelta(seconds=30)
+    history = decision_history(buffer_scores(filled.where(F.col("update_ts") < cut), order=order), order, fill)
+    files(spark, [r for r in rows if r[1] >= cut], kinds, str(tmp_path / "in"), 3)
+    files(spark, [("z", LATER, 0, None, None)], kinds, str(tmp_path / "in"), 1)
+    stream = decision_stream(source(spark, str(tmp_path / "in"), kinds), fill=fill, idle_s=None, history=history)
+    got = run(spark, stream, f"resumed_{fill}".lower(), tmp_path).collect()
+    whole = line.number(decision_engine(filled, order=order), "n").where(F.col("update_ts") >= cut).collect()
+    want = {(r.call_id, r.n): (r.label, r.should_notify, r.frames_buffered, round(r.average_score, 9)) for r in whole}
+    assert {(r.call_id, r.update_seq): (r.label, r.should_notify, r.frames_buffered, round(r.average_score, 9)) for r in got} == want
+    # The state of the job is the state of all calls, those without new updates too.
+    state = running_state(spark, str(tmp_path / "cp"), calls=spark.createDataFrame([("a",), ("b",), ("late",), ("gone",), ("none",)], "call_id string"))
+    known = current_state(decision_engine(filled, order=order), spark.createDataFrame([("none",)], "call_id string").union(everything.select("call_id").distinct()), order=order)
+    found = [sorted((r.call_id, round(r.average_score, 9), r.label, r.frames_buffered) for r in df.collect()) for df in (state, known)]
+    assert found[0] == found[1]
+
+
+def test_calls_with_history_of_polls(spark, tmp_path):
+    on = T0 - timedelta(minutes=5)
+    history = spark.createDataFrame([("h", True, 4, on, on), ("i", False, 0, None, on)], "host_id string, active boolean, ordinal bigint, s timestamp, t timestamp")
+    history = history.select("host_id", "active", "ordinal", F.unix_micros("s").alias("start_us"), F.unix_micros("t").alias("seen"))
+    polls = [("h", T0, True, None), ("h", T0 + timedelta(seconds=1), False, None), ("h", T0 + timedelta(seconds=2), True, True)]
+    polls += [("i", T0, True, True), ("z", LATER, None, None)]
+    for p in polls:
+        files(spark, [p], POLLS, str(tmp_path / "polls"), 1)
+    events = call_monitor_stream(source(spark, str(tmp_path / "polls"), POLLS), history=history)
+    got = sorted(map(tuple, run(spark, events, "resumed_calls", tmp_path).select("call_id", "edge", "start_ts", "end_ts").collect()))
+    at = T0 + timedelta(seconds=2)
+    assert got == [("h#4", "end", on, T0 + timedelta(seconds=1)), ("h#5", "start", at, None), ("i#1", "start", T0, None)]
+
+
+def test_newest_frames_stay_in_a_ring(spark, tmp_path):
+    rng, rows = random.Random(22), []
+    for i in range(90):
+        rows.append((["a", "b", "c"][0 if i < 70 else i % 3], T0 + timedelta(seconds=rng.randrange(40)), i, rng.choice([None, i]), f"wav{i}"))
+    rows += [(None, T0, 200, 1, "no host"), ("c", None, 201, (1 << 60) + 1, None)]
+    kinds = "host_id string, captured_at timestamp, frame_seq bigint, place bigint, audio string"
+    files(spark, rows, kinds, str(tmp_path / "in"), 4, late=60)
+    stream = latest_n_stream(source(spark, str(tmp_path / "in"), kinds), n=7)
+    dropped = {tuple(r) for r in run(spark, stream, "ring", tmp_path).collect()}
+    kept = {tuple(r) for r in newest_frames(spark, str(tmp_path / "cp")).collect()}
+    frames = spark.createDataFrame(rows, kinds).where("host_id IS NOT NULL")
+    assert kept == {tuple(r) for r in latest_n(frames, 7, order=("captured_at", "frame_seq")).collect()}
+    assert kept | dropped == {tuple(r) for r in frames.collect()} and not kept & dropped
+
+
+def test_whole_numbers_carried_with_frames_stay_exact(spark, tmp_path):
+    kinds = "host_id string, captured_at timestamp, frame_seq bigint, place bigint"
+    frames = [("h", T0 + timedelta(seconds=i), i, None if i == 2 else (1 << 60) + i) for i in range(1, 5)]
+    files(spark, frames + [("z", LATER, 0, None)], kinds, str(tmp_path / "frames"), 1)
+    files(spark, [("h#1", "h", "start", T0, None), (None, "z", None, LATER, None)], EDGES, str(tmp_path / "edges"), 1)
+    stream = frames_in_calls_stream(source(spark, str(tmp_path / "frames"), kinds), source(spark, str(tmp_path / "edges"), EDGES))
+    got = run(spark, stream, "exact_places", tmp_path).select("frame_seq", "place").collect()
+    assert sorted(map(tuple, got)) == [(f[2], f[3]) for f in frames]

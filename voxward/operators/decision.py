@@ -179,8 +179,11 @@ def current_state(
         F.max_by("frames_buffered", at).alias("frames_buffered"),
     )
     latest = latest.withColumn("label", from_code(F.col("label")))
-    if calls is None:
-        return latest
+    return latest if calls is None else with_idle_calls(calls, latest, key)
+
+
+def with_idle_calls(calls: DataFrame, latest: DataFrame, key: str = "call_id") -> DataFrame:
+    """The state of all ``calls``; those without updates are 0.0 / Human."""
     out = calls.select(key).join(latest, key, "left")
     return out.withColumns(
         {
@@ -204,4 +207,5 @@ __all__ = [
     "latest_per_tick",
     "score_updates",
     "tick_of",
+    "with_idle_calls",
 ]

@@ -149,12 +149,35 @@ def customer_hash(key: str) -> Column:
     return F.sha2(F.format_string("Customer#%09d", key), 256)
 
 
-def blocklist(spark: SparkSession, sf_dir: str) -> DataFrame:
+def customer_phone(key: str) -> Column:
+    """A customer's number as a call window shows it."""
+    return F.regexp_replace(F.format_string("+%010d", key), r"(\d{4})(?=\d)", "$1 ")
+
+
+def phone_hash(key: str) -> Column:
+    return F.sha2(F.regexp_replace(customer_phone(key), " ", ""), 256)
+
+
+def walks(calls: DataFrame, seen: str) -> DataFrame:
+    """Each row as a walk over two call windows; only the third text of the first window is the caller's number."""
+    shown = (
+        ("Video call", 0, 1, F.lit("+99 999 9999")),
+        ("Voice call", 1, 16, F.lit("+88 888 8888")),
+        ("Voice call", 2, 2, F.lit("Mute")),
+        ("Voice call", 3, 3, customer_phone("call_id")),
+        ("Voice call", 4, 3, F.lit("+77 777 7777")),
+    )
+    names = ("window_name", "walk_ordinal", "depth", "text")
+    texts = [F.struct(*[(v if n == "text" else F.lit(v)).alias(n) for n, v in zip(names, t, strict=True)]) for t in shown]
+    return calls.select("call_id", F.col(seen).alias("seen_ts"), F.inline(F.array(*texts)))
+
+
+def blocklist(spark: SparkSession, sf_dir: str, hashed=customer_hash) -> DataFrame:
     """Customers as listed callers: machinery buyers are unknown, debtors have no strikes."""
     strikes = F.when(F.col("c_acctbal") >= 0, F.col("c_nationkey") % 3)
     since = F.expr("timestamp_ntz'1994-01-01 00:00:00' + make_dt_interval(c_nationkey)")
     return table(spark, sf_dir, "customer").filter("c_mktsegment <> 'MACHINERY'").select(
-        customer_hash("c_custkey").alias("phone_hash"),
+        hashed("c_custkey").alias("phone_hash"),
         strikes.cast("int").alias("strike_count"),
         since.alias("last_flagged_at"),
     )

@@ -21,19 +21,22 @@ from voxward.operators import (
     scoring,
 )
 from voxward.operators.timeline import Timeline
-from voxward.params import APP_PROFILE
+from voxward.params import AI, APP_PROFILE
 from voxward.plans import adapters as A
 from voxward.plans import batch
 from voxward.session import closed, delete_at_end, drain, materialize, rocksdb, shared_folder
 from voxward.sources.alerts import AlertSink
 from voxward.sources.blocklist import Blocklist
+from voxward.sources.warnings import WarningLog
 from voxward.sources.wav import read_frames, write_wav_frames
 from voxward.streaming.alerts import voice_alert_stream
 from voxward.streaming.align import align_stream
 from voxward.streaming.blocklist import blocklist_stream
-from voxward.streaming.decisions import decision_stream
+from voxward.streaming.caller import caller_id_stream, caller_warning_stream
+from voxward.streaming.decisions import decision_history, decision_stream, running_state
 from voxward.streaming.frames import frames_in_calls_stream
-from voxward.streaming.monitor import call_monitor_stream
+from voxward.streaming.monitor import call_monitor_stream, monitor_history
+from voxward.streaming.recent import latest_n_stream, newest_frames
 from voxward.streaming.rollup import rollup_stream
 
 ORDER = ("ts", "event_id")
@@ -678,6 +681,81 @@ def live_alerts(spark: SparkSession, sf: str) -> DataFrame:
     return sink.read(spark).select("call_id", _as_given("ts"), "kind", "title", "message")
 
 
+def live_caller_warnings(spark: SparkSession, sf: str) -> DataFrame:
+    """Callers found in the windows of users' calls, and the warnings from start to end of the listed ones."""
+    folder = f"{shared_folder(spark)}/live-warnings-{uuid.uuid4().hex}"
+    delete_at_end(spark, folder)
+    spans = A.frames(spark, sf).groupBy("call_id").agg(F.min("ts").alias("start_ts"), F.max("ts").alias("end_ts"))
+    spans = materialize(spans, "spans")
+    started = spans.select("call_id", F.lit("start").alias("edge"), "start_ts", F.lit(None).cast("timestamp_ntz").alias("end_ts"))
+    edges = _streamed(started.unionByName(spans.withColumn("edge", F.lit("end"))), "edges", "start_ts", "call_id")
+    texts = A.walks(closed(A.scores(spark, sf, A.live).select("call_id", "ts"), "ts", "call_id"), "ts")
+    store, log = Blocklist(f"{folder}/list"), WarningLog(f"{folder}/warnings")
+    listed = A.blocklist(spark, sf, A.phone_hash)
+    store.create(listed.withColumn("last_flagged_at", F.col("last_flagged_at").cast("timestamp")))
+    with rocksdb(spark):
+        found = caller_id_stream(texts, edges, delay="1 hour")
+        caller_warning_stream(found, store, log, f"{folder}/checkpoint", "warnings").awaitTermination()
+    return log.read(spark).select("call_id", _as_given("shown_from"), _as_given("shown_to"))
+
+
+def live_current_state(spark: SparkSession, sf: str) -> DataFrame:
+    """Every customer as a call, from the state that a decision job left."""
+    scores = closed(A.scores(spark, sf, A.live), "ts", "call_id")
+    stream = decision_stream(scores, APP_PROFILE, ts="ts", tie="event_id", delay="1 hour", idle_s=None)
+    _, checkpoint = drain(stream, "decisions", keep_state=True)
+    everyone = A.table(spark, sf, "customer").select(F.col("c_custkey").alias("call_id"))
+    return running_state(spark, checkpoint, APP_PROFILE, everyone).withColumn("average_score", r("average_score"))
+
+
+def live_latest_n(spark: SparkSession, sf: str) -> DataFrame:
+    """The newest twenty frames per recorder, from the state of the job that keeps them."""
+    frames = A.scores(spark, sf, A.live).select("call_id", "ts", "event_id")
+    _, checkpoint = drain(latest_n_stream(frames, key="call_id", ts="ts", tie="event_id"), "rings", keep_state=True)
+    return newest_frames(spark, checkpoint, key="call_id", ts="ts", tie="event_id").select("call_id", "event_id")
+
+
+def _half_time(spark: SparkSession, sf: str) -> Column:
+    """The middle between the first and the last event."""
+    first, last = A.table(spark, sf, "events").agg(F.min("ts"), F.max("ts")).first()
+    return F.lit(first + (last - first) / 2)
+
+
+def live_decisions_resumed(spark: SparkSession, sf: str) -> DataFrame:
+    """Decisions in batch over the earlier half of the events, and by a job that goes on from there over the later one."""
+    half = _half_time(spark, sf)
+    past = A.scores(spark, sf).filter(F.col("ts") < half)
+    line = _score_line(past)
+    decided = materialize(decision.buffer_scores(past, APP_PROFILE, line=line), "decided")
+    coming = closed(A.scores(spark, sf, A.live).filter(F.col("ts") >= half), "ts", "call_id")
+    stream = decision_stream(
+        coming, APP_PROFILE, ts="ts", tie="event_id", delay="1 hour", idle_s=None, history=decision_history(decided, ORDER)
+    )
+    later = drain(stream, "decisions")
+    numbered = line.number(decided, "update_seq")
+    numbered = line.running_count(numbered, "ai_so_far", F.col("label") == AI)
+    columns = ["call_id", "event_id", "update_seq", "average_score", "label", "should_notify", "frames_buffered", "call_was_ai"]
+    earlier = numbered.withColumn("call_was_ai", F.col("ai_so_far") > 0).select(columns)
+    both = earlier.unionByName(later.withColumnRenamed("tie", "event_id").select(columns))
+    return both.withColumn("average_score", r("average_score"))
+
+
+def live_calls_resumed(spark: SparkSession, sf: str) -> DataFrame:
+    """Starts and ends of calls, found in batch over the earlier half of the polls and by a job that goes on from there."""
+    half = _half_time(spark, sf)
+    past = A.polls(spark, sf).filter(F.col("poll_ts") < half)
+    line = _poll_line(past)
+    edges = materialize(calls.call_edges(calls.latch(past, line=line)), "edges")
+    coming = closed(A.polls(spark, sf, A.live).filter(F.col("poll_ts") >= half), "poll_ts", "host_id")
+    later = drain(call_monitor_stream(coming, delay="1 hour", tie="event_id", history=monitor_history(edges, POLL_ORDER)), "calls")
+    found = calls.call_sessions(edges, line).select("call_id", "host_id", "start_ts", "end_ts")
+    started = found.select("call_id", "host_id", F.lit("start").alias("edge"), "start_ts", F.lit(None).cast("timestamp_ntz").alias("end_ts"))
+    ended = found.filter(F.col("end_ts").isNotNull()).withColumn("edge", F.lit("end"))
+    both = started.unionByName(ended).withColumns({c: F.col(c).cast("timestamp") for c in ("start_ts", "end_ts")}).unionByName(later)
+    start, end = F.unix_micros("start_ts"), F.unix_micros("end_ts").cast("double")
+    return both.select("call_id", "host_id", "edge", start.alias("start_us"), end.alias("end_us"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -741,5 +819,10 @@ QUERIES = {
         live_summary,
         live_align,
         live_alerts,
+        live_caller_warnings,
+        live_current_state,
+        live_latest_n,
+        live_decisions_resumed,
+        live_calls_resumed,
     )
 }

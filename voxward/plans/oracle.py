@@ -598,4 +598,6 @@ FROM sessions WHERE end_ts IS NOT NULL""",
     }
     # Streams over all rows give what the batch operators give.
     live = ("frames_in_calls", "frames_in_calls"), ("rollup", "call_rollup"), ("summary", "call_summary"), ("align", "align_scores"), ("alerts", "alerts")
+    live += ("caller_warnings", "caller_warnings"), ("current_state", "current_state"), ("latest_n", "latest_n")
+    live += ("decisions_resumed", "live_decisions"), ("calls_resumed", "live_calls")
     return found | {f"live_{name}": found[batch] for name, batch in live}

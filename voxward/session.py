@@ -48,14 +48,16 @@ def rocksdb(spark: SparkSession) -> Iterator[None]:
         spark.conf.set(_STATE_STORE, before)
 
 
-def drain(stream: DataFrame, name: str) -> DataFrame:
+def drain(stream: DataFrame, name: str, keep_state: bool = False) -> DataFrame | tuple[DataFrame, str]:
     """Run a stream over what its source has now and read back what it wrote.
 
     The checkpoint goes at once, the rows when Python ends. Rows behind the
-    watermark come out only if the source was ``closed``.
+    watermark come out only if the source was ``closed``. With ``keep_state`` the
+    checkpoint stays as long as the rows and its place is given too.
     """
     spark = stream.sparkSession
     base = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    kept = False
     try:
         with rocksdb(spark):
             query = (
@@ -66,10 +68,12 @@ def drain(stream: DataFrame, name: str) -> DataFrame:
                 .start()
             )
             query.awaitTermination()
+        kept = keep_state
     finally:
-        _delete(spark, f"{base}-checkpoint")
+        (delete_at_end if kept else _delete)(spark, f"{base}-checkpoint")
     delete_at_end(spark, base)
-    return spark.read.schema(stream.schema).parquet(base)
+    made = spark.read.schema(stream.schema).parquet(base)
+    return (made, f"{base}-checkpoint") if keep_state else made
 
 
 def closed(stream: DataFrame, ts: str, key: str) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from voxward.operators.detection import poll_status
+from voxward.operators.timeline import Timeline
 from voxward.params import MIC_CONSENT_ROOT, VOIP_KEYWORDS
 from voxward.streaming.ordered import OrderedProcessor, run_ordered
 
@@ -68,10 +69,12 @@ def call_monitor_stream(
     require_mic: bool = True,
     delay: str | None = "1 minute",
     tie: str | None = None,
+    history: DataFrame | None = None,
 ) -> DataFrame:
     """Start and end events of calls; an end carries both times.
 
-    ``tie`` orders polls with equal time; polls of one host normally have none.
+    ``tie`` orders polls with equal time; polls of one host normally have none. ``history`` (see ``monitor_history``)
+    lets a new job go on where a batch run over the polls before it has ended: calls that were on stay on and numbers go on.
     """
     if tie is None:
         status, tie = status.withColumn("poll_tie", F.lit(0).cast("bigint")), "poll_tie"
@@ -82,6 +85,7 @@ def call_monitor_stream(
         "poll_ts",
         delay,
         f"host_id {kind}, call_ordinal bigint, edge string, start_us bigint, end_us bigint",
+        history,
     )
     return events.select(
         F.concat_ws("#", F.col("host_id").cast("string"), F.col("call_ordinal").cast("string")).alias("call_id"),
@@ -90,3 +94,15 @@ def call_monitor_stream(
         F.timestamp_micros("start_us").alias("start_ts"),
         F.timestamp_micros("end_us").alias("end_ts"),
     )
+
+
+def monitor_history(edges: DataFrame, order: tuple[str, ...] = ("poll_ts",)) -> DataFrame:
+    """What a monitor job has to remember of each host, from the output of ``call_edges`` over all its polls so far."""
+    us = F.unix_micros(F.col(order[0]).cast("timestamp"))
+    start = F.when(F.col("edge") == "start", us)
+    return edges.filter(F.col("host_id").isNotNull()).groupBy("host_id").agg(
+        F.max_by("active", Timeline(("host_id",), order).at).alias("active"),
+        F.count(start).alias("ordinal"),
+        F.max(start).alias("start_us"),
+        F.max(us).alias("seen"),
+    )

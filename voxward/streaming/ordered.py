@@ -4,13 +4,47 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 
+def _plain(value):
+    """A NumPy value as the Python one that state takes."""
+    if isinstance(value, np.ndarray):
+        return [_plain(v) for v in value]
+    return value.item() if isinstance(value, np.generic) else value
+
+
+def plain_columns(batch: pd.DataFrame, fields: tuple[str, ...]) -> list[list]:
+    """Columns as Python values; pandas has NaN for NULL doubles, so every field comes with its own flag."""
+    return [
+        [None if null else _plain(v) for v, null in zip(batch[f], batch[f"{f}_null"], strict=True)] for f in fields
+    ]
+
+
+def cells(df: DataFrame, fields: tuple[str, ...]) -> list[Column]:
+    """The columns that ``plain_columns`` reads: each field with its flag.
+
+    pandas would make doubles of whole numbers with a NULL among them, which state doesn't take back and which are not
+    exact, so their NULLs travel as zeros.
+    """
+    found = []
+    for f in fields:
+        kind = df.schema[f].dataType
+        value = F.coalesce(f"`{f}`", F.lit(0).cast(kind)) if isinstance(kind, T.IntegralType) else F.col(f"`{f}`")
+        found += [value.alias(f), F.isnull(f"`{f}`").alias(f"{f}_null")]
+    return found
+
+
+def frame_of(rows: list[tuple], names: tuple[str, ...]) -> Iterator[pd.DataFrame]:
+    """Rows given out; as objects, so that NULLs leave whole numbers whole."""
+    return iter([pd.DataFrame(rows, columns=list(names), dtype=object)] if rows else ())
+
+
 class OrderedProcessor(StatefulProcessor):
     """Holds rows back until the watermark has passed them, then applies ``step`` in order.
 
@@ -33,6 +67,10 @@ class OrderedProcessor(StatefulProcessor):
     def step(self, key, memory: tuple | None, rows: list[tuple]) -> tuple[tuple, list[tuple]]:
         raise NotImplementedError
 
+    def follow_up(self, row: tuple) -> tuple | None:
+        """A row that is to come by itself some time after this one, as a time limit; it doesn't move the watermark."""
+        return None
+
     def init(self, handle: StatefulProcessorHandle) -> None:
         row = [T.StructField("us", T.LongType()), T.StructField("tie", T.LongType())]
         row += [T.StructField(n, t) for n, t in zip(self.fields, self.field_types, strict=True)]
@@ -56,18 +94,23 @@ class OrderedProcessor(StatefulProcessor):
         waiting, memory, seen = held
         return [tuple(r) for r in waiting or ()], None if memory is None else tuple(memory), seen
 
+    def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
+        """Begin with what a key remembers from its history (see ``run_ordered``)."""
+        memory = tuple(column[0] for column in plain_columns(initialState, tuple(self.memory.names)))
+        seen = int(initialState["seen"].iloc[0])
+        self._state.update(([], memory, seen))
+        if self.idle_s is not None:
+            self._handle.registerTimer(seen // 1000 + 1000 * self.idle_s + 1)
+
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues):
         waiting, memory, seen = self._read()
         oldest = min((r[0] for r in waiting), default=None)
         for batch in rows:
-            # pandas has NaN for NULL doubles, so every field comes with its own flag.
-            columns = [
-                [None if null else getattr(v, "item", lambda v=v: v)() for v, null in zip(batch[f], batch[f"{f}_null"], strict=True)]
-                for f in self.fields
-            ]
             # Rows without a tie, like the closing one, come before others of their time.
             ties = [-1 if pd.isna(v) else int(v) for v in batch[self.tie]]
-            waiting += zip(batch["event_us"].tolist(), ties, *columns, strict=True)
+            made = list(zip(batch["event_us"].tolist(), ties, *plain_columns(batch, self.fields), strict=True))
+            waiting += made
+            waiting += [later for row in made if (later := self.follow_up(row)) is not None]
         first = min((r[0] for r in waiting), default=None)
         self._state.update((waiting, memory, seen))
         if first is not None and first != oldest:
@@ -100,7 +143,7 @@ class OrderedProcessor(StatefulProcessor):
             self._wake_after(min(r[0] for r in rest))
         if idle is not None:
             self._handle.registerTimer((due[-1][0] + idle) // 1000 + 1)
-        return iter([pd.DataFrame(made, columns=list(self.output))] if made else ())
+        return frame_of(made, self.output)
 
 
 def merged(left: DataFrame, right: DataFrame, ts: str, delay: str | None) -> DataFrame:
@@ -112,16 +155,31 @@ def merged(left: DataFrame, right: DataFrame, ts: str, delay: str | None) -> Dat
 
 
 def run_ordered(
-    stream: DataFrame, processor: OrderedProcessor, ts: str, delay: str | None, output: str
+    stream: DataFrame,
+    processor: OrderedProcessor,
+    ts: str,
+    delay: str | None,
+    output: str,
+    history: DataFrame | None = None,
 ) -> DataFrame:
-    """Apply a processor to a stream, per key. ``delay`` sets the watermark; None keeps the stream's own."""
+    """Apply a processor to a stream, per key. ``delay`` sets the watermark; None keeps the stream's own.
+
+    ``history`` has a row per key with the fields of the processor's memory and ``seen``, the time of its last row in
+    microseconds. It is read by the first micro-batch of a new checkpoint only, shuffled like the stream and never collected.
+    """
     timed = stream
     if delay is not None:
         timed = stream.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, delay)
-    flags = [F.isnull(f).alias(f"{f}_null") for f in processor.fields]
-    timed = timed.withColumn("event_us", F.unix_micros(ts)).select(
-        processor.key, ts, "event_us", processor.tie, *processor.fields, *flags
-    )
+    us = F.unix_micros(ts).alias("event_us")
+    # A row without time is never due.
+    timed = timed.filter(F.col(ts).isNotNull()).select(processor.key, ts, us, processor.tie, *cells(timed, processor.fields))
+    begun = None
+    if history is not None:
+        names = processor.memory.names
+        kind = timed.schema[processor.key].dataType
+        memory = [F.col(f.name).cast(f.dataType).alias(f.name) for f in processor.memory]
+        begun = history.select(F.col(processor.key).cast(kind).alias(processor.key), F.col("seen").cast("bigint").alias("seen"), *memory)
+        begun = begun.select(processor.key, "seen", *cells(begun, names)).groupBy(processor.key)
     return timed.groupBy(processor.key).transformWithStateInPandas(
-        processor, outputStructType=output, outputMode="Append", timeMode="EventTime"
+        processor, outputStructType=output, outputMode="Append", timeMode="EventTime", initialState=begun
     )
