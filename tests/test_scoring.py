@@ -45,6 +45,29 @@ def test_fitted_pair_tells_two_groups_apart(spark):
     assert all((r.ll_ai > r.ll_human) == bool(r.i % 2) for r in logs)
 
 
+def test_em_steps_from_a_start(spark):
+    rows = [(i, None if i > 77 else bool(i % 2), RNG.normal(100 + 4.0 * (i % 4), 1, (6, 3)).tolist()) for i in range(80)] + [(99, True, [])]
+    data = spark.createDataFrame(rows, "i int, is_ai boolean, lfcc array<array<double>>")
+    begin = scoring.Mixture(np.array([0.3, 0.7]), np.array([[100.0] * 3, [107.0] * 3]), np.array([np.eye(3), 2 * np.eye(3)]))
+    far = scoring.Mixture(np.array([0.5, 0.5]), np.array([[104.0] * 3, [1e6] * 3]), np.array([np.eye(3)] * 2))
+    got = scoring.load_mixtures(scoring.fit_gmm_pair(data, "lfcc", F.col("is_ai"), max_iter=2, start={"human": begin, "ai": far}))
+    want = begin
+    x = np.vstack([r[2] for r in rows[:78] if not r[1]])
+    for _ in range(2):
+        density = np.stack([
+            w * np.exp(-0.5 * np.einsum("ni,ij,nj->n", x - m, np.linalg.inv(c), x - m)) / np.sqrt(np.linalg.det(2 * np.pi * c))
+            for w, m, c in zip(want.weights, want.means, want.covs, strict=True)
+        ])
+        share = density / density.sum(axis=0)
+        means = [s @ x / s.sum() for s in share]
+        covs = [((x - m) * s[:, None]).T @ (x - m) / s.sum() for s, m in zip(share, means, strict=True)]
+        want = scoring.Mixture(share.sum(axis=1) / len(x), np.array(means), np.array(covs))
+    for name in ("weights", "means", "covs"):
+        assert getattr(got["human"], name) == pytest.approx(getattr(want, name), abs=1e-9)
+    # A component far from all rows keeps its place and loses its weight.
+    assert got["ai"].weights == pytest.approx([1, 0]) and got["ai"].means[1] == pytest.approx([1e6] * 3)
+
+
 def test_trained_scorer(spark):
     rows = [(i, i % 2, RNG.normal(3.0 * (i % 2), 1, 4).tolist()) for i in range(100)]
     data = spark.createDataFrame(rows, "i int, y int, x array<float>")

@@ -61,25 +61,97 @@ def load_mixtures(params: DataFrame) -> dict[str, Mixture]:
     return out
 
 
-def fit_logistic(data: DataFrame, features: str, label: str, max_iter: int = 30) -> LogisticScorer:
-    """Train the stand-in classifier on flat feature arrays and a 0/1 label."""
+def fit_logistic(
+    data: DataFrame, features: str, label: str, max_iter: int = 30, penalty: float = 0.01, tol: float = 1e-6
+) -> LogisticScorer:
+    """Train the stand-in classifier on flat feature arrays and a 0/1 label.
+
+    ``penalty`` is on the squares of the weights in units of their feature's deviation; ``tol`` says when to stop.
+    """
     rows = data.select(
         array_to_vector(F.transform(features, lambda v: v.cast("double"))).alias("features"),
         F.col(label).cast("double").alias("label"),
     )
-    model = LogisticRegression(maxIter=max_iter, regParam=0.01).fit(rows)
+    model = LogisticRegression(maxIter=max_iter, regParam=penalty, tol=tol).fit(rows)
     return LogisticScorer(model.coefficients.toArray(), model.intercept)
 
 
+def em_step(data: DataFrame, mixtures: dict[str, Mixture], is_ai: Column, vectors: str = "lfcc") -> dict[str, Mixture]:
+    """Both mixtures after one step of expectation and maximisation over the rows of their side.
+
+    Each batch of frames gives sums of shares, vectors and products per component, which combine before the shuffle; only
+    sums of the size of the model come back. A component that no row has a share in stays as it was. Rows whose side is
+    NULL and frames without vectors are in neither sum.
+    """
+
+    def shares(batches):
+        for batch in batches:
+            for name, mine in batch.groupby("model"):
+                mixture = mixtures[name]
+                x = np.vstack([np.stack(v) for v in mine["x"]]).astype(np.float64)
+                logs = np.stack(
+                    [
+                        np.log(w) + dsp.mixture_loglik(x, np.ones(1), m[None], c[None])
+                        for w, m, c in zip(mixture.weights, mixture.means, mixture.covs, strict=True)
+                    ]
+                )
+                share = np.exp(logs - np.logaddexp.reduce(logs, axis=0))
+                for i, r in enumerate(share):
+                    off = x - mixture.means[i]
+                    sums = np.concatenate([[r.sum()], r @ off, ((off * r[:, None]).T @ off).ravel()])
+                    yield pd.DataFrame({"model": name, "component": i, "sums": [sums]})
+
+    side = F.when(is_ai, "ai").when(~is_ai, "human")
+    rows = data.select(side.alias("model"), F.col(vectors).alias("x")).filter(F.col("model").isNotNull() & (F.size("x") > 0))
+    parts = rows.mapInPandas(shares, "model string, component int, sums array<double>")
+    cells = parts.select("model", "component", F.posexplode("sums")).groupBy("model", "component", "pos").agg(F.sum("col").alias("total"))
+    found = cells.groupBy("model", "component").agg(F.array_sort(F.collect_list(F.struct("pos", "total"))).alias("cells")).collect()
+    totals = {(r["model"], r["component"]): np.array([c["total"] for c in r["cells"]]) for r in found}
+    out = {}
+    for name, old in mixtures.items():
+        d = old.means.shape[1]
+        # Sums are taken about the old means, which keeps small variances beside large means.
+        mine = [totals.get((name, i), np.zeros(1 + d + d * d)) for i in range(len(old.weights))]
+        n = np.array([t[0] for t in mine])
+        means, covs = old.means.copy(), old.covs.copy()
+        for i, t in enumerate(mine):
+            if n[i] > 0:
+                shift = t[1 : 1 + d] / n[i]
+                means[i] = old.means[i] + shift
+                covs[i] = t[1 + d :].reshape(d, d) / n[i] - np.outer(shift, shift)
+        out[name] = Mixture(n / n.sum() if n.sum() > 0 else old.weights, means, covs)
+    return out
+
+
+def _mixture_table(spark: SparkSession, mixtures: dict[str, Mixture]) -> DataFrame:
+    rows = [
+        (name, i, float(w), m.tolist(), c.tolist())
+        for name, mix in mixtures.items()
+        for i, (w, m, c) in enumerate(zip(mix.weights, mix.means, mix.covs, strict=True))
+    ]
+    return spark.createDataFrame(rows, GMM_MODEL)
+
+
 def fit_gmm_pair(
-    data: DataFrame, vectors: str, is_ai: Column, k: int = 2, max_iter: int = 20, seed: int = 7
+    data: DataFrame,
+    vectors: str,
+    is_ai: Column,
+    k: int = 2,
+    max_iter: int = 20,
+    seed: int = 7,
+    start: dict[str, Mixture] | None = None,
 ) -> DataFrame:
     """Fit one mixture to human and one to AI rows; returns the parameter table.
 
     ``vectors`` holds an array of feature vectors per frame. The fits are
-    distributed, only the parameters come back.
+    distributed, only the parameters come back. With ``start`` the fit goes on
+    from given mixtures for ``max_iter`` steps, as to follow new calls; ``k`` and ``seed`` don't count then.
     """
     spark: SparkSession = data.sparkSession
+    if start is not None:
+        for _ in range(max_iter):
+            start = em_step(data, start, is_ai, vectors)
+        return _mixture_table(spark, start)
     points = data.select(is_ai.alias("_ai"), F.explode(vectors).alias("_x")).select(
         "_ai", array_to_vector(F.transform("_x", lambda v: v.cast("double"))).alias("features")
     )

@@ -236,8 +236,8 @@ quiet AS (
 )"""
 
 
-def _mixture(weights: list[float], means: list[list[float]], variances: list[list[float]]) -> str:
-    """Log density of vector ``x`` under a diagonal mixture, largest term taken out."""
+def _terms(weights: list[float], means: list[list[float]], variances: list[list[float]]) -> list[str]:
+    """Log of weight times density of vector ``x`` per component of a diagonal mixture."""
     terms = []
     for w, mean, var in zip(weights, means, variances, strict=True):
         squares = " + ".join(
@@ -245,7 +245,12 @@ def _mixture(weights: list[float], means: list[list[float]], variances: list[lis
         )
         dets = " + ".join(f"ln({v}::DOUBLE)" for v in var)
         terms.append(f"ln({w}::DOUBLE) - 0.5 * ({squares} + {dets} + {len(mean)} * ln(2 * pi()))")
-    first, second = (f"({t})" for t in terms)
+    return [f"({t})" for t in terms]
+
+
+def _mixture(weights: list[float], means: list[list[float]], variances: list[list[float]]) -> str:
+    """Log density of vector ``x`` under a diagonal mixture, largest term taken out."""
+    first, second = _terms(weights, means, variances)
     return f"greatest({first}, {second}) + ln(1 + exp(-abs({first} - {second})))"
 
 
@@ -253,13 +258,35 @@ def _with(*parts: str) -> str:
     return "WITH " + ",".join(parts) + "\n"
 
 
+_HUMAN = ([0.6, 0.4], [[0.05, -0.05, 0.0, 0.1], [-0.1, 0.1, 0.05, 0.0]], [[0.02, 0.03, 0.025, 0.02], [0.015, 0.02, 0.03, 0.025]])
+_AI = ([0.5, 0.5], [[0.0, 0.05, -0.05, 0.0], [0.1, 0.0, 0.1, -0.1]], [[0.01, 0.02, 0.015, 0.03], [0.03, 0.01, 0.02, 0.02]])
+
+
+def _refit_sql() -> str:
+    """One step of expectation and maximisation from both mixtures."""
+    human, ai = _terms(*_HUMAN), _terms(*_AI)
+    return f"""
+WITH fours AS (
+  SELECT label < 5 AS is_ai, unnest(list_transform(range(0, 16), lambda b: embedding[b * 4 + 1 : b * 4 + 4])) AS y FROM embeddings),
+vectors AS (SELECT is_ai, list_transform(y, lambda v: CAST(v AS DOUBLE)) AS x FROM fours WHERE is_ai IS NOT NULL),
+odds AS (SELECT CASE WHEN is_ai THEN 'ai' ELSE 'human' END AS model, x,
+                CASE WHEN is_ai THEN {ai[1]} - {ai[0]} ELSE {human[1]} - {human[0]} END AS o FROM vectors),
+shares AS (SELECT model, x, unnest([0, 1]) AS component, unnest([1 / (1 + exp(o)), 1 / (1 + exp(-o))]) AS share FROM odds),
+sizes AS (SELECT model, component, sum(share) AS n, sum(sum(share)) OVER (PARTITION BY model) AS total FROM shares GROUP BY 1, 2),
+axes AS (SELECT unnest([0, 1, 2, 3]) AS i),
+means AS (SELECT model, component, i, sum(share * x[i + 1]) / sum(share) AS mean FROM shares, axes GROUP BY 1, 2, 3),
+covs AS (
+  SELECT s.model, s.component, a.i, b.i AS j, sum(share * (x[a.i + 1] - a.mean) * (x[b.i + 1] - b.mean)) / sum(share) AS cov
+  FROM shares s JOIN means a ON a.model = s.model AND a.component = s.component
+  JOIN means b ON b.model = s.model AND b.component = s.component GROUP BY 1, 2, 3, 4)
+SELECT c.model, CAST(c.component AS INTEGER) AS component, CAST(c.i AS INTEGER) AS i, CAST(j AS INTEGER) AS j,
+       round(n / total, 6) AS weight, round(mean, 6) + 0.0 AS mean, round(cov, 6) + 0.0 AS cov
+FROM covs c JOIN sizes z ON z.model = c.model AND z.component = c.component
+JOIN means m ON m.model = c.model AND m.component = c.component AND m.i = c.i"""
+
+
 def _gmm_sql() -> str:
-    human = _mixture(
-        [0.6, 0.4], [[0.05, -0.05, 0.0, 0.1], [-0.1, 0.1, 0.05, 0.0]], [[0.02, 0.03, 0.025, 0.02], [0.015, 0.02, 0.03, 0.025]]
-    )
-    ai = _mixture(
-        [0.5, 0.5], [[0.0, 0.05, -0.05, 0.0], [0.1, 0.0, 0.1, -0.1]], [[0.01, 0.02, 0.015, 0.03], [0.03, 0.01, 0.02, 0.02]]
-    )
+    human, ai = _mixture(*_HUMAN), _mixture(*_AI)
     return f"""
 WITH fours AS (
   SELECT vec_id, unnest(list_transform(range(0, 16), lambda i: embedding[i * 4 + 1 : i * 4 + 4])) AS y
@@ -496,6 +523,12 @@ stats AS (SELECT model, i, avg(CAST(x[i + 1] AS DOUBLE)) AS mean, var_pop(CAST(x
 SELECT model, CAST(k AS INTEGER) AS k, CAST(i AS INTEGER) AS i, 1.0::DOUBLE AS weight, round(mean, 6) + 0.0 AS mean,
        round(variance, 6) AS variance
 FROM stats, (SELECT unnest([2, 3]) AS k)""",
+        "refit_gmm_pair": _refit_sql(),
+        "train_scorer": """
+WITH cells AS (
+  SELECT CAST(label < 5 AS INTEGER) AS y, unnest(range(-1, 64)) AS i, embedding FROM embeddings)
+SELECT CAST(i AS INTEGER) AS i, round(avg(y * CASE WHEN i < 0 THEN 1.0::DOUBLE ELSE CAST(embedding[i + 1] AS DOUBLE) END), 6) + 0.0 AS moment
+FROM cells GROUP BY 1""",
         "score_frames": """
 WITH z AS (
   SELECT vec_id, 0.1::DOUBLE + list_sum(list_transform(range(0, 64), lambda i: CAST(embedding[i + 1] AS DOUBLE) * (i % 7 - 3) / 10)) AS z
