@@ -45,7 +45,7 @@ def test_suffix_array_is_sorted():
     for alphabet in (b"a", b"ab", b"abc\x00\xff", bytes(range(256))):
         data = [bytes(rng.choice(alphabet) for _ in range(rng.randrange(80))) for _ in range(9)]
         text, _ = joined(data)
-        array = suffix_array(text, len(text))
+        array = suffix_array(text)
         assert array.tolist() == sorted(range(len(text)), key=lambda i: text[i:].tolist())
         before, common = permuted_lcp(text, array)
         for a, b in zip(array[1:].tolist(), array[:-1].tolist(), strict=True):

@@ -8,6 +8,12 @@ combined first: all but the first occurrence are repeats as a whole. The
 remaining different segments of an anchor go, with the other anchors of their
 shard, into a suffix array built by induced sorting, where neighbours with a
 common prefix of a window's length are the repeats.
+
+An anchor with more different segments than fit into a shard is split by the
+bytes around it: windows that begin far before the anchor have more bytes in
+front of it in common, the others more bytes behind it. Both halves get a longer
+anchor of these bytes and are treated in the same way, up to an anchor that is
+the window itself, whose segments are all equal.
 """
 
 from __future__ import annotations
@@ -25,16 +31,15 @@ from pyspark.sql import functions as F
 from voxward.llm import hashing
 from voxward.llm.hashing import mix
 from voxward.llm.suffix_array import repeats
-from voxward.llm.tables import small_side, stored
+from voxward.llm.tables import fresh_name, small_side, stored
 
 
 @dataclass(frozen=True)
 class RepeatParams:
     """``window`` bytes; anchors of ``gram`` bytes; suffix arrays of about ``shard_bytes``.
 
-    The windows of anchors with more than ``most_segments`` different segments
-    are compared one by one, spread over all tasks by their own hash, as no
-    single suffix array may grow with the corpus.
+    Anchors with more than ``most_segments`` different segments are split by the
+    bytes around them until no more are left, as no shard may grow with the corpus.
     """
 
     window: int = 100
@@ -73,8 +78,8 @@ def _gram_hashes(raw: np.ndarray, gram: int) -> np.ndarray:
     return mix(out)
 
 
-def _segments(data: bytes, params: RepeatParams) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Anchor key, content hash, first byte and number of bytes of each segment of a text."""
+def _segments(data: bytes, params: RepeatParams) -> tuple[np.ndarray, ...]:
+    """Anchor key, content hash, first byte, number of bytes and the anchor's place inside of each segment of a text."""
     raw = np.frombuffer(data, np.uint8)
     width = params.window - params.gram + 1
     parts = []
@@ -95,7 +100,7 @@ def _segments(data: bytes, params: RepeatParams) -> tuple[np.ndarray, np.ndarray
         power, inverse = hashing._power_tables(len(piece) + 1)
         sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(hashing._BYTES[piece] * power[: len(piece)])))
         content = mix((sums[first + size] - sums[first]) * inverse[first] + size.astype(np.uint64))
-        parts.append((grams[anchor[first]].view(np.int64), content.view(np.int64), first + at, size))
+        parts.append((grams[anchor[first]].view(np.int64), content.view(np.int64), first + at, size, anchor[first] - first))
     return tuple(np.concatenate(p) for p in zip(*parts, strict=True))
 
 
@@ -119,20 +124,20 @@ def _anchor_counts(docs: DataFrame, params: RepeatParams) -> DataFrame:
     return counts.groupBy("anchor").agg(F.sum("times").alias("times")).where("times > 1").select("anchor")
 
 
-_ROW = "anchor bigint, content bigint, doc_id bigint, first bigint, size int, again boolean"
+_ROW = "anchor bigint, content bigint, doc_id bigint, first bigint, size int, at int, again boolean"
 
 
 def _segment_rows(docs: DataFrame, params: RepeatParams) -> DataFrame:
-    """All segments; ``again`` marks those that repeat an earlier one of their document."""
+    """All segments, with the place of their anchor inside; ``again`` marks those that repeat an earlier one of their document."""
 
     def rows(doc_id: int, text: bytes) -> pa.RecordBatch:
-        anchor, content, first, size = _segments(text, params)
+        anchor, content, first, size, at = _segments(text, params)
         order = np.lexsort((first, content, anchor))
         again = np.zeros(len(anchor), bool)
         again[order[1:]] = (np.diff(anchor[order]) == 0) & (np.diff(content[order]) == 0)
         return pa.RecordBatch.from_pydict(
             {"anchor": anchor, "content": content, "doc_id": np.full(len(anchor), doc_id), "first": first,
-             "size": size.astype(np.int32), "again": again}
+             "size": size.astype(np.int32), "at": at.astype(np.int32), "again": again}
         )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -166,25 +171,28 @@ def _span_frame(found: list[tuple[int, int, np.ndarray]], window: int) -> pd.Dat
     return pd.DataFrame({"doc_id": np.array(doc, np.int64), "first": np.array(first, np.int64), "size": np.array(size, np.int32)})
 
 
-def repeated_spans(docs: DataFrame, params: RepeatParams = RepeatParams()) -> DataFrame:
-    """``doc_id, first, size``: byte spans whose every byte lies in a repeated window; they may overlap. Stored."""
-    docs = docs.select(F.col("doc_id").cast("bigint"), "text")
-    window = params.window
+_CUT = "anchor bigint, segments bigint, doc_id bigint, first bigint, at int, low int, high int, data binary"
+
+
+def _rows_of(columns: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*columns, strict=True), schema, strict=True)], schema=schema)
+
+
+def _open_cuts(docs: DataFrame, params: RepeatParams) -> tuple[DataFrame, DataFrame]:
+    """Spans of whole segments that repeat, and the different segments of anchors that have several, with their bytes."""
     anchors = stored(_anchor_counts(docs, params), "anchors")
     common = stored(_segment_rows(docs, params).join(anchors, "anchor"), "segments")
     firsts = stored(common.groupBy("anchor", "content").agg(F.min("doc_id").alias("first_doc")), "firsts")
     # Anchors whose segments are not all the same.
     varied = stored(firsts.groupBy("anchor").agg(F.count("*").alias("segments")).where("segments > 1"), "varied")
     marked = common.join(firsts, ["anchor", "content"]).withColumn("copy", F.expr("again OR doc_id != first_doc"))
-    whole = marked.where("copy").select("doc_id", "first", "size")
     open_segments = stored(
-        marked.where("NOT copy").join(varied, "anchor").select("anchor", "segments", "doc_id", "first", "size").distinct(), "open"
+        marked.where("NOT copy").join(varied, "anchor").select("anchor", "segments", "doc_id", "first", "size", "at").distinct(), "open"
     )
-    shards = open_segments.agg(F.sum("size")).first()[0] or 0
-    shards = shards // params.shard_bytes + 1
     ids = stored(open_segments.select("doc_id").distinct(), "ids")
-    lists = open_segments.groupBy("doc_id").agg(F.collect_list(F.struct("anchor", "segments", "first", "size")).alias("cuts"))
+    lists = open_segments.groupBy("doc_id").agg(F.collect_list(F.struct("anchor", "segments", "first", "size", "at")).alias("cuts"))
     lined_up = docs.join(small_side(ids), "doc_id", "left_semi").join(lists, "doc_id").select("doc_id", "text", "cuts")
+    widest = params.window - params.gram
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -195,11 +203,85 @@ def repeated_spans(docs: DataFrame, params: RepeatParams = RepeatParams()) -> Da
                     part.column(0).to_pylist(), part.column(1).cast(pa.binary()).to_pylist(), part.column(2).to_pylist(), strict=True
                 ):
                     for c in cuts:
-                        rows.append((c["anchor"], c["segments"], doc_id, c["first"], text[c["first"] : c["first"] + c["size"]]))
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
+                        data = text[c["first"] : c["first"] + c["size"]]
+                        rows.append((c["anchor"], c["segments"], doc_id, c["first"], c["at"], 0, widest, data))
+                yield _rows_of(rows, cut_schema)
+
+    cut_schema = _cut_schema()
+    whole = marked.where("copy").select("doc_id", "first", "size")
+    return whole, stored(lined_up.mapInArrow(cut, _CUT), "cuts")
+
+
+def _cut_schema() -> pa.Schema:
+    long, short = pa.int64(), pa.int32()
+    return pa.schema([("anchor", long), ("segments", long), ("doc_id", long), ("first", long), ("at", short), ("low", short), ("high", short), ("data", pa.binary())])
+
+
+def _halves(at: int, low: int, high: int, data: bytes, window: int) -> Iterator[tuple[bytes, int, int, int, int]]:
+    """The two parts of a segment by how far before the anchor (at ``at``) a window begins: ``low`` to ``high`` bytes.
+
+    Gives the bytes that all windows of the part have in common, their range of
+    distances, and the part's first and last byte.
+    """
+    middle = (low + high) // 2
+    for near, far in ((low, middle), (middle + 1, high)):
+        begin, last = max(at - far, 0), min(at - near, len(data) - window)
+        if begin <= last:
+            yield data[at - near : at - far + window], near, far, begin, last + window
+
+
+def _split(cuts: DataFrame, window: int) -> tuple[DataFrame, DataFrame]:
+    """Segments of large anchors cut in two by distance from the anchor, under longer anchors.
 
-    names, types = ["anchor", "segments", "doc_id", "first", "data"], [pa.int64()] * 4 + [pa.binary()]
-    cuts = stored(lined_up.mapInArrow(cut, "anchor bigint, segments bigint, doc_id bigint, first bigint, data binary"), "cuts")
+    Gives, as ``_open_cuts``, the spans of parts that repeat as a whole, and the
+    different parts of new anchors that have several. What repeats within a
+    batch is told there, so a common part leaves each batch once.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for start in range(0, whole.num_rows, 1000):
+                seen: dict[tuple[bytes, bytes], tuple[int, int]] = {}
+                rows = []
+                columns = (whole.slice(start, 1000).column(c).to_pylist() for c in ("doc_id", "first", "at", "low", "high", "data"))
+                for doc_id, first, at, low, high, data in sorted(zip(*columns, strict=True)):
+                    for core, near, far, begin, end in _halves(at, low, high, data, window):
+                        part = data[begin:end]
+                        anchor = hashlib.blake2b(core, digest_size=8, salt=b"%d" % near).digest()
+                        content = hashlib.blake2b(part, digest_size=8).digest()
+                        place = doc_id, first + begin
+                        again = seen.setdefault((anchor, content), place) != place
+                        numbers = (int.from_bytes(h, "little", signed=True) for h in (anchor, content))
+                        rows.append((*numbers, *place, at - begin, near, far, len(part), None if again else part, again))
+                yield _rows_of(rows, schema)
+
+    long, short = pa.int64(), pa.int32()
+    fields = [("anchor", long), ("content", long), ("doc_id", long), ("first", long), ("at", short), ("low", short), ("high", short), ("size", short)]
+    schema = pa.schema([*fields, ("data", pa.binary()), ("again", pa.bool_())])
+    shape = "anchor bigint, content bigint, doc_id bigint, first bigint, at int, low int, high int, size int, data binary, again boolean"
+    parts = stored(cuts.mapInArrow(run, shape), "parts")
+    place = F.struct(F.col("doc_id").alias("doc"), F.col("first").alias("byte"))
+    left = parts.where("NOT again")
+    firsts = stored(left.groupBy("anchor", "content").agg(F.min(place).alias("earliest"), F.count("*").alias("times")), "firsts")
+    varied = stored(firsts.groupBy("anchor").agg(F.count("*").alias("segments")).where("segments > 1"), "varied")
+    later = F.expr("doc_id != earliest.doc OR first != earliest.byte")
+    copies = left.join(firsts.where("times > 1"), ["anchor", "content"]).where(later)
+    spans = parts.where("again").select("doc_id", "first", "size").union(copies.select("doc_id", "first", "size"))
+    kept = left.join(varied, "anchor").join(firsts, ["anchor", "content"]).where(~later)
+    return spans, stored(kept.select("anchor", "segments", "doc_id", "first", "at", "low", "high", "data"), "cuts")
+
+
+def repeated_spans(docs: DataFrame, params: RepeatParams = RepeatParams()) -> DataFrame:
+    """``doc_id, first, size``: byte spans whose every byte lies in a repeated window; they may overlap. Stored."""
+    docs = docs.select(F.col("doc_id").cast("bigint"), "text")
+    window = params.window
+    spans, cuts = _open_cuts(docs, params)
+    fit = cuts.where(F.col("segments") <= params.most_segments)
+    # Each round halves the distances, so that there are log2(window) of them at most.
+    while not (cuts := cuts.where(F.col("segments") > params.most_segments)).isEmpty():
+        more, cuts = _split(cuts, window)
+        spans, fit = spans.union(more), fit.union(cuts.where(F.col("segments") <= params.most_segments))
+    shards = (fit.agg(F.sum(F.octet_length("data").cast("bigint"))).first()[0] or 0) // params.shard_bytes + 1
 
     def in_shard(shard: pa.Table) -> pa.Table:
         shard = shard.sort_by([("doc_id", "ascending"), ("first", "ascending")])
@@ -212,45 +294,12 @@ def repeated_spans(docs: DataFrame, params: RepeatParams = RepeatParams()) -> Da
 
     span_schema = pa.schema([("doc_id", pa.int64()), ("first", pa.int64()), ("size", pa.int32())])
     sharded = (
-        cuts.where(F.col("segments") <= params.most_segments)
-        .withColumn("shard", F.pmod(F.xxhash64("anchor"), F.lit(shards)))
+        fit.withColumn("shard", F.pmod(F.xxhash64("anchor"), F.lit(shards)))
         .select("shard", "doc_id", "first", "data")
         .groupBy("shard")
         .applyInArrow(in_shard, _SPANS)
     )
-    spans = whole.union(sharded).union(_single_windows(cuts.where(F.col("segments") > params.most_segments), window))
-    return stored(spans, "spans")
-
-
-def _single_windows(cuts: DataFrame, window: int) -> DataFrame:
-    """Repeats among the windows of very common anchors, by their 128-bit digests.
-
-    What repeats within a batch is told there, so a window leaves each batch
-    once, however common it is.
-    """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for at in range(0, whole.num_rows, 1000):
-                seen: dict[bytes, tuple[int, int]] = {}
-                rows = []
-                for doc_id, first, data in sorted(zip(*(whole.slice(at, 1000).column(c).to_pylist() for c in range(3)), strict=True)):
-                    for i in range(len(data) - window + 1):
-                        digest = hashlib.blake2b(data[i : i + window], digest_size=16).digest()
-                        earlier = seen.setdefault(digest, (doc_id, first + i))
-                        rows.append((digest, doc_id, first + i, earlier != (doc_id, first + i)))
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
-
-    names, types = ["digest", "doc_id", "first", "again"], [pa.binary(), pa.int64(), pa.int64(), pa.bool_()]
-    windows = stored(cuts.select("doc_id", "first", "data").mapInArrow(run, "digest binary, doc_id bigint, first bigint, again boolean"), "windows")
-    left = windows.where("NOT again")
-    # Places in the earliest document, one for each batch it was in.
-    earliest = stored(left.groupBy("digest").agg(F.min("doc_id").alias("first_doc"), F.count("*").alias("times")).where("times > 1"), "earliest")
-    places = left.join(earliest, "digest")
-    own = stored(places.where("doc_id = first_doc").groupBy("digest").agg(F.min("first").alias("first_place")), "places")
-    later = places.join(own, "digest").where("doc_id != first_doc OR first != first_place")
-    size = F.lit(window).cast("int").alias("size")
-    return windows.where("again").select("doc_id", "first", size).union(later.select("doc_id", "first", size))
+    return stored(spans.union(sharded), "spans")
 
 
 def _covered(n: int, spans: list[dict]) -> np.ndarray:
@@ -278,13 +327,14 @@ def remove_repeats(docs: DataFrame, params: RepeatParams = RepeatParams(), keep_
     ``docs`` are replaced, all others kept. Null texts count as empty and stay
     null. Rows that repeat a ``doc_id`` count as one document: a place repeated in
     one of them goes from all. Rows with a null ``doc_id`` stay whole and make no
-    others repeat. Short texts stay as they are.
+    others repeat. Short texts stay as they are; an empty table gives no rows.
     """
-    spans = repeated_spans(docs, params).groupBy("doc_id").agg(F.collect_list(F.struct("first", "size")).alias("_spans"))
+    key, spans_of = fresh_name(docs, "doc"), fresh_name(docs, "spans")
+    spans = repeated_spans(docs, params).groupBy(F.col("doc_id").alias(key)).agg(F.collect_list(F.struct("first", "size")).alias(spans_of))
     added = {"n_bytes": "bigint", "n_removed": "bigint", "n_spans": "bigint", "kept_sha256": "string"}
     rest = [c for c in docs.columns if c not in added and c != "text"]
-    wide = docs.select(*rest, "text").join(spans.withColumnRenamed("doc_id", "_doc"), F.col("doc_id").cast("bigint") == F.col("_doc"), "left")
-    wide = wide.select(*rest, "text", "_spans")
+    wide = docs.select(*rest, "text").join(spans, F.col("doc_id").cast("bigint") == F.col(key), "left")
+    wide = wide.select(*rest, "text", spans_of)
     shape = {**{c: docs.schema[c].dataType.simpleString() for c in rest}, **({"text": "string"} if keep_text else {}), **added}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

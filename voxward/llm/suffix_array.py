@@ -2,11 +2,11 @@
 
 Works on bytes with separators. Suffixes of type S are smaller than their right
 neighbour, those of type L larger; a leftmost S suffix (LMS) follows an L. LMS
-substrings are sorted by one induction and named, the string of names is sorted
-by prefix doubling up to the depth asked for (not by induced sorting in turn),
-and from the sorted LMS suffixes a second induction sorts all. An
-induction goes through the buckets of first symbols once from each end and moves
-a whole bucket at a time.
+substrings are sorted by one induction and named; where names repeat, the string
+of names is sorted in the same way, recursively; and from the sorted LMS suffixes
+a second induction sorts all. An induction goes through the buckets of first
+symbols once from each end and moves a whole bucket at a time, so names are
+written as two digits each, which keeps the buckets few.
 """
 
 from __future__ import annotations
@@ -15,7 +15,6 @@ import numpy as np
 
 #: Symbols: 0 ends the whole text, 1 ends a string, a byte b is b + 2.
 END, STOP, SHIFT = 0, 1, 2
-SYMBOLS = 256 + SHIFT
 
 
 def joined(strings: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -42,26 +41,36 @@ def _smaller_types(text: np.ndarray) -> np.ndarray:
 
 def _deal(array: np.ndarray, at: np.ndarray, suffixes: np.ndarray, text: np.ndarray, step: int) -> None:
     """Put suffixes, in their order, into the buckets of their first symbols from ``at`` on."""
+    n = len(suffixes)
+    if not n:
+        return
     symbols = text[suffixes]
-    order = np.argsort(symbols, kind="stable")
+    order = symbols.argsort(kind="stable")
     symbols = symbols[order]
-    counts = np.bincount(symbols, minlength=SYMBOLS)
-    within = np.arange(len(symbols)) - (np.cumsum(counts) - counts)[symbols]
-    array[at[symbols] + step * within] = suffixes[order]
-    at += step * counts
+    fresh = np.ones(n, bool)
+    np.not_equal(symbols[1:], symbols[:-1], out=fresh[1:])
+    begins = fresh.nonzero()[0]
+    counts = np.full(len(begins), n)
+    counts[:-1] = begins[1:]
+    counts -= begins
+    own = symbols[begins]
+    # The first place of each run, less its offset in the wave.
+    array[(at[own] - step * begins).repeat(counts) + step * np.arange(n)] = suffixes[order]
+    at[own] += step * counts
 
 
 def _induce(text: np.ndarray, small: np.ndarray, lms: np.ndarray) -> np.ndarray:
     """The suffix array that follows from LMS suffixes in the given order."""
-    sizes = np.bincount(text, minlength=SYMBOLS)
+    sizes = np.bincount(text)
     ends = np.cumsum(sizes)
     begins = ends - sizes
     array = np.full(len(text), -1, np.int64)
     tails = ends - 1
     _deal(array, tails, lms[::-1], text, -1)
 
+    used = np.flatnonzero(sizes).tolist()
     heads = begins.copy()
-    for c in range(SYMBOLS):
+    for c in used:
         done = begins[c]
         while done < heads[c]:
             wave, done = array[done : heads[c]], heads[c]
@@ -73,7 +82,7 @@ def _induce(text: np.ndarray, small: np.ndarray, lms: np.ndarray) -> np.ndarray:
             _deal(array, heads, before[~small[before]], text, 1)
 
     tails = ends - 1
-    for c in range(SYMBOLS - 1, -1, -1):
+    for c in reversed(used):
         done = ends[c] - 1
         while done > tails[c]:
             wave, done = array[tails[c] + 1 : done + 1][::-1], tails[c]
@@ -105,35 +114,36 @@ def _names(text: np.ndarray, sorted_lms: np.ndarray, lms: np.ndarray) -> np.ndar
     return rank[lms]
 
 
-def _sorted_names(names: np.ndarray, depth: int) -> np.ndarray:
-    """The order of the suffixes of a string of names, by at least ``depth`` symbols of the text.
+def _order(names: np.ndarray, longest: int) -> np.ndarray:
+    """The order of the suffixes of a string of names, which ends in its only 0, by induced sorting.
 
-    Each round sorts pairs of the last round's names; a name stands for two
-    symbols at least.
+    A string of two digits for each name has the order of the names' suffixes
+    in its even places. It has few symbols, but may be as long as ``longest``
+    allows no more; then the names themselves, at most half as many as the
+    symbols they stand for, are the string, so that each is shorter than the last.
     """
-    span = 1
-    order = np.argsort(names, kind="stable")
-    while 2 * span < depth and len(np.unique(names)) < len(names):
-        after = np.zeros(len(names), np.int64)
-        after[: max(0, len(names) - span)] = names[span:] + 1
-        pairs = (names << 32) | after
-        order = np.argsort(pairs, kind="stable")
-        ranked = pairs[order]
-        names = np.empty(len(names), np.int64)
-        names[order] = np.concatenate(([0], np.cumsum(ranked[1:] != ranked[:-1])))
-        span *= 2
-    return order
-
-
-def suffix_array(text: np.ndarray, depth: int) -> np.ndarray:
-    """Starts of all suffixes in ascending order of their first ``depth`` symbols (or more)."""
+    if names.max() + 1 == len(names):
+        return np.argsort(names)
+    base = int(np.ceil(np.sqrt(names.max() + 1)))
+    if base <= 16 or 2 * len(names) >= longest:
+        return suffix_array(names)
+    digits = np.zeros(2 * len(names) + 1, np.uint16)  # which NumPy sorts by radix
+    digits[:-1:2], digits[1::2] = names // base + 1, names % base + 1
+    array = suffix_array(digits)
+    return array[(array & 1 == 0) & (array < 2 * len(names))] >> 1
+
+
+def suffix_array(text: np.ndarray) -> np.ndarray:
+    """Starts of all suffixes in ascending order; the last symbol must be the only END."""
     small = _smaller_types(text)
     lms = np.flatnonzero(small[1:] & ~small[:-1]) + 1
+    if not len(lms):  # the end alone
+        return np.arange(len(text))[::-1].copy()
     first = _induce(text, small, lms)
     is_lms = np.zeros(len(text), bool)
     is_lms[lms] = True
     names = _names(text, first[is_lms[first]], lms)
-    return _induce(text, small, lms[_sorted_names(names, depth + 2)])
+    return _induce(text, small, lms[_order(names, len(text) * 9 // 10)])
 
 
 def permuted_lcp(text: np.ndarray, array: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -183,7 +193,7 @@ def repeats(strings: list[bytes], window: int, places: np.ndarray | None = None)
     follow each other.
     """
     text, starts = joined(strings)
-    array = suffix_array(text, window)
+    array = suffix_array(text)
     _, common = permuted_lcp(text, array)
     group = np.cumsum(common[array] < window)
     place = np.arange(len(text))

@@ -34,3 +34,12 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 def small_side(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     """A stored table of narrow rows, with a broadcast hint only if it is proven small."""
     return F.broadcast(df) if df.count() <= limit else df
+
+
+def fresh_name(df: DataFrame, name: str) -> str:
+    """A column name from ``name`` that ``df`` does not have, whatever the case of its letters."""
+    taken = {c.lower() for c in df.columns}
+    name = f"_{name}"
+    while name in taken:
+        name += "_"
+    return name
