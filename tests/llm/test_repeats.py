@@ -51,6 +51,14 @@ def test_suffix_array_is_sorted():
         for a, b in zip(array[1:].tolist(), array[:-1].tolist(), strict=True):
             n = next((k for k, (x, y) in enumerate(zip(text[a:].tolist(), text[b:].tolist())) if x != y or x <= 1), 0)
             assert (before[a], common[a]) == (b, n)
+        # Stops as symbols of their own, in order of their places but for the last one, which stands before the end.
+        array = suffix_array(text, stops_apart=True)
+        before, common = permuted_lcp(text, array)
+        prefix = [text[i : i + np.flatnonzero(text[i:] <= 1)[0]].tolist() for i in range(len(text))]
+        assert [prefix[i] for i in array] == sorted(prefix)
+        for a, b in zip(array[1:].tolist(), array[:-1].tolist(), strict=True):
+            n = next((k for k, (x, y) in enumerate(zip(prefix[a], prefix[b])) if x != y), min(len(prefix[a]), len(prefix[b])))
+            assert (before[a], common[a]) == (b, n)
 
 
 @pytest.mark.parametrize("window", [3, 8, 20])

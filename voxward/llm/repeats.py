@@ -78,8 +78,11 @@ def _gram_hashes(raw: np.ndarray, gram: int) -> np.ndarray:
     return mix(out)
 
 
-def _segments(data: bytes, params: RepeatParams) -> tuple[np.ndarray, ...]:
-    """Anchor key, content hash, first byte, number of bytes and the anchor's place inside of each segment of a text."""
+def _segments(data: bytes, params: RepeatParams, anchors_only: bool = False) -> tuple[np.ndarray, ...]:
+    """Anchor key, content hash, first byte, number of bytes and the anchor's place inside of each segment of a text.
+
+    With ``anchors_only`` the key alone.
+    """
     raw = np.frombuffer(data, np.uint8)
     width = params.window - params.gram + 1
     parts = []
@@ -96,6 +99,9 @@ def _segments(data: bytes, params: RepeatParams) -> tuple[np.ndarray, ...]:
             least = np.minimum(least[: span - width], least[width - span :])
         anchor = (least & _PLACE).astype(np.int64)
         first = np.flatnonzero(np.concatenate(([True], anchor[1:] != anchor[:-1])))
+        if anchors_only:
+            parts.append((grams[anchor[first]].view(np.int64),))
+            continue
         size = np.diff(np.append(first, len(anchor))) + params.window - 1
         power, inverse = hashing._power_tables(len(piece) + 1)
         sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(hashing._BYTES[piece] * power[: len(piece)])))
@@ -115,7 +121,7 @@ def _anchor_counts(docs: DataFrame, params: RepeatParams) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys = [_segments(t, params)[0] for _, t in _texts(batch) if t and len(t) >= params.window]
+            keys = [_segments(t, params, anchors_only=True)[0] for _, t in _texts(batch) if t and len(t) >= params.window]
             if keys:
                 found, times = np.unique(np.concatenate(keys), return_counts=True)
                 yield pa.RecordBatch.from_pydict({"anchor": found, "times": times})

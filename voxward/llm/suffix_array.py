@@ -2,8 +2,8 @@
 
 Works on bytes with separators. Suffixes of type S are smaller than their right
 neighbour, those of type L larger; a leftmost S suffix (LMS) follows an L. LMS
-substrings are sorted by one induction and named; where names repeat, the string
-of names is sorted in the same way, recursively; and from the sorted LMS suffixes
+substrings are sorted by one induction and named; where names repeat, their
+string is sorted in the same way, recursively; and from the sorted LMS suffixes
 a second induction sorts all. An induction goes through the buckets of first
 symbols once from each end and moves a whole bucket at a time, so names are
 written as two digits each, which keeps the buckets few.
@@ -117,13 +117,34 @@ def _names(text: np.ndarray, sorted_lms: np.ndarray, lms: np.ndarray) -> np.ndar
 def _order(names: np.ndarray, longest: int) -> np.ndarray:
     """The order of the suffixes of a string of names, which ends in its only 0, by induced sorting.
 
+    A name that is there once tells its suffix from all others, so what follows
+    it is left out, but for the starts of repeated names and the one name after them.
+    """
+    alone = np.bincount(names)[names] == 1
+    if alone.all():
+        return names.argsort()
+    kept = ~alone
+    kept[1:] |= ~alone[:-1]
+    kept[-1] = True
+    part = names[kept]
+    used = np.zeros(names.max() + 1, np.int64)
+    used[part] = 1
+    part = (np.cumsum(used) - 1)[part]
+    rank = np.empty(len(part), np.int64)
+    rank[_order_of_all(part, longest)] = np.arange(len(part))
+    keys = names * len(names)
+    keys[kept] += rank
+    return keys.argsort()
+
+
+def _order_of_all(names: np.ndarray, longest: int) -> np.ndarray:
+    """The order of all suffixes of a string of names.
+
     A string of two digits for each name has the order of the names' suffixes
-    in its even places. It has few symbols, but may be as long as ``longest``
-    allows no more; then the names themselves, at most half as many as the
-    symbols they stand for, are the string, so that each is shorter than the last.
+    in its even places. It has few symbols. Where it would be as long as
+    ``longest`` the names themselves, at most half as many as the symbols they
+    stand for, are the string, so that each is shorter than the last.
     """
-    if names.max() + 1 == len(names):
-        return np.argsort(names)
     base = int(np.ceil(np.sqrt(names.max() + 1)))
     if base <= 16 or 2 * len(names) >= longest:
         return suffix_array(names)
@@ -133,8 +154,12 @@ def _order(names: np.ndarray, longest: int) -> np.ndarray:
     return array[(array & 1 == 0) & (array < 2 * len(names))] >> 1
 
 
-def suffix_array(text: np.ndarray) -> np.ndarray:
-    """Starts of all suffixes in ascending order; the last symbol must be the only END."""
+def suffix_array(text: np.ndarray, stops_apart: bool = False) -> np.ndarray:
+    """Starts of all suffixes in ascending order; the last symbol must be the only END.
+
+    With ``stops_apart`` a stop is smaller than a later one, as if each were a
+    symbol of its own, so that no comparison goes on behind a string's end.
+    """
     small = _smaller_types(text)
     lms = np.flatnonzero(small[1:] & ~small[:-1]) + 1
     if not len(lms):  # the end alone
@@ -143,6 +168,11 @@ def suffix_array(text: np.ndarray) -> np.ndarray:
     is_lms = np.zeros(len(text), bool)
     is_lms[lms] = True
     names = _names(text, first[is_lms[first]], lms)
+    if stops_apart and (stop := text[lms] == STOP).any():
+        # The names of what begins with a stop come first after the end's.
+        n = np.count_nonzero(stop)
+        names[names > 0] += n - names[stop].max()
+        names[stop] = np.arange(1, n + 1)
     return _induce(text, small, lms[_order(names, len(text) * 9 // 10)])
 
 
@@ -193,7 +223,7 @@ def repeats(strings: list[bytes], window: int, places: np.ndarray | None = None)
     follow each other.
     """
     text, starts = joined(strings)
-    array = suffix_array(text)
+    array = suffix_array(text, stops_apart=True)
     _, common = permuted_lcp(text, array)
     group = np.cumsum(common[array] < window)
     place = np.arange(len(text))
