@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from voxward.llm.tables import small_side, stored
+from voxward.llm.tables import fresh_name, small_side, stored
 
 #: Forms of address and titles, by the gender they show (fixed values).
 _FEMALE = "Mrs|Ms|Miss|Madam|Lady|Frau|Fräulein|Mme|Madame|Mlle|Mademoiselle|Señora|Señorita|Sra|Srta|Doña|Signora|Signorina|Sig\\.ra|Dra|[Гг]оспожа|[Гг]-жа|[Κκ]υρία|Κα"
@@ -327,7 +327,7 @@ def _script(text: str) -> str:
 def surrogate(kind: str, value: str, key: str, attempt: int = 0) -> str:
     """A replacement for a canonical value, of its type and form.
 
-    Emails keep their length and punctuation in a reserved domain, numbers
+    Emails keep the punctuation of their name and lie in a reserved domain, numbers keep
     their check digits, phones the start of their country code or their trunk prefix,
     addresses lie in a reserved network, secrets keep the case and kind of each
     character, names their gender and script.
@@ -464,12 +464,13 @@ def replace_pii(docs: DataFrame, params: PiiParams = PiiParams(), keep_entities:
     _, redrawn = surrogates(docs, params)
     redrawn = stored(redrawn, "redraws")
     rest = [c for c in docs.columns if c not in ("text", "entities")]
+    key, changed_at = fresh_name(docs, "text"), fresh_name(docs, "changed")
     numbered = docs.select(*rest, "text")
     if not redrawn.isEmpty():
-        changed = small_side(_texts_with_redraws(docs, redrawn), 100_000)
-        numbered = numbered.withColumn("_text", F.xxhash64("text")).join(changed, "_text", "left").drop("_text")
+        changed = small_side(_texts_with_redraws(docs, redrawn), 100_000).toDF(key, changed_at)
+        numbered = numbered.withColumn(key, F.xxhash64("text")).join(changed, key, "left").drop(key)
     else:
-        numbered = numbered.withColumn("_changed", F.lit(None).cast("map<string,string>"))
+        numbered = numbered.withColumn(changed_at, F.lit(None).cast("map<string,string>"))
     shape = {**{c: docs.schema[c].dataType.simpleString() for c in rest}, "text": "string"}
     if keep_entities:
         shape["entities"] = "array<struct<start:int,end:int,kind:string,replacement:string>>"

@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from voxward.llm.tables import small_side, stored
+from voxward.llm.tables import fresh_name, small_side, stored
 
 #: Runs of ASCII white space, and the characters that count as symbols.
 SPACE = r"[\x20\x09-\x0D]+"
@@ -133,19 +133,20 @@ def _prior(docs: int, failed: int, squares: float, params: QualityParams) -> tup
 
 
 def judge(docs: DataFrame, params: QualityParams = QualityParams(), host: str = "source") -> DataFrame:
-    """``docs`` without ``text``, plus MEASURES, ``base_failed``, ``host_rejected``, ``kept``, and ``_text`` (the text's hash).
+    """``docs`` without ``text``, plus MEASURES, ``base_failed``, ``host_rejected``, ``kept``, and ``_text`` (the text's hash; ``_text_`` and so on if ``docs`` has that name).
 
     A document is kept if it has enough words, not too many repeated ones, and
     its host is not rejected. Measures are stored once without the texts; the
     host verdicts are joined to them. Null texts count as empty and fail.
     Repeated rows are judged each; an empty table gives no rows.
     """
-    added = ("base_failed", "host_rejected", "kept", "_text")
-    measured = with_measures(docs.drop(*added).withColumn("_text", F.xxhash64("text"))).drop("text")
+    added = ("base_failed", "host_rejected", "kept")
+    hashed, host_key = fresh_name(docs, "text"), fresh_name(docs, "host")
+    measured = with_measures(docs.drop(*added).withColumn(hashed, F.xxhash64("text"))).drop("text")
     rules = params.rules()
     measured = stored(measured.withColumn("base_failed", rules["short"] | rules["repeats"]), "measures")
-    bad = bad_hosts(measured, host, params).withColumnRenamed(host, "_host").withColumn("host_rejected", F.lit(True))
-    joined = measured.join(small_side(bad), F.col(host).eqNullSafe(F.col("_host")), "left").drop("_host")
+    bad = bad_hosts(measured, host, params).withColumnRenamed(host, host_key).withColumn("host_rejected", F.lit(True))
+    joined = measured.join(small_side(bad), F.col(host).eqNullSafe(F.col(host_key)), "left").drop(host_key)
     rejected = F.coalesce("host_rejected", F.lit(False))
     return joined.withColumns({"host_rejected": rejected, "kept": ~F.col("base_failed") & ~rejected})
 
@@ -155,13 +156,14 @@ def keep_good(docs: DataFrame, params: QualityParams = QualityParams(), host: st
 
     Rejected rows are found by ``doc_id``, host and text, nulls included.
     """
+    id_key, host_key, hashed = (fresh_name(docs, c) for c in ("id", "host", "text"))
     rejected = stored(
         judge(docs, params, host).where("NOT kept").select(
-            F.col("doc_id").alias("_id"), F.col(host).alias("_host"), "_text"
+            F.col("doc_id").alias(id_key), F.col(host).alias(host_key), hashed
         ).distinct(),
         "rejected",
     )
     same = (
-        F.col("doc_id").eqNullSafe(F.col("_id")) & F.col(host).eqNullSafe(F.col("_host")) & (F.xxhash64("text") == F.col("_text"))
+        F.col("doc_id").eqNullSafe(F.col(id_key)) & F.col(host).eqNullSafe(F.col(host_key)) & (F.xxhash64("text") == F.col(hashed))
     )
     return docs.join(small_side(rejected), same, "left_anti")
