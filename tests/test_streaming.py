@@ -472,3 +472,25 @@ def test_whole_numbers_carried_with_frames_stay_exact(spark, tmp_path):
     stream = frames_in_calls_stream(source(spark, str(tmp_path / "frames"), kinds), source(spark, str(tmp_path / "edges"), EDGES))
     got = run(spark, stream, "exact_places", tmp_path).select("frame_seq", "place").collect()
     assert sorted(map(tuple, got)) == [(f[2], f[3]) for f in frames]
+
+
+def test_ties_stay_exact_beside_rows_without_one(spark, tmp_path):
+    kinds = "host_id string, captured_at timestamp, frame_seq bigint"
+    frames = [("h", T0 + timedelta(seconds=1), None if i == 2 else (1 << 60) + i) for i in range(5)]
+    files(spark, frames + [("z", LATER, 0)], kinds, str(tmp_path / "frames"), 1)
+    files(spark, [("h#1", "h", "start", T0, None), (None, "z", None, LATER, None)], EDGES, str(tmp_path / "edges"), 1)
+    stream = frames_in_calls_stream(
+        source(spark, str(tmp_path / "frames"), kinds), source(spark, str(tmp_path / "edges"), EDGES), tie="frame_seq"
+    )
+    got = run(spark, stream, "exact_ties", tmp_path).collect()
+    assert sorted(r.frame_seq for r in got) == sorted(-1 if f[2] is None else f[2] for f in frames)
+
+
+def test_waiting_rows_are_one_value(spark, tmp_path):
+    """Rows behind the watermark go to the store and back without a conversion of each of their values."""
+    kinds = "call_id string, update_seq bigint, update_ts timestamp, cnn double, gmm double"
+    rows = [("a", i, T0 + timedelta(seconds=i), 0.5, None) for i in range(20)]
+    files(spark, rows, kinds, str(tmp_path / "in"), 1)
+    assert run(spark, decision_stream(source(spark, str(tmp_path / "in"), kinds)), "waiting", tmp_path).count() == 0
+    held = rows_left(spark, str(tmp_path / "cp")).select("value.waiting")
+    assert held.schema["waiting"].dataType.simpleString() == "binary" and held.count() == 1

@@ -24,7 +24,6 @@ class CallerAtStart(OrderedProcessor):
     """The first valid number shown after the start of a call, until the time limit; the end clears it."""
 
     fields = ("edge", "window_rank", "shown_hash")
-    field_types = (T.StringType(), T.LongType(), T.StringType())
     memory = T.StructType(
         [
             T.StructField("start_us", T.LongType()),
@@ -32,7 +31,6 @@ class CallerAtStart(OrderedProcessor):
             T.StructField("told", T.BooleanType()),
         ]
     )
-    output = ("call_id", "start_us", "end_us", "caller_hash")
 
     def __init__(self, key: str, tie: str, wait_s: float):
         super().__init__(key, tie)

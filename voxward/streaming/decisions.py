@@ -17,7 +17,6 @@ class DecisionState(OrderedProcessor):
     """Score buffer, label and latest model scores of one call."""
 
     fields = ("cnn", "gmm")
-    field_types = (T.DoubleType(), T.DoubleType())
     memory = T.StructType(
         [
             T.StructField("scores", T.ArrayType(T.DoubleType())),
@@ -28,10 +27,6 @@ class DecisionState(OrderedProcessor):
             T.StructField("was_ai", T.BooleanType()),
         ]
     )
-    output = (
-        "call_id", "update_us", "tie", "update_seq", "cnn", "gmm", "ensemble_score",
-        "average_score", "label", "should_notify", "buffer_full", "frames_buffered", "call_was_ai",
-    )
 
     def __init__(self, key: str, tie: str, params: DecisionParams, fill: bool, idle_s: int | None):
         super().__init__(key, tie, idle_s)
@@ -45,12 +40,11 @@ class DecisionState(OrderedProcessor):
 
     def _label(self, score: float) -> str:
         p = self.params
-        bands = ((p.human_threshold, HUMAN), (p.ai_threshold, SUSPICIOUS))
-        return next((name for limit, name in bands if score < limit), AI)
+        return HUMAN if score < p.human_threshold else SUSPICIOUS if score < p.ai_threshold else AI
 
     def step(self, key, memory, rows):
         scores, seq, label, cnn, gmm, was_ai = memory or ([], 0, HUMAN, None, None, False)
-        scores, made = list(scores), []
+        scores, made, size = list(scores), [], self.params.buffer_size
         for us, tie, new_cnn, new_gmm in rows:
             if self.fill:
                 cnn = cnn if new_cnn is None else new_cnn
@@ -58,9 +52,10 @@ class DecisionState(OrderedProcessor):
             else:
                 cnn, gmm = new_cnn, new_gmm
             score = self._score(cnn, gmm)
-            scores = [*scores, score][-self.params.buffer_size :]
+            scores.append(score)
+            del scores[:-size]
             average = sum(scores) / len(scores)
-            now, full = self._label(average), len(scores) == self.params.buffer_size
+            now, full = self._label(average), len(scores) == size
             notify = full and now == AI and label != AI
             label = now if full else label
             was_ai = was_ai or now == AI

@@ -20,8 +20,6 @@ class OpenCall(OrderedProcessor):
     def __init__(self, key: str, tie: str, carried: tuple[T.StructField, ...]):
         super().__init__(key, tie)
         self.fields = ("edge", "edge_call", *[c.name for c in carried])
-        self.field_types = (T.StringType(), T.StringType(), *[c.dataType for c in carried])
-        self.output = ("call_id", key, "event_us", "frame_tie", *[c.name for c in carried])
 
     def step(self, key, memory, rows):
         call, made = (memory or (None,))[0], []

@@ -18,7 +18,6 @@ class CallMonitor(OrderedProcessor):
     """Latch, edges and call numbers of one host."""
 
     fields = ("has_voip_audio", "mic_active")
-    field_types = (T.BooleanType(), T.BooleanType())
     memory = T.StructType(
         [
             T.StructField("active", T.BooleanType()),
@@ -26,7 +25,6 @@ class CallMonitor(OrderedProcessor):
             T.StructField("start_us", T.LongType()),
         ]
     )
-    output = ("host_id", "call_ordinal", "edge", "start_us", "end_us")
 
     def __init__(self, key: str, tie: str, require_mic: bool = True):
         super().__init__(key, tie)
@@ -40,9 +38,9 @@ class CallMonitor(OrderedProcessor):
             now = active if audio is None else bool(audio and (active or mic or not self.require_mic))
             if now and not active:
                 ordinal, start = ordinal + 1, us
-                made.append((key, ordinal, "start", us, None))
+                made.append((key, ordinal, us, None))
             elif active and not now:
-                made.append((key, ordinal, "end", start, us))
+                made.append((key, ordinal, start, us))
             active = now
         return (active, ordinal, start), made
 
@@ -84,13 +82,13 @@ def call_monitor_stream(
         CallMonitor("host_id", tie, require_mic),
         "poll_ts",
         delay,
-        f"host_id {kind}, call_ordinal bigint, edge string, start_us bigint, end_us bigint",
+        f"host_id {kind}, call_ordinal bigint, start_us bigint, end_us bigint",
         history,
     )
     return events.select(
         F.concat_ws("#", F.col("host_id").cast("string"), F.col("call_ordinal").cast("string")).alias("call_id"),
         "host_id",
-        "edge",
+        F.when(F.col("end_us").isNull(), "start").otherwise("end").alias("edge"),
         F.timestamp_micros("start_us").alias("start_ts"),
         F.timestamp_micros("end_us").alias("end_ts"),
     )

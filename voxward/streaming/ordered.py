@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,6 +12,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+#: Fixed, so that a checkpoint outlives a change of the Python version.
+PICKLE = 5
+
 
 def _plain(value):
     """A NumPy value as the Python one that state takes."""
@@ -19,30 +23,75 @@ def _plain(value):
     return value.item() if isinstance(value, np.generic) else value
 
 
-def plain_columns(batch: pd.DataFrame, fields: tuple[str, ...]) -> list[list]:
-    """Columns as Python values; pandas has NaN for NULL doubles, so every field comes with its own flag."""
-    return [
-        [None if null else _plain(v) for v, null in zip(batch[f], batch[f"{f}_null"], strict=True)] for f in fields
-    ]
+def plain_columns(batch: pd.DataFrame, count: int) -> list[list]:
+    """The ``count`` columns of ``cells`` as Python values; pandas has NaN for NULL doubles, so NULLs come by their flags."""
+    flags, out = batch["nulls"].tolist(), []
+    some = any("1" in f for f in flags)
+    for i in range(count):
+        column = batch[f"v{i}"]
+        values = column.tolist()
+        if column.dtype.kind not in "ifb":
+            values = [_plain(v) for v in values]
+        out.append([None if f[i] == "1" else v for v, f in zip(values, flags, strict=True)] if some else values)
+    return out
 
 
 def cells(df: DataFrame, fields: tuple[str, ...]) -> list[Column]:
-    """The columns that ``plain_columns`` reads: each field with its flag.
+    """The columns that ``plain_columns`` reads: the fields by number, and one text with a flag for each.
 
     pandas would make doubles of whole numbers with a NULL among them, which state doesn't take back and which are not
-    exact, so their NULLs travel as zeros.
+    exact, so their NULLs travel as zeros. Every column costs a fixed time per key in Python, so there are few.
     """
     found = []
-    for f in fields:
+    for i, f in enumerate(fields):
         kind = df.schema[f].dataType
         value = F.coalesce(f"`{f}`", F.lit(0).cast(kind)) if isinstance(kind, T.IntegralType) else F.col(f"`{f}`")
-        found += [value.alias(f), F.isnull(f"`{f}`").alias(f"{f}_null")]
-    return found
+        found.append(value.alias(f"v{i}"))
+    return [*found, F.concat(F.lit(""), *[F.when(F.isnull(f"`{f}`"), "1").otherwise("0") for f in fields]).alias("nulls")]
+
 
+class Packing:
+    """Rows given out with all whole numbers in one array, doubles and texts likewise: a column costs a fixed time per key in Python.
 
-def frame_of(rows: list[tuple], names: tuple[str, ...]) -> Iterator[pd.DataFrame]:
-    """Rows given out; as objects, so that NULLs leave whole numbers whole."""
-    return iter([pd.DataFrame(rows, columns=list(names), dtype=object)] if rows else ())
+    ``output`` is the DDL of the rows; flags travel as 0 and 1, columns of other types as they are.
+    """
+
+    def __init__(self, output: str):
+        self.fields = T.StructType.fromDDL(output).fields
+        places: dict[str, list[int]] = {}
+        for i, f in enumerate(self.fields):
+            kind = f.dataType.simpleString()
+            if isinstance(f.dataType, (T.IntegralType, T.BooleanType)):
+                kind = "bigint"
+            places.setdefault(kind if kind in ("bigint", "double", "string") else f"{i} {kind}", []).append(i)
+        # The columns that Python gives: name, type, places in the row, and whether they are an array of these.
+        self.columns = [
+            (f"p{n}", kind.split(" ", 1)[-1] if " " in kind else f"array<{kind}>", at, " " not in kind)
+            for n, (kind, at) in enumerate(places.items())
+        ]
+        self.flags = [i for i, f in enumerate(self.fields) if isinstance(f.dataType, T.BooleanType)]
+
+    @property
+    def schema(self) -> str:
+        return ", ".join(f"{name} {kind}" for name, kind, _, _ in self.columns)
+
+    def frame(self, rows: list[tuple]) -> Iterator[pd.DataFrame]:
+        """As objects, so that NULLs leave whole numbers whole."""
+        if not rows:
+            return iter(())
+        made = np.empty((len(rows), len(self.columns)), dtype=object)
+        for n, row in enumerate(rows):
+            if self.flags:
+                row = list(row)
+                for i in self.flags:
+                    row[i] = None if row[i] is None else int(row[i])
+            for c, (_, _, at, many) in enumerate(self.columns):
+                made[n, c] = [row[i] for i in at] if many else row[at[0]]
+        return iter([pd.DataFrame(made, columns=[c[0] for c in self.columns])])
+
+    def unpacked(self, df: DataFrame) -> DataFrame:
+        place = {i: F.get(name, F.lit(n)) if many else F.col(name) for name, _, at, many in self.columns for n, i in enumerate(at)}
+        return df.select(*[place[i].cast(f.dataType).alias(f.name) for i, f in enumerate(self.fields)])
 
 
 class OrderedProcessor(StatefulProcessor):
@@ -57,9 +106,8 @@ class OrderedProcessor(StatefulProcessor):
     """
 
     fields: tuple[str, ...]  # columns the step reads, after the microsecond clock and the tie
-    field_types: tuple[T.DataType, ...]
     memory: T.StructType
-    output: tuple[str, ...]
+    packing: Packing  # how rows are given out, set by ``run_ordered``
 
     def __init__(self, key: str, tie: str, idle_s: int | None = None):
         self.key, self.tie, self.idle_s = key, tie, idle_s
@@ -72,15 +120,14 @@ class OrderedProcessor(StatefulProcessor):
         return None
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        row = [T.StructField("us", T.LongType()), T.StructField("tie", T.LongType())]
-        row += [T.StructField(n, t) for n, t in zip(self.fields, self.field_types, strict=True)]
         self._handle = handle
-        # One value per key: what waits, what is remembered, and the last time a row was due.
+        # One value per key: what waits, what is remembered, and the last time a row was due. Waiting rows are one pickle,
+        # as only this class reads them and every nested value would be converted twice on its way to the store and back.
         self._state = handle.getValueState(
             "state",
             T.StructType(
                 [
-                    T.StructField("waiting", T.ArrayType(T.StructType(row))),
+                    T.StructField("waiting", T.BinaryType()),
                     T.StructField("memory", self.memory),
                     T.StructField("seen", T.LongType()),
                 ]
@@ -88,17 +135,20 @@ class OrderedProcessor(StatefulProcessor):
         )
 
     def _read(self) -> tuple[list[tuple], tuple | None, int | None]:
-        held = self._state.get() if self._state.exists() else None
+        held = self._state.get()
         if held is None:
             return [], None, None
         waiting, memory, seen = held
-        return [tuple(r) for r in waiting or ()], None if memory is None else tuple(memory), seen
+        return pickle.loads(waiting) if waiting else [], None if memory is None else tuple(memory), seen
+
+    def _write(self, waiting: list[tuple], memory: tuple | None, seen: int | None) -> None:
+        self._state.update((pickle.dumps(waiting, PICKLE) if waiting else None, memory, seen))
 
     def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
         """Begin with what a key remembers from its history (see ``run_ordered``)."""
-        memory = tuple(column[0] for column in plain_columns(initialState, tuple(self.memory.names)))
+        memory = tuple(column[0] for column in plain_columns(initialState, len(self.memory)))
         seen = int(initialState["seen"].iloc[0])
-        self._state.update(([], memory, seen))
+        self._write([], memory, seen)
         if self.idle_s is not None:
             self._handle.registerTimer(seen // 1000 + 1000 * self.idle_s + 1)
 
@@ -106,13 +156,12 @@ class OrderedProcessor(StatefulProcessor):
         waiting, memory, seen = self._read()
         oldest = min((r[0] for r in waiting), default=None)
         for batch in rows:
-            # Rows without a tie, like the closing one, come before others of their time.
-            ties = [-1 if pd.isna(v) else int(v) for v in batch[self.tie]]
-            made = list(zip(batch["event_us"].tolist(), ties, *plain_columns(batch, self.fields), strict=True))
+            times, ties = batch["event_us"].tolist(), batch["event_tie"].tolist()
+            made = list(zip(times, ties, *plain_columns(batch, len(self.fields)), strict=True))
             waiting += made
             waiting += [later for row in made if (later := self.follow_up(row)) is not None]
         first = min((r[0] for r in waiting), default=None)
-        self._state.update((waiting, memory, seen))
+        self._write(waiting, memory, seen)
         if first is not None and first != oldest:
             self._wake_after(first)
         return iter(())
@@ -136,14 +185,14 @@ class OrderedProcessor(StatefulProcessor):
             memory = None
         memory, made = self.step(key[0], memory, due)
         if rest or memory is not None or idle is not None:
-            self._state.update((rest, memory, due[-1][0]))
+            self._write(rest, memory, due[-1][0])
         else:
             self._state.clear()
         if rest:
             self._wake_after(min(r[0] for r in rest))
         if idle is not None:
             self._handle.registerTimer((due[-1][0] + idle) // 1000 + 1)
-        return frame_of(made, self.output)
+        return self.packing.frame(made)
 
 
 def merged(left: DataFrame, right: DataFrame, ts: str, delay: str | None) -> DataFrame:
@@ -172,7 +221,9 @@ def run_ordered(
         timed = stream.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, delay)
     us = F.unix_micros(ts).alias("event_us")
     # A row without time is never due.
-    timed = timed.filter(F.col(ts).isNotNull()).select(processor.key, ts, us, processor.tie, *cells(timed, processor.fields))
+    # Rows without a tie, like the closing one, come before others of their time.
+    tie = F.coalesce(F.col(processor.tie).cast("bigint"), F.lit(-1)).alias("event_tie")
+    timed = timed.filter(F.col(ts).isNotNull()).select(processor.key, ts, us, tie, *cells(timed, processor.fields))
     begun = None
     if history is not None:
         names = processor.memory.names
@@ -180,6 +231,8 @@ def run_ordered(
         memory = [F.col(f.name).cast(f.dataType).alias(f.name) for f in processor.memory]
         begun = history.select(F.col(processor.key).cast(kind).alias(processor.key), F.col("seen").cast("bigint").alias("seen"), *memory)
         begun = begun.select(processor.key, "seen", *cells(begun, names)).groupBy(processor.key)
-    return timed.groupBy(processor.key).transformWithStateInPandas(
-        processor, outputStructType=output, outputMode="Append", timeMode="EventTime", initialState=begun
+    processor.packing = Packing(output)
+    made = timed.groupBy(processor.key).transformWithStateInPandas(
+        processor, outputStructType=processor.packing.schema, outputMode="Append", timeMode="EventTime", initialState=begun
     )
+    return processor.packing.unpacked(made)

@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from voxward.params import RECORDER_FRAMES
-from voxward.streaming.ordered import cells, frame_of, plain_columns
+from voxward.streaming.ordered import Packing, cells, plain_columns
 
 #: Frames without time or tie are older than all others.
 _OLDEST = -(1 << 63)
@@ -24,9 +24,8 @@ class Ring(StatefulProcessor):
     arrival.
     """
 
-    def __init__(self, carried: tuple[T.StructField, ...], n: int):
-        self.carried, self.n = carried, n
-        self.names = tuple(c.name for c in carried)
+    def __init__(self, carried: tuple[T.StructField, ...], n: int, packing: Packing):
+        self.carried, self.n, self.packing = carried, n, packing
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         place = [T.StructField("frame_us", T.LongType()), T.StructField("frame_tie", T.LongType())]
@@ -36,14 +35,14 @@ class Ring(StatefulProcessor):
         held = [tuple(r) for r in self._ring.get()] if self._ring.exists() else []
         dropped: list[tuple] = []
         for batch in rows:
-            columns = plain_columns(batch, self.names)
+            columns = plain_columns(batch, len(self.carried))
             held += zip(batch["frame_us"].tolist(), batch["frame_tie"].tolist(), *columns, strict=True)
             held.sort(key=lambda r: r[:2])
             dropped += held[: -self.n]
             held = held[-self.n :]
         self._ring.put(held)
         made = [(key[0], *r) for r in dropped]
-        return frame_of(made, ("ring_key", "frame_us", "frame_tie", *self.names))
+        return self.packing.frame(made)
 
 
 def latest_n_stream(
@@ -62,10 +61,11 @@ def latest_n_stream(
     rows = frames.filter(F.col(key).isNotNull()).select(F.col(key).alias("ring_key"), us, place, *cells(frames, names))
     output = [f"ring_key {kinds[key].dataType.simpleString()}", "frame_us bigint", "frame_tie bigint"]
     output += [f"`{f.name}` {f.dataType.simpleString()}" for f in carried]
+    packing = Packing(", ".join(output))
     dropped = rows.groupBy("ring_key").transformWithStateInPandas(
-        Ring(carried, n), outputStructType=", ".join(output), outputMode="Append", timeMode="None"
+        Ring(carried, n, packing), outputStructType=packing.schema, outputMode="Append", timeMode="None"
     )
-    return _frames(dropped, [F.col(c) for c in ("ring_key", "frame_us", "frame_tie", *names)], key, ts, tie, names)
+    return _frames(packing.unpacked(dropped), [F.col(c) for c in ("ring_key", "frame_us", "frame_tie", *names)], key, ts, tie, names)
 
 
 def newest_frames(

@@ -19,7 +19,6 @@ class CallRollup(DecisionState):
     """Frames, decisions so far and the last label of one call; its end gives them out and clears them."""
 
     fields = ("cnn", "gmm", "is_silent", "ended")
-    field_types = (T.DoubleType(), T.DoubleType(), T.BooleanType(), T.BooleanType())
     memory = T.StructType(
         [
             T.StructField("frames", T.LongType()),
@@ -29,27 +28,31 @@ class CallRollup(DecisionState):
             T.StructField("decided", DecisionState.memory),
         ]
     )
-    output = ("call_id", "end_us", "call_was_ai", "frames_processed", "label", "average")
 
     def __init__(self, key: str, tie: str, params: DecisionParams, fill: bool, require_full: bool, idle_s: int | None):
         super().__init__(key, tie, params, fill, idle_s)
         self.require_full = require_full
 
-    def step(self, key, memory, rows):
-        made = []
+    def _heard(self, key, memory, rows):
+        """What is remembered after a run of rows of one call."""
         frames, was_ai, label, average, decided = memory or (0, False, None, None, None)
-        for us, tie, cnn, gmm, silent, ended in rows:
-            if ended:
-                made.append((key, us, was_ai, frames, label, average))
-                frames, was_ai, label, average, decided = 0, False, None, None, None
-                continue
-            frames += 1
-            if silent is False:
-                decided, (update,) = super().step(key, decided, [(us, tie, cnn, gmm)])
-                named = dict(zip(DecisionState.output, update, strict=True))
-                label, average = named["label"], named["average_score"]
-                was_ai = was_ai or (label == AI and (named["buffer_full"] or not self.require_full))
-        return ((frames, was_ai, label, average, decided) if frames else None), made
+        spoken = [(us, tie, cnn, gmm) for us, tie, cnn, gmm, silent, _ in rows if silent is False]
+        if spoken:
+            decided, updates = super().step(key, decided, spoken)
+            average, label = updates[-1][7:9]
+            was_ai = was_ai or any(u[8] == AI and (u[10] or not self.require_full) for u in updates)
+        return frames + len(rows), was_ai, label, average, decided
+
+    def step(self, key, memory, rows):
+        made, first = [], 0
+        for i, row in enumerate(rows):
+            if row[5]:
+                frames, was_ai, label, average, _ = self._heard(key, memory, rows[first:i])
+                made.append((key, row[0], was_ai, frames, label, average))
+                memory, first = None, i + 1
+        if first < len(rows):
+            memory = self._heard(key, memory, rows[first:])
+        return memory, made
 
 
 def rollup_stream(
