@@ -474,6 +474,16 @@ def test_whole_numbers_carried_with_frames_stay_exact(spark, tmp_path):
     assert sorted(map(tuple, got)) == [(f[2], f[3]) for f in frames]
 
 
+def test_open_ticks_of_a_call_are_one_value(spark, tmp_path):
+    """However many ticks are open, the store is asked once per call and micro-batch."""
+    kinds = "call_id string, result_ts timestamp, seq bigint, model string, confidence_pct double"
+    rows = [(c, T0 + timedelta(seconds=i), i, "cnn", 50.0) for c in ("a", "b") for i in range(40)]
+    files(spark, rows, kinds, str(tmp_path / "in"), 2)
+    stream = align_stream(source(spark, str(tmp_path / "in"), kinds), 1000, tie="seq", delay="1 hour", idle_s=None)
+    assert run(spark, stream, "open_ticks", tmp_path).count() == 0
+    assert sorted(r.key.call_id for r in rows_left(spark, str(tmp_path / "cp"), name="slots").collect()) == ["a", "b"]
+
+
 def test_ties_stay_exact_beside_rows_without_one(spark, tmp_path):
     kinds = "host_id string, captured_at timestamp, frame_seq bigint"
     frames = [("h", T0 + timedelta(seconds=1), None if i == 2 else (1 << 60) + i) for i in range(5)]

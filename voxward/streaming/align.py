@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 
 import pandas as pd
@@ -12,6 +13,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from voxward.operators.decision import tick_of
 from voxward.params import TICK_MS
+from voxward.streaming.ordered import PICKLE, Packing
 
 _MODELS = ("cnn", "gmm")
 
@@ -19,65 +21,60 @@ _MODELS = ("cnn", "gmm")
 class TickSlots(StatefulProcessor):
     """The newest result of each model in every tick that is still open, and the values carried from the ticks before.
 
-    A tick is given out once the watermark has reached its end, ticks in order. Only open ticks are in the map; one timer
-    per key waits for the first of them.
+    A tick is given out once the watermark has reached its end, ticks in order. The open ticks of a key are one value in
+    the store, read and written once per micro-batch however many results or ticks it brings; their number is bounded by
+    the delay. One timer per key waits for the first of them.
     """
 
-    def __init__(self, key: str, tick_ms: int, carry: bool, idle_s: int | None):
-        self.key, self.tick_ms, self.carry, self.idle_s = key, tick_ms, carry, idle_s
+    def __init__(self, key: str, tick_ms: int, carry: bool, idle_s: int | None, packing: Packing):
+        self.key, self.tick_ms, self.carry, self.idle_s, self.packing = key, tick_ms, carry, idle_s, packing
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        newest = [T.StructField("last_us", T.LongType())]
-        carried = [T.StructField("wake", T.LongType()), T.StructField("seen", T.LongType())]
-        for model in _MODELS:
-            newest += [T.StructField(f"{model}_us", T.LongType()), T.StructField(f"{model}_tie", T.LongType())]
-            newest.append(T.StructField(model, T.DoubleType()))
-            carried.append(T.StructField(model, T.DoubleType()))
+        carried = [T.StructField("seen", T.LongType()), *[T.StructField(m, T.DoubleType()) for m in _MODELS]]
+        # By tick: the last time, and time, tie and value of each model. One pickle, as only this class reads it.
+        places = [T.StructField("first", T.LongType()), T.StructField("places", T.BinaryType())]
         self._handle = handle
-        self._slots = handle.getMapState("slots", T.StructType([T.StructField("slot", T.LongType())]), T.StructType(newest))
+        self._slots = handle.getValueState("slots", T.StructType(places))
         self._held = handle.getValueState("carried", T.StructType(carried))
 
-    def _carried(self) -> tuple:
-        return tuple(self._held.get()) if self._held.exists() else (None, None, None, None)
+    def _open(self) -> tuple[int | None, dict[int, list]]:
+        held = self._slots.get()
+        return (None, {}) if held is None else (held[0], pickle.loads(held[1]))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues):
-        news: dict[int, list] = {}
+        wake, places = self._open()
         for batch in rows:
-            columns = [batch[c].tolist() for c in ("slot", "event_us", "tie", "model", "value", "value_null")]
-            for slot, us, tie, model, value, null in zip(*columns, strict=True):
-                place = news.setdefault(slot, [us, *[None] * 6])
-                place[0] = max(place[0], us)
-                if model in _MODELS:
-                    at = 1 + 3 * _MODELS.index(model)
-                    if place[at] is None or (us, tie) > (place[at], place[at + 1]):
-                        place[at : at + 3] = us, tie, None if null else value
-        for slot, place in news.items():
-            known = self._slots.getValue((slot,)) if self._slots.containsKey((slot,)) else None
-            if known is not None:
-                place[0] = max(place[0], known[0])
-                for at in (1, 4):
-                    if known[at] is not None and (place[at] is None or tuple(known[at : at + 2]) > tuple(place[at : at + 2])):
-                        place[at : at + 3] = known[at : at + 3]
-            self._slots.updateValue((slot,), tuple(place))
-        wake, seen, *values = self._carried()
-        first = min(news, default=wake)
-        if first is not None and (wake is None or first < wake):
-            self._held.update((first, seen, *values))
-            self._handle.registerTimer((first + 1) * self.tick_ms)
+            for slot, us, tie, (at, value) in zip(*[batch[c].tolist() for c in ("slot", "event_us", "tie")], _shown(batch), strict=True):
+                place = places.get(slot)
+                if place is None:
+                    place = places[slot] = [us, *[None] * 6]
+                elif us > place[0]:
+                    place[0] = us
+                # Of equal times and ties the one that was there first stays.
+                if at and (place[at] is None or (us, tie) > (place[at], place[at + 1])):
+                    place[at : at + 3] = us, tie, value
+        if places:
+            first = min(places)
+            self._slots.update((first, pickle.dumps(places, PICKLE)))
+            if wake is None or first < wake:
+                self._handle.registerTimer((first + 1) * self.tick_ms)
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
         mark = timerValues.getCurrentWatermarkInMs()
-        wake, seen, *values = self._carried()
-        if wake is None or (wake + 1) * self.tick_ms > mark:
+        wake, places = self._open()
+        due = [] if wake is None else sorted(s for s in places if (s + 1) * self.tick_ms <= mark)
+        if not due:
             # A timer of ticks that have gone by: only an idle key is left to forget.
-            if wake is None and self.idle_s is not None and seen is not None and mark >= seen + 1000 * self.idle_s:
-                self._held.clear()
+            if wake is None and self.idle_s is not None:
+                held = self._held.get()
+                if held is not None and held[0] is not None and mark >= held[0] + 1000 * self.idle_s:
+                    self._held.clear()
             return iter(())
-        open_ = sorted(((tuple(k)[0], tuple(v)) for k, v in self._slots.iterator()), key=lambda s: s[0])
-        due = [(slot, place) for slot, place in open_ if (slot + 1) * self.tick_ms <= mark]
+        seen, *values = self._held.get() or (None, None, None)
         made = []
-        for slot, place in due:
+        for slot in due:
+            place = places.pop(slot)
             news = [place[3], place[6]]
             if self.idle_s is not None and seen is not None and place[0] // 1000 >= seen + 1000 * self.idle_s:
                 values = [None, None]
@@ -85,21 +82,26 @@ class TickSlots(StatefulProcessor):
             seen = place[0] // 1000
             shown = [None if v is None else v / 100.0 for v in (values if self.carry else news)]
             made.append((key[0], slot, place[0], *shown))
-        if len(due) == len(open_):
-            self._slots.clear()
-            rest = None
+        if places:
+            first = min(places)
+            self._slots.update((first, pickle.dumps(places, PICKLE)))
+            self._handle.registerTimer((first + 1) * self.tick_ms)
         else:
-            for slot, _ in due:
-                self._slots.removeKey((slot,))
-            rest = open_[len(due)][0]
-            self._handle.registerTimer((rest + 1) * self.tick_ms)
-        if self.carry or rest is not None:
-            self._held.update((rest, seen, *values))
+            self._slots.clear()
+        if self.carry or places:
+            self._held.update((seen, *values))
             if self.idle_s is not None:
                 self._handle.registerTimer(seen + 1000 * self.idle_s)
         else:
             self._held.clear()
-        return iter([pd.DataFrame(made, columns=[self.key, "tick", "last_us", *_MODELS])] if made else ())
+        return self.packing.frame(made)
+
+
+def _shown(batch: pd.DataFrame) -> Iterator[tuple[int, float | None]]:
+    """Of each result the place of its model in a slot, 0 for other models, and its value."""
+    for place, value in zip(batch["place"].tolist(), batch["value"].tolist(), strict=True):
+        # Negative places stand for results without a value, as pandas has NaN for NULL.
+        yield (place, value) if place >= 0 else (-place, None)
 
 
 def align_stream(
@@ -124,20 +126,25 @@ def align_stream(
     timed = results.withColumn(ts, F.col(ts).cast("timestamp"))
     if delay is not None:
         timed = timed.withWatermark(ts, delay)
+    place = F.lit(0)
+    for i, model in enumerate(_MODELS):
+        place = F.when(F.col("model") == model, 1 + 3 * i).otherwise(place)
     rows = timed.where(F.col(ts).isNotNull() & F.col("call_id").isNotNull()).select(
         "call_id",
         ts,
         tick_of(F.col(ts), tick_ms).alias("slot"),
         F.unix_micros(ts).alias("event_us"),
         (F.lit(0) if tie is None else F.coalesce(F.col(tie), F.lit(-1))).cast("bigint").alias("tie"),
-        "model",
+        F.when(F.col("confidence_pct").isNull(), -place).otherwise(place).cast("int").alias("place"),
         F.col("confidence_pct").cast("double").alias("value"),
-        F.col("confidence_pct").isNull().alias("value_null"),
     )
-    made = rows.groupBy("call_id").transformWithStateInPandas(
-        TickSlots("call_id", tick_ms, mode == "per_result", idle_s),
-        outputStructType=f"call_id {kind}, tick bigint, last_us bigint, cnn double, gmm double",
-        outputMode="Append",
-        timeMode="EventTime",
+    packing = Packing(f"call_id {kind}, tick bigint, last_us bigint, cnn double, gmm double")
+    made = packing.unpacked(
+        rows.groupBy("call_id").transformWithStateInPandas(
+            TickSlots("call_id", tick_ms, mode == "per_result", idle_s, packing),
+            outputStructType=packing.schema,
+            outputMode="Append",
+            timeMode="EventTime",
+        )
     )
     return made.select("call_id", "tick", F.timestamp_micros("last_us").alias(ts), "cnn", "gmm")
