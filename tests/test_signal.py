@@ -262,3 +262,23 @@ def test_lfcc_frames_returns_every_cell(spark):
     assert set(got) == set(want)
     for i, cells in want.items():
         assert np.array(got[i].cells) == pytest.approx(cells.ravel(), abs=1e-4)
+
+
+def test_numbers_of_arrays_never_become_objects(spark):
+    """Arrays go to Spark as NumPy has them, and NaN becomes NULL as in columns from pandas."""
+    import pandas as pd
+    import pyarrow as pa
+    from pyspark.sql import types as T
+
+    doubles = T.ArrayType(T.DoubleType())
+    flat = [np.array([1.5, np.nan]), np.array([]), np.array([2.0])]
+    want = pa.Array.from_pandas(pd.Series([list(v) for v in flat]), type=pa.list_(pa.float64()))
+    assert features.arrow_column(flat, doubles).to_pylist() == want.to_pylist() == [[1.5, None], [], [2.0]]
+    nested = [[np.array([1.0]), np.array([2.0, 3.0])], []]
+    assert features.arrow_column(nested, T.ArrayType(doubles)).to_pylist() == [[[1.0], [2.0, 3.0]], []]
+    assert features.arrow_column([], doubles).to_pylist() == []
+
+    frames = spark.createDataFrame([(1, [0.1, 0.2, 0.3, 0.4], 32_000), (2, [], 32_000)], "k int, samples array<float>, sample_rate int")
+    low = features.resample(frames, 16_000, ("k",)).orderBy("k")
+    assert "MapInArrow" in low._jdf.queryExecution().toString()
+    assert [len(r.samples) for r in low.collect()] == [2, 0]

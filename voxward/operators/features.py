@@ -6,12 +6,14 @@ store and to hand to Python.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from voxward.functions import dsp
 from voxward.params import MODEL_RATE, MelParams
@@ -25,19 +27,35 @@ def model_audio(samples: pd.Series, rates: pd.Series, fit) -> np.ndarray:
     return np.stack([fit(dsp.resample(dsp.as_samples(x), r)) for x, r in pairs])
 
 
+def arrow_column(values: Sequence, kind: T.DataType) -> pa.Array:
+    """A column of numbers, or of arrays of any depth, whose numbers stay NumPy's and never become Python objects.
+
+    NaN becomes NULL, as in columns from pandas.
+    """
+    if not isinstance(kind, T.ArrayType):
+        return pa.array(np.asarray(values), to_arrow_type(kind), from_pandas=True)
+    ends = np.cumsum([0, *map(len, values)], dtype=np.int32)
+    inner = kind.elementType
+    if isinstance(inner, T.ArrayType):
+        flat = arrow_column([row for rows in values for row in rows], inner)
+    else:
+        flat = arrow_column(np.concatenate(values) if len(values) else [], inner)
+    return pa.ListArray.from_arrays(pa.array(ends), flat)
+
+
 def per_batch(frames: DataFrame, keys: tuple[str, ...], fields: list[T.StructField], fn) -> DataFrame:
     """Run ``fn`` over batches and put its columns beside ``keys``; the audio stays behind."""
     keys = tuple(keys)
     schema = T.StructType([frames.schema[k] for k in keys] + fields)
-    names = [f.name for f in fields]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if len(batch):
-                made = fn(batch["samples"], batch["sample_rate"])
-                yield batch[list(keys)].assign(**dict(zip(names, made, strict=True)))
+            if batch.num_rows:
+                made = fn(*[batch.column(c).to_pandas() for c in ("samples", "sample_rate")])
+                columns = [arrow_column(values, f.dataType) for values, f in zip(made, fields, strict=True)]
+                yield pa.RecordBatch.from_arrays([*[batch.column(k) for k in keys], *columns], schema.names)
 
-    return frames.select(*keys, "samples", "sample_rate").mapInPandas(run, schema)
+    return frames.select(*keys, "samples", "sample_rate").mapInArrow(run, schema)
 
 
 def resample(
