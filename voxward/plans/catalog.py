@@ -42,6 +42,8 @@ from voxward.streaming.rollup import rollup_stream
 ORDER = ("ts", "event_id")
 POLL_ORDER = ("poll_ts", "event_id")
 DIGITS = 9
+#: The live queries run over whole tables at once, where the state of each key by itself costs more than its rows.
+BUCKETS = 2048
 
 
 def r(col: Column | str, digits: int = DIGITS) -> Column:
@@ -622,7 +624,7 @@ def call_report(spark: SparkSession, sf: str) -> DataFrame:
 
 def live_decisions(spark: SparkSession, sf: str) -> DataFrame:
     scores = closed(A.scores(spark, sf, A.live), "ts", "call_id")
-    stream = decision_stream(scores, APP_PROFILE, ts="ts", tie="event_id", delay="1 hour", idle_s=None)
+    stream = decision_stream(scores, APP_PROFILE, ts="ts", tie="event_id", delay="1 hour", idle_s=None, buckets=BUCKETS)
     return drain(stream, "decisions").select(
         "call_id",
         F.col("tie").alias("event_id"),
@@ -636,7 +638,7 @@ def live_decisions(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def live_calls(spark: SparkSession, sf: str) -> DataFrame:
-    stream = call_monitor_stream(closed(A.polls(spark, sf, A.live), "poll_ts", "host_id"), delay="1 hour", tie="event_id")
+    stream = call_monitor_stream(closed(A.polls(spark, sf, A.live), "poll_ts", "host_id"), delay="1 hour", tie="event_id", buckets=BUCKETS)
     found = drain(stream, "calls")
     start, end = F.unix_micros("start_ts"), F.unix_micros("end_ts").cast("double")
     return found.select("call_id", "host_id", "edge", start.alias("start_us"), end.alias("end_us"))
@@ -658,10 +660,11 @@ def _streamed(df: DataFrame, name: str, ts: str, key: str) -> DataFrame:
 def live_frames_in_calls(spark: SparkSession, sf: str) -> DataFrame:
     """Frames assigned to the calls whose edges another job wrote, both as streams."""
     polls = closed(A.polls(spark, sf, A.live), "poll_ts", "host_id")
-    edges = drain(call_monitor_stream(polls, delay="1 hour", tie="event_id"), "edges")
+    edges = drain(call_monitor_stream(polls, delay="1 hour", tie="event_id", buckets=BUCKETS), "edges")
     captured = A.polls(spark, sf, A.live).select("host_id", F.col("poll_ts").alias("captured_at"), "event_id")
     stream = frames_in_calls_stream(
-        closed(captured, "captured_at", "host_id"), _streamed(edges, "edges", "start_ts", "host_id"), tie="event_id", delay="1 hour"
+        closed(captured, "captured_at", "host_id"), _streamed(edges, "edges", "start_ts", "host_id"), tie="event_id", delay="1 hour",
+        buckets=BUCKETS,
     )
     found = drain(stream, "frames-in-calls")
     return found.select("call_id", "host_id", _as_given("captured_at"), "event_id")
@@ -669,7 +672,7 @@ def live_frames_in_calls(spark: SparkSession, sf: str) -> DataFrame:
 
 def _rolled(spark: SparkSession, sf: str, ends: DataFrame) -> DataFrame:
     frames = closed(A.scores(spark, sf, A.live), "ts", "call_id")
-    stream = rollup_stream(frames, _streamed(ends, "ends", "end_ts", "call_id"), APP_PROFILE, tie="event_id", delay="1 hour")
+    stream = rollup_stream(frames, _streamed(ends, "ends", "end_ts", "call_id"), APP_PROFILE, tie="event_id", delay="1 hour", buckets=BUCKETS)
     return drain(stream, "rollups")
 
 
@@ -714,7 +717,7 @@ def live_alerts(spark: SparkSession, sf: str) -> DataFrame:
     heard = A.scores(spark, sf, A.live).filter(~F.col("is_silent"))
     with rocksdb(spark):
         blocklist_stream(events, store, sink.path, f"{folder}/calls-checkpoint", "calls").awaitTermination()
-        decisions = decision_stream(closed(heard, "ts", "call_id"), APP_PROFILE, ts="ts", tie="event_id", delay="1 hour", idle_s=None)
+        decisions = decision_stream(closed(heard, "ts", "call_id"), APP_PROFILE, ts="ts", tie="event_id", delay="1 hour", idle_s=None, buckets=BUCKETS)
         voice_alert_stream(decisions, sink, f"{folder}/voices-checkpoint", "voices").awaitTermination()
     return sink.read(spark).select("call_id", _as_given("ts"), "kind", "title", "message")
 
@@ -740,10 +743,10 @@ def live_caller_warnings(spark: SparkSession, sf: str) -> DataFrame:
 def live_current_state(spark: SparkSession, sf: str) -> DataFrame:
     """Every customer as a call, from the state that a decision job left."""
     scores = closed(A.scores(spark, sf, A.live), "ts", "call_id")
-    stream = decision_stream(scores, APP_PROFILE, ts="ts", tie="event_id", delay="1 hour", idle_s=None)
+    stream = decision_stream(scores, APP_PROFILE, ts="ts", tie="event_id", delay="1 hour", idle_s=None, buckets=BUCKETS)
     _, checkpoint = drain(stream, "decisions", keep_state=True)
     everyone = A.table(spark, sf, "customer").select(F.col("c_custkey").alias("call_id"))
-    return running_state(spark, checkpoint, APP_PROFILE, everyone).withColumn("average_score", r("average_score"))
+    return running_state(spark, checkpoint, APP_PROFILE, everyone, bucketed="bigint").withColumn("average_score", r("average_score"))
 
 
 def live_latest_n(spark: SparkSession, sf: str) -> DataFrame:
@@ -767,7 +770,8 @@ def live_decisions_resumed(spark: SparkSession, sf: str) -> DataFrame:
     decided = materialize(decision.buffer_scores(past, APP_PROFILE, line=line), "decided")
     coming = closed(A.scores(spark, sf, A.live).filter(F.col("ts") >= half), "ts", "call_id")
     stream = decision_stream(
-        coming, APP_PROFILE, ts="ts", tie="event_id", delay="1 hour", idle_s=None, history=decision_history(decided, ORDER)
+        coming, APP_PROFILE, ts="ts", tie="event_id", delay="1 hour", idle_s=None, history=decision_history(decided, ORDER),
+        buckets=BUCKETS,
     )
     later = drain(stream, "decisions")
     numbered = line.number(decided, "update_seq")
@@ -785,7 +789,7 @@ def live_calls_resumed(spark: SparkSession, sf: str) -> DataFrame:
     line = _poll_line(past)
     edges = materialize(calls.call_edges(calls.latch(past, line=line)), "edges")
     coming = closed(A.polls(spark, sf, A.live).filter(F.col("poll_ts") >= half), "poll_ts", "host_id")
-    later = drain(call_monitor_stream(coming, delay="1 hour", tie="event_id", history=monitor_history(edges, POLL_ORDER)), "calls")
+    later = drain(call_monitor_stream(coming, delay="1 hour", tie="event_id", history=monitor_history(edges, POLL_ORDER), buckets=BUCKETS), "calls")
     found = calls.call_sessions(edges, line).select("call_id", "host_id", "start_ts", "end_ts")
     started = found.select("call_id", "host_id", F.lit("start").alias("edge"), "start_ts", F.lit(None).cast("timestamp_ntz").alias("end_ts"))
     ended = found.filter(F.col("end_ts").isNotNull()).withColumn("edge", F.lit("end"))

@@ -10,7 +10,7 @@ from voxward.functions.labels import classify, from_code, label_code
 from voxward.operators.decision import with_idle_calls
 from voxward.operators.timeline import Timeline
 from voxward.params import AI, HUMAN, SUSPICIOUS, DecisionParams
-from voxward.streaming.ordered import OrderedProcessor, run_ordered
+from voxward.streaming.ordered import OrderedProcessor, memories_of, run_ordered
 
 
 class DecisionState(OrderedProcessor):
@@ -75,13 +75,15 @@ def decision_stream(
     delay: str = "1 minute",
     idle_s: int | None = 86_400,
     history: DataFrame | None = None,
+    buckets: int | None = None,
 ) -> DataFrame:
     """The decision fields per update, and whether the call has been AI so far.
 
     ``fill`` carries each model's latest score forward, for streams with one
     row per model result. ``idle_s`` forgets a call after so long without updates;
     None keeps its state for ever. ``history`` (see ``decision_history``) lets a new
-    job go on where a batch run over the updates before it has ended.
+    job go on where a batch run over the updates before it has ended. ``buckets`` keeps the state of many calls together
+    (see ``run_ordered``).
     """
     kind = updates.schema["call_id"].dataType.simpleString()
     made = run_ordered(
@@ -93,6 +95,7 @@ def decision_stream(
         " ensemble_score double, average_score double, label string, should_notify boolean,"
         " buffer_full boolean, frames_buffered int, call_was_ai boolean",
         history,
+        buckets,
     )
     return made.withColumn("update_ts", F.timestamp_micros("update_us")).drop("update_us")
 
@@ -119,16 +122,24 @@ def decision_history(decided: DataFrame, order: tuple[str, ...] = ("update_ts",
 
 
 def running_state(
-    spark: SparkSession, checkpoint: str, params: DecisionParams = DecisionParams(), calls: DataFrame | None = None
+    spark: SparkSession,
+    checkpoint: str,
+    params: DecisionParams = DecisionParams(),
+    calls: DataFrame | None = None,
+    bucketed: str | None = None,
 ) -> DataFrame:
     """``current_state`` of a decision job, read from its state as of its last finished micro-batch.
 
     The state is read where it lies, a task per partition of it; no update is read again and the job may go on running.
-    ``calls`` adds those that had no update yet.
+    ``calls`` adds those that had no update yet. ``bucketed`` is the type of ``call_id`` in a job with ``buckets``.
     """
-    held = spark.read.format("statestore").option("stateVarName", "state").load(checkpoint)
+    if bucketed is None:
+        held = spark.read.format("statestore").option("stateVarName", "state").load(checkpoint)
+        held = held.select("key.call_id", "value.memory")
+    else:
+        held = memories_of(spark, checkpoint, "call_id", bucketed, DecisionState)
     # A call whose updates all wait for the watermark remembers nothing yet.
-    held = held.select("key.call_id", F.col("value.memory.scores").alias("scores")).filter(F.size("scores") > 0)
+    held = held.select("call_id", F.col("memory.scores").alias("scores")).filter(F.size("scores") > 0)
     average = F.aggregate("scores", F.lit(0.0), lambda a, v: a + v) / F.size("scores")
     state = held.select("call_id", average.alias("average_score"), F.size("scores").alias("frames_buffered"))
     state = state.select("call_id", "average_score", classify(F.col("average_score"), params).alias("label"), "frames_buffered")

@@ -39,6 +39,7 @@ def frames_in_calls_stream(
     ts: str = "captured_at",
     tie: str | None = None,
     delay: str | None = "1 minute",
+    buckets: int | None = None,
 ) -> DataFrame:
     """``assign_calls`` on streams: the frames captured while a call was on at their host, with its ``call_id``.
 
@@ -46,7 +47,7 @@ def frames_in_calls_stream(
     watermarks of both have passed them; of equal times an edge comes first, so a frame at the start is in the call and
     one at the end is not. What waits per host is bounded by its frame rate times the delay: give frames with the place
     of their audio rather than with samples. ``tie`` orders frames of equal time; ``delay=None`` keeps the
-    streams' own watermarks. Frames without host or time belong to no call.
+    streams' own watermarks. Frames without host or time belong to no call. ``buckets`` keeps the state of many hosts together.
     """
     if tie is None:
         frames, tie = frames.withColumn("frame_seq_tie", F.lit(0).cast("bigint")), "frame_seq_tie"
@@ -65,7 +66,7 @@ def frames_in_calls_stream(
     host = frames.schema["host_id"].dataType.simpleString()
     output = ["call_id string", f"host_id {host}", "event_us bigint", "frame_tie bigint"]
     output += [f"`{f.name}` {f.dataType.simpleString()}" for f in carried]
-    found = run_ordered(both, OpenCall("host_id", tie, carried), ts, None, ", ".join(output))
+    found = run_ordered(both, OpenCall("host_id", tie, carried), ts, None, ", ".join(output), buckets=buckets)
     at = F.timestamp_micros("event_us").alias(ts)
     names = [F.col("frame_tie").alias(tie)] if tie in frames.columns and tie != "frame_seq_tie" else []
     return found.select("call_id", "host_id", at, *names, *[f"`{f.name}`" for f in carried])

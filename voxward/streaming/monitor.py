@@ -68,11 +68,13 @@ def call_monitor_stream(
     delay: str | None = "1 minute",
     tie: str | None = None,
     history: DataFrame | None = None,
+    buckets: int | None = None,
 ) -> DataFrame:
     """Start and end events of calls; an end carries both times.
 
     ``tie`` orders polls with equal time; polls of one host normally have none. ``history`` (see ``monitor_history``)
     lets a new job go on where a batch run over the polls before it has ended: calls that were on stay on and numbers go on.
+    ``buckets`` keeps the state of many hosts together (see ``run_ordered``).
     """
     if tie is None:
         status, tie = status.withColumn("poll_tie", F.lit(0).cast("bigint")), "poll_tie"
@@ -84,6 +86,7 @@ def call_monitor_stream(
         delay,
         f"host_id {kind}, call_ordinal bigint, start_us bigint, end_us bigint",
         history,
+        buckets,
     )
     return events.select(
         F.concat_ws("#", F.col("host_id").cast("string"), F.col("call_ordinal").cast("string")).alias("call_id"),

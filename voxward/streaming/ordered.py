@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import pickle
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 #: Fixed, so that a checkpoint outlives a change of the Python version.
@@ -50,48 +52,49 @@ def cells(df: DataFrame, fields: tuple[str, ...]) -> list[Column]:
     return [*found, F.concat(F.lit(""), *[F.when(F.isnull(f"`{f}`"), "1").otherwise("0") for f in fields]).alias("nulls")]
 
 
+@F.arrow_udf(T.BinaryType())
+def packed_row(row: pa.Array) -> pa.Array:
+    """Each struct as a pickled tuple: a column costs a fixed time per key in Python, so a row travels to the state as one."""
+    return pa.array([pickle.dumps(r, PICKLE) for r in zip(*[c.to_pylist() for c in row.flatten()], strict=True)], pa.binary())
+
+
 class Packing:
-    """Rows given out with all whole numbers in one array, doubles and texts likewise: a column costs a fixed time per key in Python.
+    """Rows given out as pickles of many, for a frame costs Python a fixed time per key and column; Arrow batches unpack them.
 
-    ``output`` is the DDL of the rows; flags travel as 0 and 1, columns of other types as they are.
+    ``output`` is the DDL of the rows.
     """
 
+    schema = "rows binary"
+    size = 10_000  # rows of a pickle and of an unpacked batch
+
     def __init__(self, output: str):
-        self.fields = T.StructType.fromDDL(output).fields
-        places: dict[str, list[int]] = {}
-        for i, f in enumerate(self.fields):
-            kind = f.dataType.simpleString()
-            if isinstance(f.dataType, (T.IntegralType, T.BooleanType)):
-                kind = "bigint"
-            places.setdefault(kind if kind in ("bigint", "double", "string") else f"{i} {kind}", []).append(i)
-        # The columns that Python gives: name, type, places in the row, and whether they are an array of these.
-        self.columns = [
-            (f"p{n}", kind.split(" ", 1)[-1] if " " in kind else f"array<{kind}>", at, " " not in kind)
-            for n, (kind, at) in enumerate(places.items())
-        ]
-        self.flags = [i for i, f in enumerate(self.fields) if isinstance(f.dataType, T.BooleanType)]
-
-    @property
-    def schema(self) -> str:
-        return ", ".join(f"{name} {kind}" for name, kind, _, _ in self.columns)
+        self.output = T.StructType.fromDDL(output)
 
     def frame(self, rows: list[tuple]) -> Iterator[pd.DataFrame]:
-        """As objects, so that NULLs leave whole numbers whole."""
         if not rows:
             return iter(())
-        made = np.empty((len(rows), len(self.columns)), dtype=object)
-        for n, row in enumerate(rows):
-            if self.flags:
-                row = list(row)
-                for i in self.flags:
-                    row[i] = None if row[i] is None else int(row[i])
-            for c, (_, _, at, many) in enumerate(self.columns):
-                made[n, c] = [row[i] for i in at] if many else row[at[0]]
-        return iter([pd.DataFrame(made, columns=[c[0] for c in self.columns])])
+        made = [pickle.dumps(rows[i : i + self.size], PICKLE) for i in range(0, len(rows), self.size)]
+        return iter([pd.DataFrame({"rows": made})])
+
+    def unpacked(self, df: DataFrame, loads: Callable[[bytes], list[tuple]] = pickle.loads) -> DataFrame:
+        size, shape = self.size, to_arrow_schema(self.output)
+
+        def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+            columns = zip(zip(*rows, strict=True), shape, strict=True)
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in columns], schema=shape)
 
-    def unpacked(self, df: DataFrame) -> DataFrame:
-        place = {i: F.get(name, F.lit(n)) if many else F.col(name) for name, _, at, many in self.columns for n, i in enumerate(at)}
-        return df.select(*[place[i].cast(f.dataType).alias(f.name) for i, f in enumerate(self.fields)])
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            rows: list[tuple] = []
+            for batch in batches:
+                for data in batch.column(0):
+                    rows += loads(data.as_py())
+                    if len(rows) >= size:
+                        yield batch_of(rows)
+                        rows = []
+            if rows:
+                yield batch_of(rows)
+
+        return df.mapInArrow(run, self.output)
 
 
 class OrderedProcessor(StatefulProcessor):
@@ -146,8 +149,8 @@ class OrderedProcessor(StatefulProcessor):
 
     def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
         """Begin with what a key remembers from its history (see ``run_ordered``)."""
-        memory = tuple(column[0] for column in plain_columns(initialState, len(self.memory)))
-        seen = int(initialState["seen"].iloc[0])
+        seen, *memory = pickle.loads(initialState["row"].iloc[0])
+        memory = tuple(memory)
         self._write([], memory, seen)
         if self.idle_s is not None:
             self._handle.registerTimer(seen // 1000 + 1000 * self.idle_s + 1)
@@ -156,8 +159,7 @@ class OrderedProcessor(StatefulProcessor):
         waiting, memory, seen = self._read()
         oldest = min((r[0] for r in waiting), default=None)
         for batch in rows:
-            times, ties = batch["event_us"].tolist(), batch["event_tie"].tolist()
-            made = list(zip(times, ties, *plain_columns(batch, len(self.fields)), strict=True))
+            made = [pickle.loads(data) for data in batch["row"].tolist()]
             waiting += made
             waiting += [later for row in made if (later := self.follow_up(row)) is not None]
         first = min((r[0] for r in waiting), default=None)
@@ -195,6 +197,100 @@ class OrderedProcessor(StatefulProcessor):
         return self.packing.frame(made)
 
 
+class Buckets(StatefulProcessor):
+    """An ``OrderedProcessor`` for many keys at a time: what the state costs per key and micro-batch is paid per bucket.
+
+    A bucket reads and writes the waiting rows of all its keys in every micro-batch that brings it a row, and their memories
+    when rows get due, so both are bounded by the keys of a bucket. Meant for jobs with large micro-batches.
+    """
+
+    def __init__(self, inner: OrderedProcessor):
+        self.inner = inner
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self._handle = handle
+        # By key the rows that wait, and by key what is remembered and the last time a row was due.
+        self._waiting = handle.getValueState("waiting", T.StructType([T.StructField("rows", T.BinaryType())]))
+        self._memories = handle.getValueState("memories", T.StructType([T.StructField("by_key", T.BinaryType())]))
+
+    @staticmethod
+    def _read(state) -> dict:
+        held = state.get()
+        return pickle.loads(held[0]) if held else {}
+
+    @staticmethod
+    def _write(state, held: dict) -> None:
+        if held:
+            state.update((pickle.dumps(held, PICKLE),))
+        else:
+            state.clear()
+
+    def _forget_later(self, memories: dict) -> None:
+        if self.inner.idle_s is not None and memories:
+            self._handle.registerTimer(min(seen for _, seen in memories.values()) // 1000 + 1000 * self.inner.idle_s + 1)
+
+    def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
+        memories = self._read(self._memories)
+        for name, seen, *memory in map(pickle.loads, initialState["row"].tolist()):
+            memories[name] = tuple(memory), seen
+        self._write(self._memories, memories)
+        self._forget_later(memories)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues):
+        waiting = self._read(self._waiting)
+        oldest = _first(waiting)
+        for batch in rows:
+            for name, *row in map(pickle.loads, batch["row"].tolist()):
+                held = waiting.setdefault(name, [])
+                held.append(row := tuple(row))
+                if (later := self.inner.follow_up(row)) is not None:
+                    held.append(later)
+        self._write(self._waiting, waiting)
+        if (first := _first(waiting)) != oldest:
+            self._handle.registerTimer(first // 1000 + 1)
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        mark = timerValues.getCurrentWatermarkInMs() * 1000
+        idle = None if self.inner.idle_s is None else self.inner.idle_s * 1_000_000
+        waiting, memories, made = self._read(self._waiting), self._read(self._memories), []
+        before = len(memories)
+        due = {name: found for name, rows in waiting.items() if (found := sorted((r for r in rows if r[0] < mark), key=lambda r: r[:2]))}
+        for name, rows in due.items():
+            memory, seen = memories.pop(name, (None, None))
+            if idle is not None and seen is not None and rows[0][0] >= seen + idle:
+                memory = None
+            memory, out = self.inner.step(name, memory, rows)
+            made += out
+            if memory is not None:
+                memories[name] = memory, rows[-1][0]
+            waiting[name] = [r for r in waiting[name] if r[0] >= mark]
+            if not waiting[name]:
+                del waiting[name]
+        if idle is not None:
+            memories = {name: held for name, held in memories.items() if name in waiting or mark < held[1] + idle}
+        if due or len(memories) != before:
+            self._write(self._memories, memories)
+            self._forget_later(memories)
+        if due:
+            self._write(self._waiting, waiting)
+            if waiting:
+                self._handle.registerTimer(_first(waiting) // 1000 + 1)
+        return self.inner.packing.frame(made)
+
+
+def _first(waiting: dict) -> int | None:
+    return min((r[0] for rows in waiting.values() for r in rows), default=None)
+
+
+def memories_of(spark: SparkSession, checkpoint: str, key: str, kind: str, processor: type[OrderedProcessor]) -> DataFrame:
+    """What a job with ``buckets`` remembers, a row per key as of its last finished micro-batch; ``kind`` is the key's type."""
+    names = processor.memory.names
+    packing = Packing(f"`{key}` {kind}, memory {processor.memory.simpleString()}")
+    held = spark.read.format("statestore").option("stateVarName", "memories").load(checkpoint).select("value.by_key")
+    return packing.unpacked(held, lambda data: [(name, dict(zip(names, memory, strict=True))) for name, (memory, _) in pickle.loads(data).items()])
+
+
 def merged(left: DataFrame, right: DataFrame, ts: str, delay: str | None) -> DataFrame:
     """Both streams as one, whose watermark is the slower one's; columns that only one has are NULL in the other."""
     sides = (left, right)
@@ -203,6 +299,11 @@ def merged(left: DataFrame, right: DataFrame, ts: str, delay: str | None) -> Dat
     return sides[0].unionByName(sides[1], allowMissingColumns=True)
 
 
+def _numbered(*columns: Column) -> Column:
+    """The columns as a struct, whatever their names are."""
+    return F.struct(*[c.alias(f"v{i}") for i, c in enumerate(columns)])
+
+
 def run_ordered(
     stream: DataFrame,
     processor: OrderedProcessor,
@@ -210,29 +311,41 @@ def run_ordered(
     delay: str | None,
     output: str,
     history: DataFrame | None = None,
+    buckets: int | None = None,
 ) -> DataFrame:
     """Apply a processor to a stream, per key. ``delay`` sets the watermark; None keeps the stream's own.
 
     ``history`` has a row per key with the fields of the processor's memory and ``seen``, the time of its last row in
     microseconds. It is read by the first micro-batch of a new checkpoint only, shuffled like the stream and never collected.
+    With ``buckets`` the state is kept in so many buckets of keys (see ``Buckets``); a checkpoint keeps their number.
     """
     timed = stream
     if delay is not None:
         timed = stream.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, delay)
-    us = F.unix_micros(ts).alias("event_us")
+    kind = timed.schema[processor.key].dataType
+
+    def keyed(name: Column, *columns: Column) -> list[Column]:
+        """The key of the state and the packed row; in a bucket the row begins with its own key."""
+        if buckets is None:
+            return [name.alias(processor.key), packed_row(_numbered(*columns)).alias("row")]
+        return [F.pmod(F.xxhash64(name), F.lit(buckets)).alias("bucket"), packed_row(_numbered(name, *columns)).alias("row")]
+
     # A row without time is never due.
     # Rows without a tie, like the closing one, come before others of their time.
-    tie = F.coalesce(F.col(processor.tie).cast("bigint"), F.lit(-1)).alias("event_tie")
-    timed = timed.filter(F.col(ts).isNotNull()).select(processor.key, ts, us, tie, *cells(timed, processor.fields))
-    begun = None
+    tie = F.coalesce(F.col(processor.tie).cast("bigint"), F.lit(-1))
+    fields = [F.col(f"`{f}`") for f in processor.fields]
+    held, row = keyed(F.col(processor.key), F.unix_micros(ts), tie, *fields)
+    timed = timed.filter(F.col(ts).isNotNull()).select(held, ts, row)
+    by, begun = timed.columns[0], None
     if history is not None:
-        names = processor.memory.names
-        kind = timed.schema[processor.key].dataType
-        memory = [F.col(f.name).cast(f.dataType).alias(f.name) for f in processor.memory]
-        begun = history.select(F.col(processor.key).cast(kind).alias(processor.key), F.col("seen").cast("bigint").alias("seen"), *memory)
-        begun = begun.select(processor.key, "seen", *cells(begun, names)).groupBy(processor.key)
+        memory = [F.col(f.name).cast(f.dataType) for f in processor.memory]
+        begun = history.select(*keyed(F.col(processor.key).cast(kind), F.col("seen").cast("bigint"), *memory)).groupBy(by)
     processor.packing = Packing(output)
-    made = timed.groupBy(processor.key).transformWithStateInPandas(
-        processor, outputStructType=processor.packing.schema, outputMode="Append", timeMode="EventTime", initialState=begun
+    made = timed.groupBy(by).transformWithStateInPandas(
+        processor if buckets is None else Buckets(processor),
+        outputStructType=processor.packing.schema,
+        outputMode="Append",
+        timeMode="EventTime",
+        initialState=begun,
     )
     return processor.packing.unpacked(made)

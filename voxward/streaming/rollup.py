@@ -65,6 +65,7 @@ def rollup_stream(
     require_full: bool = False,
     delay: str | None = "1 minute",
     idle_s: int | None = None,
+    buckets: int | None = None,
 ) -> DataFrame:
     """``call_rollup`` on streams: one row per call, when the watermarks of both streams have passed its end.
 
@@ -72,7 +73,7 @@ def rollup_stream(
     scored; ``ends`` has ``call_id`` and ``end_ts``, as the end events of ``call_monitor_stream`` do. Rolling scores, labels
     and counts of a call live in its state from its first frame to its end and go with the end; the end of a call
     without frames gives a count of 0. ``idle_s`` forgets calls that never end. Frames of the end's time belong to the call,
-    later ones would begin it anew.
+    later ones would begin it anew. ``buckets`` keeps the state of many calls together.
     """
     kind = frames.schema["call_id"].dataType.simpleString()
     rows = frames.select("call_id", ts, F.col(tie).cast("bigint").alias("frame_tie"), "cnn", "gmm", "is_silent")
@@ -83,6 +84,7 @@ def rollup_stream(
         ts,
         None,
         f"call_id {kind}, end_us bigint, call_was_ai boolean, frames_processed bigint, label string, average double",
+        buckets=buckets,
     )
     return made.select(
         "call_id",
