@@ -166,18 +166,21 @@ def fit_gmm_pair(
 
 
 def gmm_loglik(
-    data: DataFrame, mixtures: dict[str, Mixture], keys: tuple[str, ...], vectors: str = "lfcc"
+    data: DataFrame, mixtures: dict[str, Mixture], keys: tuple[str, ...], vectors: str = "lfcc", timed: bool = False
 ) -> DataFrame:
-    """Mean log likelihood of each frame's vectors under both mixtures."""
-    fields = [T.StructField(f"ll_{m}", T.DoubleType()) for m in ("human", "ai")]
+    """Mean log likelihood of each frame's vectors under both mixtures, with ``timed`` also the time per frame as ``gmm_ms``."""
+    names = ("ll_human", "ll_ai", *(("gmm_ms",) if timed else ()))
+    fields = [T.StructField(c, T.DoubleType()) for c in names]
     schema = T.StructType([data.schema[k] for k in keys] + fields)
 
     def run(batches):
         for batch in batches:
             stacks = [np.stack(v).astype(np.float64) for v in batch[vectors]]
-            yield batch[list(keys)].assign(
-                **{f"ll_{m}": [float(mixtures[m].mean_loglik(x)) for x in stacks] for m in ("human", "ai")}
-            )
+            start = perf_counter()
+            found = {f"ll_{m}": [float(mixtures[m].mean_loglik(x)) for x in stacks] for m in ("human", "ai")}
+            if timed:
+                found["gmm_ms"] = (perf_counter() - start) * 1000 / max(len(batch), 1)
+            yield batch[list(keys)].assign(**found)
 
     return data.select(*keys, vectors).mapInPandas(run, schema)
 
@@ -207,19 +210,21 @@ def measure_frames(
     mixtures: dict[str, Mixture] | None = None,
     keys: tuple[str, ...] = KEYS,
     silence: SilenceParams | None = None,
+    cepstra: bool = False,
 ) -> DataFrame:
     """All numbers the later steps need from a frame's audio, one row per frame.
 
     Audio crosses to Python once: silence check, both feature sets and both
     scores come from the same batch, and only numbers go back. With ``silence``
     frames that are mostly silent are marked, and no features are made of them.
+    With ``cepstra`` those of every frame, silent or not, are kept as ``lfcc``, so that mixtures fitted on them score the
+    frames without their audio (``score_measured``).
     """
     if cnn is None and mixtures is None:
         raise ValueError("scoring needs a scorer, a pair of mixtures, or both")
     names = ("silence_ratio", "max_amplitude", "cnn_pct", "cnn_ms", "ll_human", "ll_ai", "gmm_ms")
 
-    def score(samples: pd.Series, rates: pd.Series) -> dict[str, object]:
-        low = [dsp.resample(x, r) for x, r in zip(samples, rates, strict=True)]
+    def score(low: list[np.ndarray]) -> dict[str, object]:
         out = {}
         if cnn is not None:
             mel = dsp.cnn_features(np.stack([dsp.fit_center(x) for x in low]))
@@ -227,10 +232,10 @@ def measure_frames(
             out["cnn_pct"] = np.asarray(cnn(mel), np.float64) * 100
             out["cnn_ms"] = (perf_counter() - start) * 1000 / len(low)
         if mixtures is not None:
-            cepstra = dsp.lfcc(np.stack([dsp.fit_head(x) for x in low]))
+            vectors = dsp.lfcc(np.stack([dsp.fit_head(x) for x in low]))
             start = perf_counter()
             for name in ("human", "ai"):
-                out[f"ll_{name}"] = mixtures[name].mean_loglik(cepstra)
+                out[f"ll_{name}"] = mixtures[name].mean_loglik(vectors)
             out["gmm_ms"] = (perf_counter() - start) * 1000 / len(low)
         return out
 
@@ -242,12 +247,19 @@ def measure_frames(
         if silence is not None:
             out["silence_ratio"] = [dsp.silence_ratio(x, silence.at(r)) for x, r in zip(samples, rates, strict=True)]
             heard = (out["silence_ratio"] <= silence.max_ratio).to_numpy()
+        low = [dsp.resample(x, r) if h or cepstra else None for x, r, h in zip(samples, rates, heard, strict=True)]
         if heard.any():
-            for name, values in score(samples[heard], rates[heard]).items():
+            for name, values in score([x for x, h in zip(low, heard, strict=True) if h]).items():
                 out.loc[heard, name] = values
-        return tuple(out[name] for name in names)
-
-    measured = per_batch(frames, keys, [T.StructField(c, T.DoubleType()) for c in names], fn)
+        columns = tuple(out[name] for name in names)
+        if not cepstra:
+            return columns
+        return *columns, [list(rows) for rows in dsp.lfcc(np.stack([dsp.fit_head(x) for x in low]))]
+
+    fields = [T.StructField(c, T.DoubleType()) for c in names]
+    if cepstra:
+        fields.append(T.StructField("lfcc", T.ArrayType(T.ArrayType(T.DoubleType()))))
+    measured = per_batch(frames, keys, fields, fn)
     silent = F.lit(False)
     if silence is not None:
         silent = F.col("silence_ratio") > silence.max_ratio
@@ -293,6 +305,18 @@ def score_frames(
     return model_results(measured, keys, models_of(cnn, mixtures), cuts)
 
 
+def score_measured(
+    measured: DataFrame,
+    mixtures: dict[str, Mixture],
+    keys: tuple[str, ...] = KEYS,
+    cuts: ModelThresholds = ModelThresholds(),
+) -> DataFrame:
+    """``score_frames`` from frames measured by a scorer alone with their ``cepstra``: the audio is not read again."""
+    kept = (*keys, "cnn_pct", "cnn_ms", "is_silent")
+    heard = measured.filter(~F.col("is_silent"))
+    return model_results(gmm_loglik(heard, mixtures, kept, timed=True), keys, cuts=cuts)
+
+
 def latency_stats(
     results: DataFrame,
     key: str = "model",

@@ -41,6 +41,13 @@ def batch_predict(
     return scoring.score_frames(frames, scorer, mixtures, keys, silence=silence)
 
 
+def measure(
+    frames: DataFrame, scorer: scoring.Scorer, keys: tuple[str, ...] = FRAME, silence: SilenceParams = SilenceParams()
+) -> DataFrame:
+    """First half of ``batch_predict`` where the mixtures are still to be fitted on these frames; ``score_measured`` is the other."""
+    return scoring.measure_frames(frames, scorer, None, keys, silence, cepstra=True)
+
+
 def run_batch(
     inputs: BatchInputs,
     out: str,

@@ -457,13 +457,13 @@ def score_frames(spark: SparkSession, sf: str) -> DataFrame:
 def batch_predict(spark: SparkSession, sf: str) -> DataFrame:
     """Audio frames to results of both models in one pass."""
     tones = A.pcm_tones(spark, sf)
-    # The fits read the cepstra many times, so they are written once.
-    cepstra = materialize(features.lfcc(tones, ("vec_id", "label")), "cepstra")
+    middle = scoring.LogisticScorer(np.full(60 * 79, 1 / (60 * 79)), -0.5)
+    # The fits read the cepstra many times, and the scores once more, so they are written once; the audio is in one pass.
+    measured = materialize(batch.measure(tones, middle, ("vec_id", "label")), "measured")
     mixtures = scoring.load_mixtures(
-        scoring.fit_gmm_pair(cepstra, "lfcc", F.col("label") < 5, max_iter=5)
+        scoring.fit_gmm_pair(measured, "lfcc", F.col("label") < 5, max_iter=5)
     )
-    middle = scoring.LogisticScorer(np.full(60 * 79, 1 / (60 * 79)), -0.5)
-    scored = batch.batch_predict(tones, middle, mixtures, ("vec_id",))
+    scored = scoring.score_measured(measured, mixtures, ("vec_id",))
     return scored.select("vec_id", "model", r("confidence_pct", 4).alias("confidence_pct"), "label")
 
 
