@@ -54,6 +54,8 @@ class RepeatParams:
 
 #: Windows are scanned in pieces of this many; their places fit into POSITION_BITS.
 PIECE = 1 << 19
+#: Short texts are scanned together up to this many bytes, few enough for the arrays to stay in the cache.
+TOGETHER = 1 << 15
 POSITION_BITS = np.uint64(20)
 _PLACE = np.uint64((1 << 20) - 1)
 
@@ -78,12 +80,28 @@ def _gram_hashes(raw: np.ndarray, gram: int) -> np.ndarray:
     return mix(out)
 
 
-def _segments(data: bytes, params: RepeatParams, anchors_only: bool = False) -> tuple[np.ndarray, ...]:
-    """Anchor key, content hash, first byte, number of bytes and the anchor's place inside of each segment of a text.
+def _joined(texts: Iterator[tuple[int, bytes]], window: int) -> Iterator[list[tuple[int, bytes]]]:
+    """Texts of at least a window's length, short ones several at a time, as alone they cost more in calls than in work."""
+    held, size = [], 0
+    for doc_id, text in texts:
+        if not text or len(text) < window:
+            continue
+        if held and size + len(text) > TOGETHER:
+            yield held
+            held, size = [], 0
+        held.append((doc_id, text))
+        size += len(text)
+    if held:
+        yield held
+
+
+def _segments(texts: list[bytes], params: RepeatParams, anchors_only: bool = False) -> tuple[np.ndarray, ...]:
+    """Anchor key, content hash, first byte, number of bytes and the anchor's place inside of each segment, and the number of its text.
 
-    With ``anchors_only`` the key alone.
+    With ``anchors_only`` the key alone. Several texts must fit into a piece together.
     """
-    raw = np.frombuffer(data, np.uint8)
+    raw = np.frombuffer(b"".join(texts), np.uint8)
+    begins = np.cumsum([0, *map(len, texts)])
     width = params.window - params.gram + 1
     parts = []
     for at in range(0, len(raw) - params.window + 1, PIECE):
@@ -98,15 +116,24 @@ def _segments(data: bytes, params: RepeatParams, anchors_only: bool = False) ->
         if span < width:
             least = np.minimum(least[: span - width], least[width - span :])
         anchor = (least & _PLACE).astype(np.int64)
-        first = np.flatnonzero(np.concatenate(([True], anchor[1:] != anchor[:-1])))
+        # Windows that lie in one text; its first one begins a segment.
+        inside = np.ones(len(anchor), bool)
+        fresh = np.concatenate(([True], anchor[1:] != anchor[:-1]))
+        for b in begins[1:-1]:
+            inside[b - params.window + 1 : b] = False
+            fresh[b] = True
+        starts = np.flatnonzero(inside)
+        runs = np.flatnonzero(fresh[starts])
+        first = starts[runs]
         if anchors_only:
             parts.append((grams[anchor[first]].view(np.int64),))
             continue
-        size = np.diff(np.append(first, len(anchor))) + params.window - 1
+        size = np.diff(np.append(runs, len(starts))) + params.window - 1
         power, inverse = hashing._power_tables(len(piece) + 1)
         sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(hashing._BYTES[piece] * power[: len(piece)])))
         content = mix((sums[first + size] - sums[first]) * inverse[first] + size.astype(np.uint64))
-        parts.append((grams[anchor[first]].view(np.int64), content.view(np.int64), first + at, size, anchor[first] - first))
+        text = np.searchsorted(begins, first + at, "right") - 1
+        parts.append((grams[anchor[first]].view(np.int64), content.view(np.int64), first + at - begins[text], size, anchor[first] - first, text))
     return tuple(np.concatenate(p) for p in zip(*parts, strict=True))
 
 
@@ -121,7 +148,7 @@ def _anchor_counts(docs: DataFrame, params: RepeatParams) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys = [_segments(t, params, anchors_only=True)[0] for _, t in _texts(batch) if t and len(t) >= params.window]
+            keys = [_segments([t for _, t in some], params, anchors_only=True)[0] for some in _joined(_texts(batch), params.window)]
             if keys:
                 found, times = np.unique(np.concatenate(keys), return_counts=True)
                 yield pa.RecordBatch.from_pydict({"anchor": found, "times": times})
@@ -136,25 +163,25 @@ _ROW = "anchor bigint, content bigint, doc_id bigint, first bigint, size int, at
 def _segment_rows(docs: DataFrame, params: RepeatParams) -> DataFrame:
     """All segments, with the place of their anchor inside; ``again`` marks those that repeat an earlier one of their document."""
 
-    def rows(doc_id: int, text: bytes) -> pa.RecordBatch:
-        anchor, content, first, size, at = _segments(text, params)
-        order = np.lexsort((first, content, anchor))
+    def rows(some: list[tuple[int, bytes]]) -> pa.RecordBatch:
+        anchor, content, first, size, at, text = _segments([t for _, t in some], params)
+        order = np.lexsort((content, anchor, text))
         again = np.zeros(len(anchor), bool)
-        again[order[1:]] = (np.diff(anchor[order]) == 0) & (np.diff(content[order]) == 0)
+        again[order[1:]] = np.logical_and.reduce([np.diff(c[order]) == 0 for c in (text, anchor, content)])
         return pa.RecordBatch.from_pydict(
-            {"anchor": anchor, "content": content, "doc_id": np.full(len(anchor), doc_id), "first": first,
+            {"anchor": anchor, "content": content, "doc_id": np.array([d for d, _ in some], np.int64)[text], "first": first,
              "size": size.astype(np.int32), "at": at.astype(np.int32), "again": again}
         )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            known = ((doc_id, text) for doc_id, text in _texts(batch) if doc_id is not None)
             kept = []
-            for doc_id, text in _texts(batch):
-                if doc_id is not None and text and len(text) >= params.window:
-                    kept.append(rows(doc_id, text))
-                    if len(kept) == 256:
-                        yield from pa.Table.from_batches(kept).combine_chunks().to_batches()
-                        kept = []
+            for some in _joined(known, params.window):
+                kept.append(rows(some))
+                if len(kept) == 16:
+                    yield from pa.Table.from_batches(kept).combine_chunks().to_batches()
+                    kept = []
             if kept:
                 yield from pa.Table.from_batches(kept).combine_chunks().to_batches()
 
