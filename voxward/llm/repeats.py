@@ -7,7 +7,8 @@ repeat, and all occurrences of a window meet under one anchor. Equal segments ar
 combined first: all but the first occurrence are repeats as a whole. The
 remaining different segments of an anchor go, with the other anchors of their
 shard, into a suffix array built by induced sorting, where neighbours with a
-common prefix of a window's length are the repeats.
+common prefix of a window's length are the repeats. Before that a segment loses
+the windows at its ends whose bytes around the anchor no other segment has.
 
 An anchor with more different segments than fit into a shard is split by the
 bytes around it: windows that begin far before the anchor have more bytes in
@@ -58,6 +59,8 @@ PIECE = 1 << 19
 TOGETHER = 1 << 15
 POSITION_BITS = np.uint64(20)
 _PLACE = np.uint64((1 << 20) - 1)
+#: Ranges of distances from the anchor for which a shard's segments are looked through before they are sorted.
+RANGES = 8
 
 
 def _gram_hashes(raw: np.ndarray, gram: int) -> np.ndarray:
@@ -304,6 +307,34 @@ def _split(cuts: DataFrame, window: int) -> tuple[DataFrame, DataFrame]:
     return spans, stored(kept.select("anchor", "segments", "doc_id", "first", "at", "low", "high", "data"), "cuts")
 
 
+def _trimmed(columns: list[np.ndarray], raw: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """First byte and end of what the segments of a shard, one after the other in ``raw``, hold of windows that may repeat.
+
+    ``columns`` are each segment's first place in ``raw``, its number of bytes, its anchor's place inside, and the least and
+    the greatest distance by which a window begins before the anchor. The distances are cut into ``RANGES`` ranges. Equal
+    windows are in one range, and there all windows of a segment have the bytes around the anchor in common: where no
+    other segment has the same ones, none of them repeats. From the first range to the last one that may repeat all is kept.
+    Both numbers are 0 for segments without any.
+    """
+    starts, sizes, at, low, high = columns
+    power, inverse = hashing._power_tables(len(raw) + 1)
+    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(hashing._BYTES[raw] * power[: len(raw)])))
+    first, end = sizes.copy(), np.zeros(len(sizes), np.int64)
+    width = high - low + 1
+    for i in range(RANGES):
+        near, far = low + width * i // RANGES, low + width * (i + 1) // RANGES - 1
+        begin, last = np.maximum(at - far, 0), np.minimum(at - near, sizes - window)
+        some = np.flatnonzero((near <= far) & (begin <= last))
+        lower, upper = (starts + at - near)[some], (starts + at - far)[some] + window
+        core = mix((sums[upper] - sums[lower]) * inverse[lower] + near[some].astype(np.uint64))
+        _, same, times = np.unique(core, return_inverse=True, return_counts=True)
+        kept = some[times[same] > 1]
+        first[kept] = np.minimum(first[kept], begin[kept])
+        end[kept] = np.maximum(end[kept], last[kept] + window)
+    first[end == 0] = 0
+    return first, end
+
+
 def repeated_spans(docs: DataFrame, params: RepeatParams = RepeatParams()) -> DataFrame:
     """``doc_id, first, size``: byte spans whose every byte lies in a repeated window; they may overlap. Stored."""
     docs = docs.select(F.col("doc_id").cast("bigint"), "text")
@@ -317,18 +348,27 @@ def repeated_spans(docs: DataFrame, params: RepeatParams = RepeatParams()) -> Da
     shards = (fit.agg(F.sum(F.octet_length("data").cast("bigint"))).first()[0] or 0) // params.shard_bytes + 1
 
     def in_shard(shard: pa.Table) -> pa.Table:
-        shard = shard.sort_by([("doc_id", "ascending"), ("first", "ascending")])
-        doc_ids, firsts, data = (shard.column(c).to_pylist() for c in ("doc_id", "first", "data"))
+        data = shard.column("data").to_pylist()
+        sizes = np.array([len(d) for d in data], np.int64)
+        at, low, high = (shard.column(c).to_numpy().astype(np.int64) for c in ("at", "low", "high"))
+        begin, end = _trimmed([np.cumsum(sizes) - sizes, sizes, at, low, high], np.frombuffer(b"".join(data), np.uint8), window)
+        kept = np.flatnonzero(end)
+        if not len(kept):
+            return span_schema.empty_table()
+        doc_ids, firsts = shard.column("doc_id").to_numpy()[kept], shard.column("first").to_numpy()[kept] + begin[kept]
+        order = np.lexsort((firsts, doc_ids))
+        kept, doc_ids, firsts = kept[order], doc_ids[order], firsts[order]
+        data = [data[i][b:e] for i, b, e in zip(kept.tolist(), begin[kept].tolist(), end[kept].tolist(), strict=True)]
         # Documents one after the other, with more room than any has bytes.
-        number = np.unique(np.array(doc_ids, np.int64), return_inverse=True)[1]
-        places = number * (max(firsts) + max(map(len, data)) + 1) + np.array(firsts, np.int64)
-        found = list(zip(doc_ids, firsts, repeats(data, window, places), strict=True))
+        number = np.unique(doc_ids, return_inverse=True)[1]
+        places = number * (int(firsts.max()) + max(map(len, data)) + 1) + firsts
+        found = list(zip(doc_ids.tolist(), firsts.tolist(), repeats(data, window, places), strict=True))
         return pa.Table.from_pandas(_span_frame(found, window), schema=span_schema, preserve_index=False)
 
     span_schema = pa.schema([("doc_id", pa.int64()), ("first", pa.int64()), ("size", pa.int32())])
     sharded = (
         fit.withColumn("shard", F.pmod(F.xxhash64("anchor"), F.lit(shards)))
-        .select("shard", "doc_id", "first", "data")
+        .select("shard", "doc_id", "first", "at", "low", "high", "data")
         .groupBy("shard")
         .applyInArrow(in_shard, _SPANS)
     )

@@ -15,6 +15,8 @@ import numpy as np
 
 #: Symbols: 0 ends the whole text, 1 ends a string, a byte b is b + 2.
 END, STOP, SHIFT = 0, 1, 2
+#: Waves of fewer suffixes are dealt with as few calls as possible.
+SMALL = 256
 
 
 def joined(strings: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -47,16 +49,21 @@ def _deal(array: np.ndarray, at: np.ndarray, suffixes: np.ndarray, text: np.ndar
     symbols = text[suffixes]
     order = symbols.argsort(kind="stable")
     symbols = symbols[order]
-    fresh = np.ones(n, bool)
-    np.not_equal(symbols[1:], symbols[:-1], out=fresh[1:])
-    begins = fresh.nonzero()[0]
-    counts = np.full(len(begins), n)
-    counts[:-1] = begins[1:]
-    counts -= begins
-    own = symbols[begins]
-    # The first place of each run, less its offset in the wave.
-    array[(at[own] - step * begins).repeat(counts) + step * np.arange(n)] = suffixes[order]
-    at[own] += step * counts
+    # The first place of each run, less its offset in the wave. Most waves are small, and calls cost more than work there.
+    if n < SMALL:
+        places = symbols.searchsorted(symbols)
+    else:
+        begins = np.flatnonzero(np.append(True, symbols[1:] != symbols[:-1]))
+        places = begins.repeat(np.diff(begins, append=n))
+    if step > 0:
+        np.subtract(np.arange(n), places, out=places)
+    else:
+        places -= np.arange(n)
+    places += at[symbols]
+    array[places] = suffixes[order]
+    places += step
+    # The last of a run counts.
+    at[symbols] = places
 
 
 def _induce(text: np.ndarray, small: np.ndarray, lms: np.ndarray) -> np.ndarray:
@@ -68,29 +75,29 @@ def _induce(text: np.ndarray, small: np.ndarray, lms: np.ndarray) -> np.ndarray:
     tails = ends - 1
     _deal(array, tails, lms[::-1], text, -1)
 
+    # What comes before the first suffix is read as the end, which is of neither type here.
+    large, small = ~small, small.copy()
+    small[-1] = False
     used = np.flatnonzero(sizes).tolist()
     heads = begins.copy()
+    bounds = list(zip(begins.tolist(), ends.tolist(), strict=True))
     for c in used:
-        done = begins[c]
+        done, end = bounds[c]
         while done < heads[c]:
-            wave, done = array[done : heads[c]], heads[c]
-            before = wave[wave > 0] - 1
-            _deal(array, heads, before[~small[before]], text, 1)
-        before = array[tails[c] + 1 : ends[c]]
-        before = before[before > 0] - 1
-        if len(before):
-            _deal(array, heads, before[~small[before]], text, 1)
+            before, done = array[done : heads[c]] - 1, heads[c]
+            _deal(array, heads, before[large[before]], text, 1)
+        if tails[c] + 1 < end:
+            before = array[tails[c] + 1 : end] - 1
+            _deal(array, heads, before[large[before]], text, 1)
 
     tails = ends - 1
     for c in reversed(used):
-        done = ends[c] - 1
+        begin, done = bounds[c][0], bounds[c][1] - 1
         while done > tails[c]:
-            wave, done = array[tails[c] + 1 : done + 1][::-1], tails[c]
-            before = wave[wave > 0] - 1
+            before, done = array[tails[c] + 1 : done + 1][::-1] - 1, tails[c]
             _deal(array, tails, before[small[before]], text, -1)
-        before = array[begins[c] : heads[c]][::-1]
-        before = before[before > 0] - 1
-        if len(before):
+        if begin < heads[c]:
+            before = array[begin : heads[c]][::-1] - 1
             _deal(array, tails, before[small[before]], text, -1)
     return array
 
