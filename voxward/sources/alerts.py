@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 #: What makes two alerts the same; ``update_seq`` is 0 for kinds that a call has once.
 ALERT_KEY = ("call_id", "kind", "update_seq")
+#: Files that a micro-batch writes for a day at most.
+DAY_FILES = 8
 
 
 def write_alerts(alerts: DataFrame, path: str, epoch: int) -> None:
@@ -45,7 +47,9 @@ class AlertSink:
             same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in ALERT_KEY]
             new = new.join(known.where(F.col("day").isin(days)).drop("day"), same, "left_anti")
         folder = f"{self.path}/job={job}/run={run}/epoch={epoch}"
-        new.write.mode("overwrite").partitionBy("day").parquet(folder)
+        # Else every task writes a file for each day, and readers list and open them all.
+        dealt = new.repartition("day", F.pmod(F.xxhash64(*ALERT_KEY), F.lit(DAY_FILES)))
+        dealt.write.mode("overwrite").partitionBy("day").parquet(folder)
 
     def read(self, spark: SparkSession) -> DataFrame:
         """All delivered alerts, each once."""
